@@ -11,11 +11,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.suffix import remove_repeated_strings
+
+    return remove_repeated_strings(_read(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.substring import remove_repeated_windows
 
     return remove_repeated_windows(_read(spark, sf_dir, "documents"), window=13).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_substring_dedup": op5_substring_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_suffix_array_dedup, op5_substring_dedup)}
 ORACLE: dict[str, str] = {}
