@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.packing import CAPACITY, place_pieces, tokenized_pieces, vocabulary, written
+
+    pieces = tokenized_pieces(_read(spark, sf_dir, "documents"), CAPACITY, *vocabulary())
+    digests = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    placed = place_pieces(digests, CAPACITY)
+    return placed.withColumn("length", F.col("length").cast("long"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.suffix import remove_repeated_strings
 
@@ -23,5 +33,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(_read(spark, sf_dir, "documents"), window=13).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_suffix_array_dedup, op5_substring_dedup)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.ngram_join import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_suffix_array_dedup, op5_substring_dedup, op8_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
