@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 CAPACITY = 1024
 END_ID = 2
 #: Lengths up to capacity / SMALL are small.
-SMALL = 8
-GROUPS = 96
+SMALL = 2.5
+GROUPS = 256
 #: Bytes of text given to the tokenizer at once.
 BATCH_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length int, ids binary, task int, rank long"
@@ -193,7 +193,7 @@ class Placed:
     offset: int
 
 
-def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[list[Placed], int]:
+def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> tuple[list[Placed], int]:
     """Where the pieces of each length go, and the number of bins."""
     left = {n: c for n, c in sorted(histogram.items(), reverse=True) if c}
     next_rank = dict.fromkeys(left, 0)

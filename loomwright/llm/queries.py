@@ -21,6 +21,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("length", F.col("length").cast("long"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.secrets import digest, scan_secrets
+
+    return digest(scan_secrets(_read(spark, sf_dir, "documents"), owner=F.col("source"), repository=F.concat_ws("/", "source", "lang")))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.suffix import remove_repeated_strings
 
@@ -33,11 +39,25 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(_read(spark, sf_dir, "documents"), window=13).drop("kept_text")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.toxicity import score, train_on
+
+    docs = _read(spark, sf_dir, "documents")
+    return score(docs, train_on(docs, _read(spark, sf_dir, "labels")))
+
+
+def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.mixture import WEIGHTS, document_levels, mix_sources
+
+    mixed = mix_sources(_read(spark, sf_dir, "documents"), document_levels(), WEIGHTS, fraction=0.8, epochs=2, seed=17)
+    return mixed.select("doc_id", F.element_at("_leaf", 1).alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_take").alias("take_tokens"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.ngram_join import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_suffix_array_dedup, op5_substring_dedup, op8_ngram_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_array_dedup, op5_substring_dedup, op6_toxicity, op7_source_mixture, op8_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
