@@ -59,5 +59,18 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_array_dedup, op5_substring_dedup, op6_toxicity, op7_source_mixture, op8_ngram_jaccard_join)}
+def op9_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.matroska import read_back, store_texts
+
+    return read_back(store_texts(_read(spark, sf_dir, "documents")))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.topk import top_products
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    return top_products(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_array_dedup, op5_substring_dedup, op6_toxicity, op7_source_mixture, op8_ngram_jaccard_join, op9_matroska_columns, op10_exact_topk)}
 ORACLE: dict[str, str] = {}

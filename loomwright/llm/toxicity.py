@@ -30,16 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED = 10_000
-FEATURES = 2_000
+FEATURES = 300
 #: Rows that must have a word.
-LEAST_ROWS = 5
+LEAST_ROWS = 8
 GRADES = 4
+#: Lengths of the beginnings that are features.
+STEMS = (4, 5)
+PENALTY = 5e-5
 WORD = re.compile(r"[^\W\d_]+")
 SCORED = "doc_id long, expected_severity double, p_toxic double, grade int, is_toxic boolean"
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+    """The words of a text, and the beginnings of longer ones (with a hyphen), so that unseen forms of a stem count too."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return words | {w[:k] + "-" for w in words for k in STEMS if len(w) > k}
 
 
 @dataclass(frozen=True)
@@ -53,7 +58,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - score, -500, 500)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, features: int, steps: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, features: int, steps: int = 400, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least penalised log loss, by Adam from a fixed start. rows: the features that each row has."""
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
