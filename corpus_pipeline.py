@@ -1,5 +1,60 @@
-"""The corpus pipeline."""
-STAGES = []
+"""A corpus pipeline of five stages; each reads the Parquet that the one before wrote.
+
+Each stage takes (spark, docs, sf_dir). The first four return the columns of
+documents: toxicity drops what the model rejects, near duplicates leave the
+document of least id of each group, live secrets are replaced in the text, and
+the mixture takes whole documents up to each source's budget. The last packs
+what is left into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwright.llm import mixture, ngram_join, packing, secrets, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trained on the labelled documents of the stage's input."""
+    model = toxicity.train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle sets with a similarity of 0.8: that of least id.
+
+    Documents without words are no duplicates of anything and stay.
+    """
+    groups = ngram_join.near_duplicates(docs, width=5, percent=80)
+    gone = groups.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact_live(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the budgets take, the one at a cut included; one epoch, so none twice."""
+    return mixture.mix_sources(docs, mixture.document_levels(), mixture.WEIGHTS, fraction=0.9, epochs=1, seed=17).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, token ids, sequence_id and offset of each piece."""
+    pieces = packing.written(packing.tokenized_pieces(docs, packing.CAPACITY, *packing.vocabulary()), "sequences")
+    return packing.place_pieces(pieces, packing.CAPACITY)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_duplicates), ("secret_scan", redact_secrets), ("source_mixture", mix_sources), ("best_fit_packing", pack)]
+
+#: Trained weights and near duplicates can't be stated in SQL; the tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = packing.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

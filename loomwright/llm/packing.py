@@ -44,6 +44,9 @@ END_ID = 2
 #: Lengths up to capacity / SMALL are small.
 SMALL = 2.5
 GROUPS = 256
+#: Large pieces in a group at least, and pricing steps for each size at most: what an unfinished LP leaves is packed best-fit.
+PER_GROUP = 16
+STEPS = 6
 #: Bytes of text given to the tokenizer at once.
 BATCH_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length int, ids binary, task int, rank long"
@@ -143,7 +146,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     basis = np.diag((capacity // sizes).astype(float))
     use = demand / np.diag(basis)
     inverse = np.linalg.inv(basis)
-    for step in range(40 * m):
+    for step in range(STEPS * m):
         if step % 50 == 49:
             inverse = np.linalg.inv(basis)
             use = inverse @ demand
@@ -157,7 +160,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
                 best[c], pick[c] = gain[k], fit[k]
             else:
                 best[c] = best[c - 1]
-        if best[capacity] <= 1 + 1e-7:
+        if use.sum() * (1 - 1 / max(best[capacity], 1)) < 0.5:  # no solution is better by half a bin
             break
         new, c = np.zeros(m), capacity
         while c > 0:
@@ -218,7 +221,7 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
     large = [n for n in left if n > capacity // small]
     total = sum(left[n] for n in large)
     grouped: list[list[list[int]]] = []
-    per = -(-total // groups) if total else 0
+    per = max(PER_GROUP, -(-total // groups))
     room = 0
     for n in large:
         count = left[n]
