@@ -20,7 +20,6 @@ ignored; an empty table gives none.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.packing import written
+
 LABELLED = 10_000
 FEATURES = 300
 #: Rows that must have a word.
@@ -86,40 +87,31 @@ def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, features: int, steps:
     return value[:features], np.cumsum(np.concatenate([value[features : features + 1], np.exp(value[features + 1 :])]))
 
 
-def train(samples: list[tuple[frozenset[str], bool]], features: int = FEATURES) -> Model:
-    """From (words, toxic) rows."""
-    samples = sorted(set(samples), key=lambda s: (sorted(s[0]), s[1]))
-    sides = Counter(t for _, t in samples)
-    if len(sides) < 2:
+def train(vocabulary: list[tuple[str, int, int]], samples: list[tuple[frozenset[str], bool]]) -> Model:
+    """From the model's words (with the rows and toxic rows that have each) and rows of (model words, toxic)."""
+    n, pos = len(samples), sum(t for _, t in samples)
+    if not 0 < pos < n:
         return Model({}, (50.0,) * (GRADES - 1))
-    n, pos = len(samples), sides[True]
-    have, have_toxic = Counter(), Counter()
-    for words, toxic in samples:
-        have.update(words)
-        if toxic:
-            have_toxic.update(words)
-    least = min(LEAST_ROWS, max(1, pos // 4))
-
-    def chi(w):
-        a, b = have_toxic[w], have[w]
-        e = b * pos / n
-        return (a - e) ** 2 / e + (a - e) ** 2 / max(b - e, 1e-9)
-
-    vocabulary = sorted((w for w in have if have[w] >= least), key=lambda w: (-chi(w), w))[:features]
-    telling = {w for w in vocabulary if have_toxic[w] * n > 3 * have[w] * pos}
-    number = {w: k for k, w in enumerate(vocabulary)}
-    intensity = np.array([len(words & telling) for words, _ in samples])
+    samples = sorted(samples, key=lambda s: (sorted(s[0]), s[1]))
+    telling = {w for w, have, toxic in vocabulary if toxic * n > 3 * have * pos}
+    words = sorted(w for w, _, _ in vocabulary)
+    number = {w: k for k, w in enumerate(words)}
+    intensity = np.array([len(own & telling) for own, _ in samples])
     toxic = np.array([t for _, t in samples])
     cut = np.quantile(intensity[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + (intensity > cut[0]) + (intensity > cut[1]), 0)
     present = sorted(set(grade.tolist()))
-    rows = [np.array(sorted(number[w] for w in words if w in number), np.int64) for words, _ in samples]
-    weights, thresholds = fit_ordinal(rows, np.searchsorted(present, grade), len(vocabulary))
-    full = [thresholds[max(0, sum(g <= k for g in present) - 1)] if sum(g <= k for g in present) < len(present) else thresholds[-1] + 50 for k in range(GRADES - 1)]
-    return Model({w: float(x) for w, x in zip(vocabulary, weights, strict=True)}, tuple(float(x) for x in full))
+    rows = [np.array(sorted(number[w] for w in own if w in number), np.int64) for own, _ in samples]
+    weights, thresholds = fit_ordinal(rows, np.searchsorted(present, grade), len(words))
+    full = []
+    for k in range(GRADES - 1):  # a grade that no row has gets no room
+        at = sum(g <= k for g in present)
+        full.append(thresholds[at - 1] if at < len(present) else thresholds[-1] + 50)
+    return Model({w: float(x) for w, x in zip(words, weights, strict=True)}, tuple(float(x) for x in full))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, doc_id: str = "doc_id", text: str = "text") -> Model:
+def train_on(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, features: int = FEATURES, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """The words are counted and chosen in the cluster; the driver gets each row's model words only."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(labelled)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), "_id")  # at most `labelled` rows
@@ -128,7 +120,19 @@ def train_on(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, doc_i
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("_toxic"), pa.array([sorted(words_of(t.as_py())) for t in b.column("_text")], pa.list_(pa.string()))], names=["toxic", "words"])
 
-    return train([(frozenset(r["words"]), r["toxic"] > 0) for r in rows.mapInArrow(run, "toxic int, words array<string>").collect()])
+    found = rows.mapInArrow(run, "toxic int, words array<string>")
+    found = written(found.groupBy(F.sha2(F.concat_ws(" ", "words"), 256).alias("same"), (F.col("toxic") > 0).alias("toxic")).agg(F.first("words").alias("words")), "labelled")
+    sides = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n, pos = sum(sides.values()), sides.get(True, 0)
+    if not 0 < pos < n:
+        return train([], [])
+    counts = found.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("have"), F.count_if("toxic").alias("toxic"))
+    counts = counts.where(F.col("have") >= min(LEAST_ROWS, max(1, pos // 4)))
+    expected = F.col("have") * (pos / n)
+    chi = (F.col("toxic") - expected) ** 2 * (1 / expected + 1 / F.greatest(F.col("have") - expected, F.lit(1e-9)))
+    vocabulary = [(r["word"], r["have"], r["toxic"]) for r in counts.orderBy(chi.desc(), "word").limit(features).collect()]
+    own = F.array_intersect("words", F.array(*(F.lit(w) for w, _, _ in vocabulary)).cast("array<string>"))
+    return train(vocabulary, [(frozenset(r["own"]), r["toxic"]) for r in found.select("toxic", own.alias("own")).collect()])
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
