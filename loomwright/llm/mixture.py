@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+#: Most rows of the plan (leaves times epochs) that are broadcast.
+LEAVES = 100_000
 DEFAULT_WEIGHT = 1.0
 Path = tuple[str, ...]
 
@@ -95,7 +97,8 @@ def mix_sources(docs: DataFrame, levels: Sequence[Column], weights: Mapping[Path
     """
     tokens = count_words(text) if tokens is None else tokens
     leaf = F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in levels))
-    kept = docs.select(F.struct(*docs.columns).alias("_whole"), leaf.alias("_leaf"), tokens.alias("_tokens"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_text_hash"), F.col(doc_id).alias("_id"))
+    names = {f"_own{k}": c for k, c in enumerate(docs.columns)}  # columns of their own, so that unused ones aren't shuffled
+    kept = docs.select(*(F.col(c).alias(n) for n, c in names.items()), leaf.alias("_leaf"), tokens.alias("_tokens"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_text_hash"), F.col(doc_id).alias("_id"))
     sums = {tuple(r["_leaf"]): r["n"] for r in kept.groupBy("_leaf").agg(F.sum("_tokens").alias("n")).collect()}
     share = budgets(sums, weights, int(sum(sums.values()) * fraction), epochs)
     spark = docs.sparkSession
@@ -103,6 +106,8 @@ def mix_sources(docs: DataFrame, levels: Sequence[Column], weights: Mapping[Path
     total = spark.createDataFrame([(list(k), v) for k, v in sums.items()], "_leaf array<string>, _all long")
     plan = table.join(total, "_leaf").select("_leaf", F.posexplode(F.sequence(F.lit(1), F.ceil(F.col("_budget") / F.col("_all")).cast("int"))).alias("_epoch", "_"), "_budget", "_all")
     plan = plan.select("_leaf", "_epoch", F.least(F.col("_all"), F.col("_budget") - F.col("_epoch") * F.col("_all")).alias("_quota"))
+    if len(share) * epochs <= LEAVES:
+        plan = F.broadcast(plan)
     rows = kept.where("_tokens > 0").join(plan, "_leaf")
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "_epoch", "_text_hash")).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - (BUCKETS.bit_length() - 1)).cast("int"))
     # signed order and unsigned buckets agree within a bucket
@@ -113,7 +118,7 @@ def mix_sources(docs: DataFrame, levels: Sequence[Column], weights: Mapping[Path
     inside = Window.partitionBy("_leaf", "_epoch", "_bucket").orderBy("_order", "_id", "_text_hash").rowsBetween(Window.unboundedPreceding, -1)
     place = F.col("_before") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0))
     rows = rows.where(F.col("_before") < F.col("_quota")).withColumn("_take", F.least(F.col("_tokens"), F.col("_quota") - place)).where("_take > 0")
-    return rows.select("_whole.*", "_leaf", "_epoch", "_tokens", "_take")
+    return rows.select(*(F.col(n).alias(c) for n, c in names.items()), "_leaf", "_epoch", "_tokens", "_take")
 
 
 #: Domains by the number at a source's end, and the weights of the tree that the queries use.
