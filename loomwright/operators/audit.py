@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from loomwright.functions import text as T
 # --- fixed values ---
 FORBIDDEN_PARTS = (".codex", ".sii", "__pycache__", "checkpoints", "models", "logs")
 ASSIGNMENT = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*[=:]\s*(.*?)\s*$"
+INLINE = r"(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)[ \t]*[=:][ \t]*([^ \t]+)"
 CREDENTIAL = r"(?i)api[_-]?key|secret|token|password"
 PLACEHOLDERS = ("<secret>", "<api-key>")
 LOOKUPS = ("os.environ", "os.getenv", "environ.get")
@@ -27,7 +29,7 @@ def is_forbidden_path(path: Column) -> Column:
 
 def is_secret_line(line: Column, anchored: bool = True) -> Column:
     """A credential-like name with a value that is no placeholder. anchored: the line is the assignment."""
-    pattern = ASSIGNMENT if anchored else ASSIGNMENT.replace(r"^\s*(?:export\s+)?", r"\b").replace(r"(.*?)\s*$", r"(\S+.*)$")
+    pattern = ASSIGNMENT if anchored else INLINE
     name, value = F.regexp_extract(line, pattern, 1), F.btrim(T.strip(F.regexp_extract(line, pattern, 2)), F.lit("\"'"))
     return line.rlike(pattern) & name.rlike(CREDENTIAL) & (value != "") & ~value.contains("example.invalid") & ~value.isin(*PLACEHOLDERS)
 
@@ -53,13 +55,11 @@ def unfenced(lines: DataFrame, key: str = "path", at: str = "line_no", line: str
 
 def text_lines(files: DataFrame) -> DataFrame:
     """path, line_no and line of files (path, content)."""
-    return files.select("path", F.posexplode(F.split("content", "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)).alias("line_no", "line"))
+    return files.select("path", F.posexplode(F.split("content", "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1)).alias("line_no", "line"))
 
 
 def audit(files: DataFrame, machine_marker: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(code, path, detail) issues of files (path, content BINARY, bytes), in order."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def literal(value: pd.Series) -> pd.Series:
         return value.map(python_literal)

@@ -103,7 +103,8 @@ def hard_negatives(positives: DataFrame, seed: int = 7, kept: int = 5) -> DataFr
     for name, key in kinds.items():
         w = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id")
         near = [F.lead(F.struct("item_id", "tool", "target"), k).over(w) for k in range(1, kept + 1)]
-        d = positives.select("item_id", "tool", "target", F.lit(name).alias("kind"), F.explode(F.array(*near)).alias("o")).where("o is not null")
+        d = positives.select("item_id", "tool", "target", F.lit(name).alias("kind"), F.array(*near).alias("near"))
+        d = d.select("item_id", "tool", "target", "kind", F.explode("near").alias("o")).where("o is not null")
         other = {"same_tool": F.col("o.target") != F.col("target"), "same_target": F.col("o.tool") != F.col("tool"), "same_trajectory": F.lit(True)}[name]
         d = d.where(other & ~((F.col("o.tool") == F.col("tool")) & (F.col("o.target") == F.col("target")))).select("item_id", F.col("o.item_id").alias("negative_id"), "kind")
         out = d if out is None else out.unionByName(d)

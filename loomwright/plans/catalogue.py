@@ -1,3 +1,488 @@
-"""Registered queries."""
-QUERIES = {}
-ORACLE = {}
+"""Registered queries, each over its whole tables, and the SQL that states its result."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomwright.functions import text as T
+from loomwright.operators import alignment, audit, curation, inference, selection, steps, trajectory, validation
+from loomwright.plans import inputs as I  # noqa: E741
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- shared parts of the SQL ------------------------------------------------------------------------------------------
+
+_STEPS = r"""
+ev AS (SELECT user_id, ts, event_id, event_type,
+  CASE WHEN event_id % 17 = 0 THEN 'Done.' ELSE 'We should check item ' || event_id || ' because the result looks odd.' END AS thought,
+  CASE event_type WHEN 'view' THEN 'open src/main.py' WHEN 'click' THEN 'edit 3:4' WHEN 'error' THEN 'pytest tests' WHEN 'signup' THEN 'python run.py' WHEN 'purchase' THEN 'submit' END AS command,
+  CASE WHEN event_id % 19 = 0 THEN '' ELSE 'value ' || event_id END AS reply FROM events),
+st AS (SELECT *, length(thought) >= 20 AND len(regexp_extract_all(thought, '[A-Za-z][A-Za-z''-]*')) >= 4
+    AND regexp_matches(thought, '(?i)\b(because|need|next|plan|should|therefore)\b') AS explicit,
+  CASE WHEN regexp_matches(command, '(^|\s)pytest(\s|$)|python\s+[^\n]*test') THEN 'test' WHEN regexp_matches(command, '(^|\n)edit\b') THEN 'edit'
+    WHEN regexp_matches(command, '(^|\s)open(\s|$)') THEN 'inspect' WHEN regexp_matches(command, '(^|\s)python\b') THEN 'run' ELSE 'other' END AS phase FROM ev)"""
+_RECORDS = _STEPS + r""",
+rec AS (SELECT user_id, count(*) AS ai_turns, count(*) FILTER (explicit AND reply <> '') AS cycles,
+  coalesce(sum(length(thought)) FILTER (explicit AND reply <> ''), 0)::BIGINT AS thought_chars,
+  coalesce(list(DISTINCT phase) FILTER (explicit AND reply <> ''), []) AS phases FROM st GROUP BY user_id),
+feat AS (SELECT *, 'owner__repo' || user_id % 7 || '-' || user_id AS instance_id, ['70b', '8b', '405b'][user_id % 3 + 1] AS model_short, user_id % 2 = 0 AS target,
+  user_id % 5 <> 0 AS bugfix, user_id % 13 <> 0 AS patch, user_id % 17 <> 0 AS log, CASE WHEN user_id % 17 = 0 THEN 5 ELSE 9 * (user_id % 100 * 2 + 20) END AS log_chars,
+  CASE WHEN ai_turns > 0 THEN cycles / ai_turns ELSE 0.0 END AS ratio, CASE WHEN cycles > 0 THEN thought_chars / cycles ELSE 0.0 END AS mean_chars,
+  CASE WHEN cycles < 20 THEN '10-19' WHEN cycles < 40 THEN '20-39' ELSE '40+' END AS band FROM rec),
+ok AS (SELECT * FROM feat WHERE ai_turns >= 10 AND cycles >= 10 AND ratio >= 0.8 AND list_contains(phases, 'inspect') AND list_contains(phases, 'edit') AND patch AND log AND bugfix)"""
+_CANDIDATES = """
+cand AS (SELECT o_orderkey::VARCHAR AS uid, o_custkey::VARCHAR AS instance_id, 'r' || o_custkey % 50 AS repository, lower(split_part(o_orderpriority, '-', 1)) AS model_short, o_orderstatus = 'F' AS target, o_totalprice AS quality_score,
+  CASE WHEN o_totalprice < 100000 THEN '10-19' WHEN o_totalprice < 200000 THEN '20-39' ELSE '40+' END AS length_band FROM orders WHERE o_orderstatus IN ('F', 'O'))"""
+_JITTER = "(('0x' || substr(sha256('20260814:' || {0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+_PAIRS = f"""{_CANDIDATES},
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY instance_id, model_short, target ORDER BY quality_score DESC, {_JITTER.format("uid")} DESC, uid) = 1),
+pairs AS (SELECT a.instance_id, a.model_short, a.uid AS success, b.uid AS failure,
+  a.quality_score + b.quality_score + CASE WHEN a.length_band <> b.length_band THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END + {_JITTER.format("a.instance_id")} AS score
+  FROM best a JOIN best b ON a.instance_id = b.instance_id AND a.model_short = b.model_short AND a.target AND NOT b.target)"""
+_LINES = """
+base AS (SELECT l_orderkey AS unit_id, l_linenumber::VARCHAR AS action_id, (min(l_suppkey) % 3)::VARCHAR AS intent_id, CASE min(l_returnflag) WHEN 'A' THEN 'yes' WHEN 'R' THEN 'no' ELSE 'uncertain' END AS operation_match FROM lineitem GROUP BY l_orderkey, l_linenumber),
+units AS (SELECT unit_id, count(*) AS n_actions, unit_id % 4 <> 0 AS window_complete FROM base GROUP BY unit_id),
+res AS (SELECT unit_id, intent_id, CASE WHEN bool_or(operation_match = 'yes') THEN 'yes' WHEN any_value(window_complete) AND count(*) = any_value(n_actions) AND bool_and(operation_match = 'no') THEN 'no' ELSE 'uncertain' END AS operation_match,
+  coalesce(list_sort(list(action_id) FILTER (operation_match = 'yes')), []) AS matched FROM base JOIN units USING (unit_id) WHERE intent_id <> '2' GROUP BY unit_id, intent_id),
+lab AS (SELECT unit_id, count(*) FILTER (operation_match = 'yes') AS y, count(*) FILTER (operation_match = 'no') AS x, count(*) FILTER (operation_match = 'uncertain') AS u FROM units LEFT JOIN res USING (unit_id) GROUP BY unit_id),
+step AS (SELECT unit_id, u, CASE WHEN y + x + u = 0 THEN 'not_applicable' WHEN x + u = 0 THEN 'fully_consistent' WHEN y + u = 0 THEN 'fully_inconsistent' WHEN y > 0 AND x > 0 THEN 'partially_consistent' ELSE 'uncertain' END AS step_label FROM lab)"""
+
+
+# --- trajectories -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_RECORDS} SELECT instance_id, model_short, band AS length_band, cycles::BIGINT AS valid_cycles,
+  15.0::DOUBLE + 15.0::DOUBLE * least(greatest(cycles - 10, 0) / 30.0::DOUBLE, 1.0::DOUBLE) + (15.0::DOUBLE * ratio + 10.0::DOUBLE * least(mean_chars / 350.0::DOUBLE, 1.0::DOUBLE))
+  + (CASE WHEN list_contains(phases, 'inspect') THEN 5.0::DOUBLE ELSE 0 END + CASE WHEN list_contains(phases, 'edit') THEN 5 ELSE 0 END + CASE WHEN list_contains(phases, 'test') THEN 6 ELSE 0 END + CASE WHEN list_contains(phases, 'run') THEN 2 ELSE 0 END + CASE WHEN list_contains(phases, 'other') THEN 2 ELSE 0 END)
+  + (10.0::DOUBLE + CASE WHEN list_contains(phases, 'test') OR log_chars >= 1000 THEN 5 ELSE 0 END) + CASE WHEN cycles BETWEEN 15 AND 50 THEN 10.0::DOUBLE ELSE 8.0::DOUBLE END AS quality_score FROM ok""")
+def trajectory_quality(spark, sf_dir):
+    d = trajectory.scored(trajectory.eligible(trajectory.features(I.trajectories(spark, sf_dir))), rounded=False)
+    return d.select("instance_id", "model_short", "length_band", F.col("valid_cycles").cast("long"), "quality_score")
+
+
+@query(f"WITH {_STEPS} SELECT phase, count(*)::BIGINT AS n FROM st GROUP BY phase")
+def action_phase_counts(spark, sf_dir):
+    return I.event_steps(spark, sf_dir).groupBy(T.action_phase(F.col("command")).alias("phase")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {_STEPS}, t AS (SELECT event_id, thought || chr(10) || '```sh' || chr(10) || 'ls -a' || chr(10) || '```' || chr(10) || 'then ' || reply || chr(10) || '```' || command || chr(10) || '```' || ' end' AS x FROM ev),
+p AS (SELECT *, regexp_extract_all(x, '(?s)```[^\n`]*\n?(.*?)```') AS w, regexp_extract_all(x, '(?s)```[^\n`]*\n?(.*?)```', 1) AS g, regexp_split_to_array(x, '(?s)```[^\n`]*\n?(.*?)```') AS s FROM t)
+SELECT event_id, trim(g[-1], chr(10) || ' ') AS action, trim(left(x, length(x) - length(s[-1]) - length(w[-1])), chr(10) || ' ') AS thought FROM p""")
+def last_fenced_block(spark, sf_dir):
+    s = I.event_steps(spark, sf_dir)
+    text = F.concat("thought", F.lit("\n```sh\nls -a\n```\nthen "), T.strip(F.col("reply")), F.lit("\n```"), "command", F.lit("\n``` end"))
+    return s.select("event_id", T.last_block(text).alias("b")).select("event_id", "b.action", "b.thought")
+
+
+@query(f"WITH {_STEPS} SELECT event_id, thought FROM st WHERE explicit")
+def explicit_thought_filter(spark, sf_dir):
+    return I.event_steps(spark, sf_dir).where(T.is_explicit_thought(F.col("thought"))).select("event_id", "thought")
+
+
+_TITLES = ("Add support for error {k}", "TypeError in item {k}", "Problem with total {k}", "Log   the failing {k}", "Total {k} is wrong", "Nothing to see {k}", "   ", "Refresh {k} doesn't work")
+
+
+@query(rf"""WITH t AS (SELECT o_orderkey, trim(regexp_replace(replace([{", ".join("'" + x.replace("'", "''") + "'" for x in _TITLES)}][o_orderkey % 8 + 1], '{{k}}', o_orderkey::VARCHAR), '\s+', ' ', 'g')) AS title FROM orders)
+SELECT o_orderkey, title FROM t WHERE title <> '' AND NOT regexp_matches(title, '(?i)^(add|log|refactor|support)\b') AND regexp_matches(title, '(?i)\b(error|typeerror|problem|wrong|doesn''?t|fail(ing)?)\b')""")
+def bugfix_titles(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders")
+    raw = F.replace(F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("o_orderkey") % 8 + 1).cast("int")), F.lit("{k}"), F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", T.squeeze(raw).alias("title")).where(T.is_bugfix(F.col("title")))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, trim(coalesce(text, '')) AS text, lead(role) OVER w AS after_role, trim(lead(coalesce(text, '')) OVER w) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, count(*) FILTER (role = 'assistant')::BIGINT AS turns, count(*) FILTER (role = 'assistant' AND text <> '' AND after_role = 'user' AND after <> '')::BIGINT AS cycles FROM m GROUP BY conv_id""")
+def valid_cycles(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    body = T.strip(T.text_or_empty(F.col("text")))
+    m = I.table(spark, sf_dir, "conversations").select("conv_id", "role", body.alias("text"), F.lead("role").over(w).alias("after_role"), F.lead(body).over(w).alias("after"))
+    said = F.col("role") == "assistant"
+    return m.groupBy("conv_id").agg(F.count_if(said).alias("turns"), F.count_if(said & (F.col("text") != "") & (F.col("after_role") == "user") & (F.col("after") != "")).alias("cycles"))
+
+
+@query(f"""WITH {_RECORDS} SELECT count(*)::BIGINT AS records, count(*) FILTER (ai_turns >= 10 AND cycles >= 10)::BIGINT AS turns, count(*) FILTER (ratio >= 0.8)::BIGINT AS ratio, count(*) FILTER (list_contains(phases, 'inspect') AND list_contains(phases, 'edit'))::BIGINT AS phases,
+  count(*) FILTER (patch)::BIGINT AS patch, count(*) FILTER (log)::BIGINT AS log, count(*) FILTER (bugfix)::BIGINT AS bugfix, (SELECT count(*) FROM ok)::BIGINT AS eligible FROM feat""")
+def hard_filter_breakdown(spark, sf_dir):
+    d = trajectory.features(I.trajectories(spark, sf_dir))
+    terms = trajectory.hard_filter_terms()
+    every = F.lit(True)
+    for t in terms.values():
+        every = every & t
+    return d.agg(F.count("*").alias("records"), *(F.count_if(terms[k]).alias(k) for k in ("turns", "ratio", "phases", "patch", "log", "bugfix")), F.count_if(every).alias("eligible"))
+
+
+@query(f"WITH {_RECORDS} SELECT band AS length_band, count(*)::BIGINT AS n FROM feat GROUP BY band")
+def length_band_hist(spark, sf_dir):
+    return trajectory.features(I.trajectories(spark, sf_dir)).groupBy("length_band").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_STEPS} SELECT user_id, count(*) FILTER (explicit AND reply <> '')::BIGINT AS steps, coalesce(string_agg(thought || '>' || command || '>' || reply, '|' ORDER BY ts, event_id) FILTER (explicit AND reply <> ''), '') AS told FROM st GROUP BY user_id""")
+def case_records(spark, sf_dir):
+    r = I.trajectories(spark, sf_dir).select("*", F.lit("CASE-0001").alias("selection_id"), F.lit("paired").alias("selection_group"), F.lit("P01").alias("pair_id"))
+    c = trajectory.cases(r.withColumn("instance_id", F.col("user_id").cast("string")))
+    return c.select(F.col("instance_id").cast("long").alias("user_id"), F.size("steps").cast("long").alias("steps"), F.array_join(F.transform("steps", lambda s: F.concat_ws(">", s["thought"], s["action"], s["observation"])), "|").alias("told"))
+
+
+@query(f"""WITH {_STEPS}, n AS (SELECT *, row_number() OVER w AS k FROM st WHERE explicit AND reply <> '' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT user_id, k, thought, string_agg('THOUGHT ' || k || ': ' || thought || chr(10) || 'ACTION ' || k || ': ' || command || chr(10) || 'OBSERVATION ' || k || ': ' || reply, chr(10) || chr(10)) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM n)
+SELECT user_id, k::BIGINT AS thought_step, thought, CASE WHEN before IS NULL THEN '[No preceding context]' WHEN length(before) <= 300 THEN before ELSE '[Earlier context truncated]' || chr(10) || right(before, 300) END AS preceding_context FROM c""")
+def case_step_history(spark, sf_dir):
+    r = I.trajectories(spark, sf_dir).select("*", F.col("user_id").cast("string").alias("selection_id"), F.lit("").alias("selection_group"), F.lit("").alias("pair_id"))
+    s = steps.case_steps(trajectory.cases(r), context_chars=300)
+    return s.select(F.col("case_id").cast("long").alias("user_id"), "thought_step", "thought", "preceding_context")
+
+
+# --- selection --------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_JITTER.format('doc_id')} AS jitter FROM documents ORDER BY jitter, doc_id LIMIT 100")
+def stable_jitter_sample(spark, sf_dir):
+    d = I.table(spark, sf_dir, "documents").select("doc_id", T.stable_jitter(F.col("doc_id"), selection.SEED).alias("jitter"))
+    return d.orderBy("jitter", "doc_id").limit(100)
+
+
+@query(f"WITH {_CANDIDATES} SELECT model_short, count(*)::BIGINT AS capacity FROM (SELECT model_short, instance_id FROM cand GROUP BY ALL HAVING min(target) <> max(target)) GROUP BY model_short")
+def paired_capacity(spark, sf_dir):
+    return selection.paired_capacity(I.candidates(spark, sf_dir))
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def pair_options(spark, sf_dir):
+    return selection.pair_options(I.candidates(spark, sf_dir)).select("instance_id", "model_short", F.col("success.uid").alias("success"), F.col("failure.uid").alias("failure"), "score")
+
+
+def _quotas(spark, sf_dir) -> selection.Quotas:
+    capacity = {r["model_short"]: r["capacity"] for r in paired_capacity(spark, sf_dir).collect()}
+    pairs = selection.fit_quotas(capacity, {"1": 9, "2": 7, "3": 4}, min(20, sum(capacity.get(m, 0) for m in "123")))
+    return selection.Quotas(pairs, {m: n + 5 for m, n in pairs.items()})
+
+
+@query()
+def quota_fit(spark, sf_dir):
+    q = _quotas(spark, sf_dir)
+    return spark.createDataFrame(sorted(q.pairs.items()), "model_short string, pairs long")
+
+
+@query()
+def representative_selection(spark, sf_dir):
+    return selection.numbered(selection.select(I.candidates(spark, sf_dir), _quotas(spark, sf_dir)))
+
+
+@query(f"""WITH {_PAIRS}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, instance_id, model_short) AS k FROM pairs QUALIFY k <= 250),
+s AS (SELECT 'P' || lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INT, '0') AS pair_id, unnest([{{'u': success, 't': true}}, {{'u': failure, 't': false}}]) AS x, model_short FROM top)
+SELECT 'CASE-' || lpad((row_number() OVER (ORDER BY pair_id, x.t DESC, model_short, x.u))::VARCHAR, 4, '0') AS selection_id, pair_id, x.u AS uid FROM s""")
+def case_numbering(spark, sf_dir):
+    top = selection.pair_options(I.candidates(spark, sf_dir)).orderBy(F.desc("score"), "instance_id", "model_short").limit(250)
+    k = F.row_number().over(Window.orderBy(F.desc("score"), "instance_id", "model_short"))
+    top = top.withColumn("pair_id", F.format_string("P%02d", k))
+    s = top.select("pair_id", "model_short", F.explode(F.array(F.struct(F.col("success.uid").alias("uid"), F.lit(True).alias("target")), F.struct(F.col("failure.uid").alias("uid"), F.lit(False).alias("target")))).alias("x"))
+    s = s.select("pair_id", "model_short", "x.uid", "x.target", F.lit("paired").alias("selection_group"))
+    return selection.numbered(s).select("selection_id", "pair_id", "uid")
+
+
+@query(f"""WITH {_CANDIDATES}, g AS (SELECT *, CASE WHEN repository IN ('r1', 'r2') THEN 'paired' ELSE 'diversity' END AS selection_group FROM cand)
+SELECT target, selection_group, model_short, length_band, count(*)::BIGINT AS n, count(DISTINCT instance_id)::BIGINT AS instances, min(quality_score) AS least, max(quality_score) AS most FROM g
+GROUP BY GROUPING SETS ((target), (selection_group), (model_short), (length_band), (target, model_short), (target, length_band), ())""")
+def selection_summary(spark, sf_dir):
+    c = I.candidates(spark, sf_dir).withColumn("selection_group", F.when(F.col("repository").isin("r1", "r2"), "paired").otherwise("diversity"))
+    return selection.summary(c)
+
+
+# --- validation -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT DISTINCT c_custkey AS id, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+def id_reconcile(spark, sf_dir):
+    return validation.reconcile(I.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), I.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id")
+
+
+@query("SELECT l_orderkey || ':' || l_linenumber AS id, count(*)::BIGINT AS n FROM lineitem GROUP BY id HAVING n > 1")
+def duplicate_ids(spark, sf_dir):
+    return validation.duplicates(I.table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id")), "id")
+
+
+_RAW = (
+    ('{"intents": [{"intent_quote": "alpha", "temporal_scope": "current"}, {"intent_quote": "gamma", "temporal_scope": "future"}]}', "valid"),
+    ('{"intents": ', "invalid_json"),
+    ('{"intents": [], "more": 1}', "invalid_schema"),
+    ('{"intents": [{"intent_quote": "alpha"}]}', "invalid_schema"),
+    ('{"intents": [{"intent_quote": " ", "temporal_scope": "current"}]}', "invalid_scope_or_quote"),
+    ('{"intents": [{"intent_quote": "alpha", "temporal_scope": "past"}]}', "invalid_scope_or_quote"),
+    ('{"intents": [{"intent_quote": "delta", "temporal_scope": "current"}]}', "non_source_quote"),
+    ('{"intents": [{"intent_quote": "beta", "temporal_scope": "current"}, {"intent_quote": "beta", "temporal_scope": "future"}]}', "duplicate_quote"),
+    ('{"intents": [{"intent_quote": "beta", "temporal_scope": "current"}, {"intent_quote": "alpha", "temporal_scope": "current"}]}', "source_order_wrong"),
+    ('{"intents": []}', "valid"),
+    ("[1]", "invalid_schema"),
+    ('{"intents": [{"intent_quote": 5, "temporal_scope": "current"}]}', "invalid_scope_or_quote"),
+)
+
+
+@query(f"SELECT event_id, [{', '.join(repr(s) for _, s in _RAW)}][event_id % {len(_RAW)} + 1] AS status FROM events")
+def extraction_status(spark, sf_dir):
+    raw = F.element_at(F.array(*(F.lit(r) for r, _ in _RAW)), (F.col("event_id") % len(_RAW) + 1).cast("int"))
+    return I.table(spark, sf_dir, "events").select("event_id", validation.extraction_status(raw, F.lit("alpha beta gamma")).alias("status"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'intent_id' WHEN event_id % 6 = 1 THEN 'quote_not_in_source' WHEN event_id % 6 = 2 THEN 'blank_text' WHEN event_id % 6 = 3 THEN 'reason_with_intents' WHEN event_id % 6 = 4 THEN 'thought_step' END AS status FROM events""")
+def intent_validation(spark, sf_dir):
+    k, n = F.col("event_id") % 6, F.lit(3).cast("long")
+    one = F.struct(F.when(k == 0, "T3-I2").otherwise("T3-I1").alias("intent_id"), F.when(k == 2, " ").otherwise("look").alias("intent_text"), F.when(k == 1, "delta").otherwise("beta").alias("source_quote"))
+    result = F.struct(F.when(k == 4, F.lit(2)).otherwise(F.lit(3)).cast("long").alias("thought_step"), F.array(one).alias("execution_intents"), F.when(k == 3, "none").alias("no_intent_reason"))
+    return I.table(spark, sf_dir, "events").select("event_id", validation.intent_status(result, n, F.lit("alpha beta gamma")).alias("status"))
+
+
+@query("""SELECT c.conv_id, c.turn, coalesce(bool_or(contains(a.text, left(c.text, 12))), false) AS quoted FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' WHERE c.role = 'user' GROUP BY c.conv_id, c.turn""")
+def quote_containment(spark, sf_dir):
+    c = I.table(spark, sf_dir, "conversations")
+    users, said = c.where("role = 'user'").select("conv_id", "turn", F.left("text", F.lit(12)).alias("quote")), c.where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"))
+    return users.join(said, "conv_id", "left").groupBy("conv_id", "turn").agg(F.coalesce(F.bool_or(F.contains("answer", "quote")), F.lit(False)).alias("quoted"))
+
+
+# --- steps ------------------------------------------------------------------------------------------------------------
+
+_WHITE_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)"
+_HISTORY = f"""WITH m AS (SELECT *, trim(coalesce(text, ''), {_WHITE_SQL}) AS body FROM conversations),
+h AS (SELECT conv_id, turn, role, body, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+  string_agg(CASE WHEN role <> 'system' THEN upper(role) || ': ' || CASE WHEN body <> '' THEN body ELSE '[empty content]' END END, chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m)"""
+
+
+@query(f"""{_HISTORY} SELECT conv_id, turn, CASE WHEN coalesce(before, '') = '' THEN '[No preceding context]' WHEN length(before) <= 200 THEN before ELSE '[Earlier context truncated]' || chr(10) || right(before, 200) END AS preceding_context FROM h WHERE role = 'assistant'""")
+def preceding_context(spark, sf_dir):
+    return steps.assistant_steps(I.table(spark, sf_dir, "conversations"), context_chars=200).select("conv_id", F.col("source_index").alias("turn"), "preceding_context")
+
+
+@query(f"{_HISTORY} SELECT conv_id, k::BIGINT AS thought_step, turn AS source_index, body AS thought FROM h WHERE role = 'assistant'")
+def assistant_steps(spark, sf_dir):
+    return steps.assistant_steps(I.table(spark, sf_dir, "conversations")).select("conv_id", "thought_step", "source_index", "thought")
+
+
+@query("""WITH m AS (SELECT conv_id, length(text) % 3 AS calls, turn % 4 <> 3 AS told FROM conversations WHERE role = 'assistant' AND length(text) % 3 > 0),
+s AS (SELECT c.conv_id, count(m.conv_id) AS acting, count(*) FILTER (told) AS direct, coalesce(sum(calls), 0) AS total FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON c.conv_id = m.conv_id GROUP BY c.conv_id)
+SELECT conv_id::VARCHAR AS name, CASE WHEN acting > 0 THEN direct / acting ELSE 0.0 END AS coverage, direct::BIGINT AS direct, total::BIGINT AS total FROM s ORDER BY coverage DESC, direct DESC, total DESC, name LIMIT 25""")
+def chat_topk(spark, sf_dir):
+    c = I.table(spark, sf_dir, "conversations")
+    message = F.struct("turn", "role", F.when(F.col("turn") % 4 != 3, "said").otherwise(" ").alias("content"), F.array_repeat(F.lit("call"), (F.length("text") % 3).cast("int")).alias("tool_calls"))
+    chats = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    scored = chats.select(F.col("conv_id").cast("string").alias("name"), steps.call_coverage(F.col("messages")).alias("s")).select("name", "s.coverage", F.col("s.direct").cast("long").alias("direct"), F.col("s.total").cast("long").alias("total"))
+    return steps.top_files(scored, 25)
+
+
+@query("SELECT source_type, count(*)::BIGINT AS n, min(name) AS first, max(name) AS last FROM (SELECT DISTINCT conv_id::VARCHAR AS name, 'kimi' AS source_type FROM conversations UNION ALL SELECT doc_id::VARCHAR, 'swe' FROM documents) GROUP BY source_type")
+def source_union(spark, sf_dir):
+    chats = I.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("name")).distinct()
+    others = I.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"))
+    return steps.source_union(chats, others).groupBy("source_type").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+@query(f"""{_HISTORY} SELECT conv_id, turn, 'Step ' || k || chr(10) || 'Thought: ' || CASE WHEN body <> '' THEN body ELSE '[Empty observable Thought]' END || chr(10) || 'Request: [No user request provided]' AS prompt FROM h WHERE role = 'assistant'""")
+def step_prompts(spark, sf_dir):
+    s = steps.assistant_steps(I.table(spark, sf_dir, "conversations"))
+    prompt = T.build_prompt("Step {thought_step}\nThought: {thought}\nRequest: {user_request}", F.col("thought_step"), F.lit(""), F.col("preceding_context"), F.col("thought"))
+    return s.select("conv_id", F.col("source_index").alias("turn"), prompt.alias("prompt"))
+
+
+# --- resume -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS unit_id, CASE WHEN o_orderstatus IN ('F', 'O') AND o_orderkey % 3 = 0 THEN 'success' END AS old_status FROM orders""")
+def resume_merge(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders")
+    key = {"trajectory_id": F.col("o_custkey"), "thought_step": F.col("o_orderkey"), "thought": F.lit("t"), "config_hash": F.col("o_orderkey") % 3}
+    fresh = o.select(*(c.alias(n) for n, c in (key | {"config_hash": F.lit(0).cast("long")}).items()))
+    attempts = F.array(F.struct(F.lit(1).alias("written_at"), F.lit("error").alias("status")), F.struct(F.lit(2).alias("written_at"), F.when(F.col("o_orderstatus") == "P", "error").otherwise("success").alias("status")))
+    old = o.select(*(c.alias(n) for n, c in key.items()), F.explode(attempts).alias("a")).select(*key, "a.*")
+    return inference.merge_resume(fresh, old).select(F.col("thought_step").alias("unit_id"), "old_status")
+
+
+@query("SELECT o_orderkey AS unit_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def remaining_units(spark, sf_dir):
+    return inference.remaining(I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id")), I.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit_id")))
+
+
+@query("SELECT 'k' AS key, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total FROM events")
+def usage_by_key(spark, sf_dir):
+    return inference.usage_by_key(I.table(spark, sf_dir, "events").select(F.from_json("props", "map<string,bigint>").alias("usage")))
+
+
+@query("""SELECT o_orderkey, CASE WHEN coalesce(bool_and(l_returnflag = 'A'), true) THEN 'completed' WHEN bool_and(l_returnflag IN ('A', 'N')) THEN 'dry_run' ELSE 'partial' END AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def record_status(spark, sf_dir):
+    d = I.table(spark, sf_dir, "orders").join(I.table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return d.groupBy("o_orderkey").agg(inference.record_status(F.col("l_returnflag") == "A", F.col("l_returnflag") == "N").alias("status"))
+
+
+# --- alignment --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN value - 50 >= 5 THEN 'yes' WHEN value - 50 < -5 THEN 'no' ELSE 'uncertain' END AS operation_match FROM events")
+def pair_threshold(spark, sf_dir):
+    d = I.table(spark, sf_dir, "events").select("event_id", (F.col("value") - 50).alias("logit"))
+    return alignment.decide(d, 0.0, 5.0).select("event_id", "operation_match")
+
+
+@query(f"WITH {_LINES} SELECT b.unit_id, i.intent_id, count(*)::BIGINT AS pairs FROM (SELECT DISTINCT unit_id, intent_id FROM base WHERE intent_id <> '2') i JOIN base b USING (unit_id) GROUP BY ALL")
+def intent_action_pairs(spark, sf_dir):
+    intents, base, _ = I.line_actions(spark, sf_dir)
+    return alignment.candidate_pairs(intents, base.select("unit_id", "action_id")).groupBy("unit_id", "intent_id").agg(F.count("*").alias("pairs"))
+
+
+@query(f"WITH {_LINES} SELECT unit_id, intent_id, operation_match, array_to_string(matched, ',') AS matched FROM res")
+def intent_aggregate(spark, sf_dir):
+    intents, base, units = I.line_actions(spark, sf_dir)
+    return alignment.intent_results(intents, base, units).select("unit_id", "intent_id", "operation_match", F.array_join("matched_action_ids", ",").alias("matched"))
+
+
+def _labelled(spark, sf_dir):
+    intents, base, units = I.line_actions(spark, sf_dir)
+    return alignment.step_labels(alignment.intent_results(intents, base, units), units)
+
+
+@query(f"WITH {_LINES} SELECT unit_id, step_label FROM step")
+def step_label(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("unit_id", "step_label")
+
+
+@query(f"WITH {_LINES} SELECT CASE WHEN unit_id % 50 = 0 THEN 'technical_failure' WHEN step_label = 'uncertain' OR u > 0 THEN 'completed_with_uncertain' ELSE 'completed' END AS status, step_label, count(*)::BIGINT AS n FROM step GROUP BY ALL")
+def unit_status(spark, sf_dir):
+    d = alignment.unit_status(_labelled(spark, sf_dir), F.col("unit_id") % 50 == 0)
+    return d.groupBy("status", "step_label").agg(F.count("*").alias("n"))
+
+
+_REFS = f"""{_LINES}, refs AS (SELECT *, 'q' || intent_id AS q FROM base), preds AS (SELECT unit_id, q, action_id, CASE WHEN action_id::INT % 3 = 0 THEN 'no' ELSE operation_match END AS operation_match FROM refs WHERE action_id <> '5' UNION ALL SELECT unit_id, 'other', action_id, 'yes' FROM refs WHERE action_id = '5'),
+al AS (SELECT coalesce(r.operation_match, 'extra') AS expected, coalesce(p.operation_match, 'missing') AS actual FROM refs r FULL JOIN preds p ON r.unit_id = p.unit_id AND r.q = p.q AND r.action_id = p.action_id)"""
+
+
+def _aligned(spark, sf_dir):
+    _, base, _ = I.line_actions(spark, sf_dir)
+    refs = base.select("unit_id", F.concat(F.lit("q"), "intent_id").alias("intent_quote"), F.lit("current").alias("temporal_scope"), "action_id", "operation_match")
+    fifth = F.col("action_id") == "5"
+    preds = refs.withColumn("operation_match", F.when(fifth, "yes").when(F.col("action_id").cast("int") % 3 == 0, "no").otherwise(F.col("operation_match"))).withColumn("intent_quote", F.when(fifth, "other").otherwise(F.col("intent_quote")))
+    return alignment.align(refs, preds)
+
+
+@query(f"WITH {_REFS} SELECT expected, actual, count(*)::BIGINT AS n FROM al GROUP BY ALL")
+def pair_alignment(spark, sf_dir):
+    return _aligned(spark, sf_dir).groupBy("expected", "actual").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_REFS}, c AS (SELECT l.label, (SELECT count(*) FROM al WHERE expected = l.label) AS s, (SELECT count(*) FROM al WHERE actual = l.label) AS p, (SELECT count(*) FROM al WHERE expected = l.label AND actual = l.label) AS h FROM (VALUES ('yes'), ('no'), ('uncertain')) l(label))
+SELECT label, s::BIGINT AS support, p::BIGINT AS predicted, h::BIGINT AS hits, CASE WHEN p > 0 THEN h / p ELSE 0.0 END AS precision, CASE WHEN s > 0 THEN h / s END AS recall, CASE WHEN h > 0 THEN 2.0::DOUBLE * h / (s + p) ELSE 0.0 END AS f1 FROM c""")
+def confusion_prf(spark, sf_dir):
+    return alignment.class_metrics(_aligned(spark, sf_dir))
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT unit_id, CASE WHEN unit_id % 7 = 0 THEN 'uncertain' ELSE step_label END AS label, CASE WHEN unit_id % 50 = 0 THEN 'technical_failure' ELSE 'completed' END AS status FROM step WHERE unit_id % 11 <> 0)
+SELECT count(*)::BIGINT AS units, count(*) FILTER (s.step_label = p.label AND p.status <> 'technical_failure')::BIGINT AS "right", count(*) FILTER (p.unit_id IS NULL)::BIGINT AS missing, count(*) FILTER (p.status = 'technical_failure')::BIGINT AS failed FROM step s LEFT JOIN p USING (unit_id)""")
+def full_denominator_rates(spark, sf_dir):
+    refs = _labelled(spark, sf_dir)
+    unit = F.col("unit_id")
+    preds = refs.where(unit % 11 != 0).select("unit_id", F.when(unit % 7 == 0, "uncertain").otherwise(F.col("step_label")).alias("step_label"), F.when(unit % 50 == 0, "technical_failure").otherwise("completed").alias("status"))
+    return alignment.unit_rates(refs, preds)
+
+
+@query("""SELECT event_id, '[ACTION] {"function":"' || event_type || '","args":{"path":"p' || event_id || '","note":' || json_extract(props, '$.k') || '}}' AS model_text FROM events""")
+def action_serialization(spark, sf_dir):
+    e = I.table(spark, sf_dir, "events")
+    raw = F.concat(F.lit('[{"raw_call": {"function": {"name": "'), "event_type", F.lit('", "arguments": "{\\"note\\": '), F.get_json_object("props", "$.k"), F.lit(', \\"path\\": \\"p'), F.col("event_id").cast("string"), F.lit('\\"}"}}}]'))
+    return alignment.action_texts(e.select("event_id", raw.alias("actions"))).select("event_id", F.get("model_text", F.lit(0)).alias("model_text"))
+
+
+# --- audit ------------------------------------------------------------------------------------------------------------
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM documents),
+m AS (SELECT doc_id, regexp_extract(line, '{audit.INLINE}', 1) AS name, trim(trim(regexp_extract(line, '{audit.INLINE}', 2)), '"''') AS value FROM l)
+SELECT doc_id, name, value FROM m WHERE regexp_matches(name, '(?i)api[_-]?key|secret|token|password') AND value <> '' AND NOT contains(value, 'example.invalid') AND value NOT IN ('<secret>', '<api-key>')""")
+def secret_lines(spark, sf_dir):
+    d = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    found = audit.text_lines(d).where(audit.is_secret_line(F.col("line"), anchored=False))
+    value = F.btrim(T.strip(F.regexp_extract("line", audit.INLINE, 2)), F.lit("\"'"))
+    return found.select(F.col("path").alias("doc_id"), F.regexp_extract("line", audit.INLINE, 1).alias("name"), value.alias("value"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a/.env' WHEN 1 THEN 'a/.env.example' WHEN 2 THEN 'logs/' ELSE 'src/' END || split_part(url, '//', 2) AS path FROM pages)
+SELECT page_id, path FROM p WHERE list_has_any(string_split(path, '/'), ['.codex', '.sii', '__pycache__', 'checkpoints', 'models', 'logs']) OR string_split(path, '/')[-1] = '.env' OR (starts_with(string_split(path, '/')[-1], '.env.') AND string_split(path, '/')[-1] <> '.env.example')""")
+def forbidden_paths(spark, sf_dir):
+    k = F.col("page_id") % 5
+    path = F.concat(F.when(k == 0, "a/.env").when(k == 1, "a/.env.example").when(k == 2, "logs/").otherwise("src/"), F.split_part("url", F.lit("//"), F.lit(2)))
+    return I.table(spark, sf_dir, "pages").select("page_id", path.alias("path")).where(audit.is_forbidden_path(F.col("path")))
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS bytes FROM documents WHERE strlen(text) > 10000")
+def size_audit(spark, sf_dir):
+    return I.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where("bytes > 10000")
+
+
+@query("""WITH l AS (SELECT user_id AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS line_no, CASE WHEN event_type = 'click' THEN ' ```' ELSE event_type || event_id END AS line FROM events),
+n AS (SELECT *, count(*) FILTER (starts_with(trim(line), '```')) OVER (PARTITION BY path ORDER BY line_no) AS k FROM l)
+SELECT path, line_no::BIGINT AS line_no, line FROM n WHERE k % 2 = 0 AND NOT starts_with(trim(line), '```')""")
+def fence_strip(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    line = F.when(F.col("event_type") == "click", " ```").otherwise(F.concat("event_type", F.col("event_id").cast("string")))
+    e = I.table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), (F.row_number().over(w) - 1).cast("long").alias("line_no"), line.alias("line"))
+    return audit.unfenced(e)
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256 FROM documents")
+def content_manifest(spark, sf_dir):
+    d = I.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return audit.manifest(d).withColumnRenamed("path", "doc_id")
+
+
+# --- curation ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_STEPS}, a AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN command WHEN 1 THEN command || chr(10) || 'x' WHEN 2 THEN command || repeat(' long', 120) ELSE 'cat <<EOF' END AS action FROM ev),
+r AS (SELECT event_id, concat_ws(',', CASE WHEN regexp_matches(action, '(^|\\n)edit\\b') THEN 'edit' END, CASE WHEN contains(action, '<<EOF') THEN 'heredoc' END, CASE WHEN contains(action, chr(10)) THEN 'multiline' END, CASE WHEN ceil(length(action) / 4.0) > 64 THEN 'payload' END, CASE WHEN ceil(length(action) / 4.0) > 128 THEN 'total' END) AS reasons FROM a)
+SELECT reasons, count(*)::BIGINT AS n FROM r GROUP BY reasons""".replace("\\\\", "\\"))
+def short_action_filter(spark, sf_dir):
+    k = F.col("event_id") % 4
+    action = F.when(k == 0, F.col("command")).when(k == 1, F.concat("command", F.lit("\nx"))).when(k == 2, F.concat("command", F.lit(" long" * 120))).otherwise("cat <<EOF")
+    s = I.event_steps(spark, sf_dir).select(action.alias("action"))
+    reasons = F.array_join(curation.short_action_reasons(F.col("action"), F.col("action")), ",")
+    return s.groupBy(reasons.alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(trim('Fix  ' || p_name || ' in /src/a' || p_size || ' for "' || p_brand || '"')), '\s+', ' ', 'g'), '"[^"]*"|''[^'']*''', '<quote>', 'g').regexp_replace('(?:/[a-z0-9_.-]+){2,}', '<path>', 'g').regexp_replace('[0-9]+', '<n>', 'g') AS template FROM part""")
+def template_key(spark, sf_dir):
+    text = F.concat(F.lit("Fix  "), "p_name", F.lit(" in /src/a"), F.col("p_size").cast("string"), F.lit(' for "'), "p_brand", F.lit('"'))
+    return I.table(spark, sf_dir, "part").select("p_partkey", T.template_key(text).alias("template"))
+
+
+@query(f"""WITH {_STEPS} SELECT user_id, event_id, command AS action, lag(command) OVER w AS previous_action, lead(command) OVER w AS next_action FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def annotation_queue(spark, sf_dir):
+    s = I.event_steps(spark, sf_dir).select("user_id", "event_id", F.col("command").alias("action"))
+    return curation.annotation_queue(s, "user_id", "event_id")
+
+
+def _groups(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("trajectory_id"), F.concat(F.lit("t"), (F.col("o_orderkey") % 40000).cast("string")).alias("template"))
+    return rows.join(curation.leak_groups(rows), "trajectory_id")
+
+
+@query()
+def grouped_split(spark, sf_dir):
+    return curation.grouped_split(_groups(spark, sf_dir))
+
+
+@query()
+def hard_negative_candidates(spark, sf_dir):
+    lines = I.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_shipdate").alias("d"))
+    items = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), F.when(F.col("l_orderkey") % 10 < 7, "train").otherwise("test").alias("split"), F.col("l_orderkey").alias("trajectory_id"), (F.col("p") % 23).alias("tool"), F.col("p").alias("target"))
+    return curation.hard_negatives(items)
