@@ -44,8 +44,10 @@ def import_review(queue: DataFrame, review: DataFrame) -> DataFrame:
     d = queue.select("item_id").join(review.groupBy("item_id").agg(F.count("*").alias("n"), F.first("label").alias("label")).withColumn("known", F.lit(True)), "item_id", "full_outer")
     d = d.join(queue.select("item_id", F.lit(True).alias("asked")), "item_id", "left")
     wrong = F.when(F.col("asked").isNull(), "unknown").when(F.col("known").isNull(), "missing").when(F.col("n") > 1, "repeated").when(~F.col("label").isin(*REVIEW_LABELS), "label")
-    checked = d.where(F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("review: "), wrong, F.lit(" "), F.col("item_id").cast("string")))).otherwise(F.lit(True)))
-    return queue.join(checked.where("label = 'direct_match'").select("item_id"), "item_id", "left_semi")
+    first = d.where(wrong.isNotNull()).select(F.concat(F.lit("review: "), wrong, F.lit(" "), F.col("item_id").cast("string")).alias("e")).agg(F.min("e").alias("e")).first()["e"]
+    if first is not None:
+        raise ValueError(first)
+    return queue.join(review.where("label = 'direct_match'").select("item_id"), "item_id", "left_semi")
 
 
 def leak_groups(rows: DataFrame, rounds: int = 30) -> DataFrame:

@@ -274,13 +274,13 @@ def assistant_steps(spark, sf_dir):
 
 @query("""WITH m AS (SELECT conv_id, length(text) % 3 AS calls, turn % 4 <> 3 AS told FROM conversations WHERE role = 'assistant' AND length(text) % 3 > 0),
 s AS (SELECT c.conv_id, count(m.conv_id) AS acting, count(*) FILTER (told) AS direct, coalesce(sum(calls), 0) AS total FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON c.conv_id = m.conv_id GROUP BY c.conv_id)
-SELECT conv_id::VARCHAR AS name, CASE WHEN acting > 0 THEN direct / acting ELSE 0.0 END AS coverage, direct::BIGINT AS direct, total::BIGINT AS total FROM s ORDER BY coverage DESC, direct DESC, total DESC, name LIMIT 25""")
+SELECT conv_id::VARCHAR AS name, CASE WHEN acting > 0 THEN direct / acting ELSE 0.0 END AS coverage, direct::BIGINT AS direct, total::BIGINT AS total FROM s ORDER BY coverage DESC, direct DESC, total DESC, name LIMIT 5""")
 def chat_topk(spark, sf_dir):
     c = I.table(spark, sf_dir, "conversations")
     message = F.struct("turn", "role", F.when(F.col("turn") % 4 != 3, "said").otherwise(" ").alias("content"), F.array_repeat(F.lit("call"), (F.length("text") % 3).cast("int")).alias("tool_calls"))
     chats = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("messages"))
     scored = chats.select(F.col("conv_id").cast("string").alias("name"), steps.call_coverage(F.col("messages")).alias("s")).select("name", "s.coverage", F.col("s.direct").cast("long").alias("direct"), F.col("s.total").cast("long").alias("total"))
-    return steps.top_files(scored, 25)
+    return steps.top_files(scored, 5)
 
 
 @query("SELECT source_type, count(*)::BIGINT AS n, min(name) AS first, max(name) AS last FROM (SELECT DISTINCT conv_id::VARCHAR AS name, 'kimi' AS source_type FROM conversations UNION ALL SELECT doc_id::VARCHAR, 'swe' FROM documents) GROUP BY source_type")
