@@ -58,14 +58,19 @@ def action_phase(c: Column) -> Column:
     return F.when(t.rlike(TEST_COMMAND), "test").when(t.rlike(EDIT_COMMAND), "edit").when(t.rlike(INSPECT_COMMAND), "inspect").when(t.rlike(RUN_COMMAND), "run").otherwise("other")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def last_block(c: Column) -> Column:
     """Struct (thought, action) of a message's last fenced block; null without one."""
     t = text_or_empty(c)
-    whole = F.regexp_extract_all(t, F.lit(FENCED), F.lit(0))
-    inner = F.regexp_extract_all(t, F.lit(FENCED), F.lit(1))
+    whole = F.element_at(F.regexp_extract_all(t, F.lit(FENCED), F.lit(0)), -1)
+    inner = F.element_at(F.regexp_extract_all(t, F.lit(FENCED), F.lit(1)), -1)
     rest = F.element_at(F.split(t, FENCED, -1), -1)
-    before = F.length(t) - F.length(rest) - F.length(F.element_at(whole, -1))
-    return F.when(F.size(whole) > 0, F.struct(strip(F.left(t, before)).alias("thought"), strip(F.element_at(inner, -1)).alias("action")))
+    block = F.struct(strip(F.left(t, F.length(t) - F.length(rest) - F.length(whole))).alias("thought"), strip(inner).alias("action"))
+    return F.when(t.rlike(FENCED), block)
 
 
 def issue_text(messages: Column) -> Column:

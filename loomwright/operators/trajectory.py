@@ -16,35 +16,36 @@ def cycles(messages: Column) -> Column:
 
     def cycle(i):
         m, after = F.get(messages, i), F.get(messages, i + 1)
-        block = T.last_block(m["text"])
-        answered = (after["role"] == "user") & (T.strip(T.text_or_empty(after["text"])) != "")
-        ok = (m["role"] == "ai") & answered & (block["action"] != "") & T.is_explicit_thought(block["thought"])
-        return F.when(ok, F.struct(block["thought"].alias("thought"), block["action"].alias("action"), T.strip(after["text"]).alias("observation")))
+        answered = (m["role"] == "ai") & (after["role"] == "user") & (T.strip(T.text_or_empty(after["text"])) != "")
+        found = T.bound(T.last_block(m["text"]), lambda b: F.when((b["action"] != "") & T.is_explicit_thought(b["thought"]), F.struct(b["thought"].alias("thought"), b["action"].alias("action"), T.strip(after["text"]).alias("observation"))))
+        return F.when(answered, found)
 
     return F.when(F.size(messages) > 0, F.filter(F.transform(at, cycle), lambda c: c.isNotNull())).otherwise(F.array())
 
 
+def _once(d: DataFrame, **columns: Column) -> DataFrame:
+    """d with columns that are computed once a row: what reads them is not merged with them, as it is with a projection."""
+    return d.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def features(records: DataFrame) -> DataFrame:
     """Everything the filter and the score need, beside the record."""
-    d = records.withColumn("cycles", cycles(F.col("trajectory")))
-    issue = T.issue_text(F.col("trajectory"))
     first = F.get("trajectory", F.lit(0))
-    prompt = T.strip(T.text_or_empty(F.coalesce(F.nullif(first["system_prompt"], F.lit("")), first["text"])))
     patch, log = T.strip(T.text_or_empty(F.col("generated_patch"))), T.strip(T.text_or_empty(F.col("eval_logs")))
-    n = F.size("cycles")
-    d = d.select(
-        "*",
-        F.size(F.filter("trajectory", lambda m: m["role"] == "ai")).alias("ai_turns"),
-        n.alias("valid_cycles"),
-        F.array_sort(F.array_distinct(F.transform("cycles", lambda c: T.action_phase(c["action"])))).alias("phases"),
-        F.aggregate("cycles", F.lit(0).cast("long"), lambda a, c: a + F.length(c["thought"])).alias("thought_chars"),
-        T.issue_title(issue).alias("title"),
-        ((first["role"] == "system") & (prompt != "") & (issue != "")).alias("context_complete"),
-        ((F.length(patch) >= 40) & (patch.contains("diff --git") | patch.contains("@@"))).alias("patch_evidence"),
-        (F.length(log) >= 100).alias("eval_evidence"),
-        F.length(T.text_or_empty(F.col("eval_logs"))).alias("log_chars"),
-        T.repository(F.col("instance_id")).alias("repository"),
-        T.model_short(F.col("model_name")).alias("model_short"),
+    d = _once(records, cycles=cycles(F.col("trajectory")), issue=T.issue_text(F.col("trajectory")))
+    d = _once(
+        d,
+        ai_turns=F.size(F.filter("trajectory", lambda m: m["role"] == "ai")),
+        valid_cycles=F.size("cycles"),
+        phases=F.array_sort(F.array_distinct(F.transform("cycles", lambda c: T.action_phase(c["action"])))),
+        thought_chars=F.aggregate("cycles", F.lit(0).cast("long"), lambda a, c: a + F.length(c["thought"])),
+        title=T.issue_title(F.col("issue")),
+        context_complete=F.coalesce((first["role"] == "system") & (T.strip(T.text_or_empty(F.coalesce(F.nullif(first["system_prompt"], F.lit("")), first["text"]))) != "") & (F.col("issue") != ""), F.lit(False)),
+        patch_evidence=(F.length(patch) >= 40) & (patch.contains("diff --git") | patch.contains("@@")),
+        eval_evidence=F.length(log) >= 100,
+        log_chars=F.length(T.text_or_empty(F.col("eval_logs"))),
+        repository=T.repository(F.col("instance_id")),
+        model_short=T.model_short(F.col("model_name")),
     )
     ratio = F.when(F.col("ai_turns") > 0, F.col("valid_cycles") / F.col("ai_turns")).otherwise(0.0)
     mean = F.when(F.col("valid_cycles") > 0, F.col("thought_chars") / F.col("valid_cycles")).otherwise(0.0)
@@ -83,7 +84,8 @@ def scored(d: DataFrame, rounded: bool = True) -> DataFrame:
 def cases(records: DataFrame) -> DataFrame:
     """Records (with selection_id, selection_group and pair_id) as cases with numbered steps."""
     first = lambda role, field: F.coalesce(F.get(F.filter(F.transform("trajectory", lambda m: F.when(m["role"] == role, T.strip(T.text_or_empty(m[field])))), lambda x: x != ""), F.lit(0)), F.lit(""))
-    steps = F.transform(cycles(F.col("trajectory")), lambda c, i: F.struct((i + 1).cast("long").alias("step"), c["thought"].alias("thought"), c["action"].alias("action"), c["observation"].alias("observation")))
+    steps = F.transform("_cycles", lambda c, i: F.struct((i + 1).cast("long").alias("step"), c["thought"].alias("thought"), c["action"].alias("action"), c["observation"].alias("observation")))
+    records = _once(records, _cycles=cycles(F.col("trajectory")))
     return records.select(
         F.col("selection_id").alias("case_id"), "selection_group", "pair_id", "instance_id", T.repository(F.col("instance_id")).alias("repository"), "model_name", "target", "exit_status",
         first("system", "system_prompt").alias("system_prompt"), first("user", "text").alias("task"), steps.alias("steps"), "generated_patch", "eval_logs",
