@@ -27,7 +27,10 @@ for itself; other columns are ignored; an empty table gives no sequences.
 
 from __future__ import annotations
 
+import base64
+import functools
 import heapq
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -82,15 +85,11 @@ class Encoder:
     """
 
     def __init__(self, json_path: str, ranks_path: str | None):
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.full = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.json_path, self.fast = json_path, None
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         if ranks_path is not None:
-            import base64
-
             import public_tokenizers
             import tiktoken
 
@@ -98,17 +97,29 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def full(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(json_path: str, ranks_path: str | None) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(json_path, ranks_path)
+
+
 def tokenized_pieces(docs: DataFrame, capacity: int, json_path: str, ranks_path: str | None, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The pieces of every document: a first one that may be shorter, then full ones; ids as little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = Encoder(json_path, ranks_path), TaskContext.get().partitionId()
+        encode, task = encoder(json_path, ranks_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         out: list[tuple] = []
         size = 0
