@@ -117,13 +117,20 @@ class Block:
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and its inverse of distinct-ended symbols, by prefix doubling."""
     n = len(text)
-    rank = text.astype(np.int64)
-    step = 1
+    rank, most = text.astype(np.int64), int(text.max())
+    step, together = 1, 62 // (most + 2).bit_length()
     while True:
-        second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1
-        key = rank * np.int64(int(rank.max()) + 2 if n else 1) + second
-        order = np.argsort(key, kind="stable")
+        key = np.zeros(n, np.int64)
+        if step == 1:  # as many symbols as a number holds
+            step = min(max(2, together), n)
+            for k in range(step):
+                key *= most + 2
+                key[: n - k] += rank[k:] + 1
+        else:
+            key[: n - step] = rank[step:] + 1
+            key += rank * np.int64(n + 1)
+            step *= 2
+        order = np.argsort(key)
         ordered = key[order]
         new = np.ones(n, np.int64)
         new[0] = 0
@@ -131,7 +138,6 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank[order] = np.cumsum(new)
         if rank[order[-1]] == n - 1:
             return order, rank
-        step *= 2
 
 
 def bounded_boundaries(order: np.ndarray, rank: np.ndarray, text: np.ndarray, limit: int) -> np.ndarray:
@@ -145,7 +151,8 @@ def bounded_boundaries(order: np.ndarray, rank: np.ndarray, text: np.ndarray, li
     n = len(order)
     before = text[order - 1]  # the transform; cyclic for the suffix at 0
     back = rank[order - 1]
-    by_symbol = np.argsort(before, kind="stable")
+    by_symbol = np.empty(n, np.int64)
+    by_symbol[back] = np.arange(n)  # equal symbols stand together, in the order of their suffixes
     later, earlier = np.full(n, n), np.full(n, -1)
     same = before[by_symbol[1:]] == before[by_symbol[:-1]]
     later[by_symbol[:-1][same]] = by_symbol[1:][same]
