@@ -151,16 +151,30 @@ def tokenized_pieces(docs: DataFrame, capacity: int, json_path: str, ranks_path:
 # --- the plan ---------------------------------------------------------------------------------------------------------
 
 
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """By elimination, elementwise: threads of a linear-algebra library have hung in a driver beside the JVM."""
+    m = len(basis)
+    both = np.concatenate([basis, np.eye(m)], axis=1)
+    for k in range(m):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, m:]
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns over the sizes, and how often (a real number) an optimal covering of the demand uses each."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     use = demand / np.diag(basis)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / np.diag(basis))
     for step in range(STEPS * m):
         if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
-            use = inverse @ demand
+            inverse = _inverse(basis)
+            use = (inverse * demand).sum(axis=1)
         price = np.maximum(inverse.sum(axis=0), 0)
         best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         for c in range(int(sizes.min()), capacity + 1):
@@ -180,7 +194,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
             else:
                 new[pick[c]] += 1
                 c -= int(sizes[pick[c]])
-        column = inverse @ new
+        column = (inverse * new).sum(axis=1)
         rising = column > 1e-9
         if not rising.any():
             break
@@ -190,7 +204,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
         use[out] = ratio[out]
         basis[:, out] = new
         pivot = inverse[out] / column[out]
-        inverse -= np.outer(column, pivot)
+        inverse -= column[:, None] * pivot
         inverse[out] = pivot
     return [basis[:, k].astype(int) for k in range(m)], np.maximum(use, 0)
 
