@@ -1,6 +1,6 @@
 """Blocks and shards: the exchange that the duplicate finders share.
 
-Documents are dealt by a hash of their id into *blocks* of a few MB. A block
+Documents are dealt by a hash of their id into *blocks* of 8 MB or more. A block
 sends each *shard* of the key space one packed list of its own distinct keys;
 a shard merges the lists of all blocks and answers each block with one packed
 list of the same length. So a key that half of the documents hold costs each
@@ -14,6 +14,7 @@ of the rows alone, and a lost executor's part is simply computed again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -22,17 +23,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block. 1 MB chunks of it are in numpy form at a time.
+#: Least bytes of text in a block. 1 MB chunks of it are in numpy form at a time.
 BLOCK_BYTES = 8 << 20
+#: Least bytes of a block's text for each shard. There are as many shards as blocks, so blocks grow with the square root of
+#: the corpus from 64 GiB on (320 MB at 100 TB), and messages by the same root for each block, not with the corpus.
+MESSAGE_BYTES = 1 << 10
 LEAST_BLOCKS = 32
 #: Stands for a null id; the largest, so that a row without an id is never anyone's original.
 NO_ID = np.iinfo(np.int64).max
 
 
-def count_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
+def blocks_for(total: int, block_bytes: int = BLOCK_BYTES, message_bytes: int = MESSAGE_BYTES) -> int:
+    """Number of blocks for so many bytes of text."""
+    size = max(block_bytes, math.isqrt(message_bytes * total))
+    return max(LEAST_BLOCKS, -(-total // size))
+
+
+def count_blocks(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Number of blocks, and bytes of all texts (one scan of one column)."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    return max(LEAST_BLOCKS, -(-total // block_bytes)), total
+    return blocks_for(total), total
 
 
 def into_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

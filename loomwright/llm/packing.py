@@ -56,9 +56,11 @@ PIECES = "doc_id long, piece int, start long, length int, ids binary, task int,
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; one is set only where none is)."""
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder in local mode, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwright.llm import components, html, matroska, mixture, ngram_join, packing, queries, secrets, substring, suffix, topk, toxicity
+from loomwright.llm import blocks, components, html, matroska, mixture, ngram_join, packing, queries, secrets, substring, suffix, topk, toxicity
 
 
 def made(n=60, seed=3):
@@ -83,6 +83,24 @@ def test_repeated_strings(docs):
     assert got == expected
 
 
+def test_blocks_grow_with_the_root_of_the_corpus():
+    assert blocks.blocks_for(0) == blocks.LEAST_BLOCKS
+    assert blocks.blocks_for(30 * 10**9) == -(-30 * 10**9 // blocks.BLOCK_BYTES)
+    for total in (10**11, 10**12, 10**14):
+        n = blocks.blocks_for(total)
+        assert total / n / n >= 0.99 * blocks.MESSAGE_BYTES
+    assert 250_000 < blocks.blocks_for(10**14) < 400_000
+
+
+def test_results_do_not_depend_on_blocks(docs, monkeypatch):
+    """The three operators on blocks give the same rows for other numbers of blocks."""
+    runs = [lambda: substring.remove_repeated_windows(docs), lambda: suffix.remove_repeated_strings(docs).drop("kept"), lambda: ngram_join.near_duplicates(docs, 3, 90)]
+    usual = [Counter(map(str, run().collect())) for run in runs]
+    for least in (1, 7):
+        monkeypatch.setattr(blocks, "LEAST_BLOCKS", least)
+        assert [Counter(map(str, run().collect())) for run in runs] == usual
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=6, max_size=40).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=8), st.integers(2, 6))
 def test_interval_expansion(bodies, length):
