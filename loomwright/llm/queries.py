@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.llm.sql import ORACLE  # noqa: F401
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -79,16 +81,3 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_array_dedup, op4_html_extraction, op5_substring_dedup, op6_toxicity, op7_source_mixture, op8_ngram_jaccard_join, op9_matroska_columns, op10_exact_topk)}
-
-ORACLE: dict[str, str] = {
-    "op5_substring_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-x AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 11, 1)), lambda i: array_to_string(ws[i:i + 12], ' '))) AS k, unnest(range(1, greatest(len(ws) - 11, 1))) AS i FROM w),
-m AS (SELECT k, min(doc_id) AS d FROM x GROUP BY k),
-gone AS (SELECT DISTINCT x.doc_id, x.i + j.j AS i FROM x JOIN m USING (k) CROSS JOIN (SELECT unnest(range(13)) AS j) j WHERE m.d < x.doc_id),
-u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
-kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS t, count(*) AS n FROM u ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.i = gone.i GROUP BY u.doc_id)
-SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
-    "op10_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
-}

@@ -7,13 +7,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwright.llm import blocks, components, html, matroska, mixture, ngram_join, packing, queries, secrets, substring, suffix, topk, toxicity
+from loomwright.llm import blocks, components, html, matroska, mixture, ngram_join, packing, queries, secrets, sql, substring, suffix, topk, toxicity
 
 
 def made(n=60, seed=3):
@@ -345,6 +346,18 @@ def test_pipeline(spark, sf_dir):
     assert last.select("doc_id").distinct().count() == before.count()
 
 
+@pytest.mark.parametrize("name", sorted(sql.ORACLE))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    d = queries.QUERIES[name](spark, sf_dir)
+    cur = con.execute(sql.ORACLE[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == sorted(d.columns)
+    assert Counter(tuple(r[c] for c in names) for r in d.collect()) == Counter(cur.fetchall())
+
+
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     assert json.dumps(sorted(queries.ORACLE))
