@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -331,19 +332,106 @@ def test_operators_of_empty_tables(empty):
     assert secrets.redact_live(empty, F.col("source"), F.col("lang")).count() == 0
 
 
-def test_pipeline(spark, sf_dir):
+def five_word_components(rows):
+    """Least id of each document's component at 0.8 over five-word shingles, by all pairs; None without words."""
+    sets = []
+    for _, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+    label = [i for i, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                if label[b] < label[a] and x and y and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                    label[a], changed = label[b], True
+    return [k if s else None for k, s in zip(label, sets, strict=True)]
+
+
+def redacted(rows):
+    """Texts without the spans whose value fewer than WIDE owners have; rows: id, text, owner."""
+    spans, owners = [], {}
+    for _, t, owner in rows:
+        found = []
+        for rank, (_, pattern, group, least) in enumerate(secrets.KINDS):
+            more = [(m.start(), rank, m.end(), m[group]) for m in re.finditer(pattern, t or "") if len(m[group]) >= least]
+            if rank == 3:
+                more = [s for s in more if len(set(s[3])) >= secrets.VARIED and re.search("[0-9]", s[3]) and re.search("[A-Za-z]", s[3]) and not any(b[0] < s[2] and s[0] < b[2] for b in found)]
+            found += more
+        for s in found:
+            owners.setdefault(s[3], set()).add(owner or "")
+        spans.append(sorted(found))
+    out = []
+    for (_, t, _), found in zip(rows, spans, strict=True):
+        found = [s for s in found if len(owners[s[3]]) < (secrets.WIDE if s[1] < 3 else 2)]
+        at, text = 0, ""
+        for a, _, b, _ in found:
+            text += t[at : max(a, at)] + (secrets.MARK if a >= at else "")
+            at = max(at, b)
+        out.append(text + t[at:] if found else t)
+    return out
+
+
+def mixed(rows, fraction=0.9, seed=17):
+    """Ids that each leaf's budget takes, in the order of the seeded hash; rows: id, text, source, lang."""
+    as_int, as_long = (lambda v: v.to_bytes(4, "little", signed=True)), (lambda v: v.to_bytes(8, "little", signed=True))
+    signed = lambda h: h - (h >> 63 << 64)
+    leaves: dict = {}
+    for i, t, source, lang in rows:
+        number = int((re.search("([0-9]+)$", source or "") or [0, "0"])[1][-6:])
+        text_hash = xxhash.xxh64_intdigest((t or "").encode(), xxhash.xxh64_intdigest(as_long(i), 42))
+        order = xxhash.xxh64_intdigest(as_long(signed(text_hash)), xxhash.xxh64_intdigest(as_int(0), xxhash.xxh64_intdigest(as_int(seed), 42)))
+        leaves.setdefault((mixture.DOMAINS[number % 4], lang or "", source or ""), []).append((order >> 54, signed(order), i, len((t or "").encode().split())))
+    sums = {k: sum(d[3] for d in v) for k, v in leaves.items()}
+    share = mixture.budgets(sums, mixture.WEIGHTS, int(sum(sums.values()) * fraction), 1)
+    taken = set()
+    for leaf, docs in leaves.items():
+        used = 0
+        for _, _, i, n in sorted(docs):
+            if n and used < share[leaf]:
+                taken.add(i)
+            used += n
+    return taken
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """Each stage on what the one before kept, against a plain version of it."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
+    whole = lambda d: {r["doc_id"]: r for r in d.collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {"documents": (docs, whole(docs))}
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = packing.written(stage(spark, before, sf_dir), name)
-        assert after.columns == docs.columns
-        assert 0 < after.count() <= before.count()
-        assert after.select("doc_id").distinct().count() == after.count()
-        before = after
-    last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
-    assert last.select("doc_id").distinct().count() == before.count()
+        before = packing.written(stage(spark, before, sf_dir), name)
+        assert before.columns == docs.columns
+        kept[name] = before, whole(before)
+        assert before.count() == len(kept[name][1]) > 0
+    (_, start), (_, clean), (_, single), (_, safe), (last, mix) = kept.values()
+    model = toxicity.train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert clean == {i: r for i, r in start.items() if model.above(r["text"])[0] < 0.5}
+    label = five_word_components([(i, r["text"]) for i, r in clean.items()])
+    assert single == {i: r for (i, r), k in zip(clean.items(), label, strict=True) if k is None or k == i}
+    texts = redacted([(i, r["text"], r["source"]) for i, r in single.items()])
+    assert safe == {i: type(r)(**(r.asDict() | {"text": t})) for (i, r), t in zip(single.items(), texts, strict=True)}
+    assert set(mix) == mixed([(i, r["text"], r["source"], r["lang"]) for i, r in safe.items()]) and all(mix[i] == safe[i] for i in mix)
+    token = Tokenizer.from_file(packing.vocabulary()[0])
+    pieces: dict = {}
+    bins: dict = {}
+    for r in corpus_pipeline.STAGES[-1][1](spark, last, sf_dir).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids"]))
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(pieces) == set(mix)
+    for i, mine in pieces.items():
+        mine.sort()
+        assert b"".join(p[3] for p in mine) == np.array([*token.encode(mix[i]["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert [p[0] for p in mine] == list(range(len(mine))) and all(p[2] == 1024 for p in mine[1:])
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 1024
+    assert len(bins) <= 1.05 * sum(n for b in bins.values() for _, n in b) / 1024 + 2
 
 
 @pytest.mark.parametrize("name", sorted(sql.ORACLE))
