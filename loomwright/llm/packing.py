@@ -47,8 +47,7 @@ END_ID = 2
 #: Lengths up to capacity / SMALL are small.
 SMALL = 2.5
 GROUPS = 256
-#: Large pieces in a group at least, and pricing steps for each size at most: what an unfinished LP leaves is packed best-fit.
-PER_GROUP = 16
+#: Pricing steps for each size at most: what an unfinished LP leaves is packed best-fit.
 STEPS = 6
 #: Bytes of text given to the tokenizer at once.
 BATCH_BYTES = 1 << 20
@@ -248,7 +247,7 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
     large = [n for n in left if n > capacity // small]
     total = sum(left[n] for n in large)
     grouped: list[list[list[int]]] = []
-    per = max(PER_GROUP, -(-total // groups))
+    per = -(-total // groups)  # up to as many pieces as groups, nothing is rounded
     room = 0
     for n in large:
         count = left[n]
