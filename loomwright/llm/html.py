@@ -2,8 +2,8 @@
 
 A page becomes blocks of text in page order. A block inside <article> or
 <main>, and outside of menus, asides, forms and the like, is proved content.
-Blocks outside of all these (and all blocks outside such parts, on a page
-without <article> and <main>) are open. For open blocks the host decides: the
+Blocks outside of all these are open, on a page with <article> or <main> as on
+one without. For open blocks the host decides: the
 token streams of the host's pages, each ended by its own symbol, are put in
 one suffix array (prefix doubling up to RUN tokens); a string of RUN tokens
 that occurs in two pages of different text is boilerplate, and every token it
@@ -75,7 +75,6 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     text: list[str] = []
     page = page or ""
     skip, skip_depth, content, at, raw = "", 0, 0, 0, ""
-    any_content = False
 
     def flush():
         nonlocal text
@@ -113,7 +112,6 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 skip, skip_depth = "", 0  # what was left open ends where the content begins
             if not skip:
                 content = max(0, content + (-1 if closing else 1))
-                any_content |= not closing
         if skip:
             if tag == skip and tag not in VOID:
                 skip_depth += -1 if closing else 1
@@ -128,7 +126,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     if not raw:
         text.append(page[at:])
     flush()
-    return [(t, 0 if any_content and place == 1 else place) for t, place in out]
+    return out
 
 
 def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:

@@ -278,6 +278,12 @@ def test_pages(spark):
     assert html.extract(d.limit(0)).count() == 0
 
 
+def test_pages_open_blocks_beside_an_article():
+    notice = "<div class=zz>all rights reserved by the owner of this very site</div>"
+    pages = [f"<body><article>Teaser {i}</article>{notice}<p>{'abc'[i]}x begins page {i}</p></body>" for i in range(3)]
+    assert html.main_texts([html.blocks(p) for p in pages]) == [f"Teaser {i}\n{'abc'[i]}x begins page {i}" for i in range(3)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=700), min_size=2, max_size=9), st.sampled_from([1, 3]))
 def test_lacing_round_trip(frames, lacing):
