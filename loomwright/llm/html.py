@@ -9,9 +9,17 @@ one suffix array (prefix doubling up to RUN tokens); a string of RUN tokens
 that occurs in two pages of different text is boilerplate, and every token it
 covers is removed from open blocks, which keep their unique runs.
 
-Pages are grouped by host; a host of over GROUP_BYTES is dealt by a hash of
-its pages into groups of about that size, each large enough to show what the
-host repeats. Page text is shuffled once, compressed.
+Pages are grouped by host. Pages of hosts over GROUP_BYTES are dealt into
+blocks by a hash (see blocks.py); what a host repeats in one block its suffix
+array there finds, and what it repeats over several is asked of shards:
+
+1. Blocks send filled cells of a sketch of their windows of RUN tokens, each
+   keyed by its host, and learn which cells another block fills too.
+2. Windows estimated repeated go on, with 96 bits of hash and the digest of a
+   text that holds them; a shard answers for each whether two texts hold it.
+
+So a page gets the same text however its host is dealt. Page text is shuffled
+once, compressed.
 
 Defined results: null and empty html give an empty text; a page without a host
 in its url is grouped with the others of none; equal pages (also under one id)
@@ -21,6 +29,7 @@ the page; other columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -31,10 +40,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm import blocks as B
+from loomwright.llm import hashing as H
+
 RUN = 8
 GROUP_BYTES = 4 << 20
 #: Most rows of large hosts that are broadcast; beyond, Spark joins as it likes.
 HOSTS = 100_000
+#: Cells of the sketch for each window, and bytes of html for each window, at least.
+WIDTH = 16
+WINDOW_BYTES = 8
+TEXTS = "page_id long, url string, text string"
 
 #: Fixed values of the markup language.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select".split())
@@ -169,35 +185,166 @@ def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return [parts[o][:-1] for o in owner_of]
 
 
+def is_open(page: list[tuple[str, int]]) -> bool:
+    return any(place == 1 for _, place in page)
+
+
+def kept_text(page: list[tuple[str, int]], gone: np.ndarray | None) -> str:
+    """A page's content and what is not gone of its open blocks."""
+    at, kept = 0, []
+    for text, place in page:
+        n = text.count(" ") + 1
+        if place == 1:
+            text = " ".join(t for t, g in zip(text.split(" "), gone[at : at + n], strict=True) if not g)
+        if place and text:
+            kept.append(text)
+        at += n
+    return "\n".join(kept)
+
+
+def covers(pages: list[list[tuple[str, int]]], run: int = RUN) -> list[np.ndarray | None]:
+    """What the pages of a host repeat; not asked (None) where no page has an open block."""
+    if not any(map(is_open, pages)):
+        return [None] * len(pages)
+    return repeated([[t for text, _ in page for t in text.split(" ")] for page in pages], run)
+
+
 def main_texts(pages: list[list[tuple[str, int]]], run: int = RUN) -> list[str]:
     """The texts of a host's pages from their blocks."""
-    tokens = [[t for text, _ in page for t in text.split(" ")] for page in pages]
-    if not pages:
-        return []
-    out = []
-    for page, gone in zip(pages, repeated(tokens, run), strict=True):
-        at, kept = 0, []
-        for text, place in page:
-            n = text.count(" ") + 1
-            if place == 1:
-                text = " ".join(t for t, g in zip(text.split(" "), gone[at : at + n], strict=True) if not g)
-            if place and text:
-                kept.append(text)
-            at += n
-        out.append("\n".join(kept))
-    return out
+    return [kept_text(page, gone) for page, gone in zip(pages, covers(pages, run), strict=True)]
+
+
+def _digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+
+
+def _unpacked(table: pa.Table) -> list[list[tuple[str, int]]]:
+    read = zstandard.ZstdDecompressor()
+    return [json.loads(read.decompress(x)) for x in table.column("body").to_pylist()]
+
+
+def _texts(table: pa.Table, texts: list[str]) -> pa.Table:
+    done = [t.encode("utf-8", "replace").decode() for t in texts]
+    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(done, pa.string())})
+
+
+class Windows:
+    """The windows of RUN tokens of a block's distinct texts of each host: text, place in it, 64 + 32 bits of hash keyed by host."""
+
+    def __init__(self, table: pa.Table, shards: int, cells: int):
+        self.pages, self.hosts, self.shards = _unpacked(table), table.column("host").to_pylist(), shards
+        whole = [(h, " ".join(t for t, _ in p).encode("utf-8", "surrogatepass")) for h, p in zip(self.hosts, self.pages, strict=True)]
+        distinct = sorted(set(whole))
+        number = {x: k for k, x in enumerate(distinct)}
+        self.text_of_page = [number[x] for x in whole]
+        self.digest = np.array([_digest(t) for _, t in distinct], np.uint64)
+        host = np.array([_digest(h.encode("utf-8", "surrogatepass")) for h, _ in distinct], np.uint64)
+        text_of, place, h1, h2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        for first, _, data, offsets in H.chunks([t for _, t in distinct]):
+            starts, ends, owner = H.words(data, offsets)
+            if not len(starts):
+                continue
+            at, a, b = H.word_windows(H.word_hashes(data, starts, ends), owner, RUN, wide=True)
+            mine = host[owner[at] + first]
+            text_of.append(owner[at] + first)
+            place.append(at - np.searchsorted(owner, owner[at]))
+            h1.append(H.mix(a + mine, 90))
+            h2.append(b ^ H.mix(mine, 91).astype(np.uint32))
+        self.text_of, self.place, self.h1, self.h2 = (np.concatenate(x) for x in (text_of, place, h1, h2))
+        self.cell = H.mix(self.h1, 92) % np.uint64(cells * shards)
+        self.full, counts = np.unique(self.cell, return_counts=True)
+        self.twice = counts > 1
+        self.shard = (self.full // np.uint64(cells)).astype(np.int32)
+
+    def exact(self, back: pa.Table):
+        """The windows estimated repeated, and the distinct ones of them, sorted by shard and hash: shard, h1, h2, least digest, if two texts hold it here; and of which entry each window is."""
+        cells = self.twice | B.read_bits(back, "cells", self.shard, self.shards)
+        some = np.flatnonzero(cells[np.searchsorted(self.full, self.cell)])
+        h1, h2, digest = self.h1[some], self.h2[some], self.digest[self.text_of[some]]
+        shard = (h1 % np.uint64(self.shards)).astype(np.int32)
+        order = np.lexsort((digest, h2, h1, shard))
+        s, a, b, d = shard[order], h1[order], h2[order], digest[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        last = np.ones(len(a), bool)
+        last[:-1] = new[1:]
+        entry = np.empty(len(a), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        return some, s[new], a[new], b[new], d[new], d[new] != d[last], entry
+
+
+def in_two_texts(lists: dict[int, tuple[np.ndarray, ...]]) -> dict[int, np.ndarray]:
+    """For each block's entries (h1, h2, digest, if two texts hold it there): whether two texts hold it at all."""
+    h1, h2, digest, two = (np.concatenate([x[k] for x in lists.values()]) for k in range(4))
+    order = np.lexsort((h2, h1))
+    a, b, d = h1[order], h2[order], digest[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    begin = np.flatnonzero(new)
+    found = (np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)) | np.logical_or.reduceat(two[order], begin)
+    out = np.empty(len(a), bool)
+    out[order] = found[np.cumsum(new) - 1]
+    return dict(zip(lists, np.split(out, np.cumsum([len(x[0]) for x in lists.values()])[:-1]), strict=True))
+
+
+def dealt_texts(d: DataFrame, shards: int, cells: int) -> DataFrame:
+    """page_id, url and text of the pages (host, block, page_id, url, body) of hosts that are dealt into blocks."""
+
+    def sketch(block, table):
+        mine = Windows(table, shards, cells)
+        return B.sent(block, shards, mine.shard, cells=lambda k: B.pack_sorted(mine.full[k] % np.uint64(cells)))
+
+    def merge(shard, table):
+        return B.bits_back(shard, "cells", B.in_several({b: B.unpack_sorted(x["cells"]) for b, x in B.by_block(table).items()}))
+
+    def exact(block, table, back):
+        _, shard, h1, h2, digest, two, _ = Windows(table, shards, cells).exact(back)
+        return B.sent(block, shards, shard, h1=lambda k: B.pack_sorted(h1[k]), h2=lambda k: B.pack(h2[k]), digest=lambda k: B.pack(digest[k]), two=lambda k: B.pack(two[k].view(np.uint8)))
+
+    def group(shard, table):
+        lists = {b: (B.unpack_sorted(x["h1"]), B.unpack(x["h2"]), B.unpack(x["digest"]), B.unpack(x["two"]).astype(bool)) for b, x in B.by_block(table).items()}
+        return B.bits_back(shard, "repeated", in_two_texts(lists))
+
+    def keep(block, table, back):
+        pages, hosts = _unpacked(table), table.column("host").to_pylist()
+        if not any(map(is_open, pages)):
+            return _texts(table, [kept_text(p, None) for p in pages])
+        mine = Windows(table, shards, cells)
+        some, shard, *_, entry = mine.exact(back)
+        starts = some[B.read_bits(back, "repeated", shard, shards)[entry]]
+        by_text = np.searchsorted(mine.text_of[starts], np.arange(len(mine.digest) + 1))
+        local: list[np.ndarray | None] = [None] * len(pages)
+        by_host: dict[str, list[int]] = {}
+        for k, h in enumerate(hosts):
+            by_host.setdefault(h, []).append(k)
+        for rows in by_host.values():
+            for k, gone in zip(rows, covers([pages[k] for k in rows]), strict=True):
+                local[k] = gone
+        out = []
+        for k, page in enumerate(pages):
+            gone, t = local[k], mine.text_of_page[k]
+            if gone is not None:
+                gone = gone | H.covered(mine.place[starts[by_text[t] : by_text[t + 1]]], RUN, len(gone))
+            out.append(kept_text(page, gone))
+        return _texts(table, out)
+
+    first = B.answer(B.ask(d, B.SENT, sketch), merge)
+    second = B.answer(B.ask_again(d, first, B.SENT, exact), group)
+
+    return B.ask_again(d, first.unionByName(second), TEXTS, keep)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url and text of each page."""
     one = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
     one = one.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
-    large = one.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / F.lit(GROUP_BYTES)).cast("int").alias("parts")).where("parts > 1")
+    large = one.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > GROUP_BYTES)
     found = large.limit(HOSTS + 1).collect()
+    total = sum(r["bytes"] for r in found)
     if len(found) <= HOSTS:
         large = F.broadcast(pages.sparkSession.createDataFrame(found, large.schema))
-    one = one.join(large, "host", "left")
-    one = one.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    else:
+        total = large.agg(F.sum("bytes").alias("n")).first()["n"]
 
     def parse(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -205,12 +352,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
             for k in range(0, b.num_rows, 256):
                 some = b.slice(k, 256)
                 body = [pack.compress(json.dumps(blocks(h), ensure_ascii=False).encode("utf-8", "surrogatepass")) for h in some.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("host", "part", "page_id", "url")), pa.array(body, pa.binary())], names=["host", "part", "page_id", "url", "body"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("host", "block", "page_id", "url")), pa.array(body, pa.binary())], names=["host", "block", "page_id", "url", "body"])
 
     def texts(table):
-        read = zstandard.ZstdDecompressor()
-        found = [json.loads(read.decompress(x)) for x in table.column("body").to_pylist()]
-        done = [t.encode("utf-8", "replace").decode() for t in main_texts(found)]
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(done, pa.string())})
+        return _texts(table, main_texts(_unpacked(table)))
 
-    return one.mapInArrow(parse, "host string, part int, page_id long, url string, body binary").groupBy("host", "part").applyInArrow(texts, "page_id long, url string, text string")
+    parsed = "host string, block int, page_id long, url string, body binary"
+    small = one if not found else one.join(large, "host", "left_anti")
+    out = small.withColumn("block", F.lit(0)).mapInArrow(parse, parsed).groupBy("host").applyInArrow(texts, TEXTS)
+    if not found:
+        return out
+    n = B.blocks_for(total)
+    d = one.join(large, "host", "left_semi").withColumn("block", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(n)).cast("int")).mapInArrow(parse, parsed)
+    return out.unionByName(dealt_texts(d, n, max(1 << 10, WIDTH * (total // (WINDOW_BYTES * n) + 1))))

@@ -284,6 +284,17 @@ def test_pages_open_blocks_beside_an_article():
     assert html.main_texts([html.blocks(p) for p in pages]) == [f"Teaser {i}\n{'abc'[i]}x begins page {i}" for i in range(3)]
 
 
+def test_pages_of_a_large_host_as_of_a_small_one(spark, monkeypatch):
+    notice = [" ".join(f"n{k}w{j}" for j in range(9)) for k in range(12)]
+    rows = [(i, f"http://{'ab'[i % 2]}/{i}", f"<p>p{i} q{i}</p><p>{notice[i % 12]}</p>" + "<article>whole</article>" * (i % 3 == 0)) for i in range(36)]
+    rows += [(100 + i, f"http://a/{i}", "<p>equal pages are no boilerplate of each other at all</p>") for i in range(9)] + [(200, None, None), (201, "http://c/", "<p>" + notice[0])]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    small = sorted(map(tuple, html.extract(d).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(html, "GROUP_BYTES", 64)
+    assert sorted(map(tuple, html.extract(d).collect()), key=lambda r: r[0]) == small
+    assert [r[2] for r in small[:2]] == ["p0 q0\nwhole", "p1 q1"] and small[36][2].startswith("equal") and small[-1][2] == notice[0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=700), min_size=2, max_size=9), st.sampled_from([1, 3]))
 def test_lacing_round_trip(frames, lacing):
