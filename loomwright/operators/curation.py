@@ -97,22 +97,37 @@ def grouped_split(rows: DataFrame, seed: int = 7) -> DataFrame:
 def hard_negatives(positives: DataFrame, seed: int = 7, kept: int = 5) -> DataFrame:
     """Other actions for each intent, in its split: same tool and other target, other tool and same target, same trajectory.
 
-    positives: item_id, split, trajectory_id, tool, target. Candidates come from equal keys only; a key's rows are
-    ranged by hash and each item is joined with the next `kept` of its key, so that no key makes all pairs.
+    positives: item_id, split, trajectory_id, tool, target; a row with a null among these takes no part. An item has `kept`
+    negatives, or all valid ones where there are fewer, and its kinds take turns. In a key's circular order by hash an item takes
+    the valid ones of the next `kept` and the first `kept`, then items of the key's next other values (targets, tools, or both).
     """
-    kinds = {"same_tool": ["split", "tool"], "same_target": ["split", "target"], "same_trajectory": ["split", "trajectory_id"]}
+    both = F.struct("tool", "target")
+    kinds = {"same_tool": (["split", "tool"], F.col("target")), "same_target": (["split", "target"], F.col("tool")), "same_trajectory": (["split", "trajectory_id"], both)}
+    known = positives.dropna(subset=["item_id", "split", "trajectory_id", "tool", "target"])
     out = None
-    for name, key in kinds.items():
-        w = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id")
-        near = [F.lead(F.struct("item_id", "tool", "target"), k).over(w) for k in range(1, kept + 1)]
-        d = positives.select("item_id", "tool", "target", F.lit(name).alias("kind"), F.array(*near).alias("near"))
-        d = d.select("item_id", "tool", "target", "kind", F.explode("near").alias("o")).where("o is not null")
-        other = {"same_tool": F.col("o.target") != F.col("target"), "same_target": F.col("o.tool") != F.col("tool"), "same_trajectory": F.lit(True)}[name]
-        d = d.where(other & ~((F.col("o.tool") == F.col("tool")) & (F.col("o.target") == F.col("target")))).select("item_id", F.col("o.item_id").alias("negative_id"), "kind")
+    for name, (key, value) in kinds.items():
+        d = known.select(*key, "item_id", value.alias("value"))
+        near = _circular(F.struct("item_id", "value"), Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id"), kept)
+        first = Window.partitionBy(*key, "value").orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id")
+        values = d.withColumn("r", F.row_number().over(first)).where(F.col("r") <= kept).groupBy(*key, "value").agg(F.collect_list(F.struct("r", "item_id")).alias("items"))
+        others = _circular(F.struct("value", "items"), Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "value"), "value"), kept)
+        values = values.withColumn("others", others).select(*key, "value", F.slice(F.array_distinct(F.filter("others", lambda o: o["value"] != F.col("value"))), 1, kept).alias("others"))
+        values = values.select(*key, "value", F.transform(F.array_sort(F.flatten(F.transform("others", lambda o: o["items"]))), lambda x: x["item_id"]).alias("more"))
+        d = d.withColumn("near", near).withColumn("near", F.transform(F.filter("near", lambda o: o["value"] != F.col("value")), lambda o: o["item_id"]))
+        d = d.join(values, [*key, "value"])
+        found = F.slice(F.array_distinct(F.concat("near", "more")), 1, kept)
+        d = d.select("item_id", F.lit(name).alias("kind"), F.posexplode(found).alias("place", "negative_id"))
         out = d if out is None else out.unionByName(d)
-    w = Window.partitionBy("item_id").orderBy("kind", F.xxhash64(F.lit(seed), "item_id", "negative_id"), "negative_id")
-    unique = out.groupBy("item_id", "negative_id").agg(F.min("kind").alias("kind"))
-    return unique.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kept)
+    unique = out.groupBy("item_id", "negative_id").agg(F.min(F.struct("place", "kind")).alias("k")).select("item_id", "negative_id", "k.kind", "k.place")
+    w = Window.partitionBy("item_id").orderBy("place", "kind", F.xxhash64(F.lit(seed), "item_id", "negative_id"), "negative_id")
+    return unique.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kept).drop("place")
+
+
+def _circular(row: Column, w, n: int) -> Column:
+    """The n rows after each in its partition, then the partition's first n."""
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = [F.lead(row, k).over(w) for k in range(1, n + 1)] + [F.nth_value(row, k).over(whole) for k in range(1, n + 1)]
+    return F.filter(F.array(*rows), lambda o: o.isNotNull())
 
 
 def accepted(judged: DataFrame, positives: DataFrame) -> DataFrame:

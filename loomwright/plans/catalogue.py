@@ -483,6 +483,6 @@ def grouped_split(spark, sf_dir):
 
 @query()
 def hard_negative_candidates(spark, sf_dir):
-    lines = I.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_shipdate").alias("d"))
-    items = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), F.when(F.col("l_orderkey") % 10 < 7, "train").otherwise("test").alias("split"), F.col("l_orderkey").alias("trajectory_id"), (F.col("p") % 23).alias("tool"), F.col("p").alias("target"))
+    lines = I.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    items = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), F.when(F.col("l_orderkey") % 10 < 7, "train").otherwise("test").alias("split"), F.col("l_orderkey").alias("trajectory_id"), (F.col("s") % 23).alias("tool"), F.col("p").alias("target"))
     return curation.hard_negatives(items)

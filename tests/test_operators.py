@@ -163,6 +163,29 @@ def test_groups_join_over_templates_and_splits_do_not_leak(spark):
     assert abs(split["train"] - 1400) <= 1 and abs(split["test"] - 300) <= 1
 
 
+def test_hard_negatives_are_all_that_are_valid(spark):
+    rows = [(f"a{i}", "train", i % 40, "open", "x") for i in range(60)] + [(f"b{i}", "train", i, "open", f"y{i % 2}") for i in range(4)]
+    rows += [("c0", "train", 90, "run", "z"), ("c1", "train", 90, "edit", "z"), ("d", "test", 0, "open", "x"), ("e", "test", 1, "run", "q"), ("n", "train", 0, "open", None)]
+    rows += [(f"f{i}", "train", 100 + i, f"t{i % 3}", f"u{i % 7}") for i in range(50)]
+    d = spark.createDataFrame(rows, "item_id string, split string, trajectory_id long, tool string, target string")
+    by_id = {r[0]: r for r in rows}
+
+    def kinds(a, b):
+        if a[0] == b[0] or a[1] != b[1] or None in a or None in b or a[3:] == b[3:]:
+            return set()
+        return {k for k, x in (("same_tool", a[3] == b[3]), ("same_target", a[4] == b[4]), ("same_trajectory", a[2] == b[2])) if x}
+
+    got = {r[0]: [] for r in rows}
+    for r in curation.hard_negatives(d).collect():
+        got[r["item_id"]].append((r["negative_id"], r["kind"]))
+    for a in rows:
+        valid = {b[0]: k for b in rows if (k := kinds(a, b))}
+        mine = got[a[0]]
+        assert len({n for n, _ in mine}) == len(mine) == min(5, len(valid)) and all(k in valid[n] for n, k in mine)
+        there = set().union(*valid.values()) - {"same_trajectory"}
+        assert there <= {k for _, k in mine}, (by_id[a[0]], mine)
+
+
 def test_review_is_closed(spark):
     queue = spark.createDataFrame([(1,), (2,)], "item_id long")
     good = spark.createDataFrame([(1, "direct_match"), (2, "no_match")], "item_id long, label string")
