@@ -92,3 +92,31 @@ def format_issues(issues: DataFrame) -> DataFrame:
 def manifest(files: DataFrame) -> DataFrame:
     """path, bytes and sha256 of files (path, content BINARY), by path."""
     return files.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+
+
+def passages_within(passages: DataFrame, texts: DataFrame, window: int = 8) -> DataFrame:
+    """item_id, doc_id of each passage (item_id, text) that a text (doc_id, text) contains whole; null texts contain nothing.
+
+    Split at single spaces, all parts of a passage but the first and last are parts of any text that contains it. So candidates
+    come from an equi-join on the hash of a passage's first `window` inner parts (one, where it has fewer), and `contains`
+    settles them. A passage without inner parts is held against every text.
+    """
+    parts = lambda c: F.split(c, " ", -1)
+    p = passages.select("item_id", F.col("text").alias("passage")).where("passage is not null")
+    p = p.withColumn("inner", F.size(parts(F.col("passage"))) - 2)
+    p = p.withColumn("width", F.when(F.col("inner") >= window, window).when(F.col("inner") > 0, 1).otherwise(0))
+    out = None
+    for width in sorted(r["width"] for r in p.select("width").distinct().collect()):
+        mine = p.where(F.col("width") == width)
+        if width:
+            key = F.xxhash64(F.slice(parts(F.col("passage")), 2, width)).alias("key")
+            # the inner lambda's variable holds the parts, so that a text is split once
+            keys = F.transform(F.array(parts(F.col("text"))), lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - (width - 1)), lambda i: F.xxhash64(F.slice(x, i, width))))  # noqa: B023
+            d = texts.where(F.size(parts(F.col("text"))) >= width).select("doc_id", F.explode(F.array_distinct(keys[0])).alias("key"))
+            near = d.join(mine.select("item_id", key), "key").select("item_id", "doc_id").distinct()
+            found = near.alias("n").join(mine.alias("m"), F.col("n.item_id").eqNullSafe(F.col("m.item_id"))).join(texts.alias("t"), F.col("n.doc_id").eqNullSafe(F.col("t.doc_id")))
+        else:
+            found = mine.alias("m").join(texts.alias("t"), F.contains("t.text", "m.passage"))
+        found = found.where(F.contains("t.text", "m.passage")).select("m.item_id", "t.doc_id")
+        out = found if out is None else out.unionByName(found)
+    return passages.crossJoin(texts.select("doc_id")).where("false").select("item_id", "doc_id") if out is None else out

@@ -254,6 +254,12 @@ def quote_containment(spark, sf_dir):
     return users.join(said, "conv_id", "left").groupBy("conv_id", "turn").agg(F.coalesce(F.bool_or(F.contains("answer", "quote")), F.lit(False)).alias("quoted"))
 
 
+@query()
+def passage_containment(spark, sf_dir):
+    d = I.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return audit.passages_within(I.table(spark, sf_dir, "benchmark").select("item_id", "text"), d)
+
+
 # --- steps ------------------------------------------------------------------------------------------------------------
 
 _WHITE_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)"
