@@ -1,13 +1,16 @@
 """Main text of web pages: structure first, then a suffix array over each host.
 
 A page becomes blocks of text in page order. A block inside <article> or
-<main>, and outside of menus, asides, forms and the like, is proved content.
-Blocks outside of all these are open, on a page with <article> or <main> as on
-one without. For open blocks the host decides: the
-token streams of the host's pages, each ended by its own symbol, are put in
-one suffix array (prefix doubling up to RUN tokens); a string of RUN tokens
+<main>, and outside of menus, asides, forms and the like, is proved content;
+under a name that only partly sounds like boilerplate it is doubtful. Blocks
+outside of all these are open, on a page with <article> or <main> as on one
+without; so is what a form holds that wraps the page. Content in a part that
+is never closed ends that part. For open and doubtful blocks the host decides:
+the token streams of the host's pages, each ended by its own symbol, are put
+in one suffix array (prefix doubling up to RUN tokens); a string of RUN tokens
 that occurs in two pages of different text is boilerplate, and every token it
-covers is removed from open blocks, which keep their unique runs.
+covers is removed from open blocks, which keep their unique runs. A doubtful
+block goes if it is covered whole, and stays whole otherwise.
 
 Pages are grouped by host. Pages of hosts over GROUP_BYTES are dealt into
 blocks by a hash (see blocks.py); what a host repeats in one block its suffix
@@ -23,8 +26,8 @@ once, compressed.
 
 Defined results: null and empty html give an empty text; a page without a host
 in its url is grouped with the others of none; equal pages (also under one id)
-don't make each other boilerplate; markup that breaks off ends at the end of
-the page; other columns are ignored; an empty table gives none.
+don't make each other boilerplate; a script or comment that breaks off ends at
+the end of the page; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -53,96 +56,183 @@ WINDOW_BYTES = 8
 TEXTS = "page_id long, url string, text string"
 
 #: Fixed values of the markup language.
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select".split())
-SKIPPED = frozenset("nav footer aside form dialog menu button head".split())
+RAW = frozenset("script style title textarea iframe noscript noembed noframes xmp".split())
+SKIPPED = frozenset("nav footer aside dialog menu button head template object svg math canvas audio video select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTENT = frozenset(("article", "main"))
+IN_FORMS = frozenset(("label", "legend"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words of class and id that tell of parts outside the text.
+#: Words of class and id that tell of parts outside the text,
 SIGNS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
     "subscription sidebar aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies reply related share sharing social login signup search".split()
 )
+#: and words that say nothing beside them. A name with any other word (market-share, related-work) is a doubtful sign.
+NEUTRAL = frozenset(
+    "area article articles author avatar bar block blog body bottom box btn button center col column container content count date desktop entry field fixed form global google group header heading holder icon icons inline inner input item items js left "
+    "link links list main meta mobile module more native outer page panel post posts primary reader right row secondary section site slot small sticky text the thread title top unit user wp wrap wrapper".split()
+)
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-NAME = re.compile(r"[a-z]+")
-
-
-def _outside(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in SKIPPED or tag == "header" and not in_content:
-        return True
-    if not attributes.strip():
-        return False
-    own = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
-    if "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", "")):
-        return True
-    if own.get("role") in ROLES:
-        return True
-    if tag in CONTENT or tag in ("body", "html"):
-        return False
-    return not SIGNS.isdisjoint(NAME.findall(html.unescape(own.get("class", "") + " " + own.get("id", ""))))
+#: A start or end tag whose attributes follow the language's grammar: a quote opens a value only right after `=`.
+TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?=[^A-Za-z]))[^>]*(?:>|\Z)"""
+    r"""|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)""",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
+WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
+#: Places of a block; a doubtful one is content unless the host repeats it whole.
+OUTSIDE, OPEN, PROVED, DOUBTFUL, FORM = range(5)
+#: A form is the page's wrapper if it holds so many times the words that are outside of it.
+WRAPS = 4
+
+
+def _sign(own: dict[str, str]) -> int:
+    """2 for a name of class or id that tells of a part outside the text, 1 for a doubtful one."""
+    most = 0
+    for name in (own.get("class", "") + " " + own.get("id", "")).split():
+        words = {w.lower() for w in WORDS.findall(html.unescape(name))}
+        if not SIGNS.isdisjoint(words):
+            most = max(most, 2 if words <= SIGNS | NEUTRAL else 1)
+    return most
+
+
+def _kind(tag: str, attributes: str, state: int) -> int | None:
+    """The place that an element gives to what it holds; None: that of its parent."""
+    own = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+    if own and ("hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", own.get("style", ""), re.I)):
+        return OUTSIDE
+    role = own.get("role", "").lower()
+    if tag in SKIPPED or role in ROLES or tag in IN_FORMS and state == FORM or tag == "header" and state not in (PROVED, DOUBTFUL):
+        return OUTSIDE
+    sign = _sign(own) if own else 0
+    if tag in CONTENT or role in CONTENT:
+        return OUTSIDE if sign == 2 and tag != "main" else PROVED
+    if tag in ("body", "html"):
+        return None
+    if sign == 2:
+        return OUTSIDE
+    if tag == "form":
+        return FORM
+    return DOUBTFUL if sign else None
+
+
+class Open:
+    """An open element that gives a place: how many of its tag are open in it, blocks that its own end tag would put outside, and a line's text before it."""
+
+    __slots__ = ("tag", "depth", "place", "doubted", "held")
+
+    def __init__(self, tag: str, place: int, held: list[str] | None):
+        self.tag, self.depth, self.place, self.doubted, self.held = tag, 1, place, [], held
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """Each block's text (references decoded, white space single) and its place: 2 content, 1 open, 0 outside."""
-    out: list[tuple[str, int]] = []
+    """Each block's text (references decoded, white space single) and its place."""
+    texts: list[str] = []
+    places: list[int] = []
     text: list[str] = []
     page = page or ""
-    skip, skip_depth, content, at, raw = "", 0, 0, 0, ""
+    at = 0
+    stack: list[Open] = []
+    by_tag: dict[str, list[int]] = {}
+    skips: list[int] = []  # of the stack, those that put outside
 
     def flush():
+        flush_as(stack[-1].place if stack else OPEN)
+
+    def flush_as(place: int):
         nonlocal text
         words = html.unescape("".join(text)).split()
         if words:
-            out.append((" ".join(words), 0 if skip else 2 if content else 1))
+            if place != OUTSIDE and skips:  # content in a part outside: if that never ends by itself, it ended where the content began
+                stack[skips[-1]].doubted.append(len(texts))
+            texts.append(" ".join(words))
+            places.append(place)
         text = []
 
-    for m in TAG.finditer(page):
-        if raw:
-            if m[2] is None or not m[1] or m[2].lower() != raw:
-                continue
-            raw, at = "", m.end()
-            continue
-        if m.start() < at:
-            continue
+    def push(tag: str, place: int, held: list[str] | None):
+        if place == OUTSIDE:
+            skips.append(len(stack))
+        by_tag.setdefault(tag, []).append(len(stack))
+        stack.append(Open(tag, place, held))
+
+    def pop(explicit: bool):
+        nonlocal text
+        top = stack.pop()
+        if top.held is not None:
+            flush_as(OUTSIDE)
+            text = top.held
+        by_tag[top.tag].pop()
+        if top.place == OUTSIDE:
+            skips.pop()
+            if explicit:
+                for k in top.doubted:
+                    places[k] = OUTSIDE
+            elif skips:
+                stack[skips[-1]].doubted += top.doubted
+
+    while m := TAG.search(page, at):
         text.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                raw = tag
+            if not closing:
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                if end or tag in ("script", "style"):
+                    at = end.end() if end else len(page)
+            continue
+        if tag == "br":
+            text.append(" ")
+        own = by_tag.get(tag)
+        if closing:
+            if tag not in INLINE:
+                flush()
+                if stack and stack[-1].tag == "p" and tag != "p":
+                    pop(True)
+                    own = by_tag.get(tag)
+            if tag in ("body", "html"):
+                while stack:
+                    pop(False)
+            elif own:
+                stack[own[-1]].depth -= 1
+                if not stack[own[-1]].depth:
+                    last = own[-1]
+                    if tag not in INLINE:
+                        flush()
+                    while len(stack) > last + 1:
+                        pop(False)
+                    pop(True)
             continue
-        if tag in INLINE and not skip:
-            if tag == "br":
-                text.append(" ")
-            if closing or tag in VOID or not m[3] or not _outside(tag, m[3], bool(content)):
-                continue
         if tag not in INLINE:
             flush()
-        if tag in CONTENT:
-            if skip and not closing and skip not in CONTENT and not content:
-                skip, skip_depth = "", 0  # what was left open ends where the content begins
-            if not skip:
-                content = max(0, content + (-1 if closing else 1))
-        if skip:
-            if tag == skip and tag not in VOID:
-                skip_depth += -1 if closing else 1
-                if not skip_depth:
-                    flush()
-                    skip = ""
-            elif closing and tag in ("body", "html"):
-                skip, skip_depth = "", 0
-        elif not closing and tag not in VOID and not m[3].endswith("/") and _outside(tag, m[3], bool(content)):
-            flush()
-            skip, skip_depth = tag, 1
-    if not raw:
-        text.append(page[at:])
+            if stack and stack[-1].tag == "p":  # a paragraph ends where a block begins
+                pop(True)
+                own = by_tag.get(tag)
+        if tag in VOID or SELF_CLOSED.search(m[3]):
+            continue
+        state = stack[-1].place if stack else OPEN
+        kind = _kind(tag, m[3], state)
+        inside = state in (PROVED, DOUBTFUL)
+        if kind is None or kind == state or kind != OUTSIDE and tag in INLINE or kind == PROVED and inside or kind == FORM and state == OUTSIDE or kind == DOUBTFUL and state != PROVED:
+            if own:
+                stack[own[-1]].depth += 1
+        else:
+            held = text if tag in INLINE else None
+            text = []
+            push(tag, kind, held)
+    text.append(page[at:])
     flush()
-    return out
+    while stack:
+        pop(False)
+        flush()
+    sizes = [t.count(" ") + 1 for t in texts]
+    held = sum(n for n, p in zip(sizes, places, strict=True) if p == FORM)
+    wraps = held >= WRAPS * sum(n for n, p in zip(sizes, places, strict=True) if p not in (FORM, OUTSIDE))
+    return [(t, p if p != FORM else OPEN if wraps else OUTSIDE) for t, p in zip(texts, places, strict=True)]
 
 
 def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
@@ -162,7 +252,7 @@ def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     while step < run:  # the suffix array by its first 2, 4, 8, ... tokens; the last step may overlap
         shift = min(step, run - step)
         key = np.zeros(n, np.int64)
-        key[: n - shift] = rank[shift:] + 1
+        key[: max(n - shift, 0)] = rank[shift:] + 1
         key += rank * np.int64(n + len(number) + len(flat) + 2)
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
@@ -186,16 +276,18 @@ def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
 
 
 def is_open(page: list[tuple[str, int]]) -> bool:
-    return any(place == 1 for _, place in page)
+    return any(place in (OPEN, DOUBTFUL) for _, place in page)
 
 
 def kept_text(page: list[tuple[str, int]], gone: np.ndarray | None) -> str:
-    """A page's content and what is not gone of its open blocks."""
+    """A page's content, what is not gone of its open blocks, and doubtful ones that aren't gone whole."""
     at, kept = 0, []
     for text, place in page:
         n = text.count(" ") + 1
-        if place == 1:
+        if place == OPEN:
             text = " ".join(t for t, g in zip(text.split(" "), gone[at : at + n], strict=True) if not g)
+        elif place == DOUBTFUL and gone[at : at + n].all():
+            text = ""
         if place and text:
             kept.append(text)
         at += n
