@@ -8,14 +8,17 @@ is the table of leaves, summed in the cluster; it has as many rows as there
 are sources, and the budgets are made from it on the driver.
 
 A leaf's tokens are ordered by a seeded hash, anew in each epoch. Selecting the
-prefix needs no sort of a leaf: token sums of BUCKETS ranges of the hash give
-each range its place, and rows are ordered within a range only. The document
-at the cut is taken in part (take_tokens).
+prefix needs no sort of a leaf and no shuffle of texts: token sums of ranges of
+the hash show in which range the budget ends, and that range is cut again in
+the same way. Rows before the last one are taken where they are; only the rows
+in it, some millionth of a leaf, are put in order. The document at the cut is
+taken in part (take_tokens).
 
 Defined results: null labels are the label ''; null or empty texts have no
 tokens and are never taken; equal hashes are ordered by id and text; repeated
 rows are rows of their own; weights that are missing are DEFAULT_WEIGHT, and a
-weight of 0 takes nothing; other columns are kept; an empty table gives none.
+weight of 0 takes nothing; other columns are kept, whatever their names; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,9 +29,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-#: Most rows of the plan (leaves times epochs) that are broadcast.
-LEAVES = 100_000
+from loomwright.llm.packing import written
+
+#: Bits of the hash that make a range, and how often a range is cut again: a leaf has 2 ** (BITS * LEVELS) ranges in all.
+BITS = 10
+LEVELS = 2
+#: Most leaves that the driver deals budgets to (more are an error), and most rows of the plan that are broadcast.
+LEAVES = 500_000
+BROADCAST = 100_000
 DEFAULT_WEIGHT = 1.0
 Path = tuple[str, ...]
 
@@ -90,35 +98,73 @@ def count_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, levels: Sequence[Column], weights: Mapping[Path, float], fraction: float, epochs: int = 1, seed: int = 0, tokens: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _leaf (labels), _epoch, _tokens and _take: one row for each epoch that takes tokens of the document.
+def _free(name: str, taken: Sequence[str]) -> str:
+    """name, with more underscores in front while a column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
+def _bucket(order: Column, level: int) -> Column:
+    """The level-th BITS of a hash, as an unsigned number."""
+    return F.shiftrightunsigned(order, 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
 
-    fraction: of all tokens, the total to take.
+def _cut(rows: DataFrame, cuts: DataFrame, level: int) -> DataFrame:
+    """cuts (_leaf, _epoch, _quota, _before), each with the range of the next BITS in which the quota ends, and the tokens before it.
+
+    A row more at the end of each stands for a quota that takes all.
+    """
+    by = ["_leaf", "_epoch"]
+    sums = rows.groupBy(*by, _bucket(F.col("_order"), level).alias("_range")).agg(F.sum("_tokens").alias("_in"))
+    w = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # 1 << BITS rows at most
+    placed = sums.withColumn("_in_before", F.coalesce(F.sum("_in").over(w), F.lit(0))).join(cuts, by)
+    ends = placed.where((F.col("_before") + F.col("_in_before") < F.col("_quota")) & (F.col("_before") + F.col("_in_before") + F.col("_in") >= F.col("_quota")))
+    return ends.select(*cuts.columns[:-1], (F.col("_before") + F.col("_in_before")).alias("_before"), F.col("_range").alias(f"_cut{level}")).select(*cuts.columns[:-1], f"_cut{level}", "_before")
+
+
+def mix_sources(
+    docs: DataFrame, levels: Sequence[Column], weights: Mapping[Path, float], fraction: float, epochs: int = 1, seed: int = 0,
+    tokens: Column | None = None, doc_id: str = "doc_id", text: str = "text", told: bool = True,
+) -> DataFrame:
+    """The rows of docs that the budgets take, one for each epoch that takes tokens of the document.
+
+    fraction: of all tokens, the total to take. told: with columns _leaf (labels), _epoch, _tokens and _take beside those of docs
+    (with more underscores in front where docs has such a column); otherwise docs' columns only.
     """
     tokens = count_words(text) if tokens is None else tokens
     leaf = F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in levels))
-    names = {f"_own{k}": c for k, c in enumerate(docs.columns)}  # columns of their own, so that unused ones aren't shuffled
-    kept = docs.select(*(F.col(c).alias(n) for n, c in names.items()), leaf.alias("_leaf"), tokens.alias("_tokens"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_text_hash"), F.col(doc_id).alias("_id"))
-    sums = {tuple(r["_leaf"]): r["n"] for r in kept.groupBy("_leaf").agg(F.sum("_tokens").alias("n")).collect()}
-    share = budgets(sums, weights, int(sum(sums.values()) * fraction), epochs)
     spark = docs.sparkSession
-    table = spark.createDataFrame([(list(k), v) for k, v in share.items() if v], "_leaf array<string>, _budget long")
-    total = spark.createDataFrame([(list(k), v) for k, v in sums.items()], "_leaf array<string>, _all long")
-    plan = table.join(total, "_leaf").select("_leaf", F.posexplode(F.sequence(F.lit(1), F.ceil(F.col("_budget") / F.col("_all")).cast("int"))).alias("_epoch", "_"), "_budget", "_all")
-    plan = plan.select("_leaf", "_epoch", F.least(F.col("_all"), F.col("_budget") - F.col("_epoch") * F.col("_all")).alias("_quota"))
-    if len(share) * epochs <= LEAVES:
-        plan = F.broadcast(plan)
-    rows = kept.where("_tokens > 0").join(plan, "_leaf")
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "_epoch", "_text_hash")).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - (BUCKETS.bit_length() - 1)).cast("int"))
-    # signed order and unsigned buckets agree within a bucket
-    ranges = rows.groupBy("_leaf", "_epoch", "_bucket").agg(F.sum("_tokens").alias("_in"))
-    w = Window.partitionBy("_leaf", "_epoch").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("_leaf", "_epoch", "_bucket", F.coalesce(F.sum("_in").over(w), F.lit(0)).alias("_before"), "_in")
-    rows = rows.join(ranges, ["_leaf", "_epoch", "_bucket"])
-    inside = Window.partitionBy("_leaf", "_epoch", "_bucket").orderBy("_order", "_id", "_text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.col("_before") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0))
-    rows = rows.where(F.col("_before") < F.col("_quota")).withColumn("_take", F.least(F.col("_tokens"), F.col("_quota") - place)).where("_take > 0")
-    return rows.select(*(F.col(n).alias(c) for n, c in names.items()), "_leaf", "_epoch", "_tokens", "_take")
+    hashed = [leaf.alias("_leaf"), tokens.alias("_tokens"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_text_hash")]
+    narrow = written(docs.select(*hashed).where("_tokens > 0"), "mixture")
+    by_leaf = narrow.groupBy("_leaf").agg(F.sum("_tokens").alias("n")).limit(LEAVES + 1).collect()
+    if len(by_leaf) > LEAVES:
+        raise ValueError(f"over {LEAVES} leaves: group small sources under a level of their own")
+    sums = {tuple(r["_leaf"]): r["n"] for r in by_leaf}
+    share = budgets(sums, weights, int(sum(sums.values()) * fraction), epochs)
+    plan = [(list(k), e, min(sums[k], v - e * sums[k])) for k, v in share.items() for e in range(-(-v // sums[k]) if v else 0)]
+    cuts = spark.createDataFrame(plan, "_leaf array<string>, _epoch int, _quota long").withColumn("_before", F.lit(0).cast("long"))
+    small = F.broadcast if len(plan) <= BROADCAST else (lambda d: d)
+    order = F.xxhash64(F.lit(seed), "_epoch", "_text_hash").alias("_order")
+    inside = F.lit(True)
+    for level in range(LEVELS):
+        rows = narrow.join(small(cuts), "_leaf").select("*", order).where(inside)
+        cuts = written(_cut(rows.select("_leaf", "_epoch", "_tokens", "_order"), cuts, level), "cuts")
+        inside = inside & (_bucket(F.col("_order"), level) == F.col(f"_cut{level}"))
+    names = {f"_own{k}": c for k, c in enumerate(docs.columns)}
+    rows = docs.select(*(F.col(c).alias(n) for n, c in names.items()), *hashed).join(small(cuts), "_leaf").select("*", order)
+    below, same = F.lit(False), F.lit(True)
+    for level in range(LEVELS):
+        below = below | (same & (_bucket(F.col("_order"), level) < F.col(f"_cut{level}")))
+        same = same & (_bucket(F.col("_order"), level) == F.col(f"_cut{level}"))
+    extra = ["_leaf", "_epoch", "_tokens", "_take"]
+    whole = rows.where(below & (F.col("_tokens") > 0)).withColumn("_take", F.col("_tokens"))
+    # only the range at the cut is put in order; signed and unsigned order agree within it
+    w = Window.partitionBy("_leaf", "_epoch").orderBy("_order", "_id", "_text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where(same).where("_tokens > 0")
+    edge = edge.withColumn("_take", F.least(F.col("_tokens"), F.col("_quota") - F.col("_before") - F.coalesce(F.sum("_tokens").over(w), F.lit(0)))).where("_take > 0")
+    out = whole.select(*names, *extra).unionByName(edge.select(*names, *extra))
+    return out.select(*(F.col(n).alias(c) for n, c in names.items()), *(F.col(c).alias(_free(c, docs.columns)) for c in extra if told))
 
 
 #: Domains by the number at a source's end, and the weights of the tree that the queries use.

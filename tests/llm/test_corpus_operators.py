@@ -240,7 +240,7 @@ def test_budgets():
 def test_mixture(docs, empty):
     got = mixture.mix_sources(docs, mixture.document_levels(), mixture.WEIGHTS, 0.7, epochs=2, seed=3).collect()
     total = sum(len((t or "").split()) for _, t in made())
-    assert sum(r[len(r) - 1] for r in got) == int(total * 0.7)
+    assert sum(r["__take"] for r in got) == int(total * 0.7)
     again = mixture.mix_sources(docs.repartition(5, "text"), mixture.document_levels(), mixture.WEIGHTS, 0.7, epochs=2, seed=3).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixture.mix_sources(empty, mixture.document_levels(), {}, 0.5).count() == 0
@@ -466,3 +466,72 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     assert json.dumps(sorted(queries.ORACLE))
+
+
+def taken_plainly(rows, fraction, epochs, seed, shares):
+    """(id, epoch, tokens taken) by a plain walk down each leaf's order; rows: id, text, source, lang."""
+    as_int, as_long = (lambda v: v.to_bytes(4, "little", signed=True)), (lambda v: v.to_bytes(8, "little", signed=True))
+    signed = lambda h: h - (h >> 63 << 64)
+    leaves: dict = {}
+    for i, t, source, lang in rows:
+        number = int((re.search("([0-9]+)$", source or "") or [0, "0"])[1][-6:])
+        h = 42 if i is None else xxhash.xxh64_intdigest(as_long(i), 42)
+        h = h if t is None else xxhash.xxh64_intdigest(t.encode(), h)
+        leaves.setdefault((mixture.DOMAINS[number % 4], lang or "", source or ""), []).append((signed(h), i, len(re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()))))
+    sums = {k: sum(d[2] for d in v) for k, v in leaves.items() if any(d[2] for d in v)}
+    share = shares(sums, int(sum(sums.values()) * fraction))
+    out = Counter()
+    for leaf, left in share.items():
+        for e in range(epochs):
+            order = lambda d: xxhash.xxh64_intdigest(as_long(d[0]), xxhash.xxh64_intdigest(as_int(e), xxhash.xxh64_intdigest(as_int(seed), 42)))  # noqa: B023, E731
+            for d in sorted(leaves[leaf], key=lambda d: (order(d), d[1] is not None, d[1] or 0, d[0])):
+                take = min(d[2], left)
+                left -= take
+                if take:
+                    out[d[1], e, take] += 1
+    return out
+
+
+def shares_plainly(sums, total, epochs=2):
+    """Water-filling by bisection at each node, in real numbers."""
+    weight = lambda path: mixture.WEIGHTS.get(path, 1.0)
+    capacity = lambda path: sum(n * epochs for leaf, n in sums.items() if leaf[: len(path)] == path)
+    out = {}
+
+    def down(path, amount):
+        if len(path) == 3:
+            out[path] = amount
+            return
+        below = sorted({leaf[: len(path) + 1] for leaf in sums if leaf[: len(path)] == path})
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(capacity(c), mid * weight(c)) for c in below) < amount else (low, mid)
+        for c in below:
+            down(c, min(capacity(c), high * weight(c)))
+
+    down((), min(total, capacity(())))
+    return out
+
+
+def test_budgets_are_water_filling():
+    rng = random.Random(2)
+    sums = {(mixture.DOMAINS[rng.randrange(4)], rng.choice(["en", "de"]), f"s{k}"): rng.randrange(1, 5000) for k in range(30)}
+    for fraction in (0.1, 0.7, 1.3, 1.9):
+        total = int(fraction * sum(sums.values()))
+        got, want = mixture.budgets(sums, mixture.WEIGHTS, total, 2), shares_plainly(sums, total)
+        assert sum(got.values()) == total and all(abs(got[k] - want[k]) <= 4 for k in sums)
+
+
+@pytest.mark.parametrize(("fraction", "epochs"), [(0.7, 2), (1.6, 2), (0.9, 1)])
+def test_mixture_equals_a_plain_walk(docs, fraction, epochs):
+    """Two epochs, cut documents, null ids and texts, repeated rows and clashing columns."""
+    d = docs.withColumn("_leaf", F.lit("x")).withColumn("_epoch", F.lit("x")).withColumn("_own0", F.lit("x"))
+    got = mixture.mix_sources(d, mixture.document_levels(), mixture.WEIGHTS, fraction, epochs=epochs, seed=3)
+    assert got.columns[: len(d.columns)] == d.columns
+    names = ["doc_id", "__epoch", "__take"]
+    rows = Counter(tuple(r) for r in got.select(*names).collect())
+    plain = [(i, t, f"src{(i or 0) % 5}", "en") for i, t in made()]
+    assert rows == taken_plainly(plain, fraction, epochs, 3, lambda sums, total: mixture.budgets(sums, mixture.WEIGHTS, total, epochs))
+    alone = mixture.mix_sources(d, mixture.document_levels(), mixture.WEIGHTS, fraction, epochs=epochs, seed=3, told=False)
+    assert alone.columns == d.columns and alone.count() == sum(rows.values())
