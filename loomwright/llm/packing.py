@@ -12,6 +12,8 @@ it, and its size doesn't depend on the corpus:
    over joins step 4.
 3. Actual documents take the slots of their group, in order of length. Bins
    are kept as runs of equal bins, which this cuts at changes of length only.
+   Runs that rounding leaves with a gap too large to waste and too small to
+   fill are given up.
 4. Left-over large lengths, then small ones, go best-fit, longest first.
 
 The plan says, for each length, which ranks among the pieces of that length go
@@ -20,8 +22,8 @@ the tokenising stage numbers its own pieces of each length, and the counts of
 (task, length) give the offsets. No piece is sorted, and a length that holds
 half of the pieces is no heavier than another.
 
-Defined results: null and empty texts are one token (the end token); equal
-texts are packed like any others; rows with equal or null ids are packed each
+Defined results: null and empty texts are one token (the end token); texts of
+any length and content are encoded whole; equal texts are packed like any others; rows with equal or null ids are packed each
 for itself; other columns are ignored; an empty table gives no sequences.
 """
 
@@ -32,6 +34,7 @@ import functools
 import heapq
 import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,8 +50,14 @@ END_ID = 2
 #: Lengths up to capacity / SMALL are small.
 SMALL = 2.5
 GROUPS = 256
+#: A configuration's use stays if at most WASTE tokens of it are free, or at least ROOM, which small pieces fill.
+WASTE = 1
+ROOM = 60
 #: Pricing steps for each size at most: what an unfinished LP leaves is packed best-fit.
 STEPS = 6
+#: Characters of white space in one run from which a text goes to the slower tokenizer; the rank encoder's stack ends at some 800 000.
+LONG_SPACE = 1 << 16
+SPACE = re.compile(r"\s{64,}")
 #: Bytes of text given to the tokenizer at once.
 BATCH_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length int, ids binary, task int, rank long"
@@ -82,7 +91,8 @@ class Encoder:
     """Token ids of texts, as `tokenizers` gives them with add_special_tokens=False.
 
     The byte-level vocabulary is also run as ranks (the same ids, five times
-    as fast); a text that holds a special token's string goes to `tokenizers`.
+    as fast); a text that holds a special token's string, or a very long run of
+    white space, goes to `tokenizers`.
     """
 
     def __init__(self, json_path: str, ranks_path: str | None):
@@ -105,7 +115,8 @@ class Encoder:
         return Tokenizer.from_file(self.json_path)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        spaced = len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in SPACE.finditer(text))
+        if self.fast is None or spaced or any(s in text for s in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -288,15 +299,20 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
                         slots[k].pop(0)
                 taken.append(mine)
             edges = sorted(cut)
-            filled = [0] * (len(edges) - 1)
+            inside: list[list[int]] = [[] for _ in edges[1:]]  # the lengths of each run of equal uses
             for mine in taken:
                 for at, take, n in mine:
                     for e in range(edges.index(at), edges.index(at + take)):
-                        place(n, edges[e + 1] - edges[e], bins + edges[e], 1, filled[e])
-                        filled[e] += n
-            for e, f in enumerate(filled):
-                add(capacity - f, bins + edges[e], edges[e + 1] - edges[e])
-            bins += uses
+                        inside[e].append(n)
+            for e, own in enumerate(inside):
+                free, count, at = capacity - sum(own), edges[e + 1] - edges[e], 0
+                if WASTE < free < ROOM:
+                    continue  # no small piece would fill that: these join step 4
+                for n in own:
+                    place(n, count, bins, 1, at)
+                    at += n
+                add(free, bins, count)
+                bins += count
     # 4. the rest best-fit, longest first
     for n in sorted(left, reverse=True):
         spaces = sorted(s for s in frees if s >= n)

@@ -535,3 +535,17 @@ def test_mixture_equals_a_plain_walk(docs, fraction, epochs):
     assert rows == taken_plainly(plain, fraction, epochs, 3, lambda sums, total: mixture.budgets(sums, mixture.WEIGHTS, total, epochs))
     alone = mixture.mix_sources(d, mixture.document_levels(), mixture.WEIGHTS, fraction, epochs=epochs, seed=3, told=False)
     assert alone.columns == d.columns and alone.count() == sum(rows.values())
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000, "\t \n　" * 500_000, "a" * 1_000_000, "7" * 300_000 + " " * 70_000 + "x"])
+def test_long_runs_are_encoded(text):
+    ids = ENCODER(text)
+    assert len(ids) and ENCODER.full.decode(ids.tolist()) == text
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_configurations_need_no_more_sequences_than_best_fit(seed):
+    rng = random.Random(seed)
+    lengths = Counter(min(1024, max(1, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(9000)) + Counter({1024: 4000})
+    plan, bins = packing.pack_plan(dict(lengths))
+    assert bins <= packing.pack_plan(dict(lengths), small=0.5)[1] + 2
