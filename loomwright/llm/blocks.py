@@ -45,18 +45,23 @@ def count_blocks(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return blocks_for(total), total
 
 
-def into_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, block. Other columns, whatever their names, take no part."""
-    one = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def into_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str = "text", kept: bool = False) -> DataFrame:
+    """doc_id, text, block. Other columns, whatever their names, take no part; kept: each but the text comes along as own0, own1, ..."""
+    own = [F.col(c).alias(f"own{k}") for k, c in enumerate(docs.columns) if kept and c != text]
+    one = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *own)
     return one.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
 
 
-def ids_and_texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids (NO_ID for null) and UTF-8 texts (empty for null), in an order that depends on the rows only."""
+def row_order(table: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:
+    """Ids (NO_ID for null) and UTF-8 texts (empty for null), in an order that depends on the rows only, and that order."""
     ids = table.column("doc_id").fill_null(NO_ID).to_numpy().astype(np.int64)
     texts = table.column("text").fill_null("").cast(pa.large_binary()).to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-    return ids[order], [texts[i] for i in order]
+    return order, ids[order], [texts[i] for i in order]
+
+
+def ids_and_texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    return row_order(table)[1:]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -99,7 +104,7 @@ def rows(schema: str, **columns) -> pa.Table:
 
 
 def sent(block: int, shards: int, shard_of: np.ndarray, **parts: Callable[[slice], bytes]) -> pa.Table:
-    """One row for each shard and part, from a list sorted by shard."""
+    """One row for each shard and part, from a list sorted by shard; a part is made from the slice of the list that a shard gets."""
     at = cuts(shard_of, shards)
     out = [(s, p, f(slice(at[s], at[s + 1]))) for s in range(shards) if at[s] < at[s + 1] for p, f in parts.items()]
     return rows(SENT, shard=[x[0] for x in out], block=[block] * len(out), part=[x[1] for x in out], body=[x[2] for x in out])

@@ -77,7 +77,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts its lineage, and fixes what a rerun might order otherwise."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str | None]:

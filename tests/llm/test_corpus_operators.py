@@ -136,19 +136,85 @@ def test_similarity_join(docs, width, percent):
 def test_frequent_tokens_find_their_pairs():
     """Any two sets over the threshold share a signature, whatever the frequencies."""
     rng = np.random.default_rng(1)
-    for n in (20, 45, 60, 200):
+    for n in (20, 45, 60, 200, 2100, 9000):
         for percent in (80, 90):
-            for _ in range(20):
+            for _ in range(20 if n < 1000 else 4):
                 whole = rng.integers(1, 1 << 60, n).astype(np.uint64)
                 lose = (100 - percent) * n // 200
                 other = np.concatenate([whole[lose:], rng.integers(1, 1 << 60, lose).astype(np.uint64)])
-                level = {int(t): int(f) for t, f in zip(np.unique(np.concatenate([whole, other])), rng.integers(2, 12, 2 * n), strict=False)}
+                level = {int(t): int(f) for t, f in zip(np.unique(np.concatenate([whole, other])), rng.integers(2 if n < 1000 else 8, 12, 2 * n), strict=False)}
                 both = [ngram_join.signatures(np.sort(s), np.array([level[int(t)] for t in np.sort(s)]), percent) for s in (whole, other)]
                 common = len(np.intersect1d(whole, other))
                 if 100 * common >= percent * (2 * n - common):
                     assert len(np.intersect1d(*both))
 
 
+def test_signatures_stay_in_proportion():
+    rng = np.random.default_rng(1)
+    for n in (1000, 10_000, 100_000):
+        token = np.sort(rng.integers(1, 1 << 62, n).astype(np.uint64))
+        assert len(ngram_join.signatures(token, np.full(n, 20, np.uint8), 80)) < 30 * n
+
+
+def test_null_and_repeated_ids_join_nothing(spark):
+    """Null-id rows are documents of their own, and so are rows of one id with different texts."""
+    rng = random.Random(8)
+    near = lambda t: " ".join([*t.split()[:-1], f"z{rng.random()}"])
+    a, b, c = (" ".join(f"{x}{rng.randrange(9000)}" for _ in range(120)) for x in "abc")
+    rows = [(10, a), (20, b), (None, near(a)), (None, near(b)), (None, near(c)), (None, near(c)), (30, a + " more"), (30, near(b)), (40, None), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("x")).withColumn("row", F.monotonically_increasing_id())
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(d).collect())
+    assert got == Counter([(10, 10), (20, 20), (None, 10), (None, 20), (None, None), (None, None), (30, 10), (30, 20), (40, 40), (None, None)])
+    kept = ngram_join.drop_near_duplicates(d.unionByName(d))
+    assert kept.columns == d.columns
+    texts = Counter(r["text"] for r in kept.collect())
+    assert texts[a] == texts[b] == 1 and texts[None] == 4 and sum(texts.values()) == 7
+
+
+def test_copies_of_a_template_need_no_pair_of_parts(spark, monkeypatch):
+    """5 000 near copies: units grow with the copies, not with their square; labels as by one unit."""
+    monkeypatch.setattr(ngram_join, "UNIT", 64)
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    other = [f"u{i}" for i in range(57)] + base[:3]
+    rows += [(6000 + i, " ".join([*other[:-4], f"y{i}", *base[:3]])) for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    wrote = []
+    plain = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: wrote.append((name, plain(df, name))) or wrote[-1][1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(d, 5, 80).collect()}
+    assert set(got[i] for i in range(5000)) == {0} and set(got[6000 + i] for i in range(100)) == {6000}
+    first, rest = (sum(len(blocks.unpack(r["body"])) // 5 for r in t.where("block >= 0").collect()) for n, t in wrote if n == "units")
+    assert rest < 200 * 5100 and first < 200 * 5100
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(1, 2000)), min_size=1, max_size=400))
+def test_parts_meet_across_labels(members):
+    """Any two members of different labels are in parts that meet."""
+    key = np.arange(len(members))
+    label, size = np.array([m[0] for m in members]), np.array([m[1] * 200 for m in members])
+    parts = ngram_join.cut_by_label(key, size, label)
+    for i, (p, meets) in enumerate(parts):
+        for j, (q, _) in enumerate(parts):
+            assert label[i] == label[j] or q in meets
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "LIGHT", 3)
+    monkeypatch.setattr(components, "HEAVY", 20)
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 2000 + i) for i in range(1, 9)]
+    d = spark.createDataFrame([(f"{a:05d}".encode(), f"{b:05d}".encode()) for a, b in edges], "a binary, b binary")
+    got = {int(r["node"]): int(r["label"]) for r in components.components(d).collect()}
+    assert got == {i: 0 for i in range(300)} | {i: 1000 for i in range(1000, 1071)} | {i: 2000 for i in range(2000, 2009)}
+    assert components.components(d.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 99), (99, 98), (5, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(edges).collect()}
