@@ -16,32 +16,48 @@ from loomwright.llm import mixture, ngram_join, packing, secrets, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trained on the labelled documents of the stage's input."""
+    """Documents that the model accepts. It is trained on the labelled documents of the stage's input.
+
+    Null and empty texts score as the base rate and stay; null ids are scored, not trained on; equal texts are decided alike;
+    whole texts count, however long; without labels of both kinds all rows stay; columns of any name stay; an empty table gives none.
+    """
     model = toxicity.train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets with a similarity of 0.8: that of least id.
+    """One row of each component of five-word shingle sets with a similarity of 0.8: that of least id, a null one being the largest.
 
-    Documents without words are no duplicates of anything and stay.
+    Rows are dropped as rows, not by id: repeated rows leave one, and another text of a dropped row's id stays. Null and empty
+    texts are no duplicates of anything and stay; columns of any name stay; an empty table gives none.
     """
-    groups = ngram_join.near_duplicates(docs, width=5, percent=80)
-    gone = groups.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return ngram_join.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets of fewer than secrets.WIDE sources replaced in the text.
+
+    A null text stays null, an empty one empty; null sources are one owner; repeated rows and equal texts are redacted alike,
+    whole texts whatever their length; columns of any name stay; an empty table gives none.
+    """
     return secrets.redact_live(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the budgets take, the one at a cut included; one epoch, so none twice."""
-    return mixture.mix_sources(docs, mixture.document_levels(), mixture.WEIGHTS, fraction=0.9, epochs=1, seed=17).select(docs.columns)
+    """Documents that the budgets take, the one at a cut included; one epoch, so none twice.
+
+    Null and empty texts have no tokens and go; null languages and sources are the label ''; ties of the hash are ordered by id
+    and text; repeated rows are rows of their own; columns of any name stay; an empty table gives none.
+    """
+    return mixture.mix_sources(docs, mixture.document_levels(), mixture.WEIGHTS, fraction=0.9, epochs=1, seed=17, told=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, token ids, sequence_id and offset of each piece."""
+    """doc_id, piece, start, length, token ids, sequence_id and offset of each piece.
+
+    Null and empty texts are one token; long ones are cut into pieces; rows of equal or null ids and equal texts are packed each
+    for itself; other columns, whatever their names, end here; an empty table gives none.
+    """
     pieces = packing.written(packing.tokenized_pieces(docs, packing.CAPACITY, *packing.vocabulary()), "sequences")
     return packing.place_pieces(pieces, packing.CAPACITY)
 
@@ -53,8 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each written to the shared folder and read again; a stage's table goes when the next one is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = packing.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            packing.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
