@@ -615,3 +615,46 @@ def test_configurations_need_no_more_sequences_than_best_fit(seed):
     lengths = Counter(min(1024, max(1, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(9000)) + Counter({1024: 4000})
     plan, bins = packing.pack_plan(dict(lengths))
     assert bins <= packing.pack_plan(dict(lengths), small=0.5)[1] + 2
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """documents with nulls in each column, empty and long texts, repeated rows, ties and columns that clash with the stages' own."""
+    rng = random.Random(11)
+    text = lambda k: " ".join(f"w{rng.randrange(500)}" for _ in range(k))
+    copy = text(60)
+    rows = [(i, text(30), "en", f"src{i % 4}", 9) for i in range(40)]
+    rows += [(50, None, "en", "src1", None), (51, "", None, None, 0), (None, text(20), None, "src2", 3), (None, copy, "de", None, 3), (52, copy, "de", "src3", 3), (53, copy, "de", "src1", 3)]
+    rows += [(54, text(30_000), "en", "src0", 5), (55, "ab " * 20_000, "en", "src2", 5), (56, "vile nasty words password=abcdefghijklm", "en", "src5", 1)] + 2 * [(57, text(25), "en", "src1", 2), (58, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("block", "_take", "_leaf", "_id", "_text", "_owner", "_row", "_whole", "_spans", "own0", "node", "task", "length", "rank", "label", "u"):
+        d = d.withColumn(c, F.lit(c))
+    return d
+
+
+def test_stages_on_odd_tables(spark, odd_docs, sf_dir, tmp_path):
+    """Every stage keeps the columns, crashes on nothing and gives what its docstring states; also on an empty table."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(56, 1), (None, 1), (55, None)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = Counter(map(repr, odd_docs.collect()))
+    clean = stages["toxicity"](spark, odd_docs, str(tmp_path))
+    assert clean.columns == odd_docs.columns and not Counter(map(repr, clean.collect())) - rows
+    assert clean.where("text is null").count() == 3
+    single = stages["ngram_jaccard_join"](spark, odd_docs, str(tmp_path))
+    got = single.collect()
+    assert single.columns == odd_docs.columns and not Counter(map(repr, got)) - rows
+    ids = Counter(r["doc_id"] for r in got)
+    assert ids[52] == 1 and ids[53] == 0 and ids[57] == 1 and ids[58] == 2 and ids[None] == 1 and len(got) == sum(rows.values()) - 3
+    safe = stages["secret_scan"](spark, odd_docs, str(tmp_path))
+    assert safe.columns == odd_docs.columns and safe.count() == sum(rows.values())
+    assert [r["text"] for r in safe.where("doc_id = 56").collect()] == [f"vile nasty words {secrets.MARK}"] and safe.where("text is null").count() == 3
+    mixed_rows = stages["source_mixture"](spark, odd_docs, str(tmp_path))
+    assert mixed_rows.columns == odd_docs.columns and not Counter(map(repr, mixed_rows.collect())) - rows and mixed_rows.where("text is null or text = ''").count() == 0
+    pieces = stages["best_fit_packing"](spark, odd_docs, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(r["doc_id"] for r in odd_docs.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs.limit(0), str(tmp_path))
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == odd_docs.columns)
