@@ -14,13 +14,14 @@ annuli within the bound are searched in the second round. Bounds have slack for
 rounding, scores are exact integers, so the result is exact (recall 1).
 
 At most ANNULI annuli exist, whatever the number of vectors, so their list of
-(pivot, near, far) has a bounded size; queries meet an annulus in groups of
-QUERIES, so neither side of a task grows with the other.
+(pivot, near, far) has a bounded size. Queries meet an annulus in groups of
+QUERIES of those that ask for it, so neither side of a task grows with the
+other, and an annulus that no query reaches is sent nowhere.
 
 Defined results: null vectors, and vectors with null or non-finite components,
 take no part; shorter vectors count as padded with zeros; vec_id is a key:
-rows of the query's id are no candidates, each other row is one; a null id
-takes no part; fewer than k candidates give all; ties go to the smaller id;
+rows of the query's id are no candidates, each other row is one, and of two
+queries of one id the smaller vector asks; a null id takes no part; fewer than k candidates give all; ties go to the smaller id;
 other columns are ignored; an empty table gives none.
 """
 
@@ -37,6 +38,8 @@ PIVOTS = 64
 BLOCK = 2048
 ANNULI = 200_000
 QUERIES = 1024
+#: Distances of queries to annuli that a task holds at once.
+PAIRS = 1 << 22
 SLACK = 1e-6
 KEYED = "id long, pivot int, near double, vector binary"
 FOUND = "query long, id long, score long"
@@ -89,7 +92,6 @@ def top_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     space = Space(np.stack([np.pad(np.array(r["v"], np.int64), (0, dim - len(r["v"]))) for r in every.orderBy(F.xxhash64("v"), "id").limit(PIVOTS).collect()]), most)
     size = max(BLOCK, -(-facts["n"] // ANNULI))
     parts = max(1, -(-facts["n"] // size))
-    chunks = max(1, -(-asked.count() // QUERIES))
 
     def keyed(batches):
         for b in batches:
@@ -116,38 +118,40 @@ def top_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     known = sorted(index.select("annulus", "pivot", "near", "far").collect())  # at most ANNULI rows, and one more for each pivot and partition cut
     number, pivot, near, far = (np.array([r[c] for r in known]) for c in range(4))
 
-    def own(batches):
+    step = max(1, PAIRS // max(1, len(known)))
+
+    def own(v):
         """The nearest annuli of the query's own pivot, as many as may hold k others."""
-        for b in batches:
-            v = matrix(b.column("v"), dim)
-            all_d = space.distances(v)
-            home = all_d.argmin(axis=1)
-            d = all_d[:, pivot]
-            g = np.maximum(0, np.maximum(d - far, near - d))
-            q, a, out = b.column("id").to_pylist(), [], []
-            for i in range(len(v)):
-                mine = np.flatnonzero(pivot == home[i])
-                for m in mine[np.argsort(g[i, mine], kind="stable")][:2]:
-                    out.append(i)
-                    a.append(int(number[m]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([q[i] for i in out], pa.int64()), pa.array([v[i].tobytes() for i in out], pa.binary())], names=["annulus", "query", "asked"])
-
-    def others(batches):
+        all_d = space.distances(v)
+        home = all_d.argmin(axis=1)
+        d = all_d[:, pivot]
+        g = np.where(pivot == home[:, None], np.maximum(0, np.maximum(d - far, near - d)), np.inf)
+        two = np.argsort(g, axis=1, kind="stable")[:, :2]
+        return [number[m[np.isfinite(x[m])]] for m, x in zip(two, g, strict=True)]
+
+    def others(v, kth):
         """All annuli that the bound doesn't exclude."""
-        for b in batches:
-            v = matrix(b.column("v"), dim)
-            kth = np.array([float("-inf") if x is None else x for x in b.column("kth").to_pylist()])
-            q = b.column("id").to_pylist()
-            f = v.astype(np.float64)
-            norm2 = (f**2).sum(axis=1)
-            # a query's further coordinate is 0, so that only true products enter its distances
-            d = np.sqrt(np.maximum(norm2[:, None] + most - 2 * (f @ space.pivots.T), 0))[:, pivot]
-            reach = np.sqrt(np.maximum(norm2 + most - 2 * kth, 0))
-            gap = np.maximum(0, np.maximum(d - far, near - d))
-            i, m = np.nonzero(gap <= (reach * (1 + SLACK) + SLACK)[:, None])
-            for k0 in range(0, max(len(i), 1), 4096):
-                ii, mm = i[k0 : k0 + 4096], m[k0 : k0 + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(number[mm].astype(np.int64)), pa.array([q[x] for x in ii], pa.int64()), pa.array([v[x].tobytes() for x in ii], pa.binary())], names=["annulus", "query", "asked"])
+        f = v.astype(np.float64)
+        norm2 = (f**2).sum(axis=1)
+        # a query's further coordinate is 0, so that only true products enter its distances
+        d = np.sqrt(np.maximum(norm2[:, None] + most - 2 * (f @ space.pivots.T), 0))[:, pivot]
+        reach = np.sqrt(np.maximum(norm2 + most - 2 * kth, 0))
+        gap = np.maximum(0, np.maximum(d - far, near - d))
+        near_enough = gap <= (reach * (1 + SLACK) + SLACK)[:, None]
+        return [number[m] for m in near_enough]
+
+    def asks(choose):
+        """Each query with the list of its annuli; so many queries at once that their distances to all annuli are PAIRS numbers at most."""
+
+        def run(batches):
+            for batch in batches:
+                for k in range(0, batch.num_rows, step):
+                    b = batch.slice(k, step)
+                    v = matrix(b.column("v"), dim)
+                    kth = np.array([float("-inf") if x is None else x for x in b.column("kth").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(choose(v, kth), pa.list_(pa.int64()))], names=["query", "asked", "annuli"])
+
+        return run
 
     def search(_, left, right):
         if not left.num_rows or not right.num_rows:
@@ -168,15 +172,18 @@ def top_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: int =
             out.append((np.full(len(best), q[i]), ids[free][best], s[best]))
         return pa.table(dict(zip(("query", "id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
-    blocks = index.select("annulus", "ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-
-    def searched(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int"))
+    def searched(queries: DataFrame, choose, name: str) -> DataFrame:
+        """An annulus is sent once for each QUERIES of the queries that ask for it, not of all."""
+        asking = written(queries.mapInArrow(asks(choose), "query long, asked binary, annuli array<long>"), name)
+        pairs = asking.select("query", "asked", F.explode("annuli").alias("annulus"))
+        chunks = pairs.groupBy("annulus").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))  # at most one row for each annulus
+        pairs = pairs.join(F.broadcast(chunks), "annulus").withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int")).drop("chunks")
+        blocks = index.select("annulus", "ids", "vectors").join(F.broadcast(chunks), "annulus").select("annulus", "ids", "vectors", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         return pairs.groupBy("annulus", "chunk").cogroup(blocks.groupBy("annulus", "chunk")).applyInArrow(lambda key, a, b: search(key, a, b), FOUND)
 
-    asked = asked.dropDuplicates(["id"])
-    pair = "annulus long, query long, asked binary"
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    first = searched(asked.mapInArrow(own, pair)).withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select(F.col("query").alias("id"), F.col("score").alias("kth"))
-    second = searched(asked.join(first, "id", "left").mapInArrow(others, pair))
+    first = searched(asked.withColumn("kth", F.lit(None).cast("long")), lambda v, kth: own(v), "near")
+    first = first.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select(F.col("query").alias("id"), F.col("score").alias("kth"))
+    second = searched(asked.join(first, "id", "left").select("id", "v", "kth"), others, "reached")
     return second.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

@@ -390,7 +390,7 @@ def test_media(spark, docs, empty):
     assert matroska.read_back(matroska.store_texts(empty)).count() == 0
 
 
-def test_top_products(spark):
+def test_top_products(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 8)).astype(np.float32)
     x[100:180] = x[7]
@@ -402,6 +402,12 @@ def test_top_products(spark):
         best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
     assert len(got) == 5 * sum(i % 50 == 0 for i in whole)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "PAIRS", 5)
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_products(d, d.where("vec_id % 50 = 0")).collect()} == got
+    twice = spark.createDataFrame([(0, [9.0] * 8), (0, [-9.0] * 8)], "vec_id long, embedding array<float>")
+    assert [topk.top_products(d, q).first()["vec_id"] for q in (twice, twice.orderBy("embedding"), twice.where("embedding[0] < 0"))].count(max((int(whole[i] @ np.full(8, -9 * 256)), -i) for i in whole if i)[1] * -1) == 3
     few = d.where("vec_id < 3")
     assert topk.top_products(few, few.where("vec_id = 0")).count() == 2
     assert topk.top_products(d.limit(0), d.limit(0)).count() == 0
