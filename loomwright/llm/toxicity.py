@@ -6,10 +6,11 @@ marks which of the model's words a text has; expected severity is the sum over
 k of P(grade > k).
 
 Training is on a bounded sample (LABELLED rows, those of least hash of their
-id; equal word sets count once). Labels are binary, so toxic rows get grades 1
-to 3 by thirds of the number of telling words they have. The model's words are
-the FEATURES with the largest chi-square against the label. Scoring covers
-every document.
+id; equal word sets of one grade count once). Grades are labels' own: a column
+`grade` (0 for clean, then ever worse), or else `toxic` as grades 0 and 1, with
+one threshold; nothing is made up beyond what the labels tell. The model's
+words are the FEATURES with the largest chi-square against grade 0. Scoring
+covers every document.
 
 Defined results: null and empty texts have no words and score as the base
 rate; equal texts score alike; labels of unknown documents and null labels are
@@ -34,7 +35,6 @@ LABELLED = 10_000
 FEATURES = 300
 #: Rows that must have a word.
 LEAST_ROWS = 8
-GRADES = 4
 #: Lengths of the beginnings that are features.
 STEMS = (4, 5)
 PENALTY = 5e-5
@@ -87,60 +87,58 @@ def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, features: int, steps:
     return value[:features], np.cumsum(np.concatenate([value[features : features + 1], np.exp(value[features + 1 :])]))
 
 
-def train(vocabulary: list[tuple[str, int, int]], samples: list[tuple[frozenset[str], bool]]) -> Model:
-    """From the model's words (with the rows and toxic rows that have each) and rows of (model words, toxic)."""
-    n, pos = len(samples), sum(t for _, t in samples)
-    if not 0 < pos < n:
-        return Model({}, (50.0,) * (GRADES - 1))
+def train(vocabulary: list[str], samples: list[tuple[frozenset[str], int]]) -> Model:
+    """From the model's words, and rows of (model words, grade)."""
+    grade = np.array([g for _, g in samples])
+    if not len(grade) or not 0 < np.sum(grade > 0) < len(grade):
+        return Model({}, (50.0,))
     samples = sorted(samples, key=lambda s: (sorted(s[0]), s[1]))
-    telling = {w for w, have, toxic in vocabulary if toxic * n > 3 * have * pos}
-    words = sorted(w for w, _, _ in vocabulary)
+    grade = np.array([g for _, g in samples])
+    words = sorted(vocabulary)
     number = {w: k for k, w in enumerate(words)}
-    intensity = np.array([len(own & telling) for own, _ in samples])
-    toxic = np.array([t for _, t in samples])
-    cut = np.quantile(intensity[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + (intensity > cut[0]) + (intensity > cut[1]), 0)
     present = sorted(set(grade.tolist()))
     rows = [np.array(sorted(number[w] for w in own if w in number), np.int64) for own, _ in samples]
     weights, thresholds = fit_ordinal(rows, np.searchsorted(present, grade), len(words))
     full = []
-    for k in range(GRADES - 1):  # a grade that no row has gets no room
+    for k in range(present[-1]):  # a grade that no row has gets no room
         at = sum(g <= k for g in present)
-        full.append(thresholds[at - 1] if at < len(present) else thresholds[-1] + 50)
+        full.append(thresholds[at - 1])
     return Model({w: float(x) for w, x in zip(words, weights, strict=True)}, tuple(float(x) for x in full))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, features: int = FEATURES, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """The words are counted and chosen in the cluster; the driver gets each row's model words only."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
-    known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(labelled)
+    """labels: doc_id, and grade or toxic. The words are counted and chosen in the cluster; the driver gets each row's model words only."""
+    grade = F.col("grade").cast("int") if "grade" in labels.columns else F.col("toxic").cast("int")
+    known = labels.where(F.col("doc_id").isNotNull() & grade.isNotNull()).select(F.col("doc_id").alias("_id"), F.greatest(grade, F.lit(0)).alias("_grade"))
+    known = known.groupBy("_id").agg(F.max("_grade").alias("_grade")).orderBy(F.xxhash64("_id"), "_id").limit(labelled)
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), "_id")  # at most `labelled` rows
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("_toxic"), pa.array([sorted(words_of(t.as_py())) for t in b.column("_text")], pa.list_(pa.string()))], names=["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("_grade"), pa.array([sorted(words_of(t.as_py())) for t in b.column("_text")], pa.list_(pa.string()))], names=["grade", "words"])
 
-    found = rows.mapInArrow(run, "toxic int, words array<string>")
-    found = written(found.groupBy(F.sha2(F.concat_ws(" ", "words"), 256).alias("same"), (F.col("toxic") > 0).alias("toxic")).agg(F.first("words").alias("words")), "labelled")
-    sides = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    found = rows.mapInArrow(run, "grade int, words array<string>")
+    found = written(found.groupBy(F.sha2(F.concat_ws(" ", "words"), 256).alias("same"), "grade").agg(F.first("words").alias("words")), "labelled")
+    toxic = F.col("grade") > 0
+    sides = {r["toxic"]: r["n"] for r in found.groupBy(toxic.alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n, pos = sum(sides.values()), sides.get(True, 0)
     if not 0 < pos < n:
         return train([], [])
-    counts = found.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("have"), F.count_if("toxic").alias("toxic"))
+    counts = found.select("grade", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("have"), F.count_if(toxic).alias("toxic"))
     counts = counts.where(F.col("have") >= min(LEAST_ROWS, max(1, pos // 4)))
     expected = F.col("have") * (pos / n)
     chi = (F.col("toxic") - expected) ** 2 * (1 / expected + 1 / F.greatest(F.col("have") - expected, F.lit(1e-9)))
-    vocabulary = [(r["word"], r["have"], r["toxic"]) for r in counts.orderBy(chi.desc(), "word").limit(features).collect()]
-    own = F.array_intersect("words", F.array(*(F.lit(w) for w, _, _ in vocabulary)).cast("array<string>"))
-    return train(vocabulary, [(frozenset(r["own"]), r["toxic"]) for r in found.select("toxic", own.alias("own")).collect()])
+    vocabulary = [r["word"] for r in counts.orderBy(chi.desc(), "word").limit(features).collect()]
+    own = F.array_intersect("words", F.array(*map(F.lit, vocabulary)).cast("array<string>"))
+    return train(vocabulary, [(frozenset(r["own"]), r["grade"]) for r in found.select("grade", own.alias("own")).collect()])
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Expected severity (0 to 3), P(toxic), the likeliest grade and the decision for each document."""
+    """Expected severity (0 to the worst grade), P(grade > 0), the likeliest grade and the decision for each document."""
 
     def run(batches):
         for b in batches:
-            above = np.array([model.above(t.as_py()) for t in b.column("_text")]).reshape(-1, GRADES - 1)
+            above = np.array([model.above(t.as_py()) for t in b.column("_text")]).reshape(-1, len(model.thresholds))
             edge = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
             grade = (edge[:, :-1] - edge[:, 1:]).argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
