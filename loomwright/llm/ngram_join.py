@@ -60,8 +60,8 @@ WIDTH = 64
 FREQUENT = 7
 CLASSES = 32
 #: Most sets of a unit's side, and most tokens of them in the mean.
-UNIT = 512
-UNIT_TOKENS = 1 << 19
+UNIT = 2048
+UNIT_TOKENS = 1 << 21
 LEADERS = 4
 CLASSED = "doc_id long, n_shingles long, class_id long, component_id long"
 EDGES = "a binary, b binary"
@@ -350,30 +350,33 @@ class Join:
                 if near.sum() > 1:
                     yield k[near], s[near]
 
-        def told(shard, to: dict[int, set], need: list[np.ndarray]):
+        def told(shard, to: dict[int, set], cut: list[tuple[np.ndarray, np.ndarray]]):
+            """Units by block; and, as of block -1, the lists that are cut."""
             blocks = sorted(to)
+            part = ["units"] * len(blocks)
             body = [B.pack(np.array(sorted(to[b]), np.uint64).reshape(-1)) for b in blocks]
-            if need:
-                blocks.append(-1)
-                body.append(B.pack_sorted(np.unique(np.concatenate(need)).view(np.uint64)))
-            return B.rows(B.ANSWER, block=blocks, shard=[shard] * len(blocks), part=["units"] * len(blocks), body=body)
+            if cut:
+                blocks += [-1] * 3
+                part += ["length", "key", "size"]
+                body += [B.pack(np.array([len(k) for k, _ in cut], np.uint64)), *(B.pack(np.concatenate([x[j] for x in cut]).astype(np.uint64)) for j in range(2))]
+            return B.rows(B.ANSWER, block=blocks, shard=[shard] * len(blocks), part=part, body=body)
 
         def assign(shard, table):
-            """Units by block: place, leader, two parts, side. And the nodes of lists that are cut."""
+            """Units by block: place, leader, two parts, side."""
             to: dict[int, set] = {}
-            need = []
+            cut = []
             for key, size in lists_of(table):
                 parts = parts_of(len(key), int(size.sum()))
                 leader = int(key[0])
                 if parts > 1:
-                    need.append(key)
+                    cut.append((key, size))
                 part = (H.mix(key.view(np.uint64), 70) % np.uint64(parts)).astype(np.int64) + (parts << 20)
                 for k, p in zip(key.tolist(), part.tolist(), strict=True):
                     to.setdefault(k >> 32, set()).add((k & 0xFFFFFFFF, leader, p, p, 0))
                 if parts > 1:
                     for k in key[:LEADERS].tolist():
                         to.setdefault(k >> 32, set()).update((k & 0xFFFFFFFF, leader, p, p, 0) for p in np.unique(part).tolist())
-            return told(shard, to, need)
+            return told(shard, to, cut)
 
         def assign_rest(shard, table, known):
             """Units for the pairs of parts of cut lists that are in different components so far."""
@@ -383,9 +386,9 @@ class Join:
             order = np.argsort(nodes)
             nodes, label = nodes[order], label[order]
             to: dict[int, set] = {}
-            for key, size in lists_of(table):
-                if parts_of(len(key), int(size.sum())) < 2:
-                    continue
+            got = dict(zip(table.column("part").to_pylist(), map(B.unpack, table.column("body").to_pylist()), strict=True))
+            ends = np.cumsum(got["length"].astype(np.int64))[:-1]
+            for key, size in zip(*(np.split(got[x].astype(np.int64), ends) for x in ("key", "size")), strict=True):
                 at = np.minimum(np.searchsorted(nodes, key), len(nodes) - 1)
                 mine = np.where(nodes[at] == key, label[at], key)
                 if (mine == mine[0]).all():
@@ -438,26 +441,26 @@ class Join:
         def spread(batches):
             for b in batches:
                 for s, x in zip(b.column("shard").to_pylist(), b.column("body").to_pylist(), strict=True):
-                    nodes = B.unpack_sorted(x).view(np.int64)
+                    nodes = np.unique(B.unpack(x)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), s, np.int32)), pa.array(nodes)], names=["shard", "node"])
 
         first = B.answer(B.ask(d, B.SENT, tell), merge)
         second = written(B.ask_again(d, first, B.SENT, index), "signatures")
         rows = second.where("part = 'row'")
-        sent = second.where("shard >= 0")
 
         def edges_of(units: DataFrame) -> DataFrame:
             return B.answer(B.ask_again(d, units.where("block >= 0").unionByName(rows.select(*units.columns)), B.SENT, gather), verify, EDGES)
 
-        third = written(B.answer(sent, assign), "units")
+        third = written(B.answer(second.where("shard >= 0"), assign), "units")
         labels = components(edges_of(third))
-        need = third.where("block < 0")
+        cut = third.where("block < 0")
+        need = cut.where("part = 'key'")
         if need.limit(1).count():
             key = labels.select(_half("node", 1).cast("long").alias("node"), _half("label", 1).cast("long").alias("label"))
             known = need.select("shard", "body").mapInArrow(spread, "shard int, node long").join(key, "node")
             # a shard none of whose cut lists' nodes are linked has them all apart
             known = known.unionByName(need.select("shard", F.lit(-1).cast("long").alias("node"), F.lit(-1).cast("long").alias("label")))
-            rest = sent.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda k, a, b: assign_rest(k[0].as_py(), a, b), B.ANSWER)
+            rest = cut.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda k, a, b: assign_rest(k[0].as_py(), a, b), B.ANSWER)
             rest = edges_of(written(rest, "units"))
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
         self.facts = second.where("shard < 0")
