@@ -1,10 +1,16 @@
 """Quota-constrained, diversity-aware selection.
 
-The cluster reduces the candidates to what a sequential choice can still use:
-one best pair for each (instance, model), and for the diversity picks the best
-`quota` rows of each (target, model, band, instance), among which every term
-that the choice itself changes is equal. The choice then runs on the driver
-over that bounded rest.
+The cluster reduces the candidates to what a sequential choice can still use,
+and the choice runs on the driver over that rest. Its size is bounded by the
+quotas, not by the candidates (a repository is a function of the instance):
+
+* What a pick changes is equal for all pairs of one (model, bands, repository),
+  so only the best `quota` of each can be picked. Picks touch as many
+  repositories as there are; a pair of a repository whose best pair is behind
+  those of more repositories than that is beaten by an untouched one.
+* For diversity picks the same holds of (target, model, band, repository), with
+  the best row of each instance. Further rows of an instance count only where
+  a (target, model) may run out of instances, and then these are few.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
@@ -33,9 +39,9 @@ class Quotas:
 
 
 def paired_capacity(candidates: DataFrame) -> DataFrame:
-    """Distinct instances of each model that have both outcomes."""
-    both = candidates.groupBy("model_short", "instance_id").agg(F.min("target").alias("a"), F.max("target").alias("b")).where("a <> b")
-    return both.groupBy("model_short").agg(F.count("*").alias("capacity"))
+    """Distinct instances of each model that have both outcomes; 0 for a model that has none."""
+    both = candidates.groupBy("model_short", "instance_id").agg(F.when(F.min("target") != F.max("target"), 1).otherwise(0).alias("pair"))
+    return both.groupBy("model_short").agg(F.sum("pair").cast("long").alias("capacity"))
 
 
 def fit_quotas(capacity: Mapping[str, int], preferred: Mapping[str, int], total: int) -> dict[str, int]:
@@ -59,15 +65,52 @@ def pair_options(candidates: DataFrame, seed: int = SEED) -> DataFrame:
     return pairs.withColumn("score", F.col("success.quality_score") + F.col("failure.quality_score") + differ + T.stable_jitter(F.col("instance_id"), seed))
 
 
+def _top(d: DataFrame, keys: list[str], order: list, n: int | Column, name: str) -> DataFrame:
+    return d.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
+
+
+def _of_best_repositories(d: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    """The rows of those n repositories, for each of keys, whose first rows are best."""
+    best = _top(_top(d, [*keys, "repository"], order, 1, "_one"), keys, order, n, "_place").select(*keys, "repository")
+    return d.join(best, [*keys, "repository"], "left_semi")
+
+
+def _by_model(counts: Mapping[str, int]) -> Column:
+    out = F.lit(0)
+    for m, n in counts.items():
+        out = F.when(F.col("model_short") == m, n).otherwise(out)
+    return out
+
+
+def pair_contenders(options: DataFrame, quotas: Quotas) -> DataFrame:
+    """The pair options that the choice of pairs can reach."""
+    d = options.where(F.col("model_short").isin(*quotas.pairs)).withColumn("_t", F.col("success.length_band")).withColumn("_f", F.col("failure.length_band"))
+    order = [F.desc("score"), "instance_id"]
+    d = _of_best_repositories(d, ["model_short", "_t", "_f"], order, sum(quotas.pairs.values()) + 1)
+    return _top(d, ["model_short", "_t", "_f", "repository"], order, _by_model(quotas.pairs), "_r").drop("_t", "_f", "_r")
+
+
+def diversity_contenders(candidates: DataFrame, quotas: Quotas) -> DataFrame:
+    """The rows that the diversity picks can reach, with jitter."""
+    pairs, totals = quotas.pairs, quotas.totals
+    picks = sum(2 * totals[m] for m in totals)
+    d = candidates.where(F.col("model_short").isin(*totals)).withColumn("jitter", T.stable_jitter(F.col("uid"), quotas.seed))
+    order = [(F.col("quality_score") + F.col("jitter")).desc(), "uid"]
+    used = _by_model({m: 2 * totals[m] - pairs.get(m, 0) for m in totals})  # instances that a model's picks use at most
+    one = _top(d, ["target", "model_short", "length_band", "instance_id"], order, 1, "_r")
+    many = _of_best_repositories(one, ["target", "model_short", "length_band"], order, picks + 1)
+    many = _top(many, ["target", "model_short", "length_band", "repository"], order, used + 1, "_k").drop("_k")
+    scarce = d.groupBy("target", "model_short").agg(F.count_distinct("instance_id").alias("n")).where(F.col("n") <= used).select("target", "model_short")
+    rest = _top(d.join(F.broadcast(scarce), ["target", "model_short"], "left_semi"), ["target", "model_short", "length_band", "instance_id"], order, _by_model(totals) + 1, "_r")
+    return many.where("_r = 1").unionByName(rest.where("_r > 1")).unionByName(rest.where("_r = 1").join(many, "uid", "left_anti")).drop("_r")
+
+
 def select(candidates: DataFrame, quotas: Quotas) -> DataFrame:
     """Paired picks, then diversity picks. candidates: uid, instance_id, repository, model_short, target, quality_score, length_band."""
-    options = [r.asDict(recursive=True) for r in pair_options(candidates, quotas.seed).collect()]
-    most = F.lit(0)
-    for m, n in quotas.totals.items():
-        most = F.when(F.col("model_short") == m, n).otherwise(most)
-    w = Window.partitionBy("target", "model_short", "length_band", "instance_id").orderBy((F.col("quality_score") + F.col("jitter")).desc(), "uid")
-    pruned = candidates.withColumn("jitter", T.stable_jitter(F.col("uid"), quotas.seed)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
-    rows = [r.asDict() for r in pruned.orderBy("uid").collect()]
+    if any(n > quotas.totals.get(m, 0) for m, n in quotas.pairs.items()):
+        raise ValueError("more pairs than rows asked of a model")
+    options = [r.asDict(recursive=True) for r in pair_contenders(pair_options(candidates, quotas.seed), quotas).collect()]
+    rows = [r.asDict() for r in diversity_contenders(candidates, quotas).collect()]
     chosen, state = choose_pairs(options, quotas)
     chosen += choose_diverse(rows, quotas, state)
     return candidates.sparkSession.createDataFrame(chosen, "uid string, selection_group string, pair_id string").join(candidates, "uid")
@@ -76,64 +119,76 @@ def select(candidates: DataFrame, quotas: Quotas) -> DataFrame:
 @dataclass
 class State:
     uids: set[str]
-    instances: set[str]
+    instances: set[tuple[str, str]]  # of a model
     repositories: Counter
     bands: dict[bool, Counter]
-    picks: Counter
+
+
+def _models(quotas: Quotas) -> list[str]:
+    return sorted(quotas.pairs, key=lambda m: (quotas.pairs[m], m))
 
 
 def choose_pairs(options: list[dict], quotas: Quotas) -> tuple[list[tuple], State]:
-    """Pick by pick, smaller quotas first; each pick changes what the next is worth."""
-    state, chosen = State(set(), set(), Counter(), {True: Counter(), False: Counter()}, Counter()), []
-    for model in sorted(quotas.pairs, key=lambda m: (quotas.pairs[m], m)):
-        open_ = {o["instance_id"]: o for o in options if o["model_short"] == model}
+    """Pick by pick, smaller quotas first; each pick changes what the next is worth. Only the first of equal standing is looked at."""
+    state, chosen = State(set(), set(), Counter(), {True: Counter(), False: Counter()}), []
+    for model in _models(quotas):
+        queues: dict[tuple, list[dict]] = {}
+        for o in sorted((o for o in options if o["model_short"] == model), key=lambda o: (o["score"], [-ord(c) for c in o["instance_id"]])):  # the best at the end
+            queues.setdefault((o["success"]["length_band"], o["failure"]["length_band"], o["repository"]), []).append(o)
 
-        def worth(o):
-            good, bad = o["success"], o["failure"]
-            return o["score"] + 3 / (1 + state.bands[True][good["length_band"]]) + 3 / (1 + state.bands[False][bad["length_band"]]) + 2 / (1 + state.repositories[o["repository"]])
+        def worth(key, queues=queues):
+            good, bad, repository = key
+            return queues[key][-1]["score"] + 3.0 / (1 + state.bands[True][good]) + 3.0 / (1 + state.bands[False][bad]) + 2.0 / (1 + state.repositories[repository])
 
         for _ in range(quotas.pairs[model]):
-            few = [o for o in open_.values() if state.repositories[o["repository"]] <= 2] or list(open_.values())
+            open_ = [k for k, q in queues.items() if q]
+            few = [k for k in open_ if state.repositories[k[2]] <= 2] or open_
             if not few:
                 raise ValueError(f"too few pairs of model {model}")
-            o = min(few, key=lambda o: (-worth(o), -o["score"], o["instance_id"]))
-            del open_[o["instance_id"]]
+            key = min(few, key=lambda k: (-worth(k), -queues[k][-1]["score"], queues[k][-1]["instance_id"]))  # noqa: B023
+            o = queues[key].pop()
             pair = f"P{len(chosen) // 2 + 1:02d}"
             for target, side in ((True, o["success"]), (False, o["failure"])):
                 chosen.append((side["uid"], "paired", pair))
                 state.uids.add(side["uid"])
                 state.bands[target][side["length_band"]] += 1
-                state.picks[target, model] += 1
-            state.instances.add(o["instance_id"])
+            state.instances.add((model, o["instance_id"]))
             state.repositories[o["repository"]] += 2
     return chosen, state
 
 
-def choose_diverse(rows: list[dict], quotas: Quotas, state: State) -> list[tuple]:
-    """Fill each (target, model) up to its total, towards the shares of the bands."""
-    chosen = []
+def wanted_bands(quotas: Quotas) -> dict[str, int]:
+    """Rows of each length band that either outcome should have; the last band takes what rounding leaves."""
     size = sum(quotas.totals.values())
+    first = {b: round(size * share) for b, share in list(BAND_SHARES.items())[:-1]}
+    return first | {list(BAND_SHARES)[-1]: size - sum(first.values())}
+
+
+def choose_diverse(rows: list[dict], quotas: Quotas, state: State) -> list[tuple]:
+    """Fill each (target, model) up to its total, towards the shares of the bands: from unused instances of little-used
+    repositories, else from unused instances, else from any unused row."""
+    chosen, wanted = [], wanted_bands(quotas)
     for target in (True, False):
-        for model in quotas.totals:
-            need = quotas.totals[model] - quotas.pairs.get(model, 0)
-            if need < 0:
-                raise ValueError(f"more pairs than rows asked of model {model}")
-            mine = [r for r in rows if r["target"] == target and r["model_short"] == model]
-            for _ in range(need):
-                free = [r for r in mine if r["uid"] not in state.uids]
-                fresh = [r for r in free if r["instance_id"] not in state.instances]
-                tier = [r for r in fresh if state.repositories[r["repository"]] < 4] or fresh or free
+        for model in _models(quotas):
+            queues: dict[tuple, list[dict]] = {}
+            for r in sorted((r for r in rows if r["target"] == target and r["model_short"] == model), key=lambda r: (-(r["quality_score"] + r["jitter"]), r["uid"])):
+                queues.setdefault((r["length_band"], r["repository"]), []).append(r)
+            for _ in range(quotas.totals[model] - quotas.pairs.get(model, 0)):
+                free = {k: next((r for r in q if (model, r["instance_id"]) not in state.instances and r["uid"] not in state.uids), None) for k, q in queues.items()}
+                fresh = {k: r for k, r in free.items() if r is not None}
+                tier = {k: r for k, r in fresh.items() if state.repositories[k[1]] < 4} or fresh
+                tier = tier or {k: r for k, q in queues.items() if (r := next((r for r in q if r["uid"] not in state.uids), None))}
                 if not tier:
                     raise ValueError(f"too few rows of model {model}, target {target}")
 
-                def rank(r):
-                    short = BAND_SHARES.get(r["length_band"], 0) * size - state.bands[target][r["length_band"]]
-                    return r["quality_score"] + 2.0 * min(max(short, 0), 8) + 2.0 / (1 + state.repositories[r["repository"]]) + r["jitter"]
+                def rank(k, tier=tier, target=target):
+                    short = max(wanted.get(k[0], 0) - state.bands[target][k[0]], 0)
+                    return tier[k]["quality_score"] + min(short, 8) * 2.0 + 2.0 / (1 + state.repositories[k[1]]) + tier[k]["jitter"]
 
-                best = max(tier, key=rank)
+                best = tier[min(tier, key=lambda k: (-rank(k), tier[k]["uid"]))]  # noqa: B023
                 chosen.append((best["uid"], "diversity", ""))
                 state.uids.add(best["uid"])
-                state.instances.add(best["instance_id"])
+                state.instances.add((model, best["instance_id"]))
                 state.repositories[best["repository"]] += 1
                 state.bands[target][best["length_band"]] += 1
     return chosen
@@ -146,6 +201,34 @@ def numbered(selected: DataFrame) -> DataFrame:
 
 
 def summary(selected: DataFrame) -> DataFrame:
-    """Counts by group, model, band and target, and by target with model and band, in one pass."""
+    """Counts by group, model, band and target, and by target with model and band, with what is distinct and the scores' range, in one pass."""
     sets = selected.groupingSets([["target"], ["selection_group"], ["model_short"], ["length_band"], ["target", "model_short"], ["target", "length_band"], []], "target", "selection_group", "model_short", "length_band")
-    return sets.agg(F.count("*").alias("n"), F.count_distinct("instance_id").alias("instances"), F.min("quality_score").alias("least"), F.max("quality_score").alias("most"))
+    return sets.agg(
+        F.count("*").alias("n"), F.count_distinct("instance_id").alias("instances"), F.count_distinct("repository").alias("repositories"),
+        F.min("quality_score").alias("least"), F.max("quality_score").alias("most"), F.avg("quality_score").alias("mean"),
+    )
+
+
+def summary_json(selected: DataFrame, seed: int, eligible: int) -> dict:
+    """The summary of a selection as one object (counts by label: as many as there are labels)."""
+    rows = summary(selected).collect()
+    name = lambda v: str(v).lower() if isinstance(v, bool) else v
+
+    def counts(*keys):
+        return {tuple(name(r[k]) for k in keys): r["n"] for r in rows if all((r[k] is not None) == (k in keys) for k in ("target", "selection_group", "model_short", "length_band"))}
+
+    def nested(key):
+        out: dict[str, dict] = {"true": {}, "false": {}}
+        for (t, v), n in counts("target", key).items():
+            out[t][v] = n
+        return out
+
+    whole = next((r for r in rows if all(r[k] is None for k in ("target", "selection_group", "model_short", "length_band"))), None)
+    flat = lambda key: {k: n for (k,), n in counts(key).items()}
+    return {
+        "seed": seed, "eligible_candidate_count": eligible, "selected_count": whole["n"] if whole else 0,
+        "target_counts": flat("target"), "selection_group_counts": flat("selection_group"), "model_counts": flat("model_short"), "length_band_counts": flat("length_band"),
+        "model_counts_by_target": nested("model_short"), "length_band_counts_by_target": nested("length_band"),
+        "unique_instance_ids": whole["instances"] if whole else 0, "unique_repositories": whole["repositories"] if whole else 0,
+        "quality_score": {"min": whole["least"], "max": whole["most"], "mean": round(whole["mean"], 3)} if whole else {},
+    }

@@ -1,6 +1,9 @@
 """Operators on small made inputs, with their edge cases."""
 
+import hashlib
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.errors import PythonException
@@ -68,18 +71,87 @@ def test_selection_keeps_its_quotas_and_pairs(spark):
     assert all(len(p) == 2 and p[0]["instance_id"] == p[1]["instance_id"] and p[0]["model_short"] == p[1]["model_short"] and p[0]["target"] != p[1]["target"] for p in pairs.values())
 
 
-def test_pruning_changes_nothing(spark):
-    """The choice over all rows is the choice over the reduced rows."""
-    rows = [{"uid": f"u{i:03d}", "instance_id": f"i{i % 9}", "repository": f"r{i % 4}", "model_short": "8b", "target": bool(i % 2), "quality_score": float(i * 37 % 11), "length_band": ("10-19", "40+")[i % 2], "jitter": (i * 7919 % 1000) / 1000} for i in range(120)]
-    q = selection.Quotas({"8b": 0}, {"8b": 6})
-    _, state = selection.choose_pairs([], q)
-    whole = selection.choose_diverse(rows, q, state)
-    best = {}
-    for r in sorted(rows, key=lambda r: (-(r["quality_score"] + r["jitter"]), r["uid"])):
-        best.setdefault((r["target"], r["model_short"], r["length_band"], r["instance_id"]), []).append(r)
-    pruned = sorted((r for v in best.values() for r in v[:6]), key=lambda r: r["uid"])
-    _, state = selection.choose_pairs([], q)
-    assert selection.choose_diverse(pruned, q, state) == whole
+def chosen_plainly(rows, q):
+    """A selection over all rows, written from its rules: (uid, group) in order of choice."""
+    jitter = lambda x: int(hashlib.sha256(f"{q.seed}:{x}".encode()).hexdigest()[:16], 16) / 2**64
+    left = {r["uid"]: r for r in rows}
+    repository, band, busy, out = Counter(), Counter(), set(), []
+    models = [m for _, m in sorted((n, m) for m, n in q.pairs.items())]
+
+    def take(r, group):
+        out.append((r["uid"], group))
+        band[r["target"], r["length_band"]] += 1
+        busy.add((r["model_short"], r["instance_id"]))
+        del left[r["uid"]]
+
+    for m in models:
+        for _ in range(q.pairs[m]):
+            best = None
+            for i in {r["instance_id"] for r in rows if r["model_short"] == m}:
+                if (m, i) in busy:
+                    continue
+                sides = [max((r for r in rows if (r["instance_id"], r["model_short"], r["target"]) == (i, m, t)), key=lambda r: (r["quality_score"], jitter(r["uid"])), default=None) for t in (True, False)]
+                if None in sides:
+                    continue
+                g, b = sides
+                fixed = g["quality_score"] + b["quality_score"] + 2.0 * (g["length_band"] != b["length_band"]) + jitter(i)
+                now = fixed + 3.0 / (1 + band[True, g["length_band"]]) + 3.0 / (1 + band[False, b["length_band"]]) + 2.0 / (1 + repository[g["repository"]])
+                key = (repository[g["repository"]] <= 2, now, fixed)
+                if best is None or key > best[0]:
+                    best = key, g, b
+            for r in best[1:]:
+                take(r, "paired")
+            repository[best[1]["repository"]] += 2
+    size = sum(q.totals.values())
+    want = {"10-19": round(size * 0.4), "20-39": round(size * 0.4)}
+    want["40+"] = size - sum(want.values())
+    for t in (True, False):
+        for m in models:
+            for _ in range(q.totals[m] - q.pairs[m]):
+                def key(r):
+                    new = (m, r["instance_id"]) not in busy  # noqa: B023
+                    short = min(max(want[r["length_band"]] - band[t, r["length_band"]], 0), 8)  # noqa: B023
+                    return new and repository[r["repository"]] < 4, new, r["quality_score"] + short * 2.0 + 2.0 / (1 + repository[r["repository"]]) + jitter(r["uid"])
+
+                r = max((r for r in left.values() if r["target"] == t and r["model_short"] == m), key=key)
+                take(r, "diversity")
+                repository[r["repository"]] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_selection_equals_a_plain_one(spark, seed):
+    """Many or few instances and repositories, tied scores, an instance under several models."""
+    rng = random.Random(seed)
+    instances, repositories, rows_of = ((60, 40, 3), (8, 3, 30), (200, 150, 2), (12, 12, 14), (90, 2, 4), (25, 9, 9))[seed]
+    rows = []
+    for i in range(instances):
+        for _ in range(rng.randrange(1, 2 * rows_of)):
+            k = len(rows)
+            rows.append((f"u{k}", f"i{i}", f"r{i % repositories}", rng.choice(["8b", "8b", "70b", "405b"]), rng.random() < 0.5, float(rng.randrange(60, 90)), rng.choice(["10-19", "20-39", "40+"])))
+    names = ["uid", "instance_id", "repository", "model_short", "target", "quality_score", "length_band"]
+    c = spark.createDataFrame(rows, "uid string, instance_id string, repository string, model_short string, target boolean, quality_score double, length_band string")
+    capacity = {r["model_short"]: r["capacity"] for r in selection.paired_capacity(c).collect()}
+    pairs = {m: min(n, capacity[m]) for m, n in {"8b": 6, "70b": 3, "405b": 2}.items()}
+    have = Counter((r[3], r[4]) for r in rows)
+    q = selection.Quotas(pairs, {m: min(n + 5, have[m, True], have[m, False]) for m, n in pairs.items()})
+    got = selection.select(c, q).select("uid", "selection_group").collect()
+    assert sorted(map(tuple, got)) == sorted(chosen_plainly([dict(zip(names, r, strict=True)) for r in rows], q))
+
+
+def test_contenders_are_bounded_by_quotas(spark):
+    d = spark.range(20_000).select(F.concat(F.lit("u"), "id").alias("uid"), F.concat(F.lit("i"), (F.col("id") / 2).cast("int").cast("string")).alias("instance_id"), F.concat(F.lit("r"), (F.col("id") / 2).cast("int").cast("string")).alias("repository"),
+        F.lit("8b").alias("model_short"), (F.col("id") % 2 == 0).alias("target"), F.rand(3).alias("quality_score"), F.lit("40+").alias("length_band"))
+    q = selection.Quotas({"8b": 3}, {"8b": 5})
+    assert selection.pair_contenders(selection.pair_options(d), q).count() <= 4 * 3 and selection.diversity_contenders(d, q).count() <= 2 * 11 * 8
+
+
+def test_summary_of_a_selection(spark):
+    rows = [("u1", "i1", "r1", "8b", True, "40+", "paired", 1.0), ("u2", "i1", "r1", "8b", False, "40+", "paired", 2.0), ("u3", "i2", "r1", "70b", False, "10-19", "diversity", 2.5)]
+    d = spark.createDataFrame(rows, "uid string, instance_id string, repository string, model_short string, target boolean, length_band string, selection_group string, quality_score double")
+    got = selection.summary_json(d, 7, 99)
+    assert got["target_counts"] == {"true": 1, "false": 2} and got["model_counts_by_target"] == {"true": {"8b": 1}, "false": {"8b": 1, "70b": 1}}
+    assert (got["unique_instance_ids"], got["unique_repositories"], got["quality_score"]) == (2, 1, {"min": 1.0, "max": 2.5, "mean": 1.833})
 
 
 def test_step_labels(spark):
