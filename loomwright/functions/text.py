@@ -77,8 +77,8 @@ def issue_text(messages: Column) -> Column:
     """The first user message that isn't blank, after its `ISSUE:` mark if it has one."""
     said = F.transform(F.filter(messages, lambda m: (m["role"] == "user") & (strip(text_or_empty(m["text"])) != "")), lambda m: strip(m["text"]))
     first = F.coalesce(F.get(said, F.lit(0)), F.lit(""))
-    mark = F.regexp_extract(first, r"(?is)ISSUE:(.*)", 1)
-    return F.when(first.rlike(r"(?i)ISSUE:"), strip(mark)).otherwise(first)
+    mark = r"(?isU)\bISSUE:\s*(.*)"
+    return F.when(first.rlike(mark), F.regexp_extract(first, mark, 1)).otherwise(first)
 
 
 def issue_title(issue: Column) -> Column:
@@ -97,6 +97,16 @@ def stable_jitter(uid: Column, seed: int) -> Column:
     return F.conv(head, 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
 
 
+def uid(file: Column, row: Column) -> Column:
+    """A record's name by its place: file:row."""
+    return F.concat(file, F.lit(":"), row.cast("string"))
+
+
+def identity(own: Column, file_name: Column) -> Column:
+    """A trajectory's own id, or the stem of its file's name."""
+    return F.coalesce(F.nullif(text_or_empty(own), F.lit("")), F.regexp_replace(file_name, r"(?<=[^/])\.[^./]*$", ""))
+
+
 def repository(instance: Column) -> Column:
     return F.regexp_replace(instance, "-[^-]*$", "")
 
@@ -142,6 +152,11 @@ def approximate_tokens(c: Column) -> Column:
     return F.ceil(F.length(c) / F.lit(4)).cast("long")
 
 
+def only_string(v: Column) -> Column:
+    """A VARIANT's text; empty for anything but a string."""
+    return F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")), F.lit(""))
+
+
 def parse_object(c: Column) -> Column:
     """A model's answer as VARIANT: one code fence round the whole is taken off; null unless it is a JSON object."""
     t = strip(text_or_empty(c))
@@ -152,7 +167,7 @@ def parse_object(c: Column) -> Column:
 
 def render_step(step: Column) -> Column:
     """Three lines of a finished step."""
-    line = lambda name, field, empty: F.concat(F.lit(f"{name} "), step["step"].cast("string"), F.lit(": "), F.when(strip(text_or_empty(step[field])) != "", strip(step[field])).otherwise(empty))
+    line = lambda name, field, empty: F.concat(F.lit(f"{name} "), F.coalesce(step["step"].cast("string"), F.lit("None")), F.lit(": "), F.when(strip(text_or_empty(step[field])) != "", strip(step[field])).otherwise(empty))
     return F.concat_ws("\n", line("THOUGHT", "thought", "[empty thought]"), line("ACTION", "action", "[empty action]"), line("OBSERVATION", "observation", "[empty observation]"))
 
 

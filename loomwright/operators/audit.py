@@ -18,6 +18,7 @@ CREDENTIAL = r"(?i)api[_-]?key|secret|token|password"
 PLACEHOLDERS = ("<secret>", "<api-key>")
 LOOKUPS = ("os.environ", "os.getenv", "environ.get")
 MAX_BYTES = 10 * 1024 * 1024
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def is_forbidden_path(path: Column) -> Column:
@@ -55,34 +56,40 @@ def unfenced(lines: DataFrame, key: str = "path", at: str = "line_no", line: str
 
 def text_lines(files: DataFrame) -> DataFrame:
     """path, line_no and line of files (path, content)."""
-    return files.select("path", F.posexplode(F.split("content", "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", -1)).alias("line_no", "line"))
+    return files.select("path", F.posexplode(F.split("content", LINE_END, -1)).alias("line_no", "line"))
 
 
 def audit(files: DataFrame, machine_marker: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(code, path, detail) issues of files (path, content BINARY, bytes), in order."""
+    """(code, path, detail) issues of files (path, content BINARY, bytes), in order; files that aren't UTF-8 have no content to check.
+
+    One pass: each file makes its list of issues in its row. Large files are read like others.
+    """
     @F.pandas_udf("boolean")
-    def literal(value: pd.Series) -> pd.Series:
-        return value.map(python_literal)
-
-    issue = lambda d, code, detail: d.select(F.lit(code).alias("code"), "path", detail.alias("detail"))
-    readable = files.where((F.col("bytes") <= max_bytes) & F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.col("content").cast("string").alias("content"))
-    lines = text_lines(readable)
-    kind = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    plain = lines.where(kind != ".md").unionByName(unfenced(lines.where(kind == ".md")))
-    found = plain.where(is_secret_line(F.col("line")))
-    value = F.regexp_extract("line", ASSIGNMENT, 2)
-    secret = found.where(kind != ".py").unionByName(found.where(kind == ".py").where(literal(value))).select("path").distinct()
-    marked = readable.where((kind != ".md") & F.col("content").contains(machine_marker))
-    parts = (
-        issue(files.where(is_forbidden_path(F.col("path"))), "forbidden-path", F.lit("path must not be tracked")),
-        issue(files.where(F.col("bytes") > max_bytes), "file-too-large", F.concat(F.col("bytes").cast("string"), F.lit(" bytes"))),
-        issue(secret, "secret", F.lit("credential-like value")),
-        issue(marked, "machine-path", F.lit("machine path")),
+    def literal(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: any(map(python_literal, v)))
+
+    suffix = F.lower(F.regexp_extract("path", r"(?<=[^/])(\.[^./]*)$", 1))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    d = files.select("path", "bytes", suffix.alias("suffix"), text.alias("text"))
+    lines = F.split("text", LINE_END, -1)
+    # fences toggle; a line is outside after an even number of them
+    state = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
+    step = lambda s, x: F.when(T.strip(x).startswith("```"), F.struct((s["n"] + 1).alias("n"), s["kept"].alias("kept"))).otherwise(F.struct(s["n"].alias("n"), F.when(s["n"] % 2 == 0, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept")))
+    # of Markdown only lines that are fences or assignments matter here, so that the fold stays short
+    telling = F.filter(lines, lambda x: T.strip(x).startswith("```") | is_secret_line(x))
+    d = d.withColumn("found", F.when(F.col("suffix") == ".md", F.filter(F.aggregate(telling, state, step, lambda s: s["kept"]), lambda x: is_secret_line(x))).otherwise(F.filter(lines, lambda x: is_secret_line(x))))
+    d = d.withColumn("values", F.transform("found", lambda x: F.regexp_extract(x, ASSIGNMENT, 2)))
+    python = F.col("suffix") == ".py"
+    secret = F.coalesce(F.size("found") > 0, F.lit(False)) & (~python | literal(F.when(python, F.col("values")).otherwise(F.array().cast("array<string>"))))
+    marked = F.coalesce((F.col("suffix") != ".md") & F.col("text").contains(machine_marker), F.lit(False))
+    issue = lambda when, code, detail: F.when(when, F.struct(F.lit(code).alias("code"), F.col("path"), detail.alias("detail")))
+    every = F.array(
+        issue(is_forbidden_path(F.col("path")), "forbidden_path", F.lit("path must not be tracked")),
+        issue(F.col("bytes") > max_bytes, "file_too_large", F.concat(F.col("bytes").cast("string"), F.lit(f" bytes exceeds {max_bytes}"))),
+        issue(secret, "possible_secret", F.lit("non-empty credential-like assignment")),
+        issue(marked, "machine_absolute_path", F.lit(f"contains {machine_marker}")),
     )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("code", "path", "detail")
+    return d.select(F.inline(F.filter(every, lambda x: x.isNotNull()))).orderBy("code", "path", "detail")
 
 
 def format_issues(issues: DataFrame) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import shlex
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from loomwright.functions import text as T
+from loomwright.operators.graph import components
 
 SPLITS = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
 REVIEW_LABELS = ("direct_match", "partial_match", "no_match", "ambiguous", "invalid")
@@ -50,48 +56,55 @@ def import_review(queue: DataFrame, review: DataFrame) -> DataFrame:
     return queue.join(review.where("label = 'direct_match'").select("item_id"), "item_id", "left_semi")
 
 
-def leak_groups(rows: DataFrame, rounds: int = 30) -> DataFrame:
-    """group_id of each trajectory: trajectories that share a template, directly or by others, are one group.
+def leak_groups(rows: DataFrame) -> DataFrame:
+    """group_id (the least trajectory) of each trajectory: trajectories that share a template, directly or by others, are one group.
 
-    rows: trajectory_id, template. Least labels pass from trajectories to templates and back; each round is cut from its lineage.
+    rows: trajectory_id, template. A null template is shared with nothing.
     """
-    pairs = rows.select("trajectory_id", "template").distinct()
-    now = pairs.select("trajectory_id", F.col("trajectory_id").alias("g")).distinct()
-    for _ in range(rounds):
-        by_template = pairs.join(now, "trajectory_id").groupBy("template").agg(F.min("g").alias("t"))
-        after = pairs.join(by_template, "template").groupBy("trajectory_id").agg(F.min("t").alias("g"))
-        after = _cut(after)
-        changed = after.join(now.withColumnRenamed("g", "before"), "trajectory_id").where("g <> before").limit(1).count()
-        now = after
-        if not changed:
-            return now.withColumnRenamed("g", "group_id")
-    raise RuntimeError(f"groups did not settle in {rounds} rounds")
-
-
-def _cut(d: DataFrame) -> DataFrame:
-    """Checkpointed in the shared folder that the session names; a folder is set only where none is."""
-    context = d.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(d.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return d.checkpoint()
+    own, template = F.col("trajectory_id"), F.col("template").cast("string")
+    kind = rows.schema["trajectory_id"].dataType
+    node = lambda k, t, s: F.struct(F.lit(k).alias("k"), t.cast(kind).alias("t"), s.cast("string").alias("s"))
+    edges = rows.where("template is not null").select(node(0, own, F.lit(None)).alias("a"), node(1, F.lit(None), template).alias("b"))
+    labels = components(edges).where("node.k = 0").select(F.col("node.t").alias("trajectory_id"), F.col("label.t").alias("group_id"))
+    return rows.select("trajectory_id").distinct().join(labels, "trajectory_id", "left").select("trajectory_id", F.coalesce("group_id", "trajectory_id").alias("group_id"))
+
+
+#: Groups over 1 / LARGE of all rows are dealt one by one.
+LARGE = 1000
 
 
 def grouped_split(rows: DataFrame, seed: int = 7) -> DataFrame:
-    """split of each group: whole groups, in a stable hashed order, by the share of rows before them; no group is in two splits."""
+    """split of each group (group_id, rows, split); no group is in two splits.
+
+    Groups over 1 / LARGE of all rows (fewer than LARGE) go one by one, large ones first, then in hashed order, to the split
+    that lacks most rows; all others fill what the splits still lack, in hashed order, by the rows before them.
+    """
     sizes = rows.groupBy("group_id").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(F.lit(seed), "group_id"))
+    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    have = dict.fromkeys((n for n, _ in SPLITS), 0)
+    target = {n: share * total for n, share in SPLITS}
+    dealt = []
+    for r in sizes.where(F.col("n") * LARGE > total).orderBy(F.desc("n"), "h", "group_id").collect():
+        split = max(have, key=lambda s: target[s] - have[s])
+        have[split] += r["n"]
+        dealt.append((r["group_id"], r["n"], split))
+    spark = rows.sparkSession
+    first = spark.createDataFrame(dealt, StructType([sizes.schema["group_id"], StructField("rows", LongType()), StructField("split", StringType())]))
+    small = sizes.where(F.col("n") * LARGE <= total).withColumn("b", F.shiftrightunsigned("h", 54))
     # place of a group without sorting all in one task: ranges of the hash first
-    ranges = sizes.withColumn("b", F.shiftrightunsigned("h", 54)).cache()
-    before = ranges.groupBy("b").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 1024 rows
-    total = before.agg(F.sum("s").alias("total"))
+    before = small.groupBy("b").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 1024 rows
     w = Window.partitionBy("b").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, -1)
-    at = ranges.join(F.broadcast(before.select("b", "base")), "b").crossJoin(F.broadcast(total)).withColumn("at", (F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0))) / F.col("total"))
-    split = F.lit(SPLITS[-1][0])
-    edge = 1.0
-    for name, share in reversed(SPLITS[1:]):
-        edge -= share
-        split = F.when(F.col("at") >= edge, name).otherwise(split) if name == SPLITS[-1][0] else F.when((F.col("at") >= edge) & (F.col("at") < edge + share), name).otherwise(split)
-    split = F.when(F.col("at") < SPLITS[0][1], SPLITS[0][0]).otherwise(split)
-    return at.select("group_id", F.col("n").alias("rows"), split.alias("split"))
+    at = F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0))
+    lacks = {s: max(target[s] - have[s], 0.0) for s in have}
+    left = total - sum(have.values())
+    scale = left / sum(lacks.values()) if sum(lacks.values()) else 0.0
+    edge, split = 0.0, None
+    for name in lacks:
+        edge += lacks[name] * scale
+        split = F.when(F.col("at") < edge, name) if split is None else split.when(F.col("at") < edge, name)
+    placed = small.join(F.broadcast(before.select("b", "base")), "b").withColumn("at", at)
+    rest = placed.select("group_id", F.col("n").alias("rows"), split.otherwise(SPLITS[-1][0]).alias("split"))
+    return first.unionByName(rest)
 
 
 def hard_negatives(positives: DataFrame, seed: int = 7, kept: int = 5) -> DataFrame:
@@ -134,3 +147,86 @@ def accepted(judged: DataFrame, positives: DataFrame) -> DataFrame:
     """Judged negatives that are safe, sure, unflagged, unique and no known positive."""
     safe = judged.where((F.col("verdict") == "safe_negative") & (F.col("confidence") >= 0.90) & (F.size("flags") == 0)).dropDuplicates(["item_id", "negative_id"])
     return safe.join(positives.select("item_id", F.col("action_item").alias("negative_id")), ["item_id", "negative_id"], "left_anti")
+
+
+# --- canonical actions ------------------------------------------------------------------------------------------------
+
+#: The named fields of the commands that have a form of their own; a field in capitals takes the rest of the line.
+FIELDS = {"search_dir": ("query", "path"), "open": ("path",), "goto": ("line",), "scroll_down": (), "python": ("COMMAND",), "rm": ("path",), "create": ("path",)}
+
+
+def canonical(action: str | None) -> str | None:
+    """`[ACTION] name(field="value", ...)`; commands without named fields keep their arguments as one text; null if it can't be parsed."""
+    try:
+        words = shlex.split(action or "")
+    except ValueError:
+        return None
+    if not words:
+        return None
+    name, args = words[0], words[1:]
+    rest = (action or "").strip()[len(name) :].strip()
+    fields = FIELDS.get(name)
+    quoted = lambda v: json.dumps(v, ensure_ascii=False)
+    if fields and fields[0].isupper() and args:
+        told = [f"{fields[0].lower()}={quoted(rest)}"]
+    elif fields is not None and 0 < len(args) <= len(fields) and not fields[0].isupper() or fields == () and not args:
+        told = [f"{k}={v if k == 'line' and v.isdecimal() else quoted(v)}" for k, v in zip(fields, args, strict=False)]
+    else:
+        told = [f"args={quoted(rest)}"]
+    return f"[ACTION] {name}({', '.join(told)})"
+
+
+@F.pandas_udf(StringType())
+def canonical_action(actions: pd.Series) -> pd.Series:
+    return actions.map(canonical)
+
+
+def candidate_audit(steps: DataFrame) -> DataFrame:
+    """Of each source: trajectories, steps, and how they split into candidates, steps with too long an action, unfulfilled and other ones.
+
+    steps: source, trajectory_id, status, intents, actions (texts). The parts add up to the steps (`consistent`).
+    """
+    only = F.get("actions", F.lit(0))
+    one = (F.col("status") == "success") & (F.size("intents") == 1)
+    short = F.size(short_action_reasons(T.text_or_empty(only), T.text_or_empty(only))) == 0
+    kind = F.when(F.coalesce(one & (F.size("actions") == 1), F.lit(False)), F.when(short, "candidate").otherwise("long")).when(F.coalesce(one & (F.size("actions") == 0), F.lit(False)), "unfulfilled").otherwise("other")
+    d = steps.withColumn("_kind", kind)
+    parts = [F.count_if(F.col("_kind") == k).alias(k) for k in ("candidate", "long", "unfulfilled", "other")]
+    out = d.groupBy("source").agg(F.count_distinct("trajectory_id").alias("trajectories"), F.count("*").alias("steps"), *parts)
+    return out.withColumn("consistent", F.col("candidate") + F.col("long") + F.col("unfulfilled") + F.col("other") == F.col("steps"))
+
+
+# --- judgement --------------------------------------------------------------------------------------------------------
+
+#: Fixed values.
+VERDICTS = ("safe_negative", "semantic_match", "partial_or_supporting", "ambiguous", "invalid_candidate")
+VERDICT_FIELDS = ("confidence", "label", "negative_type", "reason", "risk_flags")
+
+
+def verdict_status(raw: Column) -> Column:
+    """Status of a judge's answer: invalid_json, invalid_schema (other fields, or of other types), invalid_label, invalid_confidence or valid."""
+    v = F.try_parse_json(raw)
+    shape = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    keys = F.array_join(F.array_sort(F.json_object_keys(F.to_json(v))), ",")
+    number = shape("$.confidence").rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    typed = number & (shape("$.label") == "STRING") & (shape("$.negative_type") == "STRING") & (shape("$.reason") == "STRING") & shape("$.risk_flags").startswith("ARRAY")
+    good = F.coalesce(F.schema_of_variant(v).startswith("OBJECT") & (keys == ",".join(VERDICT_FIELDS)) & typed, F.lit(False))
+    return (
+        F.when(v.isNull(), "invalid_json").when(~good, "invalid_schema").when(~F.try_variant_get(v, "$.label", "string").isin(*VERDICTS), "invalid_label")
+        .when(~F.try_variant_get(v, "$.confidence", "double").between(0.0, 1.0), "invalid_confidence").otherwise("valid")
+    )
+
+
+def candidate_id(*parts: Column) -> Column:
+    """A stable name for a candidate: a digest of the dataset's version, split, intent, kind, action and generator."""
+    return F.sha2(F.to_json(F.array(*(c.cast("string") for c in parts))), 256)
+
+
+def judgement_key(candidate: Column, prompt_hash: str, model: str, settings_hash: str) -> Column:
+    """A judgement counts only for the same candidate, prompt, model and settings."""
+    return F.sha2(F.concat_ws("\n", candidate, F.lit(prompt_hash), F.lit(model), F.lit(settings_hash)), 256)
+
+
+def unjudged(candidates: DataFrame, judgements: DataFrame) -> DataFrame:
+    """Candidates (with `key`) without a successful judgement of their key."""
+    return candidates.join(judgements.where("status = 'success'").select("key"), "key", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import os
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -10,7 +12,15 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from loomwright.functions import text as T
+from loomwright.operators.alignment import candidate_pairs, intent_results, step_labels, unit_status
+from loomwright.operators.validation import extraction_status
+from loomwright.sources.shared import written
+
+#: The largest pair that settings may allow.
+MOST_PAIR_TOKENS = 8192
 DONE = ("success", "skipped_empty")
 
 
@@ -44,8 +54,6 @@ def call(client: Client, payload: dict, accept: Callable[[str], object], tries:
 
 def complete(steps: DataFrame, client: Client, accept: Callable[[str], object], model: str, system: str, tries: int = 3, dry_run: bool = False) -> DataFrame:
     """steps (with prompt and thought) and their answer, usage, attempts, status, error. Partitions are the workers."""
-    from pyspark.sql.types import StructType
-
     extra = "answer string, usage map<string,bigint>, attempts int, status string, error string"
     schema = StructType([*steps.schema.fields, *StructType.fromDDL(extra).fields])
 
@@ -95,36 +103,117 @@ def length_batches(items: list[tuple[int, int]], batch_size: int, long: int = 40
     return out
 
 
-def score_pairs(pairs: DataFrame, scorer: Callable[[list[str]], list[float]], max_tokens: int = 8192, batch_size: int = 4, threshold: float = 0.0, margin: float = 0.0) -> DataFrame:
-    """pairs (text, input_tokens) with logit, operation_match and reason; too long or out of memory is uncertain, a logit that isn't finite an error."""
-    import math
+def check_bounds(threshold: float, margin: float, batch_size: int, max_pair_tokens: int, max_new_tokens: int) -> None:
+    """An error for settings that no run may have."""
+    if not (math.isfinite(threshold) and math.isfinite(margin)) or margin < 0:
+        raise ValueError("threshold and margin must be finite, and the margin not negative")
+    if min(batch_size, max_pair_tokens, max_new_tokens) < 1 or max_pair_tokens > MOST_PAIR_TOKENS:
+        raise ValueError(f"sizes must be positive, and pairs have {MOST_PAIR_TOKENS} tokens at most")
+
+
+def require_subset(done: DataFrame, units: DataFrame, key: str = "unit_id") -> DataFrame:
+    """done, or an error if it repeats a key or has one that units lack."""
+    n = F.count("*")
+    d = done.groupBy(key).agg(n.alias("n")).join(units.select(key).distinct().withColumn("known", F.lit(True)), key, "left")
+    worst = d.where("n > 1 or known is null").agg(F.min(key).alias("k")).first()["k"]
+    if worst is not None:
+        raise ValueError(f"finished {key} repeated or unknown: {worst}")
+    return done
+
 
-    from pyspark.sql.types import StructType
+def folder_fingerprint(path: str) -> dict[str, dict[str, int]]:
+    """Bytes and time of change of each file of a model's folder."""
+    if not os.path.isdir(path):
+        raise ValueError(f"not a folder: {path}")
+    with os.scandir(path) as found:
+        return {f.name: {"bytes": f.stat().st_size, "mtime_ns": f.stat().st_mtime_ns} for f in found if f.is_file()}
 
-    schema = StructType([*pairs.schema.fields, *StructType.fromDDL("logit double, operation_match string, reason string").fields])
+
+def score_pairs(pairs: DataFrame, scorer: Callable[[list[str]], list[float]], max_tokens: int = MOST_PAIR_TOKENS, batch_size: int = 4, threshold: float = 0.0, margin: float = 0.0) -> DataFrame:
+    """pairs (text, input_tokens) with logit, operation_match, reason, beyond_512 and error.
+
+    Too long or out of memory is uncertain with a reason. Anything else that goes wrong with a batch, such as a logit that isn't
+    finite, is its rows' error: their units fail, the job goes on.
+    """
+    check_bounds(threshold, margin, batch_size, max_tokens, 1)
+    schema = StructType([*pairs.schema.fields, *StructType.fromDDL("logit double, operation_match string, reason string, beyond_512 boolean, error string").fields])
 
     def run(batches):
         for b in batches:
             b = b.reset_index(drop=True)
-            logit, match, reason = [None] * len(b), ["uncertain"] * len(b), [None] * len(b)
+            logit, match, reason, error = [None] * len(b), ["uncertain"] * len(b), [None] * len(b), [None] * len(b)
             fit = []
             for i, n in enumerate(b["input_tokens"]):
                 if n > max_tokens:
-                    reason[i] = "input_overflow"
+                    reason[i] = "context_overflow"
                 else:
                     fit.append((i, int(n)))
             for some in length_batches(fit, batch_size):
                 try:
                     values = scorer([b["text"][i] for i in some])
+                    if len(values) != len(some) or not all(math.isfinite(x) for x in values):
+                        raise ValueError("scores that are no numbers")
                 except MemoryError:
                     for i in some:
                         reason[i] = "out_of_memory"
                     continue
+                except Exception as e:  # noqa: BLE001  whatever a scorer raises
+                    for i in some:
+                        error[i] = f"{type(e).__name__}: {e}"
+                    continue
                 for i, x in zip(some, values, strict=True):
-                    if not math.isfinite(x):
-                        raise ValueError("a score is not finite")
                     logit[i] = float(x)
                     match[i] = "yes" if x >= threshold + margin else "no" if x < threshold - margin else "uncertain"
-            yield b.assign(logit=pd.array(logit, "Float64"), operation_match=match, reason=reason)
+            yield b.assign(logit=pd.array(logit, "Float64"), operation_match=match, reason=reason, beyond_512=[bool(n > 512) for n in b["input_tokens"]], error=error)
 
     return pairs.mapInPandas(run, schema)
+
+
+EXTRACTED = "raw string, finished boolean, input_tokens int, error string"
+
+
+def extract_intents(units: DataFrame, generate: Callable[[str], tuple[str, bool, int]], context_tokens: int, max_new_tokens: int = 2048) -> DataFrame:
+    """units (with thought) with raw, input_tokens, extraction_status, intents and error.
+
+    generate: a thought's answer, whether it came to its end, and the tokens of the input. An answer without an end is
+    generation_truncated; an input that leaves no room is refused, not cut. Intents are numbered I1, I2, ... and null unless valid.
+    """
+    schema = StructType([*units.schema.fields, *StructType.fromDDL(EXTRACTED).fields])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for thought in b["thought"]:
+                try:
+                    raw, finished, n = generate(thought or "")
+                    rows.append((None, False, n, "ValueError: the input leaves no room for an answer") if n + max_new_tokens > context_tokens else (raw, bool(finished), n, None))
+                except Exception as e:  # noqa: BLE001  whatever a model raises
+                    rows.append((None, False, 0, f"{type(e).__name__}: {e}"))
+            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(rows, columns=["raw", "finished", "input_tokens", "error"])], axis=1)
+
+    d = units.mapInPandas(run, schema)
+    status = F.when(F.col("error").isNotNull(), F.lit(None)).when(~F.col("finished"), "generation_truncated").otherwise(extraction_status(F.col("raw"), T.text_or_empty(F.col("thought"))))
+    d = d.withColumn("extraction_status", status)
+    found = F.from_json("raw", "intents array<struct<intent_quote:string,temporal_scope:string>>")["intents"]
+    intents = F.transform(found, lambda x, k: F.struct(F.concat(F.lit("I"), (k + 1).cast("string")).alias("intent_id"), x["intent_quote"].alias("intent_quote"), x["temporal_scope"].alias("temporal_scope")))
+    return d.withColumn("intents", F.when(F.col("extraction_status") == "valid", intents)).drop("finished")
+
+
+def run_units(units: DataFrame, generate: Callable[[str], tuple[str, bool, int]], scorer: Callable[[list[str]], list[float]], count_tokens: Callable[[str], int], context_tokens: int, max_new_tokens: int = 2048, **scoring) -> DataFrame:
+    """Extraction, matching and aggregation of each unit: unit_id, status, step_label, extraction_status, error. A failure is a unit's status.
+
+    units: unit_id, thought, window_complete, actions (array of action_id, model_text).
+    """
+    extracted = written(extract_intents(units, generate, context_tokens, max_new_tokens), "extracted")
+    failed = F.coalesce("error", F.when(F.col("extraction_status") != "valid", F.concat(F.lit("invalid extraction: "), "extraction_status")))
+    d = extracted.withColumn("failure", failed)
+    intents = d.where("failure is null").select("unit_id", F.inline("intents"))
+    jobs = candidate_pairs(intents, d.select("unit_id", F.inline("actions"))).withColumn("text", F.concat_ws("\n", "intent_quote", "model_text"))
+    counted = F.pandas_udf(lambda texts: texts.map(lambda t: int(count_tokens(t))), "int")
+    pairs = written(score_pairs(jobs.select("unit_id", "intent_id", "action_id", "text").withColumn("input_tokens", counted(F.col("text"))), scorer, **scoring), "pairs")
+    errors = pairs.groupBy("unit_id").agg(F.min("error").alias("pair_error"))
+    facts = d.select("unit_id", "window_complete", F.size("actions").alias("n_actions"))
+    labelled = step_labels(intent_results(intents, pairs, facts), facts)
+    d = d.join(errors, "unit_id", "left").withColumn("error", F.coalesce("failure", "pair_error")).select("unit_id", "extraction_status", "error")
+    out = unit_status(labelled.join(d, "unit_id"), pairs, F.col("error").isNotNull())
+    return out.select("unit_id", "status", F.when(F.col("error").isNotNull(), "uncertain").otherwise(F.col("step_label")).alias("step_label"), "extraction_status", "error")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 
-MODEL_PREFIX = "swe-agent"
+MODEL_PREFIX = "swe-agent-"
 
 
 def cycles(messages: Column) -> Column:

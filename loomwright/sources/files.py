@@ -96,7 +96,39 @@ def lookup(rows: DataFrame, selected: DataFrame) -> DataFrame:
 def read_json_objects(spark: SparkSession, path: str) -> DataFrame:
     """A directory of JSON files: name and body as VARIANT; anything but an object is an error."""
     d = spark.read.text(os.path.join(path, "*.json"), wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.parse_json("value").alias("body"))
-    return d.where(F.when(F.schema_of_variant("body").startswith("OBJECT"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an object: "), "name"))))
+    return d.where(F.when(F.schema_of_variant("body").startswith("OBJECT"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an object: "), "name")))).orderBy("name")
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Rows of a JSON-lines file by a schema; blank lines are skipped; a line that is no such object, a repeated key and an empty file are errors."""
+    lines = spark.read.text(path, lineSep="\n").where(F.trim("value") != "").select("value", F.try_parse_json("value").alias("v"))
+    good = F.schema_of_variant("v").startswith("OBJECT")
+    d = lines.where(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an object: "), F.left("value", F.lit(60))))))
+    d = d.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    n = d.groupBy(key).agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.min(F.when(F.col("n") > 1, F.col(key))).alias("twice")).first()
+    if not n["keys"]:
+        raise ValueError(f"no rows in {path}")
+    if n["twice"] is not None:
+        raise ValueError(f"repeated {key}: {n['twice']}")
+    return d
+
+
+#: Schemas of windows, references and predictions.
+WINDOWS = "unit_id string, thought string, window_complete boolean, actions array<string>, test_type string, case_type string"
+UNITS = (
+    "unit_id string, case_type string, status string, step_label string, intents array<struct<intent_id:string,intent_quote:string,temporal_scope:string>>, "
+    "pairs array<struct<intent_id:string,action_id:string,operation_match:string>>"
+)
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Windows with their actions as JSON texts."""
+    return read_json_lines(spark, path, WINDOWS, "unit_id")
+
+
+def read_units(spark: SparkSession, path: str) -> DataFrame:
+    """References or predictions."""
+    return read_json_lines(spark, path, UNITS, "unit_id")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +184,7 @@ def read_prompts(path: str, headings: tuple[str, str] = ("System", "User")) -> P
     return Prompts(*bodies)
 
 
-def data_root(explicit: str | None = None, environ: Mapping[str, str] | None = None, variable: str = "TA_DATA_ROOT") -> Path:
+def data_root(explicit: str | None = None, environ: Mapping[str, str] | None = None, variable: str = "DATA_ROOT") -> Path:
     value = explicit or (os.environ if environ is None else environ).get(variable)
     if not value:
         raise ValueError(f"no data root: pass one or set {variable}")
@@ -209,6 +241,13 @@ def write_case_files(cases: DataFrame, folder: str, most: int = 10_000) -> int:
     return len(rows)
 
 
+def write_report(value: object, path: str) -> None:
+    """A JSON report that never replaces another."""
+    if os.path.exists(path):
+        raise FileExistsError(path)
+    atomic_json(path, value)
+
+
 def write_jsonl(d: DataFrame, path: str, overwrite: bool = False) -> None:
     d.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 

@@ -6,10 +6,9 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from loomwright.operators import alignment, audit, curation, inference, selection, trajectory, validation
+from loomwright.operators import alignment, audit, curation, inference, selection, steps, trajectory, validation
 
 
 def record(n=10, title="Crash on start", patch="diff --git a/x b/x\n" + "+" * 40, log="l" * 200, target=True, thought="We should look at this because it fails", commands=None):
@@ -184,19 +183,57 @@ def test_reconcile_and_duplicates(spark):
     assert validation.require_unique(a, "id") is a
 
 
-def test_snapshot_rules(spark):
-    cases = spark.createDataFrame([("CASE-0001", "CASE-0001.json", True, "8b", "paired"), ("CASE-0002", "CASE-2.json", False, "8b", "paired")], "case_id string, file_name string, target boolean, model_short string, selection_group string")
-    listed = spark.createDataFrame([("CASE-0001",)], "selection_id string")
-    bad = [r["rule"] for r in validation.snapshot_rules(cases, listed, {"model:8b": 2}, 2).orderBy("position").collect() if not r["ok"]]
-    assert bad == ["file names", "ids equal file names", "listed ids"]
+def snapshot(spark, case=("CASE-0002", "CASE-0002.json"), listed=("CASE-0001", "CASE-0002"), manifest=("CASE-0001", "CASE-0002"), expected=2, **summary):
+    cases = spark.createDataFrame([("CASE-0001", "CASE-0001.json", True, "m-8b", "paired"), (*case, False, "m-8b", "paired")], "case_id string, file_name string, target boolean, model_name string, selection_group string")
+    told = {"selected_count": 2, "target_counts": {"true": 1, "false": 1}, "model_counts": {"m-8b": 2}, "selection_group_counts": {"paired": 2}} | summary
+    ids = lambda x, c: spark.createDataFrame([(i,) for i in x], f"{c} string")
+    return validation.snapshot_rules(cases, ids(listed, "case_id"), ids(manifest, "selection_id"), told, expected)
+
+
+@pytest.mark.parametrize(
+    ("change", "broken"),
+    [
+        ({}, []),
+        ({"case": ("CASE-0002", "CASE-2.json")}, ["file names", "case ids equal file names"]),
+        ({"case": ("CASE-0001", "CASE-0002.json"), "listed": ["CASE-0001"], "manifest": ["CASE-0001"]}, ["unique case ids", "case ids equal file names", "ids of JSON lines", "ids of the manifest"]),
+        ({"listed": ["CASE-0001", "CASE-0001"]}, ["unique ids of JSON lines", "ids of JSON lines"]),
+        ({"manifest": ["CASE-0001", "CASE-0003"]}, ["ids of the manifest"]),
+        ({"expected": 3, "selected_count": 3}, ["number of files", "ids of JSON lines", "ids of the manifest"]),
+        ({"model_counts": {"m-8b": 1}}, ["model_counts as derived"]),
+        ({"selected_count": 1}, ["selected_count"]),
+    ],
+)
+def test_snapshot_rules(spark, change, broken):
+    rules = snapshot(spark, **change)
+    assert [r["rule"] for r in rules.where("not ok").orderBy("position").collect()] == broken
+    if broken:
+        with pytest.raises(ValueError, match=f"snapshot: {broken[0]}"):
+            validation.require_snapshot(rules)
+    else:
+        validation.require_snapshot(rules)
+
+
+def test_frozen_counts(spark):
+    rules = snapshot(spark, expected=500, selected_count=500)
+    assert {"target_counts as frozen", "model_counts as frozen", "selection_group_counts as frozen"} <= {r["rule"] for r in rules.where("not ok").collect()}
+
+
+def test_samples_must_exist(spark):
+    known = spark.createDataFrame([("a",), ("b",)], "case_id string")
+    assert validation.require_samples(["b", "a"], known) == ["b", "a"]
+    with pytest.raises(ValueError, match="no such sample: c"):
+        validation.require_samples(["d", "c"], known)
+    with pytest.raises(ValueError, match="repeat"):
+        validation.require_samples(["a", "a"], known)
 
 
 def test_audit(spark):
-    rows = [(".env", b"A=1"), ("a/.env.example", b"A=1"), ("x.py", b"API_KEY = 'abc'\nTOKEN = os.environ['T']\n"), ("y.py", b"TOKEN = get()\n"), ("r.md", b"```\nsecret=x\n```\n"), ("s.yml", b"  db_password: hunter2\n"), ("p.yml", b"token: <secret>\n"), ("m.txt", b"/some/marker/x"), ("bin", b"\xff\xfe"), ("logs/a", b"")]
-    files = spark.createDataFrame([(p, bytearray(c), len(c)) for p, c in rows], "path string, content binary, bytes long")
+    rows = [(".env", b"A=1"), ("a/.env.example", b"A=1"), ("x.py", b"API_KEY = 'abc'\nTOKEN = os.environ['T']\n"), ("y.py", b"TOKEN = get()\n"), ("r.md", b"```\nsecret=x\n```\n"), ("q.md", b"```\na\n```\nsecret=x\n"), ("s.yml", b"  db_password: hunter2\n"), ("p.yml", b"token: <secret>\n"), ("m.txt", b"/some/marker/x"), ("m.md", b"/some/marker/x"), ("bin", b"secret=\xff\xfe"), ("logs/a", b""), ("none", None)]
+    files = spark.createDataFrame([(p, None if c is None else bytearray(c), len(c or b"")) for p, c in rows], "path string, content binary, bytes long")
     got = [(r["code"], r["path"]) for r in audit.audit(files, "/some/marker/", max_bytes=30).collect()]
-    assert got == sorted([("forbidden-path", ".env"), ("forbidden-path", "logs/a"), ("file-too-large", "x.py"), ("machine-path", "m.txt"), ("secret", "s.yml")])
-    assert ("secret", "x.py") in [(r["code"], r["path"]) for r in audit.audit(files, "/some/marker/").collect()]
+    assert got == sorted([("forbidden_path", ".env"), ("forbidden_path", "logs/a"), ("file_too_large", "x.py"), ("machine_absolute_path", "m.txt"), ("possible_secret", "s.yml"), ("possible_secret", "x.py"), ("possible_secret", "q.md")])
+    lines = [r["line"] for r in audit.format_issues(audit.audit(files, "/some/marker/", max_bytes=30)).collect()]
+    assert "file_too_large: x.py: 40 bytes exceeds 30" in lines
 
 
 def test_calls_are_tried_again_and_fail_as_a_status(spark):
@@ -220,16 +257,182 @@ def test_calls_are_tried_again_and_fail_as_a_status(spark):
 
 
 def test_pair_scores(spark):
-    pairs = spark.createDataFrame([("a", 5), ("bb", 9000), ("ccc", 7)], "text string, input_tokens int")
-    got = {r["text"]: (r["logit"], r["operation_match"], r["reason"]) for r in inference.score_pairs(pairs, lambda ts: [len(t) - 2.0 for t in ts]).collect()}
-    assert got == {"a": (-1.0, "no", None), "bb": (None, "uncertain", "input_overflow"), "ccc": (1.0, "yes", None)}
+    pairs = spark.createDataFrame([("a", 5), ("bb", 9000), ("ccc", 700)], "text string, input_tokens int")
+    got = {r["text"]: (r["logit"], r["operation_match"], r["reason"], r["beyond_512"], r["error"]) for r in inference.score_pairs(pairs, lambda ts: [len(t) - 2.0 for t in ts]).collect()}
+    assert got == {"a": (-1.0, "no", None, False, None), "bb": (None, "uncertain", "context_overflow", True, None), "ccc": (1.0, "yes", None, True, None)}
     assert inference.length_batches([(0, 5), (1, 9000), (2, 3), (3, 4)], 2) == [[2, 3], [0], [1]]
 
 
+def test_scores_that_are_no_numbers_fail_their_rows_only(spark):
+    pairs = spark.createDataFrame([("a", 5000), ("bb", 5000), ("ccc", 5001)], "text string, input_tokens int")  # each alone
+
+    def scorer(ts):
+        if ts[0] == "ccc":
+            raise MemoryError
+        return [float("nan") if ts[0] == "a" else 3.0]
+
+    got = {r["text"]: (r["operation_match"], r["reason"], r["error"]) for r in inference.score_pairs(pairs, scorer).collect()}
+    assert got == {"a": ("uncertain", None, "ValueError: scores that are no numbers"), "bb": ("yes", None, None), "ccc": ("uncertain", "out_of_memory", None)}
+
+
+def test_units_run_and_fail_one_by_one(spark):
+    rows = [("ok", "open it", True), ("cut", "cut", True), ("bad", "bad", True), ("boom", "boom", True), ("long", "long", True), ("nan", "nan it", True), ("unsure", "maybe it", False), ("none", "nothing", True)]
+    units = spark.createDataFrame([(u, t, w, [("A1", "open"), ("A2", "shut")]) for u, t, w in rows], "unit_id string, thought string, window_complete boolean, actions array<struct<action_id:string,model_text:string>>")
+
+    def generate(thought):
+        if thought == "boom":
+            raise OSError("no device")
+        if thought == "nothing":
+            return '{"intents": []}', True, 5
+        quote = thought.split()[0]
+        return ("junk" if thought == "bad" else json.dumps({"intents": [{"intent_quote": quote, "temporal_scope": "current"}]})), thought != "cut", 5000 if thought == "long" else 5
+
+    def scorer(texts):
+        return [float("nan") if t.startswith("nan") else 0.0 if t.startswith("maybe") else 5.0 if t.split() == ["open", "open"] else -5.0 for t in texts]
+
+    got = {r["unit_id"]: (r["status"], r["step_label"], r["extraction_status"]) for r in inference.run_units(units, generate, scorer, len, 4096, margin=1.0, batch_size=1).collect()}
+    assert got == {
+        "ok": ("completed", "fully_consistent", "valid"), "cut": ("technical_failure", "uncertain", "generation_truncated"), "bad": ("technical_failure", "uncertain", "invalid_json"),
+        "boom": ("technical_failure", "uncertain", None), "long": ("technical_failure", "uncertain", None), "nan": ("technical_failure", "uncertain", "valid"),
+        "unsure": ("completed_with_uncertain", "uncertain", "valid"), "none": ("completed", "not_applicable", "valid"),
+    }
+
+
+def test_settings_have_bounds(spark, tmp_path):
+    inference.check_bounds(0.0, 0.0, 1, 8192, 1)
+    for bad in ((float("nan"), 0, 1, 1, 1), (0, -1, 1, 1, 1), (0, 0, 0, 1, 1), (0, 0, 1, 9000, 1), (0, float("inf"), 1, 1, 1)):
+        with pytest.raises(ValueError):
+            inference.check_bounds(*bad)
+    (tmp_path / "w.bin").write_bytes(b"abc")
+    (tmp_path / "sub").mkdir()
+    assert {n: f["bytes"] for n, f in inference.folder_fingerprint(str(tmp_path)).items()} == {"w.bin": 3}
+    with pytest.raises(ValueError):
+        inference.folder_fingerprint(str(tmp_path / "none"))
+    units = spark.createDataFrame([("a",), ("b",)], "unit_id string")
+    assert inference.require_subset(units.limit(1), units).count() == 1
+    for bad in (["a", "a"], ["c"]):
+        with pytest.raises(ValueError, match=f"unknown: {bad[0]}"):
+            inference.require_subset(spark.createDataFrame([(x,) for x in bad], "unit_id string"), units)
+
+
+def test_status_follows_pairs_not_intents(spark):
+    """An intent with a yes and an uncertain pair is fully consistent, and its unit completed_with_uncertain."""
+    intents = spark.createDataFrame([("a", "1", "current"), ("b", "1", "current")], "unit_id string, intent_id string, temporal_scope string")
+    pairs = spark.createDataFrame([("a", "1", "x", "yes"), ("a", "1", "y", "uncertain"), ("b", "1", "x", "yes")], "unit_id string, intent_id string, action_id string, operation_match string")
+    units = spark.createDataFrame([("a", True, 2), ("b", True, 1), ("c", True, 1)], "unit_id string, window_complete boolean, n_actions int")
+    labelled = alignment.step_labels(alignment.intent_results(intents, pairs, units), units)
+    got = {r["unit_id"]: (r["step_label"], r["status"]) for r in alignment.unit_status(labelled, pairs, F.col("unit_id") == "c").collect()}
+    assert got == {"a": ("fully_consistent", "completed_with_uncertain"), "b": ("fully_consistent", "completed"), "c": ("not_applicable", "technical_failure")}
+
+
+UNIT = "unit_id string, step_label string, status string, intents array<struct<intent_id:string,intent_quote:string,temporal_scope:string>>, pairs array<struct<intent_id:string,action_id:string,operation_match:string>>"
+
+
+def test_evaluation(spark):
+    intents = [("I1", "open", "current"), ("I2", "later", "future")]
+    pairs = [("I1", "A1", "yes"), ("I1", "A2", "no")]
+    refs = spark.createDataFrame([(u, "fully_consistent", None, intents, pairs) for u in "abcde"], UNIT)
+    preds = spark.createDataFrame([
+        ("a", "fully_consistent", "completed", [("X", "open", "current"), ("Y", "later", "future")], [("X", "A1", "yes"), ("X", "A2", "no")]),
+        ("b", "uncertain", "completed", [("I1", "other", "current")], [("I1", "A1", "yes")]),
+        ("c", "fully_consistent", "technical_failure", intents, pairs),
+        ("d", "fully_consistent", None, intents, [("I1", "A1", "no")]),
+    ], UNIT)
+    cases = alignment.evaluation_cases(refs, preds)
+    got = {r["unit_id"]: tuple(r)[1:4] + tuple(r)[6:] for r in cases.collect()}
+    assert got == {"a": ("completed", True, True, 2, 2, 0, 0), "b": ("completed", False, False, 2, 0, 2, 1), "c": ("technical_failure", False, False, 2, 0, 2, 0), "d": ("unknown", True, True, 2, 0, 1, 0), "e": ("missing_window", False, False, 2, 0, 2, 0)}
+    total = alignment.evaluation_summary(cases).first()
+    assert (total["windows"], total["predicted_windows"], total["extraction_exact_rate"], total["step_agreement"], total["pair_agreement"], total["missing_pairs"], total["extra_pairs"]) == (5, 4, 0.4, 0.4, 0.2, 7, 1)
+    flat = lambda d: alignment.quoted_pairs(d.select("unit_id", F.inline("intents")), d.select("unit_id", F.inline("pairs")))
+    aligned = alignment.align(flat(refs), flat(preds), preds.where("status = 'technical_failure'"))
+    by = {r["label"]: (r["support"], r["predicted"], r["hits"]) for r in alignment.class_metrics(aligned).collect()}
+    assert by == {"yes": (5, 2, 1), "no": (5, 2, 1), "uncertain": (0, 0, 0)}
+    for wrong in ([("z", "x", "completed", [], [])], [("a", "x", "completed", [], [("I9", "A1", "yes")])], [("a", "x", "completed", intents, [("I1", "A1", "yes"), ("I1", "A1", "no")])]):
+        with pytest.raises(Exception, match="unknown|repeated"):
+            alignment.evaluation_cases(refs, spark.createDataFrame(wrong, UNIT)).collect()
+
+
+def test_chat_steps(spark):
+    """Against a plain version: clipped history of messages and calls, requests, own calls."""
+    rng = random.Random(4)
+    rows, tasks = [], []
+    for c in range(6):
+        tasks.append((c, f"task {c}" if c % 2 else None))
+        for t in range(rng.randrange(1, 25)):
+            calls = [json.dumps({"function": f"f{k}", "args": {"z": k, "a": ["é", None]}}) for k in range(rng.randrange(3))] + ["[1]"] * rng.randrange(2)
+            rows.append((c, t, rng.choice(["assistant", "user", "system", None]), rng.choice(["", "  ", "x" * rng.randrange(1, 90), None, "say\nit"]), rng.choice([None, calls])))
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tool_calls array<string>")
+    want = []
+    for c, task in tasks:
+        told, k = [], 0
+        for _, t, role, text, calls in [r for r in rows if r[0] == c]:
+            body = (text or "").strip()
+            if role == "assistant":
+                k += 1
+                before = "\n\n".join(told) or "[No preceding context]"
+                want.append((c, k, t, before if len(before) <= 100 else "[Earlier context truncated]\n" + before[-100:], body, calls or [], task or ""))
+            if role != "system":
+                own = [f"{x['function']}({json.dumps(x['args'], ensure_ascii=False, sort_keys=True)})" for x in map(json.loads, calls or []) if isinstance(x, dict)]
+                told.append("\n".join([f"{(role or 'unknown').upper()}: {body or '[empty content]'}", *(["ACTIONS: " + " | ".join(own)] if own else [])]))
+    got = steps.assistant_steps(d, context_chars=100, tasks=spark.createDataFrame(tasks, "conv_id long, task string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_case_steps(spark):
+    schema = "case_id string, task string, steps array<struct<step:long,thought:string,action:string,observation:string>>"
+    d = spark.createDataFrame([("c", "t", [(None, "a", " ls ", "x"), (7, None, " ", "y"), (9, "b", None, "z")]), ("e", None, []), ("n", "t", None)], schema)
+    got = [tuple(r) for r in steps.case_steps(d, 6000).orderBy("source_index").collect()]
+    assert [(g[0], g[1], g[2], g[5], g[6]) for g in got] == [("c", 1, 0, "a", ["ls"]), ("c", 7, 1, "", []), ("c", 9, 2, "b", [])]
+    assert got[2][4].startswith("THOUGHT None: a\nACTION None: ls\n") and "[empty thought]" in got[2][4] and got[0][4] == "[No preceding context]"
+
+
+def test_files_and_run_summary(spark):
+    d = spark.createDataFrame([("b",), ("a",), ("c",)], "name string")
+    assert [r["name"] for r in steps.first_files(d, 2).collect()] == ["a", "b"]
+    with pytest.raises(Exception, match="fewer than 4 files"):
+        steps.first_files(d, 4).collect()
+    s = spark.createDataFrame([("swe", "success", ["i", "j"]), ("swe", None, None), ("kimi", "success", [])], "source_type string, status string, execution_intents array<string>")
+    assert {tuple(r) for r in steps.run_summary(s).collect()} == {("swe", "success", 1, 2), ("swe", "unknown", 1, 0), ("kimi", "success", 1, 0)}
+
+
+@pytest.mark.parametrize(
+    ("raw", "told"),
+    [('search_dir "class Symbol" hy', '[ACTION] search_dir(query="class Symbol", path="hy")'), ("open hy/models.py", '[ACTION] open(path="hy/models.py")'), ("goto 550", "[ACTION] goto(line=550)"), ("scroll_down", "[ACTION] scroll_down()"),
+     ("python a.py -q", '[ACTION] python(command="a.py -q")'), ("rm a", '[ACTION] rm(path="a")'), ("create a", '[ACTION] create(path="a")'), ("ls -la 'b c'", "[ACTION] ls(args=\"-la 'b c'\")"), ("open 'x", None), ("", None), (None, None)],
+)
+def test_canonical_actions(raw, told):
+    assert curation.canonical(raw) == told
+
+
+def test_verdicts(spark):
+    good = {"label": "safe_negative", "negative_type": "t", "confidence": 0.97, "reason": "r", "risk_flags": []}
+    rows = [(good, "valid"), (good | {"confidence": 1}, "valid"), (good | {"confidence": 1.5}, "invalid_confidence"), (good | {"label": "x"}, "invalid_label"), (good | {"more": 1}, "invalid_schema"), (good | {"confidence": "0.9"}, "invalid_schema"), ([1], "invalid_schema"), (good | {"risk_flags": None}, "invalid_schema")]
+    d = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(rows)] + [(99, "{"), (100, None)], "i long, raw string")
+    got = {r["i"]: r["s"] for r in d.select("i", curation.verdict_status(F.col("raw")).alias("s")).collect()}
+    assert got == {i: s for i, (_, s) in enumerate(rows)} | {99: "invalid_json", 100: "invalid_json"}
+    c = spark.createDataFrame([("a",), ("b",)], "c string").select(curation.judgement_key(F.col("c"), "p", "m", "s").alias("key"), "c")
+    done = c.where("c = 'a'").withColumn("status", F.lit("success")).unionByName(c.where("c = 'b'").withColumn("status", F.lit("error")))
+    assert [r["c"] for r in curation.unjudged(c, done).collect()] == ["b"]
+
+
+def test_candidate_audit(spark):
+    rows = [("swe", "t1", "success", ["i"], ["ls"]), ("swe", "t1", "success", ["i"], ["edit 1:2"]), ("swe", "t2", "success", ["i"], []), ("swe", "t2", "error", ["i"], ["ls"]), ("kimi", "k", "success", ["i", "j"], ["ls"]), ("kimi", "k", None, None, None)]
+    d = spark.createDataFrame(rows, "source string, trajectory_id string, status string, intents array<string>, actions array<string>")
+    assert {tuple(r) for r in curation.candidate_audit(d).collect()} == {("swe", 2, 4, 1, 1, 1, 1, True), ("kimi", 1, 2, 0, 0, 0, 2, True)}
+
+
 def test_groups_join_over_templates_and_splits_do_not_leak(spark):
     rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "trajectory_id string, template string")
     groups = curation.leak_groups(rows)
     assert {r["trajectory_id"]: r["group_id"] for r in groups.collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
+    chain = spark.createDataFrame([(f"n{i:03d}", f"t{j:03d}") for i in range(60) for j in (i, i + 1)], "trajectory_id string, template string")
+    assert {r["group_id"] for r in curation.leak_groups(chain).collect()} == {"n000"}
+    alone = spark.createDataFrame([(1, None), (2, None)], "trajectory_id long, template string")
+    assert sorted(map(tuple, curation.leak_groups(alone).collect())) == [(1, 1), (2, 2)]
+    few = spark.createDataFrame([(f"g{i}",) for i in range(5) for _ in range((60, 10, 14, 8, 8)[i])], "group_id string")
+    split = {r["split"]: r["n"] for r in curation.grouped_split(few).groupBy("split").agg(F.sum("rows").alias("n")).collect()}
+    assert sum(split.values()) == 100 and split["train"] >= 60 and set(split) == {"train", "validation", "test"}
+    assert curation.grouped_split(few.limit(0)).count() == 0
     many = spark.range(2000).select(F.col("id").cast("string").alias("group_id"))
     split = {r["split"]: r["n"] for r in curation.grouped_split(many).groupBy("split").agg(F.sum("rows").alias("n")).collect()}
     assert abs(split["train"] - 1400) <= 1 and abs(split["test"] - 300) <= 1
@@ -278,8 +481,3 @@ def test_review_is_closed(spark):
     for bad in ([(1, "direct_match")], [(1, "direct_match"), (2, "?")], [(1, "direct_match"), (2, "no_match"), (3, "no_match")], [(1, "no_match"), (1, "no_match"), (2, "no_match")]):
         with pytest.raises(Exception, match="review:"):
             curation.import_review(queue, spark.createDataFrame(bad, "item_id long, label string")).collect()
-
-
-def test_scores_must_be_finite(spark):
-    with pytest.raises(PythonException):
-        inference.score_pairs(spark.createDataFrame([("a", 5)], "text string, input_tokens int"), lambda ts: [float("nan")]).collect()
