@@ -35,16 +35,17 @@ import heapq
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.sources.shared import discard, written  # noqa: F401
+
 CAPACITY = 1024
 END_ID = 2
 #: Lengths up to capacity / SMALL are small.
@@ -63,32 +64,6 @@ BATCH_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length int, ids binary, task int, rank long"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder in local mode, an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts its lineage, and fixes what a rerun might order otherwise."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._folder = path
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a written table that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str | None]:
     """Paths of a public byte-level vocabulary: for `tokenizers`, and as ranks."""
     import public_tokenizers

@@ -15,7 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwright.llm import blocks, components, html, matroska, mixture, ngram_join, packing, queries, secrets, sql, substring, suffix, topk, toxicity
+from loomwright.llm import blocks, html, matroska, mixture, ngram_join, packing, queries, secrets, sql, substring, suffix, topk, toxicity
+from loomwright.operators import graph as components
 
 
 def made(n=60, seed=3):
