@@ -29,8 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.sources.shared import written
-
 LABELLED = 10_000
 FEATURES = 300
 #: Rows that must have a word.
@@ -118,7 +116,16 @@ def train_on(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, featu
             yield pa.RecordBatch.from_arrays([b.column("_grade"), pa.array([sorted(words_of(t.as_py())) for t in b.column("_text")], pa.list_(pa.string()))], names=["grade", "words"])
 
     found = rows.mapInArrow(run, "grade int, words array<string>")
-    found = written(found.groupBy(F.sha2(F.concat_ws(" ", "words"), 256).alias("same"), "grade").agg(F.first("words").alias("words")), "labelled")
+    # `labelled` rows at most, kept until the model is there; a part that is lost is made again, with the same rows
+    found = found.groupBy(F.sha2(F.concat_ws(" ", "words"), 256).alias("same"), "grade").agg(F.first("words").alias("words")).persist()
+    try:
+        return _fitted(found, features)
+    finally:
+        found.unpersist()
+
+
+def _fitted(found: DataFrame, features: int) -> Model:
+    """From rows of grade and words."""
     toxic = F.col("grade") > 0
     sides = {r["toxic"]: r["n"] for r in found.groupBy(toxic.alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n, pos = sum(sides.values()), sides.get(True, 0)
