@@ -28,9 +28,15 @@ def _once(d: DataFrame, **columns: Column) -> DataFrame:
     return d.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def context_complete(messages: Column, issue: Column) -> Column:
+    """A first message of the system with a prompt or text, and an issue."""
+    first = F.get(messages, F.lit(0))
+    prompt = T.strip(T.text_or_empty(F.coalesce(F.nullif(first["system_prompt"], F.lit("")), first["text"])))
+    return F.coalesce((first["role"] == "system") & (prompt != "") & (issue != ""), F.lit(False))
+
+
 def features(records: DataFrame) -> DataFrame:
     """Everything the filter and the score need, beside the record."""
-    first = F.get("trajectory", F.lit(0))
     patch, log = T.strip(T.text_or_empty(F.col("generated_patch"))), T.strip(T.text_or_empty(F.col("eval_logs")))
     d = _once(records, cycles=cycles(F.col("trajectory")), issue=T.issue_text(F.col("trajectory")))
     d = _once(
@@ -40,7 +46,7 @@ def features(records: DataFrame) -> DataFrame:
         phases=F.array_sort(F.array_distinct(F.transform("cycles", lambda c: T.action_phase(c["action"])))),
         thought_chars=F.aggregate("cycles", F.lit(0).cast("long"), lambda a, c: a + F.length(c["thought"])),
         title=T.issue_title(F.col("issue")),
-        context_complete=F.coalesce((first["role"] == "system") & (T.strip(T.text_or_empty(F.coalesce(F.nullif(first["system_prompt"], F.lit("")), first["text"]))) != "") & (F.col("issue") != ""), F.lit(False)),
+        context_complete=context_complete(F.col("trajectory"), F.col("issue")),
         patch_evidence=(F.length(patch) >= 40) & (patch.contains("diff --git") | patch.contains("@@")),
         eval_evidence=F.length(log) >= 100,
         log_chars=F.length(T.text_or_empty(F.col("eval_logs"))),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -105,6 +106,51 @@ def bugfix_titles(spark, sf_dir):
     return o.select("o_orderkey", T.squeeze(raw).alias("title")).where(T.is_bugfix(F.col("title")))
 
 
+_ISSUES = ("ISSUE: broken {k}", "see tissue: {k} is wrong", "Given\nissue:\n\n  ## Crash {k}\nmore", "plain {k}", " ", "Reissue:no {k}", "# ISSUE:{k}")
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_orderkey::VARCHAR AS n FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN 'broken ' || n WHEN 1 THEN 'see tissue: ' || n || ' is wrong' WHEN 2 THEN '## Crash ' || n || chr(10) || 'more' WHEN 3 THEN 'plain ' || n WHEN 4 THEN 'second ' || n WHEN 5 THEN 'Reissue:no ' || n WHEN 6 THEN n END AS issue,
+  CASE k WHEN 0 THEN 'broken ' || n WHEN 1 THEN 'see tissue: ' || n || ' is wrong' WHEN 2 THEN 'Crash ' || n WHEN 3 THEN 'plain ' || n WHEN 4 THEN 'second ' || n WHEN 5 THEN 'Reissue:no ' || n WHEN 6 THEN n END AS title FROM t""")
+def issue_texts(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders")
+    n = F.col("o_orderkey").cast("string")
+    said = F.replace(F.element_at(F.array(*map(F.lit, _ISSUES)), (F.col("o_orderkey") % len(_ISSUES) + 1).cast("int")), F.lit("{k}"), n)
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    d = o.select("o_orderkey", T.issue_text(F.array(message("system", F.lit("ISSUE: none")), message("user", said), message("user", F.concat(F.lit("second "), n)))).alias("issue"))
+    return d.select("o_orderkey", "issue", T.issue_title(F.col("issue")).alias("title"))
+
+
+@query("""SELECT o_orderkey, 'shard-' || o_custkey % 3 || '.jsonl:' || o_orderkey AS uid, CASE WHEN o_orderkey % 4 = 0 THEN 'f' || o_custkey || '.v1' WHEN o_orderkey % 4 = 1 THEN 'noext' ELSE 'own' || o_orderkey END AS identity,
+  CASE o_orderkey % 4 WHEN 2 THEN 'text' ELSE '' END AS coerced FROM orders""")
+def record_names(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders")
+    k, n = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    own = F.when(k >= 2, F.concat(F.lit("own"), n)).when(k == 1, "")
+    file = F.when(k == 1, "noext").otherwise(F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".v1.json")))
+    raw = F.parse_json(F.when(k == 0, "3").when(k == 1, "[1]").when(k == 2, '"text"').otherwise("null"))
+    return o.select("o_orderkey", T.uid(F.concat(F.lit("shard-"), (F.col("o_custkey") % 3).cast("string"), F.lit(".jsonl")), F.col("o_orderkey")).alias("uid"), T.identity(own, file).alias("identity"), T.only_string(raw).alias("coerced"))
+
+
+_ANSWERS = (('{{"a": {k}}}', True), ('```json\n{{"a": {k}}}\n```', True), ("```\n{{\"a\": {k}}}\n``` more", False), ("[{k}]", False), ("{{", False), ('  {{"a": {k}}}\n', True))
+
+
+@query(f"""SELECT event_id, CASE WHEN [{", ".join(str(ok).lower() for _, ok in _ANSWERS)}][event_id % {len(_ANSWERS)} + 1] THEN event_id END AS a FROM events""")
+def parsed_answers(spark, sf_dir):
+    raw = F.element_at(F.array(*(F.lit(r.replace("{{", "{").replace("}}", "}")) for r, _ in _ANSWERS)), (F.col("event_id") % len(_ANSWERS) + 1).cast("int"))
+    answer = T.parse_object(F.replace(raw, F.lit("{k}"), F.col("event_id").cast("string")))
+    return I.table(spark, sf_dir, "events").select("event_id", F.try_variant_get(answer, "$.a", "bigint").alias("a"))
+
+
+@query("""SELECT conv_id, coalesce(bool_or(turn = 0 AND role = 'system' AND trim(text) <> ''), false) AND coalesce(bool_or(role = 'user' AND trim(text) <> ''), false) AS complete FROM conversations GROUP BY conv_id""")
+def context_checks(spark, sf_dir):
+    """Whether a conversation begins with a system message and has a request."""
+    c = I.table(spark, sf_dir, "conversations")
+    m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), F.lit(None).cast("string").alias("system_prompt")))
+    d = c.where("turn is not null").groupBy("conv_id").agg(m.alias("trajectory"))
+    return d.select("conv_id", trajectory.context_complete(F.col("trajectory"), T.issue_text(F.col("trajectory"))).alias("complete"))
+
+
 @query("""WITH m AS (SELECT conv_id, turn, role, trim(coalesce(text, '')) AS text, lead(role) OVER w AS after_role, trim(lead(coalesce(text, '')) OVER w) AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, count(*) FILTER (role = 'assistant')::BIGINT AS turns, count(*) FILTER (role = 'assistant' AND text <> '' AND after_role = 'user' AND after <> '')::BIGINT AS cycles FROM m GROUP BY conv_id""")
 def valid_cycles(spark, sf_dir):
@@ -156,7 +202,7 @@ def stable_jitter_sample(spark, sf_dir):
     return d.orderBy("jitter", "doc_id").limit(100)
 
 
-@query(f"WITH {_CANDIDATES} SELECT model_short, count(*)::BIGINT AS capacity FROM (SELECT model_short, instance_id FROM cand GROUP BY ALL HAVING min(target) <> max(target)) GROUP BY model_short")
+@query(f"WITH {_CANDIDATES} SELECT model_short, count(*) FILTER (both_targets)::BIGINT AS capacity FROM (SELECT model_short, instance_id, min(target) <> max(target) AS both_targets FROM cand GROUP BY ALL) GROUP BY model_short")
 def paired_capacity(spark, sf_dir):
     return selection.paired_capacity(I.candidates(spark, sf_dir))
 
@@ -172,7 +218,11 @@ def _quotas(spark, sf_dir) -> selection.Quotas:
     return selection.Quotas(pairs, {m: n + 5 for m, n in pairs.items()})
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CANDIDATES}, cap AS (SELECT model_short AS m, count(*) AS n FROM (SELECT model_short, instance_id FROM cand GROUP BY ALL HAVING min(target) <> max(target)) GROUP BY model_short),
+c AS (SELECT coalesce(max(n) FILTER (m = '1'), 0) AS a, coalesce(max(n) FILTER (m = '2'), 0) AS b, coalesce(max(n) FILTER (m = '3'), 0) AS d FROM cap),
+s(x, y, z, rest) AS (SELECT least(a, 9), least(b, 7), least(d, 4), least(20, a + b + d) - least(a, 9) - least(b, 7) - least(d, 4) FROM c UNION ALL
+  SELECT CASE WHEN a - x >= b - y AND a - x >= d - z THEN x + 1 ELSE x END, CASE WHEN b - y > a - x AND b - y >= d - z THEN y + 1 ELSE y END, CASE WHEN d - z > a - x AND d - z > b - y THEN z + 1 ELSE z END, rest - 1 FROM s, c WHERE rest > 0)
+SELECT unnest(['1', '2', '3']) AS model_short, unnest([x, y, z])::BIGINT AS pairs FROM s WHERE rest = 0""")
 def quota_fit(spark, sf_dir):
     q = _quotas(spark, sf_dir)
     return spark.createDataFrame(sorted(q.pairs.items()), "model_short string, pairs long")
@@ -183,11 +233,14 @@ def representative_selection(spark, sf_dir):
     return selection.numbered(selection.select(I.candidates(spark, sf_dir), _quotas(spark, sf_dir)))
 
 
-@query(f"""WITH {_PAIRS}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, instance_id, model_short) AS k FROM pairs QUALIFY k <= 250),
+@query(f"""WITH {_PAIRS}, best_of AS (SELECT p.*, c.repository FROM pairs p JOIN cand c ON c.uid = p.success QUALIFY row_number() OVER (PARTITION BY p.model_short, c.repository ORDER BY p.score DESC, p.instance_id) = 1),
+top AS (SELECT *, row_number() OVER (ORDER BY score DESC, instance_id, model_short) AS k FROM best_of),
 s AS (SELECT 'P' || lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INT, '0') AS pair_id, unnest([{{'u': success, 't': true}}, {{'u': failure, 't': false}}]) AS x, model_short FROM top)
 SELECT 'CASE-' || lpad((row_number() OVER (ORDER BY pair_id, x.t DESC, model_short, x.u))::VARCHAR, 4, '0') AS selection_id, pair_id, x.u AS uid FROM s""")
 def case_numbering(spark, sf_dir):
-    top = selection.pair_options(I.candidates(spark, sf_dir)).orderBy(F.desc("score"), "instance_id", "model_short").limit(250)
+    """The best pair of each model and repository, numbered: as many as there are models and repositories."""
+    first = Window.partitionBy("model_short", "repository").orderBy(F.desc("score"), "instance_id")
+    top = selection.pair_options(I.candidates(spark, sf_dir)).withColumn("_r", F.row_number().over(first)).where("_r = 1")
     k = F.row_number().over(Window.orderBy(F.desc("score"), "instance_id", "model_short"))
     top = top.withColumn("pair_id", F.format_string("P%02d", k))
     s = top.select("pair_id", "model_short", F.explode(F.array(F.struct(F.col("success.uid").alias("uid"), F.lit(True).alias("target")), F.struct(F.col("failure.uid").alias("uid"), F.lit(False).alias("target")))).alias("x"))
@@ -196,11 +249,11 @@ def case_numbering(spark, sf_dir):
 
 
 @query(f"""WITH {_CANDIDATES}, g AS (SELECT *, CASE WHEN repository IN ('r1', 'r2') THEN 'paired' ELSE 'diversity' END AS selection_group FROM cand)
-SELECT target, selection_group, model_short, length_band, count(*)::BIGINT AS n, count(DISTINCT instance_id)::BIGINT AS instances, min(quality_score) AS least, max(quality_score) AS most FROM g
+SELECT target, selection_group, model_short, length_band, count(*)::BIGINT AS n, count(DISTINCT instance_id)::BIGINT AS instances, count(DISTINCT repository)::BIGINT AS repositories, min(quality_score) AS least, max(quality_score) AS most, round(avg(quality_score), 3) AS mean FROM g
 GROUP BY GROUPING SETS ((target), (selection_group), (model_short), (length_band), (target, model_short), (target, length_band), ())""")
 def selection_summary(spark, sf_dir):
     c = I.candidates(spark, sf_dir).withColumn("selection_group", F.when(F.col("repository").isin("r1", "r2"), "paired").otherwise("diversity"))
-    return selection.summary(c)
+    return selection.summary(c).withColumn("mean", F.round("mean", 3))
 
 
 # --- validation -------------------------------------------------------------------------------------------------------
@@ -217,6 +270,23 @@ def duplicate_ids(spark, sf_dir):
     return validation.duplicates(I.table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id")), "id")
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS m, c_custkey % 2 = 0 AS t FROM customer), n AS (SELECT count(*) AS n FROM c),
+r(position, rule, ok) AS (VALUES (0, 'the expected count is positive', true), (1, 'number of files', true), (2, 'file names', (SELECT max(k) < 10000 FROM c)), (3, 'unique case ids', true), (4, 'case ids equal file names', (SELECT count(*) = 0 FROM c WHERE k % 400 = 7)), (5, 'unique ids of JSON lines', true),
+  (6, 'ids of JSON lines', (SELECT count(*) = 0 FROM c WHERE k % 400 = 7)), (7, 'unique ids of the manifest', false), (8, 'ids of the manifest', false), (9, 'there is a summary', true), (10, 'selected_count', true), (11, 'target_counts as derived', true),
+  (12, 'model_counts as derived', true), (13, 'selection_group_counts as derived', false)) SELECT position::INT AS position, rule, ok FROM r""")
+def snapshot_checks(spark, sf_dir):
+    """A snapshot of customers: a few ids that aren't their file's, a manifest that repeats ids, and a wrong count."""
+    c = I.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("CASE-"), F.when(k < 10_000, F.lpad(k.cast("string"), 4, "0")).otherwise(k.cast("string")))
+    cases = c.select(F.concat(name, F.lit(".json")).alias("file_name"), F.when(k % 400 == 7, F.concat(name, F.lit("x"))).otherwise(name).alias("case_id"), (k % 2 == 0).alias("target"), F.col("c_mktsegment").alias("model_name"), F.lit("paired").alias("selection_group"))
+    n = c.count()
+    count = lambda d, x: {str(r[x]).lower() if isinstance(r[x], bool) else r[x]: r["count"] for r in d.groupBy(x).count().collect()}
+    told = {"selected_count": n, "target_counts": count(cases, "target"), "model_counts": count(cases, "model_name"), "selection_group_counts": {"paired": n + 1}}
+    manifest = c.select(F.when(k == 1, F.lit("CASE-0002")).otherwise(name).alias("selection_id"))
+    return validation.snapshot_rules(cases, c.select(name.alias("case_id")), manifest, told, n).drop("detail")
+
+
 _RAW = (
     ('{"intents": [{"intent_quote": "alpha", "temporal_scope": "current"}, {"intent_quote": "gamma", "temporal_scope": "future"}]}', "valid"),
     ('{"intents": ', "invalid_json"),
@@ -278,6 +348,44 @@ def assistant_steps(spark, sf_dir):
     return steps.assistant_steps(I.table(spark, sf_dir, "conversations")).select("conv_id", "thought_step", "source_index", "thought")
 
 
+_CALLS_SQL = "CASE WHEN role = 'assistant' THEN list_transform(range(length(text) % 3), lambda k: 'f' || k || '({\"a\": \"x\", \"b\": ' || turn || '})') ELSE [] END"
+
+
+@query(f"""WITH m AS (SELECT *, trim(coalesce(text, ''), {_WHITE_SQL}) AS body, {_CALLS_SQL} AS calls FROM conversations WHERE role <> 'system'),
+l AS (SELECT *, upper(role) || ': ' || CASE WHEN body <> '' THEN body ELSE '[empty content]' END || CASE WHEN len(calls) > 0 THEN chr(10) || 'ACTIONS: ' || array_to_string(calls, ' | ') ELSE '' END AS line FROM m),
+h AS (SELECT *, string_agg(line, chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l)
+SELECT conv_id, turn, CASE WHEN coalesce(before, '') = '' THEN '[No preceding context]' WHEN length(before) <= 200 THEN before ELSE '[Earlier context truncated]' || chr(10) || right(before, 200) END AS preceding_context, len(calls)::INT AS actions, 'task ' || conv_id AS user_request FROM h WHERE role = 'assistant'""")
+def chat_steps(spark, sf_dir):
+    c = I.table(spark, sf_dir, "conversations")
+    one = lambda k: F.concat(F.lit('{"function": "f'), k.cast("string"), F.lit('", "args": {"b": '), F.col("turn").cast("string"), F.lit(', "a": "x"}}'))
+    calls = F.filter(F.transform(F.array(F.lit(0), F.lit(1)), lambda k: F.when(k < F.length("text") % 3, one(k))), lambda x: x.isNotNull())
+    d = c.withColumn("tool_calls", F.when(F.col("role") == "assistant", calls))
+    tasks = c.select("conv_id").distinct().select("conv_id", F.concat(F.lit("task "), F.col("conv_id").cast("string")).alias("task"))
+    s = steps.assistant_steps(d, context_chars=200, tasks=tasks)
+    return s.select("conv_id", F.col("source_index").alias("turn"), "preceding_context", F.size("actual_actions").alias("actions"), "user_request")
+
+
+@query(f"WITH {_STEPS}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM st WHERE explicit AND reply <> '') SELECT user_id, k::BIGINT AS thought_step, [command] AS actual_actions, 'value is wrong' AS user_request FROM n")
+def case_step_actions(spark, sf_dir):
+    r = I.trajectories(spark, sf_dir).select("*", F.col("user_id").cast("string").alias("selection_id"), F.lit("").alias("selection_group"), F.lit("").alias("pair_id"))
+    s = steps.case_steps(trajectory.cases(r).withColumn("task", F.lit("value is wrong")))
+    return s.select(F.col("case_id").cast("long").alias("user_id"), "thought_step", "actual_actions", "user_request")
+
+
+@query("SELECT name FROM (SELECT DISTINCT doc_id::VARCHAR || '.json' AS name FROM documents) ORDER BY name LIMIT 25")
+def first_files(spark, sf_dir):
+    return steps.first_files(I.table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("name")).distinct(), 25)
+
+
+@query("""SELECT CASE WHEN user_id % 2 = 0 THEN 'chat' ELSE 'swe' END AS source_type, CASE event_type WHEN 'view' THEN 'success' WHEN 'click' THEN 'error' WHEN 'signup' THEN 'skipped_empty' ELSE 'unknown' END AS status,
+  count(*)::BIGINT AS steps, sum(CASE WHEN event_type = 'view' THEN event_id % 3 ELSE 0 END)::BIGINT AS intents FROM events GROUP BY ALL""")
+def run_summary(spark, sf_dir):
+    e = I.table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "view", "success").when(F.col("event_type") == "click", "error").when(F.col("event_type") == "signup", "skipped_empty").when(F.col("event_type") == "purchase", "")
+    intents = F.when(F.col("event_type") == "view", F.array_repeat(F.lit("i"), (F.col("event_id") % 3).cast("int")))
+    return steps.run_summary(e.select(F.when(F.col("user_id") % 2 == 0, "chat").otherwise("swe").alias("source_type"), status.alias("status"), intents.alias("execution_intents")))
+
+
 @query("""WITH m AS (SELECT conv_id, length(text) % 3 AS calls, turn % 4 <> 3 AS told FROM conversations WHERE role = 'assistant' AND length(text) % 3 > 0),
 s AS (SELECT c.conv_id, count(m.conv_id) AS acting, count(*) FILTER (told) AS direct, coalesce(sum(calls), 0) AS total FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON c.conv_id = m.conv_id GROUP BY c.conv_id)
 SELECT conv_id::VARCHAR AS name, CASE WHEN acting > 0 THEN direct / acting ELSE 0.0 END AS coverage, direct::BIGINT AS direct, total::BIGINT AS total FROM s ORDER BY coverage DESC, direct DESC, total DESC, name LIMIT 5""")
@@ -332,6 +440,53 @@ def record_status(spark, sf_dir):
     return d.groupBy("o_orderkey").agg(inference.record_status(F.col("l_returnflag") == "A", F.col("l_returnflag") == "N").alias("status"))
 
 
+def _client(payload: dict) -> tuple[str, dict[str, int]]:
+    """A model for tests: fails for every ninth prompt, answers no JSON for every seventh."""
+    k = int(payload["messages"][1]["content"])
+    if k % 9 == 0:
+        raise OSError("down")
+    return ("no json" if k % 7 == 0 else json.dumps({"k": k})), {"prompt_tokens": k % 5}
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'skipped_empty' WHEN o_orderkey % 9 = 0 OR o_orderkey % 7 = 0 THEN 'error' ELSE 'success' END AS status,
+  CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 9 = 0 OR o_orderkey % 7 = 0 THEN 1 ELSE 1 END::INT AS attempts, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 9 <> 0 AND o_orderkey % 7 <> 0 THEN '{"k": ' || o_orderkey || '}' END AS answer FROM orders""")
+def completed_steps(spark, sf_dir):
+    o = I.table(spark, sf_dir, "orders")
+    s = o.select("o_orderkey", F.col("o_orderkey").cast("string").alias("prompt"), F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise("think").alias("thought"))
+    return inference.complete(s, _client, json.loads, "model", "system", tries=1).select("o_orderkey", "status", "attempts", "answer")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'uncertain' WHEN event_id % 21 = 4 THEN 'uncertain' WHEN event_id % 3 = 0 THEN 'yes' WHEN event_id % 3 = 1 THEN 'no' ELSE 'uncertain' END AS operation_match,
+  CASE WHEN event_id % 10 = 0 THEN 'context_overflow' END AS reason, event_id % 10 = 0 OR event_id % 10 > 5 AS beyond_512, event_id % 10 <> 0 AND event_id % 21 = 4 AS failed FROM events""")
+def pair_scores(spark, sf_dir):
+    k = F.col("event_id")
+    tokens = F.when(k % 10 == 0, 9000).when(k % 10 > 5, 600).otherwise(40).cast("int")
+    pairs = I.table(spark, sf_dir, "events").select("event_id", F.concat(F.when(k % 21 == 4, "?").otherwise(""), (k % 3).cast("string")).alias("text"), tokens.alias("input_tokens"))
+    scored = inference.score_pairs(pairs, lambda texts: [float("nan") if t[0] == "?" else (2.0, -2.0, 0.5)[int(t)] for t in texts], batch_size=1, margin=1.0)
+    return scored.select("event_id", "operation_match", "reason", "beyond_512", F.col("error").isNotNull().alias("failed"))
+
+
+def _generate(thought: str) -> tuple[str, bool, int]:
+    """A model for tests, which extracts a thought's first word."""
+    kind = thought.split()[1]
+    if kind == "3":
+        raise OSError("no device")
+    quote = "none" if kind == "2" else thought.split()[0]
+    return ('{"intents": []}' if kind == "4" else json.dumps({"intents": [{"intent_quote": quote, "temporal_scope": "current"}]})), kind != "1", 9000 if kind == "5" else 10
+
+
+@query("""SELECT o_orderkey AS unit_id, CASE WHEN o_orderkey % 7 IN (1, 2, 3, 5) THEN 'technical_failure' WHEN o_orderkey % 7 = 4 OR o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'completed' ELSE 'completed_with_uncertain' END AS status,
+  CASE WHEN o_orderkey % 7 IN (1, 2, 3, 5) THEN 'uncertain' WHEN o_orderkey % 7 = 4 THEN 'not_applicable' WHEN o_orderstatus = 'F' THEN 'fully_consistent' WHEN o_orderstatus = 'O' THEN 'fully_inconsistent' ELSE 'uncertain' END AS step_label,
+  CASE o_orderkey % 7 WHEN 1 THEN 'generation_truncated' WHEN 2 THEN 'non_source_quote' WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE 'valid' END AS extraction_status FROM orders""")
+def unit_runs(spark, sf_dir):
+    """Extraction, matching and aggregation with models that fail in every way."""
+    o = I.table(spark, sf_dir, "orders")
+    action = F.struct(F.lit("A1").alias("action_id"), F.col("o_orderstatus").alias("model_text"))
+    units = o.select(F.col("o_orderkey").alias("unit_id"), F.concat(F.lit("go "), (F.col("o_orderkey") % 7).cast("string")).alias("thought"), F.lit(True).alias("window_complete"), F.array(action).alias("actions"))
+    score = {"F": 5.0, "O": -5.0}
+    return inference.run_units(units, _generate, lambda texts: [score.get(t[-1], 0.0) for t in texts], len, 8192, margin=1.0).select("unit_id", "status", "step_label", "extraction_status")
+
+
 # --- alignment --------------------------------------------------------------------------------------------------------
 
 
@@ -363,13 +518,14 @@ def step_label(spark, sf_dir):
     return _labelled(spark, sf_dir).select("unit_id", "step_label")
 
 
-@query(f"WITH {_LINES} SELECT CASE WHEN unit_id % 50 = 0 THEN 'technical_failure' WHEN step_label = 'uncertain' OR u > 0 THEN 'completed_with_uncertain' ELSE 'completed' END AS status, step_label, count(*)::BIGINT AS n FROM step GROUP BY ALL")
+@query(f"WITH {_LINES} SELECT CASE WHEN unit_id % 50 = 0 THEN 'technical_failure' WHEN step_label = 'uncertain' OR unit_id IN (SELECT unit_id FROM base WHERE intent_id <> '2' AND operation_match = 'uncertain') THEN 'completed_with_uncertain' ELSE 'completed' END AS status, step_label, count(*)::BIGINT AS n FROM step GROUP BY ALL")
 def unit_status(spark, sf_dir):
-    d = alignment.unit_status(_labelled(spark, sf_dir), F.col("unit_id") % 50 == 0)
+    _, base, _ = I.line_actions(spark, sf_dir)
+    d = alignment.unit_status(_labelled(spark, sf_dir), base.where("intent_id <> '2'"), F.col("unit_id") % 50 == 0)
     return d.groupBy("status", "step_label").agg(F.count("*").alias("n"))
 
 
-_REFS = f"""{_LINES}, refs AS (SELECT *, 'q' || intent_id AS q FROM base), preds AS (SELECT unit_id, q, action_id, CASE WHEN action_id::INT % 3 = 0 THEN 'no' ELSE operation_match END AS operation_match FROM refs WHERE action_id <> '5' UNION ALL SELECT unit_id, 'other', action_id, 'yes' FROM refs WHERE action_id = '5'),
+_REFS = f"""{_LINES}, refs AS (SELECT *, 'q' || intent_id AS q FROM base), preds AS (SELECT unit_id, q, action_id, CASE WHEN unit_id % 50 = 0 THEN 'missing' ELSE m END AS operation_match FROM (SELECT unit_id, q, action_id, CASE WHEN action_id::INT % 3 = 0 THEN 'no' ELSE operation_match END AS m FROM refs WHERE action_id <> '5' UNION ALL SELECT unit_id, 'other', action_id, 'yes' FROM refs WHERE action_id = '5')),
 al AS (SELECT coalesce(r.operation_match, 'extra') AS expected, coalesce(p.operation_match, 'missing') AS actual FROM refs r FULL JOIN preds p ON r.unit_id = p.unit_id AND r.q = p.q AND r.action_id = p.action_id)"""
 
 
@@ -378,7 +534,7 @@ def _aligned(spark, sf_dir):
     refs = base.select("unit_id", F.concat(F.lit("q"), "intent_id").alias("intent_quote"), F.lit("current").alias("temporal_scope"), "action_id", "operation_match")
     fifth = F.col("action_id") == "5"
     preds = refs.withColumn("operation_match", F.when(fifth, "yes").when(F.col("action_id").cast("int") % 3 == 0, "no").otherwise(F.col("operation_match"))).withColumn("intent_quote", F.when(fifth, "other").otherwise(F.col("intent_quote")))
-    return alignment.align(refs, preds)
+    return alignment.align(refs, preds, refs.where(F.col("unit_id") % 50 == 0).select("unit_id"))
 
 
 @query(f"WITH {_REFS} SELECT expected, actual, count(*)::BIGINT AS n FROM al GROUP BY ALL")
@@ -401,11 +557,57 @@ def full_denominator_rates(spark, sf_dir):
     return alignment.unit_rates(refs, preds)
 
 
-@query("""SELECT event_id, '[ACTION] {"function":"' || event_type || '","args":{"path":"p' || event_id || '","note":' || json_extract(props, '$.k') || '}}' AS model_text FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 6 < 4 THEN '[ACTION] {"function":"' || event_type || '","args":{"path":"p' || event_id || '","note":' || json_extract(props, '$.k') || '}}' END AS model_text,
+  CASE event_id % 6 WHEN 4 THEN 'an action needs a tool' WHEN 5 THEN 'action ids repeat in a window' END AS error FROM events""")
 def action_serialization(spark, sf_dir):
+    """The four shapes of a call, one without a tool, and two of one id."""
     e = I.table(spark, sf_dir, "events")
-    raw = F.concat(F.lit('[{"raw_call": {"function": {"name": "'), "event_type", F.lit('", "arguments": "{\\"note\\": '), F.get_json_object("props", "$.k"), F.lit(', \\"path\\": \\"p'), F.col("event_id").cast("string"), F.lit('\\"}"}}}]'))
-    return alignment.action_texts(e.select("event_id", raw.alias("actions"))).select("event_id", F.get("model_text", F.lit(0)).alias("model_text"))
+    args = F.concat(F.lit('{"note": '), F.get_json_object("props", "$.k"), F.lit(', "path": "p'), F.col("event_id").cast("string"), F.lit('"}'))
+    quoted = F.concat(F.lit('"'), F.replace(args, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    tool = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    shapes = (
+        F.concat(F.lit('[{"tool": '), tool, F.lit(', "arguments": '), args, F.lit("}]")), F.concat(F.lit('[{"function": '), tool, F.lit(', "args": '), args, F.lit("}]")),
+        F.concat(F.lit('[{"raw_call": {"tool": '), tool, F.lit(', "arguments": '), quoted, F.lit("}}]")), F.concat(F.lit('[{"raw_call": {"function": {"name": '), tool, F.lit(', "arguments": '), quoted, F.lit("}}}]")),
+        F.concat(F.lit('[{"tool": " ", "arguments": '), args, F.lit("}]")), F.concat(F.lit('[{"tool": '), tool, F.lit(', "id": "a"}, {"tool": '), tool, F.lit(', "action_id": "a"}]')),
+    )
+    raw = F.element_at(F.array(*shapes), (F.col("event_id") % 6 + 1).cast("int"))
+    return alignment.action_texts(e.select("event_id", raw.alias("actions"))).select("event_id", F.get("model_text", F.lit(0)).alias("model_text"), "error")
+
+
+_EVALUATED = f"""{_LINES}, x AS (SELECT b.*, 'q' || b.intent_id AS q, CASE WHEN b.unit_id % 13 = 0 THEN 'other' || b.intent_id ELSE 'q' || b.intent_id END AS pq, b.unit_id % 11 <> 0 AS there, b.unit_id % 11 <> 0 AND b.unit_id % 50 <> 0 AS valid FROM base b),
+o AS (SELECT *, there AND action_id <> '5' AS said, CASE WHEN valid AND action_id <> '5' AND pq = q THEN CASE WHEN action_id::INT % 3 = 0 THEN 'no' ELSE operation_match END ELSE 'missing' END AS observed FROM x),
+cases AS (SELECT o.unit_id, CASE WHEN NOT any_value(there) THEN 'missing_window' WHEN o.unit_id % 50 = 0 THEN 'technical_failure' ELSE 'completed' END AS status,
+  any_value(valid) AND o.unit_id % 13 <> 0 AS extraction_exact, any_value(valid) AND CASE WHEN o.unit_id % 7 = 0 THEN 'uncertain' ELSE any_value(step_label) END = any_value(step_label) AS step_correct,
+  count(*) AS reference_pairs, count(*) FILTER (observed = operation_match) AS correct_pairs, count(*) FILTER (observed = 'missing') AS missing_pairs, count(*) FILTER (said AND pq <> q) AS extra_pairs
+  FROM o JOIN step USING (unit_id) GROUP BY o.unit_id)"""
+
+
+def _evaluation(spark, sf_dir):
+    """References and predictions as nested units: failures, other quotes, missing and wrong pairs."""
+    _, base, _ = I.line_actions(spark, sf_dir)
+    scope = F.when(F.col("intent_id") == "2", "future").otherwise("current")
+    by = base.groupBy("unit_id").agg(
+        F.array_sort(F.collect_set(F.struct("intent_id", F.concat(F.lit("q"), "intent_id").alias("intent_quote"), scope.alias("temporal_scope")))).alias("intents"),
+        F.array_sort(F.collect_list(F.struct("intent_id", "action_id", "operation_match"))).alias("pairs"),
+    )
+    refs = by.join(_labelled(spark, sf_dir).select("unit_id", "step_label"), "unit_id")
+    unit = F.col("unit_id")
+    other = F.transform("intents", lambda i: F.struct(i["intent_id"].alias("intent_id"), F.concat(F.lit("other"), i["intent_id"]).alias("intent_quote"), i["temporal_scope"].alias("temporal_scope")))
+    said = F.transform(F.filter("pairs", lambda p: p["action_id"] != "5"), lambda p: F.struct(p["intent_id"].alias("intent_id"), p["action_id"].alias("action_id"), F.when(p["action_id"].cast("int") % 3 == 0, "no").otherwise(p["operation_match"]).alias("operation_match")))
+    preds = refs.where(unit % 11 != 0).select("unit_id", F.when(unit % 7 == 0, "uncertain").otherwise(F.col("step_label")).alias("step_label"), F.when(unit % 50 == 0, "technical_failure").otherwise("completed").alias("status"), F.when(unit % 13 == 0, other).otherwise(F.col("intents")).alias("intents"), said.alias("pairs"))
+    return alignment.evaluation_cases(refs, preds)
+
+
+@query(f"WITH {_EVALUATED} SELECT * FROM cases")
+def evaluation_cases(spark, sf_dir):
+    return _evaluation(spark, sf_dir).drop("expected_step", "observed_step")
+
+
+@query(f"""WITH {_EVALUATED} SELECT count(*)::BIGINT AS windows, count(*) FILTER (status <> 'missing_window')::BIGINT AS predicted_windows, count(*) FILTER (extraction_exact)::BIGINT AS extraction_exact_windows, count(*) FILTER (extraction_exact) / count(*) AS extraction_exact_rate,
+  count(*) FILTER (step_correct)::BIGINT AS step_correct_windows, count(*) FILTER (step_correct) / count(*) AS step_agreement, sum(reference_pairs)::BIGINT AS reference_pairs, sum(correct_pairs)::BIGINT AS correct_reference_pairs, sum(correct_pairs)::BIGINT / sum(reference_pairs)::BIGINT AS pair_agreement,
+  sum(missing_pairs)::BIGINT AS missing_pairs, sum(extra_pairs)::BIGINT AS extra_pairs FROM cases""")
+def evaluation_summary(spark, sf_dir):
+    return alignment.evaluation_summary(_evaluation(spark, sf_dir))
 
 
 # --- audit ------------------------------------------------------------------------------------------------------------
@@ -450,6 +652,36 @@ def content_manifest(spark, sf_dir):
     return audit.manifest(d).withColumnRenamed("path", "doc_id")
 
 
+@query("""WITH f AS (SELECT p_partkey AS p, p_partkey % 9 AS k, p_partkey::VARCHAR AS n FROM part)
+SELECT code, path, detail FROM (
+  SELECT 'forbidden_path' AS code, n || '/.env' AS path, 'path must not be tracked' AS detail FROM f WHERE k = 0
+  UNION ALL SELECT 'possible_secret', n || '.py', 'non-empty credential-like assignment' FROM f WHERE k = 3
+  UNION ALL SELECT 'possible_secret', n || '.yml', 'non-empty credential-like assignment' FROM f WHERE k = 5
+  UNION ALL SELECT 'possible_secret', n || '.md', 'non-empty credential-like assignment' FROM f WHERE k = 8
+  UNION ALL SELECT 'machine_absolute_path', n || '.txt', 'contains /data/home/' FROM f WHERE k = 6
+  UNION ALL SELECT 'file_too_large', n || '.txt', (24 + length(n)) || ' bytes exceeds 24' FROM f WHERE k = 6
+  UNION ALL SELECT 'file_too_large', n || '.md', '28 bytes exceeds 24' FROM f WHERE k = 1
+  UNION ALL SELECT 'file_too_large', n || '.py', '29 bytes exceeds 24' FROM f WHERE k = 4)""")
+def file_audit(spark, sf_dir):
+    """Files made of parts: a fenced and an open secret in Markdown, a literal and a lookup in Python, a placeholder, a path, bytes that are no text."""
+    p = I.table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey") % 9, F.col("p_partkey").cast("string")
+    bodies = (
+        ("/.env", F.lit("A=1")), (".md", F.lit("```\ntoken=abcdefghijklm\n```\n")), (".txt", F.lit("token: <secret>")), (".py", F.lit("API_KEY = 'abc'\n")), (".py", F.lit("TOKEN = os.environ['TOKEN_1']")),
+        (".yml", F.lit("  db_password: hunter2\n")), (".txt", F.concat(F.lit("in /data/home/someone/ at "), n).substr(F.lit(1), F.length(n) + 24)), (".bin", F.lit(None).cast("string")), (".md", F.lit("secret=x\n")),
+    )
+    pick = lambda j: F.element_at(F.array(*(F.lit(b[j]) if isinstance(b[j], str) else b[j] for b in bodies)), (k + 1).cast("int"))
+    content = F.when(k == 7, F.unhex(F.lit("746F6B656E3DFFFE"))).otherwise(F.encode(pick(1), "UTF-8"))
+    files = p.select(F.concat(n, pick(0)).alias("path"), content.alias("content")).withColumn("bytes", F.octet_length("content").cast("long"))
+    return audit.audit(files, "/data/home/", max_bytes=24)
+
+
+@query("SELECT count(*)::BIGINT AS file_count, sum(strlen(text))::BIGINT AS total_bytes FROM documents WHERE text IS NOT NULL")
+def manifest_totals(spark, sf_dir):
+    d = I.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return audit.manifest(d).agg(F.count("*").alias("file_count"), F.sum("bytes").alias("total_bytes"))
+
+
 # --- curation ---------------------------------------------------------------------------------------------------------
 
 
@@ -492,3 +724,78 @@ def hard_negative_candidates(spark, sf_dir):
     lines = I.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     items = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), F.when(F.col("l_orderkey") % 10 < 7, "train").otherwise("test").alias("split"), F.col("l_orderkey").alias("trajectory_id"), (F.col("s") % 23).alias("tool"), F.col("p").alias("target"))
     return curation.hard_negatives(items)
+
+
+@query(f"WITH {_STEPS} SELECT event_id, CASE event_type WHEN 'view' THEN '[ACTION] open(path=\"src/main.py\")' WHEN 'click' THEN '[ACTION] edit(args=\"3:4\")' WHEN 'error' THEN '[ACTION] pytest(args=\"tests\")' WHEN 'signup' THEN '[ACTION] python(command=\"run.py\")' WHEN 'purchase' THEN '[ACTION] submit(args=\"\")' END AS told FROM ev")
+def canonical_actions(spark, sf_dir):
+    return I.event_steps(spark, sf_dir).select("event_id", curation.canonical_action(F.col("command")).alias("told"))
+
+
+def _curated(spark, sf_dir):
+    """Steps of orders: intents by priority, actions by status."""
+    o = I.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        "o_orderkey", F.when(k % 2 == 0, "swe").otherwise("chat").alias("source"), F.col("o_custkey").alias("trajectory_id"), F.when(k % 10 == 0, "error").otherwise("success").alias("status"),
+        F.array_repeat(F.lit("i"), (k % 3).cast("int")).alias("intents"), F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>")).when(F.col("o_orderstatus") == "F", F.array(F.lit("edit 3:4"))).otherwise(F.array(F.lit("open a"))).alias("actions"),
+    )
+
+
+@query("""WITH k AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'swe' ELSE 'chat' END AS source, o_custkey, CASE WHEN o_orderkey % 10 <> 0 AND o_orderkey % 3 = 1 THEN CASE o_orderstatus WHEN 'P' THEN 'unfulfilled' WHEN 'F' THEN 'long' ELSE 'candidate' END ELSE 'other' END AS kind FROM orders)
+SELECT source, count(DISTINCT o_custkey)::BIGINT AS trajectories, count(*)::BIGINT AS steps, count(*) FILTER (kind = 'candidate')::BIGINT AS candidate, count(*) FILTER (kind = 'long')::BIGINT AS long, count(*) FILTER (kind = 'unfulfilled')::BIGINT AS unfulfilled, count(*) FILTER (kind = 'other')::BIGINT AS other, true AS consistent FROM k GROUP BY source""")
+def candidate_audit(spark, sf_dir):
+    return curation.candidate_audit(_curated(spark, sf_dir))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'swe' ELSE 'chat' END || ':' || o_custkey || ':T' || o_orderkey || '-I1' AS item_id, CASE o_orderstatus WHEN 'P' THEN 'unfulfilled' ELSE 'candidate' END AS queue
+FROM orders WHERE o_orderkey % 3 = 1 AND (o_orderstatus = 'P' OR o_orderkey % 10 <> 0)""")
+def review_queues(spark, sf_dir):
+    s = _curated(spark, sf_dir)
+    name = curation.stable_id(F.col("source"), F.col("trajectory_id").cast("string"), F.col("o_orderkey"), F.lit(1)).alias("item_id")
+    return curation.one_to_one(s).select(name, F.lit("candidate").alias("queue")).unionByName(curation.unfulfilled(s).select(name, F.lit("unfulfilled").alias("queue")))
+
+
+@query("SELECT o_orderkey AS item_id FROM orders WHERE o_orderkey % 5 = 0")
+def reviewed_positives(spark, sf_dir):
+    queue = I.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"))
+    label = F.element_at(F.array(*map(F.lit, curation.REVIEW_LABELS)), (F.col("item_id") % 5 + 1).cast("int"))
+    return curation.import_review(queue, queue.withColumn("label", label))
+
+
+_VERDICTS = (("safe_negative", "0.95", "[]", "valid"), ("safe_negative", "0.5", "[]", "valid"), ("semantic_match", "1", "[]", "valid"), ("safe_negative", "0.99", '["risk"]', "valid"), ("other", "0.95", "[]", "invalid_label"), ("safe_negative", "1.5", "[]", "invalid_confidence"), ("safe_negative", '"high"', "[]", "invalid_schema"))
+
+
+@query(f"""SELECT o_orderkey, [{", ".join(repr(v[3]) for v in _VERDICTS)}][o_orderkey % {len(_VERDICTS)} + 1] AS status, o_orderkey % {len(_VERDICTS)} = 0 AND o_custkey % 2 = 0 AS accepted FROM orders""")
+def judged_negatives(spark, sf_dir):
+    """Verdicts, and those of them that every gate accepts; negatives of odd customers are known positives."""
+    o = I.table(spark, sf_dir, "orders")
+    raw = F.element_at(F.array(*(F.lit(f'{{"label": "{a}", "negative_type": "t", "confidence": {b}, "reason": "r", "risk_flags": {c}}}') for a, b, c, _ in _VERDICTS)), (F.col("o_orderkey") % len(_VERDICTS) + 1).cast("int"))
+    d = o.select("o_orderkey", "o_custkey", raw.alias("raw"), curation.verdict_status(raw).alias("status"))
+    v = F.from_json("raw", "label string, confidence double, risk_flags array<string>")
+    judged = d.where("status = 'valid'").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("negative_id"), v.alias("v")).select("item_id", "negative_id", F.col("v.label").alias("verdict"), "v.confidence", F.col("v.risk_flags").alias("flags"))
+    positives = o.where("o_custkey % 2 = 1").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("action_item"))
+    good = curation.accepted(judged, positives).select(F.col("item_id").alias("o_orderkey"), F.lit(True).alias("accepted"))
+    return d.join(good, "o_orderkey", "left").select("o_orderkey", "status", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+@query("SELECT sha256('c' || o_orderkey || chr(10) || 'p' || chr(10) || 'm' || chr(10) || 's') AS key, o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def unjudged_candidates(spark, sf_dir):
+    """Candidates without a successful judgement under the same prompt, model and settings."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("c"), k.cast("string"))
+    o = I.table(spark, sf_dir, "orders").select(curation.judgement_key(name, "p", "m", "s").alias("key"), "o_orderkey", name.alias("name"))
+    done = o.where(k % 3 == 0).select("key", F.when(k % 2 == 0, "error").otherwise("success").alias("status"))
+    old = o.select(curation.judgement_key(F.col("name"), "p", "older", "s").alias("key"), F.lit("success").alias("status"))
+    return curation.unjudged(o, done.unionByName(old)).select("key", "o_orderkey")
+
+
+@query("""WITH t AS (SELECT o_custkey AS trajectory_id, 'c' || o_custkey // 8 || CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS template FROM orders),
+g AS (SELECT o_custkey // 8 AS b, o_custkey AS t, bool_or(o_orderkey % 2 = 0) AS has_a, bool_or(o_orderkey % 2 = 1) AS has_b FROM orders GROUP BY ALL),
+m AS (SELECT b, bool_or(has_a AND has_b) AS whole, min(t) AS least, min(t) FILTER (has_a) AS least_a, min(t) FILTER (has_b) AS least_b FROM g GROUP BY b)
+SELECT t AS trajectory_id, CASE WHEN whole THEN least WHEN has_a THEN least_a ELSE least_b END AS group_id FROM g JOIN m USING (b)""")
+def leak_groups(spark, sf_dir):
+    """Customers in blocks of eight, each with two templates that some customer may join."""
+    o = I.table(spark, sf_dir, "orders")
+    c = F.col("o_custkey")
+    template = F.concat(F.lit("c"), F.floor(c / 8).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b"))
+    return curation.leak_groups(o.select(c.alias("trajectory_id"), template.alias("template")))
