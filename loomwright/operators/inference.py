@@ -73,6 +73,12 @@ def complete(steps: DataFrame, client: Client, accept: Callable[[str], object],
     return steps.mapInPandas(run, schema)
 
 
+def empty_result(step: Column) -> Column:
+    """The result of a step whose thought is empty: no intents, and why."""
+    intents = F.array().cast("array<struct<intent_id:string,intent_text:string,source_quote:string>>")
+    return F.struct(step.cast("long").alias("thought_step"), intents.alias("execution_intents"), F.lit("The observable Thought is empty.").alias("no_intent_reason"))
+
+
 def merge_resume(fresh: DataFrame, old: DataFrame, keys: tuple[str, ...] = ("trajectory_id", "thought_step", "thought", "config_hash")) -> DataFrame:
     """fresh steps with `old_status` where a step with the same key is done; of repeated old steps the last counts. old has `written_at`."""
     last = old.groupBy(*keys).agg(F.max_by("status", "written_at").alias("old_status")).where(F.col("old_status").isin(*DONE))

@@ -317,14 +317,14 @@ def intent_validation(spark, sf_dir):
     return I.table(spark, sf_dir, "events").select("event_id", validation.intent_status(result, n, F.lit("alpha beta gamma")).alias("status"))
 
 
-@query("""SELECT c.conv_id, c.turn, coalesce(bool_or(contains(a.text, left(c.text, 12))), false) AS quoted FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' WHERE c.role = 'user' GROUP BY c.conv_id, c.turn""")
+@query("""SELECT c.conv_id, c.turn, coalesce(bool_or(contains(a.text, c.text)), false) AS quoted FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' WHERE c.role = 'user' GROUP BY c.conv_id, c.turn""")
 def quote_containment(spark, sf_dir):
     c = I.table(spark, sf_dir, "conversations")
-    users, said = c.where("role = 'user'").select("conv_id", "turn", F.left("text", F.lit(12)).alias("quote")), c.where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"))
+    users, said = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("quote")), c.where("role = 'assistant'").select("conv_id", F.col("text").alias("answer"))
     return users.join(said, "conv_id", "left").groupBy("conv_id", "turn").agg(F.coalesce(F.bool_or(F.contains("answer", "quote")), F.lit(False)).alias("quoted"))
 
 
-@query()
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def passage_containment(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents").select("doc_id", "text")
     return audit.passages_within(I.table(spark, sf_dir, "benchmark").select("item_id", "text"), d)
@@ -414,6 +414,15 @@ def step_prompts(spark, sf_dir):
 # --- resume -----------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'reason_missing' END AS status FROM orders")
+def empty_results(spark, sf_dir):
+    """The result of an empty thought is valid; one without its reason isn't."""
+    k = F.col("o_orderkey")
+    whole = inference.empty_result(k)
+    result = F.struct(whole["thought_step"].alias("thought_step"), whole["execution_intents"].alias("execution_intents"), F.when(k % 3 != 0, whole["no_intent_reason"]).alias("no_intent_reason"))
+    return I.table(spark, sf_dir, "orders").select("o_orderkey", validation.intent_status(result, k, F.lit("")).alias("status"))
+
+
 @query("""SELECT o_orderkey AS unit_id, CASE WHEN o_orderstatus IN ('F', 'O') AND o_orderkey % 3 = 0 THEN 'success' END AS old_status FROM orders""")
 def resume_merge(spark, sf_dir):
     o = I.table(spark, sf_dir, "orders")

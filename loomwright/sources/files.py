@@ -85,12 +85,11 @@ def parsed(rows: DataFrame, schema: str) -> DataFrame:
 
 
 def lookup(rows: DataFrame, selected: DataFrame) -> DataFrame:
-    """The selected rows (source_file, source_row); fewer than asked is an error."""
+    """The selected rows (source_file, source_row), in one pass over rows; one that isn't there is an error, raised as the result is read."""
     want = selected.select("source_file", "source_row").distinct()
-    out = rows.join(want, ["source_file", "source_row"], "left_semi")
-    if (n := out.count()) != (m := want.count()):
-        raise ValueError(f"found {n} of {m} selected rows")
-    return out
+    found = want.join(rows.withColumn("_found", F.lit(True)), ["source_file", "source_row"], "left")
+    missing = F.raise_error(F.concat(F.lit("no such row: "), "source_file", F.lit(" "), F.col("source_row").cast("string")))
+    return found.where(F.when(F.col("_found"), F.lit(True)).otherwise(missing)).select(rows.columns)
 
 
 def read_json_objects(spark: SparkSession, path: str) -> DataFrame:

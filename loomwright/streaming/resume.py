@@ -4,17 +4,33 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.sources.files import atomic_json
+
 
 def run_id(settings: Mapping[str, object]) -> str:
     """A run is its settings; other settings never reuse its results."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
 
 
+def open_run(folder: str, settings: Mapping[str, object]) -> None:
+    """Claim a folder for a run: a new or empty one gets a manifest of the settings; another must have the same. A folder with other files is refused."""
+    manifest = os.path.join(folder, "manifest.json")
+    if os.path.isfile(manifest):
+        with open(manifest, encoding="utf-8") as f:
+            if json.load(f) != json.loads(json.dumps(settings)):
+                raise ValueError(f"other settings than those of {folder}")
+    elif os.path.isdir(folder) and os.listdir(folder):
+        raise ValueError(f"files without a manifest in {folder}")
+    else:
+        atomic_json(manifest, dict(settings))
+
+
 def process_new(spark: SparkSession, source: str, schema: str, log: str, checkpoint: str, settings: Mapping[str, object], step: Callable[[DataFrame], DataFrame], key: str = "unit_id"):
     """Read what came since the last run, drop units that the log has, and append the rest's results (exactly once a batch)."""
     run = run_id(settings)

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from loomwright.sources import files
+from loomwright.sources import files, snapshot
 from loomwright.streaming import resume
 
 
@@ -16,8 +16,8 @@ def test_jsonl_rows_keep_their_places(spark, tmp_path):
     assert files.read_jsonl_plain(spark, str(tmp_path)).count() == 3
     want = spark.createDataFrame([("b.jsonl", 1)], "source_file string, source_row long")
     assert files.lookup(rows, want).count() == 1
-    with pytest.raises(ValueError):
-        files.lookup(rows, spark.createDataFrame([("b.jsonl", 9)], "source_file string, source_row long"))
+    with pytest.raises(Exception, match="no such row: b.jsonl 9"):
+        files.lookup(rows, spark.createDataFrame([("b.jsonl", 9)], "source_file string, source_row long")).collect()
     (tmp_path / "c.jsonl").write_text("{")
     with pytest.raises(Exception, match="c.jsonl row 0"):
         files.read_jsonl(spark, str(tmp_path)).collect()
@@ -75,3 +75,70 @@ def test_stream_does_each_unit_once(spark, tmp_path):
     assert feed("1.json", "a", "b", "a") == ["a", "b"]
     assert feed("2.json", "b", "c") == ["a", "b", "c"]
     assert resume.run_id({"m": 1}) != resume.run_id({"m": 2})
+
+
+def test_keyed_json_lines(spark, tmp_path):
+    path = tmp_path / "w.jsonl"
+    path.write_text('{"unit_id": "a", "thought": "t", "window_complete": true, "actions": [{"tool": "x"}]}\n\n{"unit_id": "b", "thought": "u"}\n')
+    got = {r["unit_id"]: (r["thought"], r["actions"]) for r in files.read_windows(spark, str(path)).collect()}
+    assert got == {"a": ("t", ['{"tool":"x"}']), "b": ("u", None)}
+    path.write_text('{"unit_id": "a", "status": "completed", "pairs": [{"intent_id": "I1", "action_id": "A", "operation_match": "no"}]}\n')
+    assert files.read_units(spark, str(path)).first()["pairs"][0]["operation_match"] == "no"
+    for text, problem in (('{"unit_id": "a"}\n{"unit_id": "a"}\n', "repeated unit_id: a"), (" \n", "no rows"), ("[1]\n", "not an object"), ("{\n", "not an object")):
+        path.write_text(text)
+        with pytest.raises(Exception, match=problem):
+            files.read_units(spark, str(path)).collect()
+
+
+def test_reports_are_not_replaced(tmp_path):
+    files.write_report({"a": 1}, str(tmp_path / "r.json"))
+    with pytest.raises(FileExistsError):
+        files.write_report({"a": 2}, str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == {"a": 1}
+
+
+def test_a_folder_belongs_to_its_settings(tmp_path):
+    resume.open_run(str(tmp_path / "run"), {"m": 1})
+    resume.open_run(str(tmp_path / "run"), {"m": 1})
+    with pytest.raises(ValueError, match="other settings"):
+        resume.open_run(str(tmp_path / "run"), {"m": 2})
+    (tmp_path / "other").mkdir()
+    resume.open_run(str(tmp_path / "other"), {"m": 1})
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "x").write_text("")
+    with pytest.raises(ValueError, match="without a manifest"):
+        resume.open_run(str(tmp_path / "full"), {"m": 1})
+
+
+def made_snapshot(folder, n=3):
+    folder.mkdir(parents=True)
+    ids = [f"CASE-{k:04d}" for k in range(1, n + 1)]
+    for k, i in enumerate(ids):
+        (folder / f"{i}.json").write_text(json.dumps({"case_id": i, "target": k % 2 == 0, "model_name": "m-8b", "selection_group": "paired", "steps": []}))
+    (folder / f"selected_{n}.jsonl").write_text("\n".join(json.dumps({"case_id": i}) for i in ids) + "\n")
+    (folder / "manifest.csv").write_text("selection_id,source_file,source_row\n" + "".join(f"{i},a.jsonl,{k}\n" for k, i in enumerate(ids)))
+    (folder / "selection_summary.json").write_text(json.dumps({"seed": 7, "selected_count": n, "target_counts": {"true": 2, "false": 1}, "model_counts": {"m-8b": n}, "selection_group_counts": {"paired": n}}))
+
+
+def test_import_of_a_snapshot(spark, tmp_path):
+    made_snapshot(tmp_path / "data/sel")
+    (tmp_path / "data/raw").mkdir()
+    run = lambda samples=("CASE-0002",): snapshot.import_snapshot(spark, str(tmp_path / "data"), "sel", "raw", str(tmp_path / "out"), samples, 3, "sel", "1")
+    with pytest.raises(ValueError, match="no shards"):
+        run()
+    assert not (tmp_path / "out").exists()
+    (tmp_path / "data/raw/a.jsonl").write_text("{}\n")
+    with pytest.raises(ValueError, match="no such sample: CASE-0009"):
+        run(["CASE-0009"])
+    got = run()
+    manifest = json.loads((tmp_path / "out/dataset_manifest.json").read_text())
+    assert (got["sample_count"], got["raw_shard_count"]) == (1, 1) and manifest["metadata"]["seed"] == 7
+    assert [f["path"] for f in manifest["files"]] == ["raw/a.jsonl", "sel/manifest.csv", "sel/selected_3.jsonl", "sel/selection_summary.json"]
+    assert [c["path"] for c in manifest["metadata"]["copies"]] == ["manifest.csv", "samples/CASE-0002.json", "selection_summary.json"]
+    assert (tmp_path / "out/samples/CASE-0002.json").read_bytes() == (tmp_path / "data/sel/CASE-0002.json").read_bytes()
+    (tmp_path / "data/sel/manifest.csv").write_text("selection_id\nCASE-0001\nCASE-0002\nCASE-0002\n")
+    with pytest.raises(ValueError, match="snapshot: unique ids of the manifest: CASE-0002"):
+        run()
+    (tmp_path / "data/sel/manifest.csv").unlink()
+    with pytest.raises(FileNotFoundError):
+        run()
