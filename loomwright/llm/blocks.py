@@ -1,6 +1,6 @@
 """Blocks and shards: the exchange that the duplicate finders share.
 
-Documents are dealt by a hash of their id into *blocks* of 8 MB or more. A block
+Documents are dealt by a hash of id and text into *blocks* of 8 MB or more. A block
 sends each *shard* of the key space one packed list of its own distinct keys;
 a shard merges the lists of all blocks and answers each block with one packed
 list of the same length. So a key that half of the documents hold costs each
@@ -49,7 +49,7 @@ def into_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str
     """doc_id, text, block. Other columns, whatever their names, take no part; kept: each but the text comes along as own0, own1, ..."""
     own = [F.col(c).alias(f"own{k}") for k, c in enumerate(docs.columns) if kept and c != text]
     one = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *own)
-    return one.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    return one.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
 
 def row_order(table: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:

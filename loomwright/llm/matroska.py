@@ -277,6 +277,11 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return one.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def packet_rows(data: bytes) -> list[tuple]:
+    """A file's rows of the packet table: PACKETS without the error."""
+    return [(k, *p) for k, p in enumerate(parse(data).packets)]
+
+
 def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """A row for each packet of each file: key, and PACKETS."""
     kind = files.schema[key].dataType.simpleString()
@@ -288,7 +293,7 @@ def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") ->
                 if not m.is_valid:
                     continue
                 try:
-                    rows = [(k, *p, None) for k, p in enumerate(parse(m.as_py()).packets)]
+                    rows = [(*r, None) for r in packet_rows(m.as_py())]
                 except ValueError as e:
                     rows = [(None,) * 8 + (str(e),)]
                 if rows:
@@ -299,16 +304,18 @@ def packet_table(files: DataFrame, key: str = "doc_id", media: str = "media") ->
 
 
 def read_back(files: DataFrame) -> DataFrame:
-    """Digests and features of stored files (doc_id, n_bytes, media), from the bytes that the packets name."""
+    """Digests and features of stored files (doc_id, n_bytes, media), from the byte ranges of their packet tables. Null media give nulls."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def one(data: bytes):
-        media = parse(data)
-        got = b"".join(data[o : o + n] for _, _, _, o, n, _, _ in media.packets)
+    def one(data: bytes | None):
+        if data is None:
+            return (None,) * 6
+        media, rows = parse(data), packet_rows(data)
+        got = b"".join(data[offset : offset + size] for _, _, _, _, offset, size, _, _ in rows)
         samples = np.frombuffer(got, np.uint8)
-        lacing = [sum(p[5] == x for p in media.packets) for x in LACINGS]
+        lacing = [sum(r[6] == x for r in rows) for x in LACINGS]
         led = sum(p in media.clusters for _, _, p in media.cues)
-        feature = f"packets={len(media.packets)} clusters={len(media.clusters)} cues={led} lacing={':'.join(map(str, lacing))} last_ns={media.packets[-1][2]} sum={int(samples.sum(dtype=np.int64))} distinct={len(np.unique(samples))}"
+        feature = f"packets={len(rows)} clusters={len(media.clusters)} cues={led} lacing={':'.join(map(str, lacing))} last_ns={rows[-1][3] if rows else 0} sum={int(samples.sum(dtype=np.int64))} distinct={len(np.unique(samples))}"
         return len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     def run(batches):

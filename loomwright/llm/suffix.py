@@ -18,8 +18,9 @@ where all windows that could equal one of its own are.
 
 Shards sort at most RUN_BYTES of segments at a time, whole minimizers together.
 A minimizer whose segments are one text needs no sorting: its windows differ
-only by place. (A single segment's text is at most 2 * length bytes, so what a
-minimizer can have of distinct segments is bounded by its distinct contexts.)
+only by place. A minimizer with over HOT segments in the corpus (a phrase in
+many contexts) would be one shard's load, so its windows go by themselves, each
+to the shard of its own 128-bit hash, equal ones of a block once.
 
 Defined results: null text is empty; texts under `length` bytes lose nothing; a
 string repeated inside one document only stays; equal doc_ids don't remove
@@ -42,6 +43,8 @@ from loomwright.llm import hashing as H
 GRAM = 20
 CELL_BITS = np.uint64(40)
 RUN_BYTES = 1 << 20
+#: Segments of a minimizer, over all blocks, from which its windows are dealt out.
+HOT = 200_000
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
@@ -86,20 +89,24 @@ class Block:
         self.place, self.size, self.key, self.text_of = cat(0, np.int32), cat(1, np.int32), cat(2, np.uint64), cat(3, np.int32)
 
     def cells(self, shards: int):
-        """Distinct (shard, cell) numbers, sorted; which of them two of this block's documents have; the entry of each segment."""
+        """Distinct (shard, cell) numbers, sorted; which of them two of this block's documents have; segments in each; the entry of each segment."""
         cell = ((self.key % np.uint64(shards)) << CELL_BITS) | (self.key >> np.uint64(64 - int(CELL_BITS)))
         full, entry = np.unique(cell, return_inverse=True)
         low, high = np.full(len(full), B.NO_ID), np.full(len(full), np.iinfo(np.int64).min)
         ids = self.ids[self.text_of]
         np.minimum.at(low, entry, ids)
         np.maximum.at(high, entry, ids)
-        return full, low != high, entry
+        return full, low != high, np.bincount(entry, minlength=len(full)), entry
 
-    def candidates(self, back: pa.Table, shards: int, length: int):
-        """Segments whose key is repeated, equal ones once: shard, key, bytes, windows, least id of each, and the one of each segment."""
-        full, local, entry = self.cells(shards)
-        shared = local | B.read_bits(back, "seen", (full >> CELL_BITS).astype(np.int32), shards)
-        chosen = np.flatnonzero(shared[entry])
+    def chosen(self, back: pa.Table, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segments whose key is repeated, and those among them whose key is hot."""
+        full, local, _, entry = self.cells(shards)
+        shard = (full >> CELL_BITS).astype(np.int32)
+        shared, hot = local | B.read_bits(back, "seen", shard, shards), B.read_bits(back, "hot", shard, shards)
+        return np.flatnonzero((shared & ~hot)[entry]), np.flatnonzero((shared & hot)[entry])
+
+    def candidates(self, chosen: np.ndarray, shards: int, length: int):
+        """Of the chosen segments, equal ones once: shard, key, bytes, windows, least id of each, and the one of each segment."""
         distinct: dict[tuple[int, bytes], list] = {}
         slot = np.empty(len(chosen), np.int64)
         for n, (t, p, s, k) in enumerate(zip(self.text_of[chosen].tolist(), self.place[chosen].tolist(), self.size[chosen].tolist(), self.key[chosen].tolist(), strict=True)):
@@ -111,7 +118,33 @@ class Block:
         order = np.lexsort((keys, keys % np.uint64(shards))) if len(keys) else np.empty(0, np.int64)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return chosen, rank[slot], (keys[order] % np.uint64(shards)).astype(np.int32), keys[order], [body[k] for k in order], size[order], ids[order]
+        return rank[slot], (keys[order] % np.uint64(shards)).astype(np.int32), keys[order], [body[k] for k in order], size[order], ids[order]
+
+    def windows(self, chosen: np.ndarray, shards: int, length: int):
+        """Of the chosen segments' windows, equal ones once, sorted by shard and hash: shard, two hashes, least id; and the text, the place and the one of each window."""
+        text = np.repeat(self.text_of[chosen], self.size[chosen])
+        ends = np.cumsum(self.size[chosen])
+        place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - self.size[chosen], self.size[chosen]) + np.repeat(self.place[chosen], self.size[chosen])
+        a, b = np.empty(len(text), np.uint64), np.empty(len(text), np.uint64)
+        begin = 0
+        for t, n in zip(*np.unique(text, return_counts=True), strict=True):  # texts of segments are in order
+            data = np.frombuffer(self.texts[t], np.uint8).astype(np.uint64) + np.uint64(1)
+            at = place[begin : begin + n]
+            for first in range(0, len(data), H.CHUNK_BYTES):
+                mine = np.flatnonzero((at >= first) & (at < first + H.CHUNK_BYTES))
+                if len(mine):
+                    part = data[first : first + H.CHUNK_BYTES + length]
+                    a[begin + mine] = H.mix(H.sliding(part, length)[at[mine] - first], 4)
+                    b[begin + mine] = H.mix(H.sliding(H.mix(part, 5), length, H._B)[at[mine] - first], 6)
+            begin += n
+        shard = (a % np.uint64(shards)).astype(np.int32)
+        order = np.lexsort((self.ids[text], b, a, shard))
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        slot = np.empty(len(order), np.int64)
+        slot[order] = np.cumsum(new) - 1
+        first = order[new]
+        return shard[first], a[first], b[first], self.ids[text[first]], text, place, slot
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,25 +237,50 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, gram: int = GRAM,
     mask = np.uint64((1 << int(CELL_BITS)) - 1)
 
     def keys(block, table):
-        full, _, _ = Block(table, length, gram).cells(shards)
-        return B.sent(block, shards, (full >> CELL_BITS).astype(np.int32), cells=lambda k: B.pack_sorted(full[k] & mask))
+        full, _, count, _ = Block(table, length, gram).cells(shards)
+        return B.sent(block, shards, (full >> CELL_BITS).astype(np.int32), cells=lambda k: B.pack_sorted(full[k] & mask), count=lambda k: B.pack(np.minimum(count[k], 65535).astype(np.uint16)))
 
     def merge(shard, table):
-        return B.bits_back(shard, "seen", B.in_several({b: B.unpack_sorted(x["cells"]) for b, x in B.by_block(table).items()}))
+        lists = {b: (B.unpack_sorted(x["cells"]), B.unpack(x["count"]).astype(np.int64)) for b, x in B.by_block(table).items()}
+        cell, entry = np.unique(np.concatenate([c for c, _ in lists.values()]), return_inverse=True)
+        many = np.bincount(entry, weights=np.concatenate([n for _, n in lists.values()]), minlength=len(cell)) > HOT
+        hot = dict(zip(lists, np.split(many[entry], np.cumsum([len(c) for c, _ in lists.values()])[:-1]), strict=True))
+        return pa.concat_tables([B.bits_back(shard, "seen", B.in_several({b: c for b, (c, _) in lists.items()})), B.bits_back(shard, "hot", hot)])
 
     def send(block, table, back):
-        _, _, shard, key, body, size, ids = Block(table, length, gram).candidates(back, shards, length)
+        mine = Block(table, length, gram)
+        usual, hot = mine.chosen(back, shards)
+        _, shard, key, body, size, ids = mine.candidates(usual, shards, length)
         lengths = np.array([len(x) for x in body], np.uint32)
-        return B.sent(
+        out = B.sent(
             block, shards, shard,
             key=lambda k: B.pack_sorted(key[k]), body=lambda k: B.pack(np.frombuffer(b"".join(body[k]), np.uint8)),
             length=lambda k: B.pack(lengths[k]), id=lambda k: B.pack(ids[k].view(np.uint64)),
         )
+        if not len(hot):
+            return out
+        window_shard, a, b, least, *_ = mine.windows(hot, shards, length)
+        return pa.concat_tables([out, B.sent(block, shards, window_shard, a=lambda k: B.pack_sorted(a[k]), b=lambda k: B.pack(b[k]), least=lambda k: B.pack(least[k].view(np.uint64)))])
+
+    def older_windows(shard, lists):
+        """Of each block's hot windows, which an id below the block's least one has."""
+        a, b, least = (np.concatenate([x[k] for x in lists.values()]) for k in range(3))
+        order = np.lexsort((least, b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        first = np.empty(len(order), np.int64)
+        first[order] = least[order][new][np.cumsum(new) - 1]
+        return B.bits_back(shard, "older_hot", dict(zip(lists, np.split(first < least, np.cumsum([len(x[0]) for x in lists.values()])[:-1]), strict=True)))
 
     def group(shard, table):
         distinct: dict[bytes, list[int]] = {}
         use: dict[int, np.ndarray] = {}
-        for b, x in B.by_block(table).items():
+        got = B.by_block(table)
+        hot = {b: (B.unpack_sorted(x["a"]), B.unpack(x["b"]), B.unpack(x["least"]).view(np.int64)) for b, x in got.items() if "a" in x}
+        told = [older_windows(shard, hot)] if hot else []
+        for b, x in got.items():
+            if "key" not in x:
+                continue
             key, lengths, ids, body = B.unpack_sorted(x["key"]), B.unpack(x["length"]), B.unpack(x["id"]).view(np.int64), B.unpack(x["body"]).tobytes()
             ends, mine = np.cumsum(lengths.astype(np.int64)).tolist(), []
             for k, e, n, i in zip(key.tolist(), ends, lengths.tolist(), ids.tolist(), strict=True):
@@ -230,6 +288,8 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, gram: int = GRAM,
                 found[2] = min(found[2], i)
                 mine.append(found[0])
             use[b] = (np.array(mine, np.int64), ids)
+        if not use:
+            return told[0]
         bodies = list(distinct)
         key, least = np.array([v[1] for v in distinct.values()], np.uint64), np.array([v[2] for v in distinct.values()], np.int64)
         size = np.array([len(x) - length + 1 for x in bodies], np.int64)
@@ -252,11 +312,12 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, gram: int = GRAM,
             e = np.cumsum(n)
             place = np.arange(int(e[-1])) - np.repeat(e - n, n) + np.repeat(ends[mine] - n, n)
             flags[b] = owner[place] < np.repeat(ids, n)
-        return B.bits_back(shard, "older", flags)
+        return pa.concat_tables([B.bits_back(shard, "older", flags), *told])
 
     def keep(block, table, back):
         mine = Block(table, length, gram)
-        chosen, slot, shard, key, body, size, ids = mine.candidates(back, shards, length)
+        chosen, hot = mine.chosen(back, shards)
+        slot, shard, key, body, size, ids = mine.candidates(chosen, shards, length)
         windows = np.repeat(shard, size)
         older = B.read_bits(back, "older", windows, shards)
         ends = np.cumsum(size)
@@ -266,6 +327,12 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, gram: int = GRAM,
         inside = np.arange(int(e[-1]) if len(e) else 0) - np.repeat(e - n, n)
         bad = older[inside + np.repeat(ends[slot] - n, n)] | np.repeat(ids[slot] < mine.ids[text_of], n)
         bad_text, bad_place = np.repeat(text_of, n)[bad], (inside + np.repeat(place, n))[bad]
+        if len(hot):
+            window_shard, _, _, least, text, at, one = mine.windows(hot, shards, length)
+            gone = B.read_bits(back, "older_hot", window_shard, shards)[one] | (least[one] < mine.ids[text])
+            bad_text, bad_place = np.concatenate([bad_text, text[gone]]), np.concatenate([bad_place, at[gone]])
+            order = np.argsort(bad_text, kind="stable")
+            bad_text, bad_place = bad_text[order], bad_place[order]
         by_text = np.searchsorted(bad_text, np.arange(len(mine.ids) + 1))
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")}
         for i, t in enumerate(mine.texts):

@@ -86,6 +86,14 @@ def test_repeated_strings(docs):
     assert got == expected
 
 
+@pytest.mark.parametrize("hot", [0, 2, 20])
+def test_repeated_strings_of_hot_minimizers(docs, monkeypatch, hot):
+    """Windows that are dealt by themselves give the same rows as whole segments."""
+    usual = Counter(map(str, suffix.remove_repeated_strings(docs).collect()))
+    monkeypatch.setattr(suffix, "HOT", hot)
+    assert Counter(map(str, suffix.remove_repeated_strings(docs).collect())) == usual
+
+
 def test_blocks_grow_with_the_root_of_the_corpus():
     assert blocks.blocks_for(0) == blocks.LEAST_BLOCKS
     assert blocks.blocks_for(30 * 10**9) == -(-30 * 10**9 // blocks.BLOCK_BYTES)
@@ -713,3 +721,99 @@ def test_toxicity_of_ties_repeats_and_long_texts(spark):
     assert by_id[500][0] == by_id[None][0] == by_id[100][0] and by_id[500][0][1] and by_id[600][0] != by_id[0][0]
     kept = toxicity.drop_toxic(d, model)
     assert kept.columns == d.columns and kept.count() == sum(not x[2] for x in got)
+
+
+def frames_plainly(data):
+    """Frames of a file, by a reader of the test's own: (track, cluster, milliseconds, lacing, bytes), clusters' places and cues."""
+    names = {b"\x1a\x45\xdf\xa3": "head", b"\x18\x53\x80\x67": "segment", b"\x1f\x43\xb6\x75": "cluster", b"\x1c\x53\xbb\x6b": "cues", b"\xa0": "group", b"\xbb": "point", b"\xb7": "where"}
+
+    def size(at):
+        n = next(k for k in range(1, 9) if data[at] >> (8 - k) & 1)
+        return int.from_bytes(bytes([data[at] & (255 >> n)]) + data[at + 1 : at + n], "big"), at + n, n
+
+    def walk(at, end):
+        while at < end:
+            n = next(k for k in range(1, 5) if data[at] >> (8 - k) & 1)
+            name, (length, body, _) = data[at : at + n], size(at + n)
+            yield name, at, body, body + length
+            at = body + length
+
+    frames, clusters, cues, begin = [], [], [], 0
+
+    def block(a, b, when):
+        track, at, _ = size(a)
+        when += int.from_bytes(data[at : at + 2], "big", signed=True)
+        kind, at = data[at + 2] >> 1 & 3, at + 3
+        lengths = []
+        if kind:
+            more, at = data[at], at + 1
+            if kind == 2:
+                lengths = [(b - at) // (more + 1)] * more
+            for k in range(more if kind != 2 else 0):
+                if kind == 1:
+                    n = 0
+                    while data[at] == 255:
+                        n, at = n + 255, at + 1
+                    lengths.append(n + data[at])
+                    at += 1
+                else:
+                    v, at, width = size(at)
+                    lengths.append(v if not k else lengths[-1] + v - (2 ** (7 * width - 1) - 1))
+        for k, n in enumerate([*lengths, b - at - sum(lengths)]):
+            frames.append((track, len(clusters) - 1, when + 72 * k, ("none", "xiph", "fixed", "ebml")[kind], data[at : at + n]))
+            at += n
+
+    for name, _, a, b in walk(0, len(data)):
+        if names.get(name) != "segment":
+            continue
+        begin = a
+        for part, at, c, d in walk(a, b):
+            if names.get(part) == "cluster":
+                clusters.append(at)
+                when = 0
+                for x, _, e, f in walk(c, d):
+                    if x == b"\xe7":
+                        when = int.from_bytes(data[e:f], "big")
+                    elif x == b"\xa3":
+                        block(e, f, when)
+                    elif names.get(x) == "group":
+                        for y, _, g, h in walk(e, f):
+                            if y == b"\xa1":
+                                block(g, h, when)
+            elif names.get(part) == "cues":
+                for x, _, e, f in walk(c, d):
+                    for y, _, g, h in walk(e, f):
+                        if names.get(y) == "where":
+                            cues += [begin + int.from_bytes(data[i:j], "big") for z, _, i, j in walk(g, h) if z == b"\xf1"]
+    return frames, clusters, cues
+
+
+def test_media_columns_by_another_reader(spark, docs):
+    """Every column of the query, from the stored bytes by the reader above; equal texts have equal values; rows repeat; names clash."""
+    stored = matroska.store_texts(docs).persist()
+    bytes_of = Counter((r["doc_id"], bytes(r["media"])) for r in stored.collect())
+    got = Counter(tuple(r) for r in matroska.read_back(stored).collect())
+    want = Counter()
+    for i, t in made():
+        raw = (t or "").encode()
+        whole = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        data = next(m for j, m in bytes_of if j == i and b"".join(f[4] for f in frames_plainly(m)[0]) == whole)
+        frames, clusters, cues = frames_plainly(data)
+        kinds = Counter(f[3] for f in frames)
+        feature = f"packets={len(frames)} clusters={len(clusters)} cues={sum(c in clusters for c in cues)} lacing={':'.join(str(kinds[k]) for k in ('none', 'xiph', 'fixed', 'ebml'))} last_ns={frames[-1][2] * 1_000_000} sum={sum(whole)} distinct={len(set(whole))}"
+        want[i, len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature] += 1
+    assert got == want
+    packets = Counter((r["doc_id"], r["track"], r["cluster"], r["timestamp_ns"], r["size"], r["lacing"]) for r in matroska.packet_table(stored).collect())
+    assert packets == Counter((i, f[0], f[1], f[2] * 1_000_000, len(f[4]), f[3]) for (i, m), n in bytes_of.items() for _ in range(n) for f in frames_plainly(m)[0])
+    stored.unpersist()
+
+
+def test_scan_of_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "password=onlymine98765 x", "o1")] * 2 + [(None, None, None), (2, "password=onlymine98765", "o2"), (3, "é " * 50_000 + "token=abcdefghijklmn", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("_text", "_owner", "_repository", "_row", "_base", "_further", "_spans", "_hash", "_salt", "found"):
+        d = d.withColumn(c, F.lit(c))
+    got = Counter(map(tuple, secrets.digest(secrets.scan_secrets(d, F.col("source"), F.col("source"))).select("doc_id", "n_assign", "spans", "n_live").collect()))
+    assert got == Counter([(1, 1, "assign:0:22", 0)] * 2 + [(None, 0, "", 0), (2, 1, "assign:0:22", 0), (3, 1, "assign:100000:100020", 1)])
+    clean = secrets.redact_live(d, F.col("source"), F.col("source"))
+    assert clean.columns == d.columns and Counter(r["doc_id"] for r in clean.collect()) == Counter(r[0] for r in rows)
