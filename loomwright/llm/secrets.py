@@ -3,15 +3,16 @@
 Base spans are the leftmost non-overlapping matches of three kinds. Every
 candidate value, base or not, is hashed; per hash the distinct owners and
 repositories are counted over the whole corpus. A value that one owner alone
-has looks live; one that WIDE owners or more have is a copied example. The
-method adds spans of kind `owned`: long mixed runs outside the base spans,
+has looks live; one that WIDE owners or WIDE_REPOSITORIES repositories have is
+a copied example, whoever owns it. The method adds spans of kind `owned`: long mixed runs outside the base spans,
 without a telling name, that look random and belong to one owner.
 
 Positions without positions: a text is split at its matches, so a match starts
 after all pieces and matches before it (lengths in code points).
 
 Counts are aggregated by (hash, owner, repository), then up, so that a widely
-copied value is one row a task; joined back, a hot value is salted.
+copied value is one row a task. Joined back, values with more than 1 / HOT of
+all spans (fewer than HOT values) are broadcast, so that no task gets one.
 
 Defined results: null text is empty and has no span; each row is scanned for
 itself, so repeated rows repeat their result; null owners count as one owner;
@@ -34,9 +35,11 @@ OWNED = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16), ("owned", OWNED, 0, 20))
 #: Owners from which a value is a copied example.
 WIDE = 3
+WIDE_REPOSITORIES = 6
 #: Distinct characters from which a run looks random.
 VARIED = 10
-SALTS = 8
+HOT = 10_000
+LEAST_HOT = 256
 MARK = "<SECRET>"
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
@@ -84,19 +87,25 @@ def _owners(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _judged(found: DataFrame) -> DataFrame:
     """found with _spans: all spans that stay (base ones, and further ones of one owner), each with its owners."""
     every, counts = _owners(found)
-    salted = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    marked = every.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["_hash", "_salt"])
+    total = found.agg(F.sum(F.size("_base") + F.size("_further")).alias("n")).first()["n"] or 0
+    many = max(LEAST_HOT, total // HOT)
+    hot = F.broadcast(counts.where(F.col("copies") > many))
+    marked = every.join(hot, "_hash").unionByName(every.join(hot.select("_hash"), "_hash", "left_anti").join(counts.where(F.col("copies") <= many), "_hash"))
     span = F.struct("_span.start", "_span.rank", "_span.end", "_span.kind", "owners", "repositories", "copies")
     kept = marked.where((F.col("_span.kind") != "owned") | (F.col("owners") == 1)).groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
     return found.join(kept, "_row", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,owners:bigint,repositories:bigint,copies:bigint>>")))
 
 
+def _is_example(s: Column) -> Column:
+    return (s["owners"] >= WIDE) | (s["repositories"] >= WIDE_REPOSITORIES)
+
+
 def _told(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
 def scan_secrets(docs: DataFrame, owner: Column, repository: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, found (spans with kind, place, owners, repositories, copies), base_spans, n_live and n_example of each row."""
+    """doc_id, found (spans with kind, place, owners, repositories, copies), base_spans, n_live, n_example and the most repositories of a value, of each row."""
     found = written(_candidates(docs, F.col(text), owner, repository, F.col(doc_id).alias("doc_id")).drop("_text"), "secrets")
     judged = _judged(found)
     return judged.select(
@@ -104,18 +113,19 @@ def scan_secrets(docs: DataFrame, owner: Column, repository: Column, doc_id: str
         F.col("_spans").alias("found"),
         F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base_spans"),
         F.size(F.filter("_spans", lambda s: s["owners"] == 1)).cast("long").alias("n_live"),
-        F.size(F.filter("_spans", lambda s: s["owners"] >= WIDE)).cast("long").alias("n_example"),
+        F.size(F.filter("_spans", _is_example)).cast("long").alias("n_example"),
+        F.coalesce(F.array_max(F.transform("_spans", lambda s: s["repositories"])), F.lit(0)).cast("long").alias("most_repositories"),
     )
 
 
 def digest(scanned: DataFrame) -> DataFrame:
     """The scan as counts and strings."""
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_told(F.col("base_spans")), 256).alias("base_sha256"), _told(F.col("found")).alias("spans"), "n_live", "n_example")
+    return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_told(F.col("base_spans")), 256).alias("base_sha256"), _told(F.col("found")).alias("spans"), "n_live", "n_example", "most_repositories")
 
 
 def redact_live(docs: DataFrame, owner: Column, repository: Column, text: str = "text") -> DataFrame:
-    """docs with each span of fewer than WIDE owners replaced by MARK; copied examples stay. Same columns, every row kept.
+    """docs with each span that is no copied example replaced by MARK; examples stay. Same columns, every row kept.
 
     Rows without any candidate aren't shuffled.
     """
@@ -123,7 +133,7 @@ def redact_live(docs: DataFrame, owner: Column, repository: Column, text: str =
     whole = F.struct(*docs.columns).alias("_whole")
     found = written(_candidates(docs.where(telling), F.col(text), owner, repository, whole), "redact")
     judged = _judged(found)
-    live = F.filter("_spans", lambda s: s["owners"] < WIDE)
+    live = F.filter("_spans", lambda s: ~_is_example(s))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):

@@ -15,10 +15,10 @@ _ASSIGN = re.sub(r"\(\?i:\((.*?)\)\)", lambda m: "(" + re.sub("[a-z]", lambda c:
 
 def _kind(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
     quoted = pattern.replace("'", "''")
-    return f"""SELECT r, owner, {rank} AS rank, '{kind}' AS kind, start, start + n AS stop, value FROM (
-  SELECT r, owner, value, n, sum(gap + n) OVER (PARTITION BY r ORDER BY i) - n AS start FROM (
-    SELECT r, owner, unnest(vs) AS value, length(unnest(fs)) AS n, length(unnest(gs[1:len(fs)])) AS gap, unnest(range(len(fs))) AS i FROM (
-      SELECT r, owner, regexp_extract_all(t, '{quoted}') AS fs, regexp_extract_all(t, '{quoted}', {group}) AS vs, regexp_split_to_array(t, '{quoted}') AS gs FROM d)))
+    return f"""SELECT r, owner, repository, {rank} AS rank, '{kind}' AS kind, start, start + n AS stop, value FROM (
+  SELECT r, owner, repository, value, n, sum(gap + n) OVER (PARTITION BY r ORDER BY i) - n AS start FROM (
+    SELECT r, owner, repository, unnest(vs) AS value, length(unnest(fs)) AS n, length(unnest(gs[1:len(fs)])) AS gap, unnest(range(len(fs))) AS i FROM (
+      SELECT r, owner, repository, regexp_extract_all(t, '{quoted}') AS fs, regexp_extract_all(t, '{quoted}', {group}) AS vs, regexp_split_to_array(t, '{quoted}') AS gs FROM d)))
   WHERE length(value) >= {least}"""
 
 
@@ -26,16 +26,16 @@ _KINDS = [(k, _ASSIGN if k == "assign" else p, g, n, rank) for rank, (k, p, g, n
 _TOLD = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
 
 ORACLE: dict[str, str] = {
-    "op2_secret_scan": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+    "op2_secret_scan": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
 base AS ({" UNION ALL ".join(_kind(*k) for k in _KINDS[:3])}),
 further AS (SELECT * FROM ({_kind(*_KINDS[3])}) o WHERE len(list_distinct(string_split(value, ''))) >= {secrets.VARIED} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = o.r AND b.start < o.stop AND o.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM further),
-counts AS (SELECT value, count(DISTINCT owner) AS owners FROM every GROUP BY value),
-kept AS (SELECT every.*, owners FROM every JOIN counts USING (value) WHERE kind <> 'owned' OR owners = 1),
+counts AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM every GROUP BY value),
+kept AS (SELECT every.*, owners, repositories FROM every JOIN counts USING (value) WHERE kind <> 'owned' OR owners = 1),
 told AS (SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h, {_TOLD} FILTER (kind <> 'owned') AS b, {_TOLD} AS s,
-  count(*) FILTER (owners = 1) AS live, count(*) FILTER (owners >= {secrets.WIDE}) AS example FROM kept GROUP BY r)
-SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example FROM d LEFT JOIN told USING (r)""",
+  count(*) FILTER (owners = 1) AS live, count(*) FILTER (owners >= {secrets.WIDE} OR repositories >= {secrets.WIDE_REPOSITORIES}) AS example, max(repositories) AS most FROM kept GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example, coalesce(most, 0) AS most_repositories FROM d LEFT JOIN told USING (r)""",
     "op3_suffix_array_dedup": """WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 p AS (SELECT r, doc_id, j, substr(h, 1024 * j + 1, 1024 + 98) AS h, least(512, length(h) // 2 - 512 * j) AS n FROM (SELECT *, unnest(range((length(h) + 1023) // 1024)) AS j FROM b)),
 x AS (SELECT r, doc_id, j, h, unnest(range(n)) AS o FROM p),

@@ -251,6 +251,11 @@ def test_owners_separate_examples_from_live_secrets(spark):
     assert "owned:3:23" in got[9]["spans"] and got[9]["n_live"] == 2
     assert got[10]["spans"] == ""
     clean = {r["doc_id"]: r["text"] for r in secrets.redact_live(docs, F.col("source"), F.col("source")).collect()}
+    wide = spark.createDataFrame([(i, "token=wideWIDEwide12345 x", f"o{i % 2}", f"l{i % 3}") for i in range(6)] * 60, "doc_id long, text string, source string, lang string")
+    scan = secrets.digest(secrets.scan_secrets(wide, F.col("source"), F.concat_ws("/", "source", "lang"))).collect()
+    assert len(scan) == 360 and {(r["n_example"], r["most_repositories"]) for r in scan} == {(1, 6)}
+    assert {r["text"] for r in secrets.redact_live(wide, F.col("source"), F.concat_ws("/", "source", "lang")).collect()} == {"token=wideWIDEwide12345 x"}
+    assert {r["text"] for r in secrets.redact_live(wide, F.col("source"), F.col("source")).collect()} == {f"{secrets.MARK} x"}
     assert clean[0] == rows[0][1] and clean[9] == "at <SECRET> here and <SECRET>" and len(clean) == len(rows)
 
 
@@ -448,9 +453,9 @@ def five_word_components(rows):
 
 
 def redacted(rows):
-    """Texts without the spans whose value fewer than WIDE owners have; rows: id, text, owner."""
-    spans, owners = [], {}
-    for _, t, owner in rows:
+    """Texts without the spans whose value few owners and few repositories have; rows: id, text, owner, language."""
+    spans, owners, repositories = [], {}, {}
+    for _, t, owner, lang in rows:
         found = []
         for rank, (_, pattern, group, least) in enumerate(secrets.KINDS):
             more = [(m.start(), rank, m.end(), m[group]) for m in re.finditer(pattern, t or "") if len(m[group]) >= least]
@@ -459,10 +464,11 @@ def redacted(rows):
             found += more
         for s in found:
             owners.setdefault(s[3], set()).add(owner or "")
+            repositories.setdefault(s[3], set()).add((owner or "", lang))
         spans.append(sorted(found))
     out = []
-    for (_, t, _), found in zip(rows, spans, strict=True):
-        found = [s for s in found if len(owners[s[3]]) < (secrets.WIDE if s[1] < 3 else 2)]
+    for (_, t, _, _), found in zip(rows, spans, strict=True):
+        found = [s for s in found if len(owners[s[3]]) < (secrets.WIDE if s[1] < 3 else 2) and len(repositories[s[3]]) < secrets.WIDE_REPOSITORIES]
         at, text = 0, ""
         for a, _, b, _ in found:
             text += t[at : max(a, at)] + (secrets.MARK if a >= at else "")
@@ -512,7 +518,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert clean == {i: r for i, r in start.items() if model.above(r["text"])[0] < 0.5}
     label = five_word_components([(i, r["text"]) for i, r in clean.items()])
     assert single == {i: r for (i, r), k in zip(clean.items(), label, strict=True) if k is None or k == i}
-    texts = redacted([(i, r["text"], r["source"]) for i, r in single.items()])
+    texts = redacted([(i, r["text"], r["source"], r["lang"]) for i, r in single.items()])
     assert safe == {i: type(r)(**(r.asDict() | {"text": t})) for (i, r), t in zip(single.items(), texts, strict=True)}
     assert set(mix) == mixed([(i, r["text"], r["source"], r["lang"]) for i, r in safe.items()]) and all(mix[i] == safe[i] for i in mix)
     token = Tokenizer.from_file(packing.vocabulary()[0])
