@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from loomwright.functions import text as T
+from loomwright.operators import skew
 from loomwright.operators.graph import components
+from loomwright.sources.shared import written
 
 SPLITS = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
 REVIEW_LABELS = ("direct_match", "partial_match", "no_match", "ambiguous", "invalid")
@@ -113,21 +115,27 @@ def hard_negatives(positives: DataFrame, seed: int = 7, kept: int = 5) -> DataFr
     positives: item_id, split, trajectory_id, tool, target; a row with a null among these takes no part. An item has `kept`
     negatives, or all valid ones where there are fewer, and its kinds take turns. In a key's circular order by hash an item takes
     the valid ones of the next `kept` and the first `kept`, then items of the key's next other values (targets, tools, or both).
+    A key of very many rows or values is put in order in parts of some BUCKET rows each (see skew.py); each part of its values
+    alone has enough for its items.
     """
     both = F.struct("tool", "target")
     kinds = {"same_tool": (["split", "tool"], F.col("target")), "same_target": (["split", "target"], F.col("tool")), "same_trajectory": (["split", "trajectory_id"], both)}
-    known = positives.dropna(subset=["item_id", "split", "trajectory_id", "tool", "target"])
+    known = written(positives.dropna(subset=["item_id", "split", "trajectory_id", "tool", "target"]).select("item_id", "split", "trajectory_id", "tool", "target"), "positives")
+    total = known.count()
     out = None
     for name, (key, value) in kinds.items():
         d = known.select(*key, "item_id", value.alias("value"))
-        near = _circular(F.struct("item_id", "value"), Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id"), kept)
-        first = Window.partitionBy(*key, "value").orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id")
-        values = d.withColumn("r", F.row_number().over(first)).where(F.col("r") <= kept).groupBy(*key, "value").agg(F.collect_list(F.struct("r", "item_id")).alias("items"))
-        others = _circular(F.struct("value", "items"), Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "value"), "value"), kept)
+        by_item = [F.xxhash64(F.lit(seed), "item_id"), F.col("item_id")]
+        d = skew.with_part(d, key, "item_id", total)
+        d = d.withColumn("near", _circular(F.struct("item_id", "value"), Window.partitionBy(*key, "_part").orderBy(*by_item), kept)).drop("_part")
+        first = Window.partitionBy(*key, "value").orderBy(*by_item)
+        values = known.select(*key, "item_id", value.alias("value")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= kept).groupBy(*key, "value").agg(F.collect_list(F.struct("r", "item_id")).alias("items"))
+        values = skew.with_part(values, key, "value", total)
+        others = _circular(F.struct("value", "items"), Window.partitionBy(*key, "_part").orderBy(F.xxhash64(F.lit(seed), "value"), "value"), kept)
         values = values.withColumn("others", others).select(*key, "value", F.slice(F.array_distinct(F.filter("others", lambda o: o["value"] != F.col("value"))), 1, kept).alias("others"))
         values = values.select(*key, "value", F.transform(F.array_sort(F.flatten(F.transform("others", lambda o: o["items"]))), lambda x: x["item_id"]).alias("more"))
-        d = d.withColumn("near", near).withColumn("near", F.transform(F.filter("near", lambda o: o["value"] != F.col("value")), lambda o: o["item_id"]))
-        d = d.join(values, [*key, "value"])
+        d = d.withColumn("near", F.transform(F.filter("near", lambda o: o["value"] != F.col("value")), lambda o: o["item_id"]))
+        d = skew.hot_join(d, values, [*key, "value"], total)
         found = F.slice(F.array_distinct(F.concat("near", "more")), 1, kept)
         d = d.select("item_id", F.lit(name).alias("kind"), F.posexplode(found).alias("place", "negative_id"))
         out = d if out is None else out.unionByName(d)

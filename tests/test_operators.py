@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.operators import alignment, audit, curation, inference, selection, steps, trajectory, validation
+from loomwright.operators import alignment, audit, curation, inference, selection, skew, steps, trajectory, validation
 
 
 def record(n=10, title="Crash on start", patch="diff --git a/x b/x\n" + "+" * 40, log="l" * 200, target=True, thought="We should look at this because it fails", commands=None):
@@ -438,7 +438,9 @@ def test_groups_join_over_templates_and_splits_do_not_leak(spark):
     assert abs(split["train"] - 1400) <= 1 and abs(split["test"] - 300) <= 1
 
 
-def test_hard_negatives_are_all_that_are_valid(spark):
+@pytest.mark.parametrize("bucket", [10_000, 25])
+def test_hard_negatives_are_all_that_are_valid(spark, monkeypatch, bucket):
+    monkeypatch.setattr(skew, "BUCKET", bucket)
     rows = [(f"a{i}", "train", i % 40, "open", "x") for i in range(60)] + [(f"b{i}", "train", i, "open", f"y{i % 2}") for i in range(4)]
     rows += [("c0", "train", 90, "run", "z"), ("c1", "train", 90, "edit", "z"), ("d", "test", 0, "open", "x"), ("e", "test", 1, "run", "q"), ("n", "train", 0, "open", None)]
     rows += [(f"f{i}", "train", 100 + i, f"t{i % 3}", f"u{i % 7}") for i in range(50)]
