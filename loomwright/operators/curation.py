@@ -125,6 +125,7 @@ def hard_negatives(positives: DataFrame, seed: int = 7, kept: int = 5) -> DataFr
     out = None
     for name, (key, value) in kinds.items():
         d = known.select(*key, "item_id", value.alias("value"))
+        biggest = d.groupBy(*key, "value").count().agg(F.max("count").alias("n")).first()["n"] or 0 if total > skew.BUCKET else 0
         by_item = [F.xxhash64(F.lit(seed), "item_id"), F.col("item_id")]
         d = skew.with_part(d, key, "item_id", total)
         d = d.withColumn("near", _circular(F.struct("item_id", "value"), Window.partitionBy(*key, "_part").orderBy(*by_item), kept)).drop("_part")
@@ -135,7 +136,7 @@ def hard_negatives(positives: DataFrame, seed: int = 7, kept: int = 5) -> DataFr
         values = values.withColumn("others", others).select(*key, "value", F.slice(F.array_distinct(F.filter("others", lambda o: o["value"] != F.col("value"))), 1, kept).alias("others"))
         values = values.select(*key, "value", F.transform(F.array_sort(F.flatten(F.transform("others", lambda o: o["items"]))), lambda x: x["item_id"]).alias("more"))
         d = d.withColumn("near", F.transform(F.filter("near", lambda o: o["value"] != F.col("value")), lambda o: o["item_id"]))
-        d = skew.hot_join(d, values, [*key, "value"], total)
+        d = skew.hot_join(d, values, [*key, "value"], total if biggest > skew.BUCKET else 0)
         found = F.slice(F.array_distinct(F.concat("near", "more")), 1, kept)
         d = d.select("item_id", F.lit(name).alias("kind"), F.posexplode(found).alias("place", "negative_id"))
         out = d if out is None else out.unionByName(d)

@@ -7,21 +7,32 @@ from pyspark.sql import functions as F
 
 #: A key is hot with over 1 / MANY of all rows (fewer than MANY keys are, so that they may be broadcast), and over BUCKET rows.
 MANY = 10_000
-BUCKET = 10_000
+BUCKET = 100_000
 
 
-def _hot(d: DataFrame, keys: list[str], total: int) -> DataFrame:
-    return F.broadcast(d.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max(BUCKET, total // MANY)))
+def _hot(d: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """Hot keys with their rows; None if there are none."""
+    many = max(BUCKET, total // MANY)
+    if total <= many:
+        return None
+    hot = d.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > many)
+    return F.broadcast(hot) if hot.limit(1).count() else None
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Inner join with a right side that has a row for each key at most: hot keys of the left side by broadcast, so that no task gets one."""
-    hot = _hot(left, keys, total).select(*keys)
+    hot = _hot(left, keys, total)
+    if hot is None:
+        return left.join(right, keys)
+    hot = hot.select(*keys)
     some = F.broadcast(right.join(hot, keys, "left_semi"))
     return left.join(some, keys).unionByName(left.join(hot, keys, "left_anti").join(right, keys))
 
 
 def with_part(d: DataFrame, keys: list[str], value: str, total: int, name: str = "_part") -> DataFrame:
     """d with a part of each key's rows, by the hash of a column: about BUCKET rows a part where the key is hot, else one part."""
-    hot = _hot(d, keys, total).select(*keys, F.ceil(F.col("_rows") / BUCKET).cast("int").alias("_parts"))
+    hot = _hot(d, keys, total)
+    if hot is None:
+        return d.withColumn(name, F.lit(0))
+    hot = hot.select(*keys, F.ceil(F.col("_rows") / BUCKET).cast("int").alias("_parts"))
     return d.join(hot, keys, "left").withColumn(name, F.coalesce(F.pmod(F.xxhash64(value), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
