@@ -15,64 +15,78 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MANIFEST_SCHEMA = "dataset_manifest_v1"
-
-
-class JsonlRows(DataSource):
-    """`jsonl_rows`: lines of *.jsonl files with their place: source_file, source_row (of lines that aren't blank), source_offset (bytes), value.
-
-    Lines end at \\n only. A line that is no JSON aborts, naming shard and row. One partition for each file.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "jsonl_rows"
-
-    def schema(self) -> str:
-        return "source_file string, source_row long, source_offset long, value string"
+from loomwright.sources.shared import written
 
-    def reader(self, schema) -> DataSourceReader:
-        return JsonlReader(self.options["path"])
-
-
-@dataclass
-class Shard(InputPartition):
-    path: str
-
-
-class JsonlReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+MANIFEST_SCHEMA = "dataset_manifest_v1"
 
-    def partitions(self) -> list[Shard]:
-        found = sorted(glob.glob(os.path.join(self.path, "*.jsonl")))
-        if not found:
-            raise ValueError(f"no *.jsonl under {self.path}")
-        return [Shard(p) for p in found]
 
-    def read(self, partition: Shard) -> Iterator[tuple]:
-        row, offset = 0, 0
-        with open(partition.path, "rb") as f:
-            for raw in f:
-                text = raw.decode("utf-8")
-                if text.strip():
-                    try:
-                        json.loads(text)
-                    except ValueError as e:
-                        raise ValueError(f"{os.path.basename(partition.path)} row {row}: {e}") from e
-                    yield os.path.basename(partition.path), row, offset, text.rstrip("\n")
-                    row += 1
-                offset += len(raw)
+#: Most splits of all shards whose places are broadcast; beyond, they are joined by shuffle.
+SPLITS = 100_000
+
+
+def _places(batches: Iterator[pa.RecordBatch], state: dict) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each batch of lines (file, block, value) with the ordinal of each line that isn't blank and its offset, both within its split; state: what each split has so far."""
+    for b in batches:
+        n = b.num_rows
+        blank = pc.equal(pc.utf8_trim_whitespace(b.column("value")), "").to_numpy(zero_copy_only=False)
+        size = pc.binary_length(b.column("value")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        file, block = b.column("file").to_pylist(), b.column("block").to_pylist()
+        row, offset = np.empty(n, np.int64), np.empty(n, np.int64)
+        at = 0
+        while at < n:
+            key = file[at], block[at]
+            end = at + 1
+            while end < n and (file[end], block[end]) == key:
+                end += 1
+            rows, chars = state.get(key, (0, 0))
+            count, total = np.cumsum(~blank[at:end]), np.cumsum(size[at:end])
+            row[at:end], offset[at:end] = rows + count - 1, chars + total - size[at:end]
+            state[key] = rows + int(count[-1]), chars + int(total[-1])
+            at = end
+        yield b, blank, row, offset
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Shards with places; see JsonlRows. The path must be one that executors can open."""
-    spark.dataSource.register(JsonlRows)
-    return spark.read.format("jsonl_rows").option("path", path).load()
+    """Lines of *.jsonl files with their place: source_file, source_row (of lines that aren't blank), source_offset (bytes), value.
+
+    From any store that Spark reads; large shards are split. Lines end at a newline only. A line that is no JSON aborts, naming
+    shard and row, as the result is read. Places come from the counts of the splits before, which a first pass makes.
+    """
+    try:
+        lines = spark.read.text(f"{path.rstrip('/')}/*.jsonl", lineSep="\n")
+    except AnalysisException as e:
+        raise ValueError(f"no *.jsonl under {path}") from e
+    lines = lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def totals(batches):
+        state: dict = {}
+        for _ in _places(batches, state):
+            pass
+        if state:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in state]), pa.array([k[1] for k in state], pa.int64()), *(pa.array([v[j] for v in state.values()], pa.int64()) for j in range(2))], names=["file", "block", "rows", "bytes"])
+
+    def placed(batches):
+        for b, blank, row, offset in _places(batches, {}):
+            kept = pa.array(~blank)
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), pa.array(row), pa.array(offset), b.column("value")], names=["file", "block", "row", "offset", "value"]).filter(kept)
+
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.mapInArrow(totals, "file string, block long, rows long, bytes long")
+    before = before.select("file", "block", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in ("rows", "bytes")))
+    before = written(before, "splits")
+    if before.count() <= SPLITS:
+        before = F.broadcast(before)
+    d = lines.mapInArrow(placed, "file string, block long, row long, offset long, value string").join(before, ["file", "block"])
+    d = d.select(F.col("file").alias("source_file"), (F.col("row") + F.col("rows")).alias("source_row"), (F.col("offset") + F.col("bytes")).alias("source_offset"), "value")
+    wrong = F.raise_error(F.concat("source_file", F.lit(" row "), F.col("source_row").cast("string"), F.lit(" is no JSON")))
+    return d.where(F.when(F.try_parse_json("value").isNotNull(), F.lit(True)).otherwise(wrong))
 
 
 def read_jsonl_plain(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers, writers and the resumed stream."""
 
 import json
+import random
 
 import pytest
 
@@ -23,6 +24,31 @@ def test_jsonl_rows_keep_their_places(spark, tmp_path):
         files.read_jsonl(spark, str(tmp_path)).collect()
 
 
+def test_large_shards_are_split(spark, tmp_path):
+    """Places over many splits are those of a plain reader."""
+    rng = random.Random(3)
+    want = []
+    for name in ("a.jsonl", "b.jsonl", "empty.jsonl"):
+        row, offset, out = 0, 0, b""
+        for _ in range(0 if name[0] == "e" else 3000):
+            line = rng.choice(["", "  ", json.dumps({"x": "é\u2028" * rng.randrange(20)}, ensure_ascii=False), "[1]"]).encode()
+            if line.strip():
+                want.append((name, row, offset, line.decode()))
+                row += 1
+            offset += len(line) + 1
+            out += line + b"\n"
+        (tmp_path / name).write_bytes(out)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = files.read_jsonl(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5 and sorted(map(tuple, rows.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(ValueError, match="no .*jsonl"):
+        files.read_jsonl(spark, str(tmp_path / "none"))
+
+
 def test_json_objects_and_csv(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}')
     assert files.read_json_objects(spark, str(tmp_path)).count() == 1
