@@ -80,4 +80,23 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_array_dedup, op4_html_extraction, op5_substring_dedup, op6_toxicity, op7_source_mixture, op8_ngram_jaccard_join, op9_matroska_columns, op10_exact_topk)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000, components=32)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.trie import numbered_turns, prefix_trie, rebuilt
+
+    turns = numbered_turns(_read(spark, sf_dir, "conversations"))
+    return prefix_trie(*rebuilt(turns, base=lambda c: c - c % 5, borrowed=lambda c: F.crc32(c.cast("string")) % 9))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.inverted import build_index, contamination, digest
+
+    return digest(contamination(build_index(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")), width=10))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_suffix_array_dedup, op4_html_extraction, op5_substring_dedup, op6_toxicity, op7_source_mixture, op8_ngram_jaccard_join, op9_matroska_columns, op10_exact_topk, op11_embedding_whitening, op12_conversation_trie, op13_benchmark_decontamination)}

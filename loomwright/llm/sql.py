@@ -1,6 +1,6 @@
 """The results of those opN_ queries that SQL can state, as DuckDB runs it over the tables' views.
 
-Not stated: op1 (token ids), op4 (a parser), op6 (trained weights), op7 (Spark's seeded hash) and op9 (CRC-32).
+Not stated: op1 (token ids), op4 (a parser), op6 (trained weights), op7 (Spark's seeded hash), op9 (CRC-32 of whole texts) and op11 (eigenvectors).
 """
 
 from __future__ import annotations
@@ -63,4 +63,27 @@ l AS (SELECT a.class AS a, b.class AS b FROM x a JOIN x b ON a.k = b.k AND a.cla
 reach(a, b) AS (SELECT class, class FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
 t AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
 SELECT s.doc_id, len(s.own)::BIGINT AS n_shingles, coalesce(c.class, s.doc_id) AS class_id, coalesce(t.least, s.doc_id) AS component_id FROM s LEFT JOIN c ON len(s.own) > 0 AND s.own = c.own LEFT JOIN t ON t.a = c.class""",
+    "op12_conversation_trie": """WITH s AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) AS n FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS p, k, n FROM s),
+c AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS b, count(*) AS own, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, y: list_reduce([xor(a, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c, p AS d, k, n FROM c JOIN t ON t.conv_id = b AND p <= h UNION ALL SELECT c.c, least(c.h, coalesce(o.own, 0)) + p - c.h, k, n FROM c JOIN t ON t.conv_id = c.c AND p > c.h LEFT JOIN c o ON o.c = c.b),
+l AS (SELECT c.c, coalesce(list(k ORDER BY d) FILTER (d IS NOT NULL), []) AS ks, coalesce(list(n ORDER BY d) FILTER (d IS NOT NULL), []) AS ns FROM c LEFT JOIN r ON r.c = c.c GROUP BY c.c),
+x AS (SELECT *, array_to_string(ks[1:d], ',') AS node FROM (SELECT *, unnest(range(len(ks) + 1)) AS d FROM l)),
+nodes AS (SELECT d, node, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(ns[d]), 0) AS n, any_value(array_to_string(ks[1:d - 1], ',')) AS above, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len(ks)), '')) AS ends_sha256 FROM x GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, above AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, node)),
+tops AS (SELECT a AS d, array_to_string(ks[1:a], ',') AS node, childless, saved FROM (SELECT ks, n_children = 0 AS childless, (n_convs - 1) * n AS saved, unnest(range(d + 1)) AS a FROM own JOIN l ON l.c = own.conv_id)),
+under AS (SELECT d, node, count(*) FILTER (childless) AS n_leaves, sum(saved) AS saved_tokens FROM tops GROUP BY d, node)
+SELECT own.conv_id, own.d AS depth, p.conv_id AS parent_conv_id, own.n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, own.ends_sha256 FROM own JOIN under USING (d, node) LEFT JOIN nodes p ON p.d = own.d - 1 AND p.node = own.above""",
+    "op13_benchmark_decontamination": r"""WITH low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item, n, array_to_string(ws[s:s + n - 1], ' ') AS k FROM (SELECT item, ws, least(len(ws), 10) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM w),
+x AS (SELECT r, n, s, array_to_string(ws[s:s + n - 1], ' ') AS k FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d JOIN sizes ON len(ws) >= n)),
+h AS (SELECT r, item, s, x.n FROM x JOIN w USING (n, k)),
+places AS (SELECT r, count(*) AS hit FROM (SELECT DISTINCT r, s + unnest(range(n)) AS p FROM h) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit, 0) AS n_hit, coalesce(n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, hit IS NOT NULL AS contaminated FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)""",
 }
