@@ -178,11 +178,12 @@ def score_pairs(pairs: DataFrame, scorer: Callable[[list[str]], list[float]], ma
 EXTRACTED = "raw string, finished boolean, input_tokens int, error string"
 
 
-def extract_intents(units: DataFrame, generate: Callable[[str], tuple[str, bool, int]], context_tokens: int, max_new_tokens: int = 2048) -> DataFrame:
+def extract_intents(units: DataFrame, generate: Callable[[str], tuple[str, bool]], count_input: Callable[[str], int], context_tokens: int, max_new_tokens: int = 2048) -> DataFrame:
     """units (with thought) with raw, input_tokens, extraction_status, intents and error.
 
-    generate: a thought's answer, whether it came to its end, and the tokens of the input. An answer without an end is
-    generation_truncated; an input that leaves no room is refused, not cut. Intents are numbered I1, I2, ... and null unless valid.
+    count_input: the tokens of a thought's whole input, prompt included; one that leaves no room for max_new_tokens is refused
+    before the model runs, not cut. generate: a thought's answer, and whether it came to its end; one without an end is
+    generation_truncated. Intents are numbered I1, I2, ... and null unless valid.
     """
     schema = StructType([*units.schema.fields, *StructType.fromDDL(EXTRACTED).fields])
 
@@ -190,11 +191,15 @@ def extract_intents(units: DataFrame, generate: Callable[[str], tuple[str, bool,
         for b in batches:
             rows = []
             for thought in b["thought"]:
+                n = 0
                 try:
-                    raw, finished, n = generate(thought or "")
-                    rows.append((None, False, n, "ValueError: the input leaves no room for an answer") if n + max_new_tokens > context_tokens else (raw, bool(finished), n, None))
+                    n = int(count_input(thought or ""))
+                    if n + max_new_tokens > context_tokens:
+                        raise ValueError("the input leaves no room for an answer")
+                    raw, finished = generate(thought or "")
+                    rows.append((raw, bool(finished), n, None))
                 except Exception as e:  # noqa: BLE001  whatever a model raises
-                    rows.append((None, False, 0, f"{type(e).__name__}: {e}"))
+                    rows.append((None, False, n, f"{type(e).__name__}: {e}"))
             yield pd.concat([b.reset_index(drop=True), pd.DataFrame(rows, columns=["raw", "finished", "input_tokens", "error"])], axis=1)
 
     d = units.mapInPandas(run, schema)
@@ -205,12 +210,12 @@ def extract_intents(units: DataFrame, generate: Callable[[str], tuple[str, bool,
     return d.withColumn("intents", F.when(F.col("extraction_status") == "valid", intents)).drop("finished")
 
 
-def run_units(units: DataFrame, generate: Callable[[str], tuple[str, bool, int]], scorer: Callable[[list[str]], list[float]], count_tokens: Callable[[str], int], context_tokens: int, max_new_tokens: int = 2048, **scoring) -> DataFrame:
+def run_units(units: DataFrame, generate: Callable[[str], tuple[str, bool]], count_input: Callable[[str], int], scorer: Callable[[list[str]], list[float]], count_tokens: Callable[[str], int], context_tokens: int, max_new_tokens: int = 2048, **scoring) -> DataFrame:
     """Extraction, matching and aggregation of each unit: unit_id, status, step_label, extraction_status, error. A failure is a unit's status.
 
     units: unit_id, thought, window_complete, actions (array of action_id, model_text).
     """
-    extracted = written(extract_intents(units, generate, context_tokens, max_new_tokens), "extracted")
+    extracted = written(extract_intents(units, generate, count_input, context_tokens, max_new_tokens), "extracted")
     failed = F.coalesce("error", F.when(F.col("extraction_status") != "valid", F.concat(F.lit("invalid extraction: "), "extraction_status")))
     d = extracted.withColumn("failure", failed)
     intents = d.where("failure is null").select("unit_id", F.inline("intents"))

@@ -22,6 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.windows import checked_windows, require_valid, with_model_texts
 from loomwright.sources.shared import written
 
 MANIFEST_SCHEMA = "dataset_manifest_v1"
@@ -126,8 +127,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, key: str) -> Da
     return d
 
 
-#: Schemas of windows, references and predictions.
-WINDOWS = "unit_id string, thought string, window_complete boolean, actions array<string>, test_type string, case_type string"
+#: Schema of references and predictions.
 UNITS = (
     "unit_id string, case_type string, status string, step_label string, intents array<struct<intent_id:string,intent_quote:string,temporal_scope:string>>, "
     "pairs array<struct<intent_id:string,action_id:string,operation_match:string>>"
@@ -135,8 +135,16 @@ UNITS = (
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
-    """Windows with their actions as JSON texts."""
-    return read_json_lines(spark, path, WINDOWS, "unit_id")
+    """Windows of a JSON-lines file with their calls and what a model sees of each; a window that breaks a rule, a repeated unit and an empty file are errors."""
+    lines = spark.read.text(path, lineSep="\n").where(F.trim("value") != "")
+    checked = with_model_texts(require_valid(checked_windows(lines)))
+    n = checked.groupBy("unit_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.min(F.when(F.col("n") > 1, F.col("unit_id"))).alias("twice")).first()
+    if not n["keys"]:
+        raise ValueError(f"no rows in {path}")
+    if n["twice"] is not None:
+        raise ValueError(f"repeated unit_id: {n['twice']}")
+    kinds = F.from_json("value", "test_type string, case_type string")
+    return checked.select("unit_id", "thought", "window_complete", "actions", kinds["test_type"].alias("test_type"), kinds["case_type"].alias("case_type"))
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:

@@ -167,14 +167,6 @@ def test_metrics_of_no_pairs(spark):
     assert got == {x: (0.0, None, 0.0) for x in alignment.LABELS}
 
 
-def test_actions_in_four_shapes():
-    shapes = [{"tool": "read", "arguments": {"path": "a"}}, {"function": "read", "args": {"path": "a"}}, {"raw_call": {"tool": "read", "arguments": {"path": "a"}}}, {"function": {"name": "read", "arguments": '{"path": "a"}'}}]
-    assert all((a["tool"], a["arguments"]) == ("read", {"path": "a"}) for a in alignment.normalize_window(shapes))
-    assert alignment.action_text({"args": {"body": "é", "path": "a"}, "function": "w"}) == '[ACTION] {"function":"w","args":{"path":"a","body":"é"}}'
-    with pytest.raises(ValueError):
-        alignment.normalize_window([{"tool": "a", "id": "1"}, {"tool": "b", "id": "1"}])
-
-
 def test_reconcile_and_duplicates(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(2,), (3,)], "id long")
     assert sorted(tuple(r) for r in validation.reconcile(a, b, "id").collect()) == [(1, "left"), (3, "right")]
@@ -283,14 +275,15 @@ def test_units_run_and_fail_one_by_one(spark):
         if thought == "boom":
             raise OSError("no device")
         if thought == "nothing":
-            return '{"intents": []}', True, 5
+            return '{"intents": []}', True
+        assert thought != "long"  # refused before the model runs
         quote = thought.split()[0]
-        return ("junk" if thought == "bad" else json.dumps({"intents": [{"intent_quote": quote, "temporal_scope": "current"}]})), thought != "cut", 5000 if thought == "long" else 5
+        return ("junk" if thought == "bad" else json.dumps({"intents": [{"intent_quote": quote, "temporal_scope": "current"}]})), thought != "cut"
 
     def scorer(texts):
         return [float("nan") if t.startswith("nan") else 0.0 if t.startswith("maybe") else 5.0 if t.split() == ["open", "open"] else -5.0 for t in texts]
 
-    got = {r["unit_id"]: (r["status"], r["step_label"], r["extraction_status"]) for r in inference.run_units(units, generate, scorer, len, 4096, margin=1.0, batch_size=1).collect()}
+    got = {r["unit_id"]: (r["status"], r["step_label"], r["extraction_status"]) for r in inference.run_units(units, generate, lambda t: 5000 if t == "long" else 5, scorer, len, 4096, margin=1.0, batch_size=1).collect()}
     assert got == {
         "ok": ("completed", "fully_consistent", "valid"), "cut": ("technical_failure", "uncertain", "generation_truncated"), "bad": ("technical_failure", "uncertain", "invalid_json"),
         "boom": ("technical_failure", "uncertain", None), "long": ("technical_failure", "uncertain", None), "nan": ("technical_failure", "uncertain", "valid"),
