@@ -14,7 +14,9 @@ it, and its size doesn't depend on the corpus:
    are kept as runs of equal bins, which this cuts at changes of length only.
    Runs that rounding leaves with a gap too large to waste and too small to
    fill are given up.
-4. Left-over large lengths, then small ones, go best-fit, longest first.
+4. Left-over large lengths, then small ones, go best-fit, longest first. How
+   small a gap is too small is tried, up to giving up all runs, and the plan
+   of fewest bins is taken: never more than plain best-fit needs.
 
 The plan says, for each length, which ranks among the pieces of that length go
 to which bins. Ranks are counted in the pieces' written table: each task of
@@ -30,8 +32,8 @@ for itself; other columns are ignored; an empty table gives no sequences.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
-import heapq
 import json
 import os
 import re
@@ -51,11 +53,11 @@ END_ID = 2
 #: Lengths up to capacity / SMALL are small.
 SMALL = 2.5
 GROUPS = 256
-#: A configuration's use stays if at most WASTE tokens of it are free, or at least ROOM, which small pieces fill.
+#: A configuration's use stays if at most WASTE tokens of it are free, or so many that small pieces fill them: one of ROOMS, whichever needs fewest bins.
 WASTE = 1
-ROOM = 60
+ROOMS = (0, 30, 60, 120, 240)
 #: Pricing steps for each size at most: what an unfinished LP leaves is packed best-fit.
-STEPS = 6
+STEPS = 12
 #: Characters of white space in one run from which a text goes to the slower tokenizer; the rank encoder's stack ends at some 800 000.
 LONG_SPACE = 1 << 16
 SPACE = re.compile(r"\s{64,}")
@@ -161,6 +163,45 @@ def _inverse(basis: np.ndarray) -> np.ndarray:
     return both[:, m:]
 
 
+def _of_two(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The pattern of largest price of at most two pieces: to each size the dearest other that fits."""
+    order = np.argsort(sizes, kind="stable")
+    up, dear = sizes[order], prices[order]
+    top = np.maximum.accumulate(dear)
+    where = np.maximum.accumulate(np.where(np.r_[True, dear[1:] > top[:-1]], np.arange(len(up)), 0))
+    fits = np.searchsorted(up, capacity - up, "right") - 1  # the last size that fits beside each
+    gain = dear + np.where(fits >= 0, top[np.maximum(fits, 0)], 0)
+    k = int(gain.argmax())
+    new = np.zeros(len(sizes))
+    new[order[k]] += 1
+    if fits[k] >= 0:
+        new[order[where[fits[k]]]] += 1
+    return float(gain[k]), new
+
+
+def price(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The pattern of largest price, a knapsack over integer sizes."""
+    if capacity // int(sizes.min()) <= 2:
+        return _of_two(sizes, prices, capacity)
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(int(sizes.min()), capacity + 1):
+        fit = np.flatnonzero(sizes <= c)
+        gain = best[c - sizes[fit]] + prices[fit]
+        k = int(gain.argmax())
+        if gain[k] > best[c - 1] + 1e-12:
+            best[c], pick[c] = gain[k], fit[k]
+        else:
+            best[c] = best[c - 1]
+    new, c = np.zeros(len(sizes)), capacity
+    while c > 0:
+        if pick[c] < 0:
+            c -= 1
+        else:
+            new[pick[c]] += 1
+            c -= int(sizes[pick[c]])
+    return float(best[capacity]), new
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns over the sizes, and how often (a real number) an optimal covering of the demand uses each."""
     m = len(sizes)
@@ -171,25 +212,9 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
         if step % 50 == 49:
             inverse = _inverse(basis)
             use = (inverse * demand).sum(axis=1)
-        price = np.maximum(inverse.sum(axis=0), 0)
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(sizes.min()), capacity + 1):
-            fit = np.flatnonzero(sizes <= c)
-            gain = best[c - sizes[fit]] + price[fit]
-            k = int(gain.argmax())
-            if gain[k] > best[c - 1] + 1e-12:
-                best[c], pick[c] = gain[k], fit[k]
-            else:
-                best[c] = best[c - 1]
-        if use.sum() * (1 - 1 / max(best[capacity], 1)) < 0.5:  # no solution is better by half a bin
+        worth, new = price(sizes, np.maximum(inverse.sum(axis=0), 0), capacity)
+        if use.sum() * (1 - 1 / max(worth, 1)) < 0.5:  # no solution is better by half a bin
             break
-        new, c = np.zeros(m), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
-                new[pick[c]] += 1
-                c -= int(sizes[pick[c]])
         column = (inverse * new).sum(axis=1)
         rising = column > 1e-9
         if not rising.any():
@@ -217,35 +242,16 @@ class Placed:
     offset: int
 
 
-def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> tuple[list[Placed], int]:
-    """Where the pieces of each length go, and the number of bins."""
-    left = {n: c for n, c in sorted(histogram.items(), reverse=True) if c}
-    next_rank = dict.fromkeys(left, 0)
-    plan: list[Placed] = []
-    bins = 0
-    runs: dict[int, list[tuple[int, int]]] = {}  # free space -> (first bin, number)
-    frees: list[int] = []
-
-    def add(space: int, first: int, count: int) -> None:
-        if count and space:
-            if not runs.get(space):
-                runs[space] = []
-                heapq.heappush(frees, space)
-            runs[space].append((first, count))
-
-    def place(length: int, count: int, first: int, each: int, offset: int) -> None:
-        plan.append(Placed(length, next_rank[length], count, first, each, offset))
-        next_rank[length] += count
-        left[length] -= count
-
+def filled_uses(histogram: dict[int, int], capacity: int, groups: int, small: float) -> list[tuple[list[int], int]]:
+    """The large pieces of each bin that configurations fill with actual lengths, and in how many bins they are so."""
     # 1. groups of equal cardinality, the longest first; each is rounded up to its longest length
-    large = [n for n in left if n > capacity // small]
-    total = sum(left[n] for n in large)
+    large = [n for n in sorted(histogram, reverse=True) if n > capacity // small]
+    total = sum(histogram[n] for n in large)
     grouped: list[list[list[int]]] = []
     per = -(-total // groups)  # up to as many pieces as groups, nothing is rounded
     room = 0
     for n in large:
-        count = left[n]
+        count = histogram[n]
         while count:
             if not room:
                 grouped.append([])
@@ -256,51 +262,93 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
     by_size: dict[int, list[list[int]]] = {}
     for g in grouped:
         by_size.setdefault(g[0][0], []).extend(g)
+    if not by_size:
+        return []
     sizes = np.array(list(by_size), np.int64)
     demand = np.array([sum(c for _, c in g) for g in by_size.values()], float)
     # 2. + 3. whole uses of each configuration, filled with actual lengths
-    if len(sizes):
-        slots = list(by_size.values())
-        for pattern, use in zip(*configurations(sizes, demand, capacity), strict=True):
-            uses = int(use + 1e-6)
-            kinds = [k for k, many in enumerate(pattern) for _ in range(many)]
-            have = {k: sum(c for _, c in slots[k]) for k in set(kinds)}
-            uses = min([uses, *(have[k] // kinds.count(k) for k in have)])
-            if not kinds or not uses:
-                continue
-            cut = {0, uses}
-            taken: list[list[tuple[int, int, int]]] = []  # for each slot: (first use, uses, length)
-            for k in kinds:
-                at, mine = 0, []
-                while at < uses:
-                    n, c = slots[k][0]
-                    take = min(c, uses - at)
-                    mine.append((at, take, n))
-                    at += take
-                    cut.add(at)
-                    slots[k][0][1] -= take
-                    if not slots[k][0][1]:
-                        slots[k].pop(0)
-                taken.append(mine)
-            edges = sorted(cut)
-            inside: list[list[int]] = [[] for _ in edges[1:]]  # the lengths of each run of equal uses
-            for mine in taken:
-                for at, take, n in mine:
-                    for e in range(edges.index(at), edges.index(at + take)):
-                        inside[e].append(n)
-            for e, own in enumerate(inside):
-                free, count, at = capacity - sum(own), edges[e + 1] - edges[e], 0
-                if WASTE < free < ROOM:
-                    continue  # no small piece would fill that: these join step 4
-                for n in own:
-                    place(n, count, bins, 1, at)
-                    at += n
-                add(free, bins, count)
-                bins += count
-    # 4. the rest best-fit, longest first
+    out: list[tuple[list[int], int]] = []
+    slots = list(by_size.values())
+    for pattern, use in zip(*configurations(sizes, demand, capacity), strict=True):
+        uses = int(use + 1e-6)
+        kinds = [k for k, many in enumerate(pattern) for _ in range(many)]
+        have = {k: sum(c for _, c in slots[k]) for k in set(kinds)}
+        uses = min([uses, *(have[k] // kinds.count(k) for k in have)])
+        if not kinds or not uses:
+            continue
+        cut = {0, uses}
+        taken: list[list[tuple[int, int, int]]] = []  # for each slot: (first use, uses, length)
+        for k in kinds:
+            at, mine = 0, []
+            while at < uses:
+                n, c = slots[k][0]
+                take = min(c, uses - at)
+                mine.append((at, take, n))
+                at += take
+                cut.add(at)
+                slots[k][0][1] -= take
+                if not slots[k][0][1]:
+                    slots[k].pop(0)
+            taken.append(mine)
+        edges = sorted(cut)
+        inside: list[list[int]] = [[] for _ in edges[1:]]  # the lengths of each run of equal uses
+        for mine in taken:
+            for at, take, n in mine:
+                for e in range(edges.index(at), edges.index(at + take)):
+                    inside[e].append(n)
+        out += [(own, edges[e + 1] - edges[e]) for e, own in enumerate(inside)]
+    return out
+
+
+def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> tuple[list[Placed], int]:
+    """Where the pieces of each length go, and the number of bins.
+
+    Of the filled uses those stay that leave at most WASTE tokens or at least so many as small pieces may fill; which, is tried
+    (ROOMS, then none at all, which is plain best-fit), and the plan of fewest bins is taken, of equal ones the first.
+    """
+    histogram = {n: c for n, c in histogram.items() if c}
+    uses = filled_uses(histogram, capacity, groups, small)
+    kept = [[u for u in uses if not WASTE < capacity - sum(u[0]) < room] for room in (*ROOMS, capacity + 1)] + [[]]
+    best = None
+    for k, some in enumerate(kept):
+        if k and some == kept[k - 1]:
+            continue
+        plan = _filled_plan(histogram, some, capacity)
+        if best is None or plan[1] < best[1]:
+            best = plan
+    return best
+
+
+def _filled_plan(histogram: dict[int, int], uses: list[tuple[list[int], int]], capacity: int) -> tuple[list[Placed], int]:
+    """The plan with the given bins of large pieces, and all else best-fit, longest first."""
+    left = dict(sorted(histogram.items(), reverse=True))
+    next_rank = dict.fromkeys(left, 0)
+    plan: list[Placed] = []
+    bins = 0
+    runs: dict[int, list[tuple[int, int]]] = {}  # free space -> (first bin, number)
+    frees: list[int] = []  # in order
+
+    def add(space: int, first: int, count: int) -> None:
+        if count and space:
+            if space not in runs:
+                runs[space] = []
+                bisect.insort(frees, space)
+            runs[space].append((first, count))
+
+    def place(length: int, count: int, first: int, each: int, offset: int) -> None:
+        plan.append(Placed(length, next_rank[length], count, first, each, offset))
+        next_rank[length] += count
+        left[length] -= count
+
+    for own, count in uses:
+        at = 0
+        for n in own:
+            place(n, count, bins, 1, at)
+            at += n
+        add(capacity - at, bins, count)
+        bins += count
     for n in sorted(left, reverse=True):
-        spaces = sorted(s for s in frees if s >= n)
-        for s in spaces:
+        for s in frees[bisect.bisect_left(frees, n) :]:
             if not left[n]:
                 break
             each = s // n
@@ -321,7 +369,6 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
             if not runs[s]:
                 del runs[s]
                 frees.remove(s)
-                heapq.heapify(frees)
         if left[n]:
             each = capacity // n
             full, some = divmod(left[n], each)
