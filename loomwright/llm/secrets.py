@@ -21,6 +21,8 @@ other columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ WIDE = 3
 WIDE_REPOSITORIES = 6
 #: Distinct characters from which a run looks random.
 VARIED = 10
+#: Spans that one fold appends at most.
+UNIT = 64
 HOT = 10_000
 LEAST_HOT = 256
 MARK = "<SECRET>"
@@ -50,17 +54,61 @@ def _spans(text: Column, rank: int) -> Column:
     found = F.regexp_extract_all(text, regex, F.lit(0))
     values = F.regexp_extract_all(text, regex, F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.arrays_zip(found.alias("m"), values.alias("v")), lambda g, m: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(m["m"]).cast("bigint").alias("n"), m["v"].alias("v")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(_SPANS).alias("out"))
+    piece = lambda g, m: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(m["m"]).cast("bigint").alias("n"), m["v"].alias("v"))
+    parts = _let(found, lambda f: F.zip_with(F.slice(gaps, F.lit(1), F.size(f)), F.arrays_zip(f.alias("m"), (values if group else f).alias("v")), piece))
+
+    def one(at, x):
+        a, b = at + x["gap"], at + x["gap"] + x["n"]
+        return F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
+
+    placed = running(parts, lambda at, x: at + x["gap"] + x["n"], one, lambda at, more: at + more, _SPANS)
+    return F.when(text.rlike(pattern), F.filter(placed, lambda x: F.length(x["value"]) >= least)).otherwise(F.array().cast(_SPANS))
+
+
+def running(xs: Column, step: Callable, emit: Callable, join: Callable, kind: str) -> Column:
+    """emit(state before x, x) of each x, in order; a state is a long that starts at 0, step(state, x) is the next one.
+
+    A fold that appends copies what it has, so it runs over UNIT elements at a time; what comes before a unit is folded from the
+    units' own results by join(state before, a unit's state from 0). Cost grows with n * UNIT + (n / UNIT)^2, not with n^2.
+    """
+    zero = F.lit(0).cast("bigint")
+    begin = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def inner(at, unit):
+        first = F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(unit, first, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x)).cast(kind)).alias("out")), lambda acc: acc["out"])
+
+    def over(units):
+        ends = F.transform(units, lambda u: F.aggregate(u, zero, step))
+        starts = F.aggregate(ends, begin, lambda acc, e: F.struct(join(acc["at"], e).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(starts, units, inner))
+
+    return _let(xs, lambda xs: F.when(F.size(xs) > 0, _let(_units(xs), over)).otherwise(F.array().cast(kind)))
+
 
-    def step(acc, x):
-        a, b = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
-        one = F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
-        grown = F.concat(F.coalesce(acc["out"], F.array().cast(_SPANS)), F.array(one).cast(_SPANS))
-        return F.struct(b.alias("at"), F.when(F.length(x["v"]) >= least, grown).otherwise(acc["out"]).cast(_SPANS).alias("out"))
+def _let(value: Column, body: Callable) -> Column:
+    """body(value) with the value computed once: an expression within a function of an array's elements is computed for each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    folded = F.aggregate(parts, start, step, lambda acc: F.coalesce(acc["out"], F.array().cast(_SPANS)))
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(_SPANS))
+
+def _units(xs: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / UNIT).cast("int")), lambda j: F.slice(xs, j * UNIT + 1, F.lit(UNIT)))
+
+
+def _free(owned: Column, base: Column) -> Column:
+    """Of spans that don't meet each other those that meet no base span; by order of start, so that no pairs are tried."""
+    mark = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["value"].alias("value")))
+    both = F.array_sort(F.concat(mark(base, 0), mark(owned, 1)))  # a base span first of two that start together
+    with_next = lambda both: F.zip_with(both, F.slice(both, F.lit(2), F.greatest(F.size(both), F.lit(1))), lambda s, t: F.struct(s["start"].alias("start"), s["own"].alias("own"), s["end"].alias("end"), s["value"].alias("value"), F.when(t["own"] == 0, t["start"]).alias("next")))
+    following = _let(both, with_next)
+    kind = "array<struct<start:bigint,end:bigint,value:string,clear:boolean>>"
+
+    def one(reached, s):
+        clear = (s["own"] == 1) & (reached <= s["start"]) & (s["next"].isNull() | (s["next"] >= s["end"]))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), clear.alias("clear"))
+
+    told = running(following, lambda reached, s: F.when(s["own"] == 0, F.greatest(reached, s["end"])).otherwise(reached), one, lambda a, b: F.greatest(a, b), kind)
+    return F.transform(F.filter(told, lambda s: s["clear"]), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("rank"), s["end"].alias("end"), F.lit("owned").alias("kind"), s["value"].alias("value")))
 
 
 def _candidates(docs: DataFrame, text: Column, owner: Column, repository: Column, *kept: Column) -> DataFrame:
@@ -70,8 +118,7 @@ def _candidates(docs: DataFrame, text: Column, owner: Column, repository: Column
     base = F.array_sort(F.concat("_assign", "_access", "_hex"))
     one = one.select("*", base.alias("_base"))
     varied = lambda v: (F.size(F.array_distinct(F.split(v, ""))) >= VARIED) & v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    further = F.filter("_owned", lambda s: varied(s["value"]) & free(s))
+    further = _free(F.filter("_owned", lambda s: varied(s["value"])), F.col("_base"))
     return one.select("*", further.alias("_further"), F.monotonically_increasing_id().alias("_row")).drop("_assign", "_access", "_hex", "_owned")
 
 
@@ -134,13 +181,33 @@ def redact_live(docs: DataFrame, owner: Column, repository: Column, text: str =
     found = written(_candidates(docs.where(telling), F.col(text), owner, repository, whole), "redact")
     judged = _judged(found)
     live = F.filter("_spans", lambda s: ~_is_example(s))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    # the text is cut before every UNIT-th span, so that a span is looked for within its own stretch
+    reached = lambda live: running(live, lambda r, s: F.greatest(r, s["end"]), lambda r, s: r, lambda a, b: F.greatest(a, b), "array<bigint>")
+    cut = lambda text, a, b: text.substr((a + 1).cast("int"), (b - a).cast("int"))
+    size = F.length("_text").cast("bigint")
+
+    def stretches(live):
+        def stretch(unit, over, j, following):
+            begin = F.when(j == 0, F.lit(0).cast("bigint")).otherwise(F.get(unit, F.lit(0))["start"])
+            return F.struct(unit.alias("own"), begin.alias("begin"), F.coalesce(F.get(following, F.lit(0))["start"], size).alias("end"), F.get(over, F.lit(0)).alias("over"))
+
+        units = _let(_units(live), lambda u: F.arrays_zip(u.alias("unit"), F.concat(F.slice(u, F.lit(2), F.size(u)), F.array(F.slice(live, 1, 0))).alias("following")))
+        return F.transform(F.arrays_zip(units.alias("u"), _units(reached(live)).alias("over")), lambda x, j: stretch(x["u"]["unit"], x["over"], j, x["u"]["following"]))
+
+    def clear(x):
+        text = cut(F.col("_text"), x["begin"], x["end"])
+
+        def redacted(text):
+            def step(acc, s):
+                more = F.concat(acc["out"], F.when(s["start"] > acc["at"], cut(text, acc["at"] - x["begin"], s["start"] - x["begin"])).otherwise(F.lit("")), F.when(s["start"] >= acc["at"], F.lit(MARK)).otherwise(F.lit("")))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+            first = F.struct(F.greatest(x["begin"], x["over"]).alias("at"), F.lit("").alias("out"))  # where spans before reach over
+            return F.aggregate(x["own"], first, step, lambda acc: F.concat(acc["out"], F.when(x["end"] > acc["at"], cut(text, acc["at"] - x["begin"], x["end"] - x["begin"])).otherwise(F.lit(""))))
 
-    def step(acc, s):
-        more = F.concat(acc["out"], F.col("_text").substr((acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.when(s["start"] >= acc["at"], F.lit(MARK)).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+        return _let(text, redacted)
 
-    clean = F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.col("_text").substr((acc["at"] + 1).cast("int"), F.length("_text"))))
+    clean = F.array_join(F.transform(_let(live, stretches), clear), "")
     changed = judged.select("_whole", F.when(F.size(live) > 0, clean).otherwise(F.col("_whole")[text]).alias("_clean"))
     changed = changed.select(*(F.col("_clean").alias(c) if c == text else F.col("_whole")[c].alias(c) for c in docs.columns))
     return docs.where(~telling).unionByName(changed)
