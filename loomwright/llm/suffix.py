@@ -43,7 +43,7 @@ from loomwright.llm import hashing as H
 GRAM = 20
 CELL_BITS = np.uint64(40)
 RUN_BYTES = 1 << 20
-#: Segments of a minimizer, over all blocks, from which its windows are dealt out.
+#: Segments of a minimizer (of twice the length less one bytes at most), over all blocks, from which its windows are dealt out.
 HOT = 200_000
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
@@ -238,7 +238,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 50, gram: int = GRAM,
 
     def keys(block, table):
         full, _, count, _ = Block(table, length, gram).cells(shards)
-        return B.sent(block, shards, (full >> CELL_BITS).astype(np.int32), cells=lambda k: B.pack_sorted(full[k] & mask), count=lambda k: B.pack(np.minimum(count[k], 65535).astype(np.uint16)))
+        return B.sent(block, shards, (full >> CELL_BITS).astype(np.int32), cells=lambda k: B.pack_sorted(full[k] & mask), count=lambda k: B.pack(count[k].astype(np.uint32)))
 
     def merge(shard, table):
         lists = {b: (B.unpack_sorted(x["cells"]), B.unpack(x["count"]).astype(np.int64)) for b, x in B.by_block(table).items()}
