@@ -22,7 +22,9 @@ Defined results: null vectors, and vectors with null or non-finite components,
 take no part; shorter vectors count as padded with zeros; vec_id is a key:
 rows of the query's id are no candidates, each other row is one, and of two
 queries of one id the smaller vector asks; a null id takes no part; fewer than k candidates give all; ties go to the smaller id;
-other columns are ignored; an empty table gives none.
+a component of over LARGEST units counts as LARGEST, and a score that 64 bits
+don't hold as the largest or smallest number that they hold; other columns are
+ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ QUERIES = 1024
 #: Distances of queries to annuli that a task holds at once.
 PAIRS = 1 << 22
 SLACK = 1e-6
+LARGEST = 1 << 62
+#: Sums of products up to here are exact in 64 bits; beyond, Python's integers are used.
+SAFE = 1 << 62
+MOST_SCORE = (1 << 63) - 1
 KEYED = "id long, pivot int, near double, vector binary"
 FOUND = "query long, id long, score long"
 
@@ -49,7 +55,7 @@ def integer_vectors(table: DataFrame, key: str, vector: str, scale: int) -> Data
     """id and integer components of the rows that take part."""
     x = F.col(vector).cast("array<double>")
     finite = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return table.where(finite & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("v"))
+    return table.where(finite & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(F.greatest(F.least(v * scale, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))).cast("long")).alias("v"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -61,10 +67,12 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def product(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Exact inner products; most: no partial sum is larger."""
+    """Inner products, exact within 64 bits; most: no partial sum is larger."""
     if most < 1 << 52:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if most < SAFE:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -MOST_SCORE - 1, MOST_SCORE).astype(np.int64)
 
 
 class Space:
@@ -83,12 +91,12 @@ class Space:
 def top_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k largest products. queries: rows like the table's."""
     every, asked = integer_vectors(table, key, vector, scale), integer_vectors(queries, key, vector, scale)
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = every.unionByName(asked).agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(norm).alias("most")).first()
     spark = table.sparkSession
     if not facts["n"] or not facts["dim"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, most = facts["dim"], facts["most"]
+    dim, most = facts["dim"], int(facts["most"] * (1 + 1e-12)) + 1  # at least each norm, whatever the sums' rounding
     space = Space(np.stack([np.pad(np.array(r["v"], np.int64), (0, dim - len(r["v"]))) for r in every.orderBy(F.xxhash64("v"), "id").limit(PIVOTS).collect()]), most)
     size = max(BLOCK, -(-facts["n"] // ANNULI))
     parts = max(1, -(-facts["n"] // size))
@@ -148,7 +156,7 @@ def top_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: int =
                 for k in range(0, batch.num_rows, step):
                     b = batch.slice(k, step)
                     v = matrix(b.column("v"), dim)
-                    kth = np.array([float("-inf") if x is None else x for x in b.column("kth").to_pylist()])
+                    kth = np.array([float("-inf") if x is None or x <= -MOST_SCORE else x for x in b.column("kth").to_pylist()])
                     yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(choose(v, kth), pa.list_(pa.int64()))], names=["query", "asked", "annuli"])
 
         return run
