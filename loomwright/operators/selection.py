@@ -1,8 +1,7 @@
 """Quota-constrained, diversity-aware selection.
 
-The cluster reduces the candidates to what a sequential choice can still use,
-and the choice runs on the driver over that rest. Its size is bounded by the
-quotas, not by the candidates (a repository is a function of the instance):
+The cluster reduces the candidates to what a sequential choice can still use
+(a repository is a function of the instance):
 
 * What a pick changes is equal for all pairs of one (model, bands, repository),
   so only the best `quota` of each can be picked. Picks touch as many
@@ -11,6 +10,14 @@ quotas, not by the candidates (a repository is a function of the instance):
 * For diversity picks the same holds of (target, model, band, repository), with
   the best row of each instance. Further rows of an instance count only where
   a (target, model) may run out of instances, and then these are few.
+
+That rest stays in the cluster, ranked, as a written table. The choice runs on
+the driver, which holds the first rows of the first repositories of each
+stratum (GROUPS, DEPTH) and, for the repositories that it doesn't hold, the
+best score that one of them has. A pick is certain if it beats that score with
+the largest bonus that a repository can get; only if it doesn't, or if what is
+held of a repository is used up, the cluster is asked for more, twice as many
+each time.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.sources.shared import discard, written
 
 # --- fixed values ---
 PAIR_QUOTAS = {"70b": 87, "8b": 25, "405b": 13}
@@ -30,6 +38,12 @@ TOTAL_QUOTAS = {"70b": 175, "8b": 50, "405b": 25}
 SEED = 20260814
 BAND_SHARES = {"10-19": 0.4, "20-39": 0.4, "40+": 0.2}
 
+#: Repositories of a stratum, and rows of a repository, that the driver asks for at first.
+GROUPS = 48
+DEPTH = 4
+#: What float sums in another order may differ by.
+SLACK = 1e-9
+
 
 @dataclass(frozen=True)
 class Quotas:
@@ -107,13 +121,82 @@ def diversity_contenders(candidates: DataFrame, quotas: Quotas) -> DataFrame:
 
 def select(candidates: DataFrame, quotas: Quotas) -> DataFrame:
     """Paired picks, then diversity picks. candidates: uid, instance_id, repository, model_short, target, quality_score, length_band."""
+    return selected_with_cost(candidates, quotas)[0]
+
+
+def selected_with_cost(candidates: DataFrame, quotas: Quotas) -> tuple[DataFrame, int]:
+    """The selection, and how many rows the driver took for it."""
     if any(n > quotas.totals.get(m, 0) for m, n in quotas.pairs.items()):
         raise ValueError("more pairs than rows asked of a model")
-    options = [r.asDict(recursive=True) for r in pair_contenders(pair_options(candidates, quotas.seed), quotas).collect()]
-    rows = [r.asDict() for r in diversity_contenders(candidates, quotas).collect()]
-    chosen, state = choose_pairs(options, quotas)
+    options = pair_contenders(pair_options(candidates, quotas.seed), quotas).withColumn("good", F.col("success.length_band")).withColumn("bad", F.col("failure.length_band"))
+    pairs = Held(options, ["model_short", "good", "bad"], [F.desc("score"), "instance_id"], lambda r: r["score"])
+    chosen, state = choose_pairs(pairs, quotas)
+    rows = Held(diversity_contenders(candidates, quotas), ["target", "model_short", "length_band"], [(F.col("quality_score") + F.col("jitter")).desc(), "uid"], lambda r: r["quality_score"] + r["jitter"])
     chosen += choose_diverse(rows, quotas, state)
-    return candidates.sparkSession.createDataFrame(chosen, "uid string, selection_group string, pair_id string").join(candidates, "uid")
+    out = candidates.sparkSession.createDataFrame(chosen, "uid string, selection_group string, pair_id string").join(candidates, "uid")
+    for held in (pairs, rows):
+        held.close()
+    return out, pairs.collected + rows.collected
+
+
+class Held:
+    """Ranked rows of the cluster, of which the driver holds a part: by stratum and repository, best first."""
+
+    def __init__(self, rows: DataFrame, strata: list[str], order: list, score):
+        group = [*strata, "repository"]
+        w = Window.partitionBy(*group)
+        d = rows.withColumn("_k", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
+        first = d.where("_k = 1").withColumn("_place", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).select(*group, "_place")
+        self.table = written(d.join(first, group), "ranked")
+        self.strata, self.score, self.collected = strata, score, 0
+        self.rows: dict[tuple, dict[str, list[dict]]] = {}
+        self.count: dict[tuple, int] = {}  # rows of a (stratum, repository) in the cluster
+        self.bound: dict[tuple, float] = {}  # the best score beyond what is held, of strata that have more
+        self.places: dict[tuple, int] = {}
+        self._take(((F.col("_place") <= GROUPS) & (F.col("_k") <= DEPTH)) | ((F.col("_place") == GROUPS + 1) & (F.col("_k") == 1)))
+
+    def _take(self, which: Column) -> None:
+        for r in sorted((r.asDict(recursive=True) for r in self.table.where(which).collect()), key=lambda r: (r["_place"], r["_k"])):
+            self.collected += 1
+            stratum = tuple(r[c] for c in self.strata)
+            self.places.setdefault(stratum, GROUPS)
+            if r["_place"] > self.places[stratum]:
+                self.bound[stratum] = self.score(r)
+            else:
+                self.rows.setdefault(stratum, {}).setdefault(r["repository"], []).append(r)
+                self.count[*stratum, r["repository"]] = r["_n"]
+
+    def _of(self, stratum: tuple) -> Column:
+        which = F.lit(True)
+        for c, v in zip(self.strata, stratum, strict=True):
+            which = which & F.col(c).eqNullSafe(F.lit(v))
+        return which
+
+    def of(self, part: tuple) -> list[tuple]:
+        """The strata whose first columns are these."""
+        return [s for s in self.places if s[: len(part)] == part]
+
+    def more_repositories(self, stratum: tuple) -> None:
+        had = self.places[stratum]
+        self.places[stratum] = 2 * had
+        self.bound.pop(stratum)
+        self._take(self._of(stratum) & (F.col("_place") > had) & (((F.col("_place") <= 2 * had) & (F.col("_k") <= DEPTH)) | ((F.col("_place") == 2 * had + 1) & (F.col("_k") == 1))))
+
+    def first(self, stratum: tuple, repository: str, good) -> dict | None:
+        """The first row of a held repository that is good; what isn't held of it is asked for only if nothing held is."""
+        held = self.rows[stratum][repository]
+        at = 0
+        while True:
+            for k in range(at, len(held)):
+                if good(held[k]):
+                    return held[k]
+            at = len(held)
+            if at >= self.count[*stratum, repository]:
+                return None
+            self._take(self._of(stratum) & F.col("repository").eqNullSafe(F.lit(repository)) & (F.col("_k") > at) & (F.col("_k") <= 2 * at + DEPTH))
+
+    def close(self) -> None:
+        discard(self.table)
 
 
 @dataclass
@@ -128,26 +211,34 @@ def _models(quotas: Quotas) -> list[str]:
     return sorted(quotas.pairs, key=lambda m: (quotas.pairs[m], m))
 
 
-def choose_pairs(options: list[dict], quotas: Quotas) -> tuple[list[tuple], State]:
+def _certain(held: Held, strata: list[tuple], worth: float, beyond) -> bool:
+    """Whether no repository that isn't held can be worth as much; the strata that may have one are asked for more."""
+    open_ = [s for s in strata if s in held.bound and beyond(s, held.bound[s]) >= worth - SLACK * (1 + abs(worth))]
+    for s in open_:
+        held.more_repositories(s)
+    return not open_
+
+
+def choose_pairs(held: Held, quotas: Quotas) -> tuple[list[tuple], State]:
     """Pick by pick, smaller quotas first; each pick changes what the next is worth. Only the first of equal standing is looked at."""
     state, chosen = State(set(), set(), Counter(), {True: Counter(), False: Counter()}), []
     for model in _models(quotas):
-        queues: dict[tuple, list[dict]] = {}
-        for o in sorted((o for o in options if o["model_short"] == model), key=lambda o: (o["score"], [-ord(c) for c in o["instance_id"]])):  # the best at the end
-            queues.setdefault((o["success"]["length_band"], o["failure"]["length_band"], o["repository"]), []).append(o)
-
-        def worth(key, queues=queues):
-            good, bad, repository = key
-            return queues[key][-1]["score"] + 3.0 / (1 + state.bands[True][good]) + 3.0 / (1 + state.bands[False][bad]) + 2.0 / (1 + state.repositories[repository])
-
+        strata = held.of((model,))
+        bands = lambda s: 3.0 / (1 + state.bands[True][s[1]]) + 3.0 / (1 + state.bands[False][s[2]])
         for _ in range(quotas.pairs[model]):
-            open_ = [k for k, q in queues.items() if q]
-            few = [k for k in open_ if state.repositories[k[2]] <= 2] or open_
-            if not few:
+            while True:
+                free = lambda o: (o["model_short"], o["instance_id"]) not in state.instances
+                heads = {(s, r): o for s in strata for r in list(held.rows.get(s, {})) if (o := held.first(s, r, free))}
+                few = {k: o for k, o in heads.items() if state.repositories[k[1]] <= 2}
+                worth = lambda k, o: o["score"] + 3.0 / (1 + state.bands[True][k[0][1]]) + 3.0 / (1 + state.bands[False][k[0][2]]) + 2.0 / (1 + state.repositories[k[1]])
+                some = few or heads
+                best = min(some, key=lambda k: (-worth(k, some[k]), -some[k]["score"], some[k]["instance_id"]), default=None)  # noqa: B023
+                # beyond the first tier only if no repository that isn't held can be in it
+                if _certain(held, strata, worth(best, some[best]) if few else float("-inf"), lambda s, b: b + bands(s) + 2.0):
+                    break
+            if best is None:
                 raise ValueError(f"too few pairs of model {model}")
-            key = min(few, key=lambda k: (-worth(k), -queues[k][-1]["score"], queues[k][-1]["instance_id"]))  # noqa: B023
-            o = queues[key].pop()
-            pair = f"P{len(chosen) // 2 + 1:02d}"
+            o, pair = some[best], f"P{len(chosen) // 2 + 1:02d}"
             for target, side in ((True, o["success"]), (False, o["failure"])):
                 chosen.append((side["uid"], "paired", pair))
                 state.uids.add(side["uid"])
@@ -164,33 +255,36 @@ def wanted_bands(quotas: Quotas) -> dict[str, int]:
     return first | {list(BAND_SHARES)[-1]: size - sum(first.values())}
 
 
-def choose_diverse(rows: list[dict], quotas: Quotas, state: State) -> list[tuple]:
+def choose_diverse(held: Held, quotas: Quotas, state: State) -> list[tuple]:
     """Fill each (target, model) up to its total, towards the shares of the bands: from unused instances of little-used
     repositories, else from unused instances, else from any unused row."""
     chosen, wanted = [], wanted_bands(quotas)
     for target in (True, False):
         for model in _models(quotas):
-            queues: dict[tuple, list[dict]] = {}
-            for r in sorted((r for r in rows if r["target"] == target and r["model_short"] == model), key=lambda r: (-(r["quality_score"] + r["jitter"]), r["uid"])):
-                queues.setdefault((r["length_band"], r["repository"]), []).append(r)
+            strata = held.of((target, model))
+            short = lambda s: min(max(wanted.get(s[2], 0) - state.bands[s[0]][s[2]], 0), 8) * 2.0
+            worth = lambda k, r: r["quality_score"] + short(k[0]) + 2.0 / (1 + state.repositories[k[1]]) + r["jitter"]
+            fresh = lambda r: (r["model_short"], r["instance_id"]) not in state.instances and r["uid"] not in state.uids
+            unused = lambda r: r["uid"] not in state.uids
             for _ in range(quotas.totals[model] - quotas.pairs.get(model, 0)):
-                free = {k: next((r for r in q if (model, r["instance_id"]) not in state.instances and r["uid"] not in state.uids), None) for k, q in queues.items()}
-                fresh = {k: r for k, r in free.items() if r is not None}
-                tier = {k: r for k, r in fresh.items() if state.repositories[k[1]] < 4} or fresh
-                tier = tier or {k: r for k, q in queues.items() if (r := next((r for r in q if r["uid"] not in state.uids), None))}
-                if not tier:
+                while True:
+                    heads = {(s, p): r for s in strata for p in list(held.rows.get(s, {})) if (r := held.first(s, p, fresh))}
+                    first = {k: r for k, r in heads.items() if state.repositories[k[1]] < 4}
+                    tier = first or heads
+                    best = min(tier, key=lambda k: (-worth(k, tier[k]), tier[k]["uid"]), default=None)  # noqa: B023
+                    if _certain(held, strata, worth(best, tier[best]) if first else float("-inf"), lambda s, b: b + short(s) + 2.0):  # noqa: B023
+                        break
+                if best is None:
+                    tier = {(s, p): r for s in strata for p in list(held.rows.get(s, {})) if (r := held.first(s, p, unused))}
+                    best = min(tier, key=lambda k: (-worth(k, tier[k]), tier[k]["uid"]), default=None)  # noqa: B023
+                if best is None:
                     raise ValueError(f"too few rows of model {model}, target {target}")
-
-                def rank(k, tier=tier, target=target):
-                    short = max(wanted.get(k[0], 0) - state.bands[target][k[0]], 0)
-                    return tier[k]["quality_score"] + min(short, 8) * 2.0 + 2.0 / (1 + state.repositories[k[1]]) + tier[k]["jitter"]
-
-                best = tier[min(tier, key=lambda k: (-rank(k), tier[k]["uid"]))]  # noqa: B023
-                chosen.append((best["uid"], "diversity", ""))
-                state.uids.add(best["uid"])
-                state.instances.add((model, best["instance_id"]))
-                state.repositories[best["repository"]] += 1
-                state.bands[target][best["length_band"]] += 1
+                r = tier[best]
+                chosen.append((r["uid"], "diversity", ""))
+                state.uids.add(r["uid"])
+                state.instances.add((model, r["instance_id"]))
+                state.repositories[r["repository"]] += 1
+                state.bands[target][r["length_band"]] += 1
     return chosen
 
 

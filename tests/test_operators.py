@@ -118,9 +118,11 @@ def chosen_plainly(rows, q):
     return out
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_selection_equals_a_plain_one(spark, seed):
-    """Many or few instances and repositories, tied scores, an instance under several models."""
+@pytest.mark.parametrize(("seed", "groups", "depth"), [(k, 48, 4) for k in range(6)] + [(0, 1, 1), (1, 1, 1), (2, 2, 1), (3, 1, 2), (5, 2, 1)])
+def test_selection_equals_a_plain_one(spark, monkeypatch, seed, groups, depth):
+    """Many or few instances and repositories, tied scores, an instance under several models; with much held at first, or little."""
+    monkeypatch.setattr(selection, "GROUPS", groups)
+    monkeypatch.setattr(selection, "DEPTH", depth)
     rng = random.Random(seed)
     instances, repositories, rows_of = ((60, 40, 3), (8, 3, 30), (200, 150, 2), (12, 12, 14), (90, 2, 4), (25, 9, 9))[seed]
     rows = []
@@ -138,6 +140,21 @@ def test_selection_equals_a_plain_one(spark, seed):
     assert sorted(map(tuple, got)) == sorted(chosen_plainly([dict(zip(names, r, strict=True)) for r in rows], q))
 
 
+def test_selection_takes_few_rows_of_many_candidates(spark):
+    """As many quotas as in production; equality with a plain choice is tested on smaller tables."""
+    i = F.col("id")
+    d = spark.range(300_000).select(
+        F.concat(F.lit("u"), "id").alias("uid"), F.concat(F.lit("i"), (F.xxhash64(i) % 40_000).cast("string")).alias("instance_id"), F.concat(F.lit("r"), (F.xxhash64(F.xxhash64(i) % 40_000) % 600).cast("string")).alias("repository"),
+        F.element_at(F.array(*map(F.lit, ("70b", "8b", "405b"))), (F.pmod(F.hash(i), F.lit(3)) + 1)).alias("model_short"), (F.pmod(F.xxhash64(i, F.lit(1)), F.lit(2)) == 0).alias("target"),
+        (F.pmod(F.xxhash64(i, F.lit(2)), F.lit(1000)) / 25.0).alias("quality_score"), F.element_at(F.array(*map(F.lit, ("10-19", "20-39", "40+"))), (F.pmod(F.hash(i, F.lit(3)), F.lit(3)) + 1)).alias("length_band"),
+    )
+    q = selection.Quotas(selection.PAIR_QUOTAS, selection.TOTAL_QUOTAS)
+    got, taken = selection.selected_with_cost(d, q)
+    assert taken < 20_000
+    rows = Counter((r["model_short"], r["target"]) for r in got.select("model_short", "target").collect())
+    assert rows == {(m, t): n for m, n in selection.TOTAL_QUOTAS.items() for t in (True, False)}
+
+
 def test_contenders_are_bounded_by_quotas(spark):
     d = spark.range(20_000).select(F.concat(F.lit("u"), "id").alias("uid"), F.concat(F.lit("i"), (F.col("id") / 2).cast("int").cast("string")).alias("instance_id"), F.concat(F.lit("r"), (F.col("id") / 2).cast("int").cast("string")).alias("repository"),
         F.lit("8b").alias("model_short"), (F.col("id") % 2 == 0).alias("target"), F.rand(3).alias("quality_score"), F.lit("40+").alias("length_band"))
