@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ast
+import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.sources.shared import written
 
 # --- fixed values ---
 FORBIDDEN_PARTS = (".codex", ".sii", "__pycache__", "checkpoints", "models", "logs")
@@ -101,29 +104,71 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
 
 
-def passages_within(passages: DataFrame, texts: DataFrame, window: int = 8) -> DataFrame:
+#: Characters of the passages that one automaton holds, about; a passage counts for ROW_CHARS more.
+PART_CHARS = 1 << 20
+ROW_CHARS = 64
+#: Pairs that are sent on at once.
+PAIRS = 1 << 16
+
+_built: dict[str, tuple] = {}
+
+
+def _automaton(name: str, passages: pa.Table) -> tuple:
+    """The automaton of a part's distinct passages, the rows of each, and the numbers of empty ones; the last one built stays for the worker's next task."""
+    import ahocorasick
+
+    if name not in _built:
+        _built.clear()
+        rows: dict[str, list[int]] = {}
+        for k, text in enumerate(passages.column("passage").to_pylist()):
+            rows.setdefault(text, []).append(k)
+        found = ahocorasick.Automaton()
+        for k, text in enumerate(rows):
+            if text:
+                found.add_word(text, k)
+        found.make_automaton()
+        _built[name] = found, list(rows.values()), [k for k, text in enumerate(rows) if not text]
+    return _built[name]
+
+
+def passages_within(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """item_id, doc_id of each passage (item_id, text) that a text (doc_id, text) contains whole; null texts contain nothing.
 
-    Split at single spaces, all parts of a passage but the first and last are parts of any text that contains it. So candidates
-    come from an equi-join on the hash of a passage's first `window` inner parts (one, where it has fewer), and `contains`
-    settles them. A passage without inner parts is held against every text.
+    The passages are dealt into parts of about PART_CHARS characters by hash. Each part is broadcast, and texts run through its
+    automaton in Arrow batches, where they are: a text costs its length for each part, whatever the passages, and isn't shuffled.
+    An empty passage is in every text. Equal passages are searched once a part. An empty table of either gives no rows.
     """
-    parts = lambda c: F.split(c, " ", -1)
-    p = passages.select("item_id", F.col("text").alias("passage")).where("passage is not null")
-    p = p.withColumn("inner", F.size(parts(F.col("passage"))) - 2)
-    p = p.withColumn("width", F.when(F.col("inner") >= window, window).when(F.col("inner") > 0, 1).otherwise(0))
+    spark = texts.sparkSession
+    p = passages.select("item_id", F.col("text").cast("string").alias("passage")).where("passage is not null")
+    chars = p.agg(F.sum(F.length("passage").cast("long") + ROW_CHARS)).first()[0] or 0
+    parts = -(-chars // PART_CHARS)
+    schema = f"item_id {passages.schema['item_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}"
+    if not parts:
+        return spark.createDataFrame([], schema)
+    dealt = p.withColumn("_part", F.pmod(F.xxhash64("item_id", "passage"), F.lit(parts)))
+    if parts > 1:
+        dealt = written(dealt.repartition("_part"), "passages")
     out = None
-    for width in sorted(r["width"] for r in p.select("width").distinct().collect()):
-        mine = p.where(F.col("width") == width)
-        if width:
-            key = F.xxhash64(F.slice(parts(F.col("passage")), 2, width)).alias("key")
-            # the inner lambda's variable holds the parts, so that a text is split once
-            keys = F.transform(F.array(parts(F.col("text"))), lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - (width - 1)), lambda i: F.xxhash64(F.slice(x, i, width))))  # noqa: B023
-            d = texts.where(F.size(parts(F.col("text"))) >= width).select("doc_id", F.explode(F.array_distinct(keys[0])).alias("key"))
-            near = d.join(mine.select("item_id", key), "key").select("item_id", "doc_id").distinct()
-            found = near.alias("n").join(mine.alias("m"), F.col("n.item_id").eqNullSafe(F.col("m.item_id"))).join(texts.alias("t"), F.col("n.doc_id").eqNullSafe(F.col("t.doc_id")))
-        else:
-            found = mine.alias("m").join(texts.alias("t"), F.contains("t.text", "m.passage"))
-        found = found.where(F.contains("t.text", "m.passage")).select("m.item_id", "t.doc_id")
-        out = found if out is None else out.unionByName(found)
-    return passages.crossJoin(texts.select("doc_id")).where("false").select("item_id", "doc_id") if out is None else out
+    for k in range(parts):
+        name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(dealt.where(F.col("_part") == k).select("item_id", "passage").toArrow())
+
+        def within(batches, name=name, shared=shared):
+            found, rows, empty = _automaton(name, shared.value)
+            items = shared.value.column("item_id").combine_chunks()
+            pairs = lambda b, item, doc: pa.RecordBatch.from_arrays([items.take(pa.array(item, pa.int64())), b.column("doc_id").take(pa.array(doc, pa.int64()))], names=["item_id", "doc_id"])
+            for b in batches:
+                item, doc = [], []
+                for i, text in enumerate(b.column("text")):
+                    if (text := text.as_py()) is None:
+                        continue
+                    for v in {*empty, *(v for _, v in (found.iter(text) if len(found) else ()))}:
+                        item += rows[v]
+                        doc += [i] * len(rows[v])
+                        if len(item) > PAIRS:
+                            yield pairs(b, item, doc)
+                            item, doc = [], []
+                yield pairs(b, item, doc)
+
+        one = texts.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(within, schema)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -473,13 +473,19 @@ def test_hard_negatives_are_all_that_are_valid(spark, monkeypatch, bucket):
         assert there <= {k for _, k in mine}, (by_id[a[0]], mine)
 
 
-def test_passages_are_whole_in_texts(spark, sf_dir):
+@pytest.mark.parametrize("part", [1 << 20, 200])
+def test_passages_are_whole_in_texts(spark, sf_dir, monkeypatch, part):
+    """With one automaton, and with many small parts; empty and repeated passages, and pairs sent on in small batches."""
+    monkeypatch.setattr(audit, "PART_CHARS", part)
     words = [f"w{i}" for i in range(14)]
-    passages = [(1, " ".join(words)), (2, " ".join(words[:13]) + " other"), (3, "w1 w2 w3"), (4, "w"), (5, "3 w4"), (6, None), (None, " ".join(words[2:])), (8, "a  b c"), (8, "1 w2 w")]
-    texts = [(1, "x" + " ".join(words) + "y"), (2, " ".join(words)), (3, "w1 w2"), (3, "a  b cd"), (None, "say w1 w2 w3"), (4, None), (5, ""), (6, " ".join(words[::-1]))]
+    passages = [(1, " ".join(words)), (2, " ".join(words[:13]) + " other"), (3, "w1 w2 w3"), (4, "w"), (5, "3 w4"), (6, None), (None, " ".join(words[2:])), (8, "a  b c"), (8, "1 w2 w"), (9, ""), (10, "w1 w2 w3"), (10, "w1 w2 w3"), (11, "é☃")]
+    texts = [(1, "x" + " ".join(words) + "y"), (2, " ".join(words)), (3, "w1 w2"), (3, "a  b cd"), (None, "say w1 w2 w3"), (4, None), (5, ""), (6, " ".join(words[::-1])), (7, "x é☃é☃"), (7, "x é☃é☃")]
     p, t = spark.createDataFrame(passages, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
     order = lambda rows: sorted(map(tuple, rows), key=repr)
     assert order(audit.passages_within(p, t).collect()) == order((i, d) for i, x in passages for d, y in texts if x is not None and y is not None and x in y)
+    if part == 200:
+        assert audit.passages_within(p, t.limit(0)).count() == 0
+        return
     p, t = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = order((i["item_id"], d["doc_id"]) for i in p.collect() for d in t.collect() if i["text"] in (d["text"] or ""))
     assert want and order(audit.passages_within(p, t.select("doc_id", "text")).collect()) == want
