@@ -31,23 +31,24 @@ def open_run(folder: str, settings: Mapping[str, object]) -> None:
         atomic_json(manifest, dict(settings))
 
 
-def process_new(spark: SparkSession, source: str, schema: str, log: str, checkpoint: str, settings: Mapping[str, object], step: Callable[[DataFrame], DataFrame], key: str = "unit_id"):
-    """Read what came since the last run, drop units that the log has, and append the rest's results (exactly once a batch)."""
+def process_new(spark: SparkSession, source: str, schema: str, log: str, checkpoint: str, settings: Mapping[str, object], step: Callable[[DataFrame], DataFrame], key: str = "unit_id", keep: str | None = None):
+    """Read what came since the last run, pass each unit's first row to step once, and append the results (exactly once a batch).
+
+    Which units were passed is keyed state in the checkpoint, in the JVM, so that a batch doesn't read the log. State and results
+    of a batch that failed are made again together. keep: how long a unit is remembered (such as "30 days"), which bounds the
+    state; one that comes again later is a new one. Units of a null key are one unit.
+    """
     run = run_id(settings)
 
     def append(batch: DataFrame, number: int) -> None:
-        path = f"{log}/run={run}/batch={number}"
-        done = None
-        try:
-            done = spark.read.parquet(f"{log}/run={run}").where(F.col("batch") < number).select(key)
-        except Exception as e:  # noqa: BLE001  the run's first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new = batch.dropDuplicates([key])
-        step(new if done is None else new.join(done, key, "left_anti")).write.mode("overwrite").parquet(path)
+        step(batch).write.mode("overwrite").parquet(f"{log}/run={run}/batch={number}")
 
     stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{checkpoint}/{run}").trigger(availableNow=True).start()
+    if keep is None:
+        new = stream.dropDuplicates([key])
+    else:
+        new = stream.withColumn("_seen_at", F.current_timestamp()).withWatermark("_seen_at", keep).dropDuplicatesWithinWatermark([key]).drop("_seen_at")
+    return new.writeStream.foreachBatch(append).option("checkpointLocation", f"{checkpoint}/{run}").trigger(availableNow=True).start()
 
 
 def status_counts(units: DataFrame, window: str = "10 minutes", late: str = "1 hour", at: str = "finished_at") -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers, writers and the resumed stream."""
 
 import json
+import time
 import random
 
 import pytest
@@ -89,20 +90,62 @@ def test_cases_and_prompts(spark, tmp_path):
         files.read_prompts(str(tmp_path / "p.md"))
 
 
-def test_stream_does_each_unit_once(spark, tmp_path):
-    source, log, check = (str(tmp_path / x) for x in ("in", "log", "check"))
-    (tmp_path / "in").mkdir()
+class Feed:
+    """Files of units, each followed by a run over what is new."""
+
+    def __init__(self, spark, folder, step=lambda d: d, **options):
+        self.spark, self.folder, self.step, self.options = spark, folder, step, options
+        (folder / "in").mkdir()
+
+    def __call__(self, name, *units):
+        (self.folder / "in" / name).write_text("\n".join(json.dumps({"unit_id": u, "n": None if u == "b" else k, "x": {"y": [k]}}) for k, u in enumerate(units)))
+        self.query = resume.process_new(self.spark, str(self.folder / "in"), "unit_id string, n long, x struct<y: array<long>>", str(self.folder / "log"), str(self.folder / "check"), {"m": 1}, self.step, **self.options)
+        self.query.awaitTermination(60)
+        return sorted(r["unit_id"] for r in self.log().collect())
+
+    def log(self):
+        return self.spark.read.parquet(f"{self.folder}/log/run={resume.run_id({'m': 1})}")
 
-    def feed(name, *units):
-        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"unit_id": u}) for u in units))
-        resume.process_new(spark, source, "unit_id string", log, check, {"m": 1}, lambda d: d).awaitTermination(60)
-        return sorted(r["unit_id"] for r in spark.read.parquet(f"{log}/run={resume.run_id({'m': 1})}").collect())
 
+def test_stream_does_each_unit_once(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
     assert feed("1.json", "a", "b", "a") == ["a", "b"]
     assert feed("2.json", "b", "c") == ["a", "b", "c"]
+    assert {(r["unit_id"], r["n"], r["x"]["y"][0]) for r in feed.log().where("unit_id <> 'a'").collect()} == {("b", None, 1), ("c", 1, 1)}
+    state = feed.query.lastProgress.stateOperators[0]
+    assert state.numRowsTotal == 3  # the state is the units, whatever the log holds
     assert resume.run_id({"m": 1}) != resume.run_id({"m": 2})
 
 
+def test_stream_after_a_failed_batch(spark, tmp_path):
+    """The state of a batch that fails is lost with it: no unit is left out, none is done twice."""
+    broken = [True]
+
+    def step(d):
+        if broken[0] and d.where("unit_id = 'd'").count():
+            raise OSError("no device")
+        return d
+
+    feed = Feed(spark, tmp_path, step)
+    assert feed("1.json", "a", "b") == ["a", "b"]
+    with pytest.raises(Exception, match="no device"):
+        feed("2.json", "b", "c", "d")
+    assert sorted(r["unit_id"] for r in feed.log().collect()) == ["a", "b"]
+    broken[0] = False
+    assert feed("3.json", "d", "e") == ["a", "b", "c", "d", "e"]
+
+
+def test_stream_forgets_old_units(spark, tmp_path):
+    """A unit leaves the state once a later batch has moved the time on by as much as it is kept."""
+    feed = Feed(spark, tmp_path, keep="1 second")
+    assert feed("1.json", "a", "c", "c") == ["a", "c"]
+    assert feed("2.json", "a", "b") == ["a", "b", "c"]
+    time.sleep(2.5)
+    assert feed("3.json", "d") == ["a", "b", "c", "d"]
+    assert feed("4.json", "a", "d") == ["a", "a", "b", "c", "d"]
+    assert feed.query.lastProgress.stateOperators[0].numRowsTotal <= 2
+
+
 def test_keyed_json_lines(spark, tmp_path):
     path = tmp_path / "w.jsonl"
     path.write_text('{"unit_id": "a", "status": "completed", "pairs": [{"intent_id": "I1", "action_id": "A", "operation_match": "no"}]}\n')
