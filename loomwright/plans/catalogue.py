@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from loomwright.functions import text as T
 from loomwright.operators import alignment, audit, curation, inference, selection, steps, trajectory, validation, windows
 from loomwright.plans import inputs as I  # noqa: E741
+from loomwright.sources import files, seek
+from loomwright.sources.shared import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -324,6 +326,16 @@ def quote_containment(spark, sf_dir):
     return users.join(said, "conv_id", "left").groupBy("conv_id", "turn").agg(F.coalesce(F.bool_or(F.contains("answer", "quote")), F.lit(False)).alias("quoted"))
 
 
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 97 = 5")
+def seek_lookup(spark, sf_dir):
+    """Events as JSON-lines shards, their sparse index, and a lookup of some rows by their places."""
+    path = shared_folder(spark, "events")
+    I.table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value")).write.text(path)
+    places = written(files.read_jsonl(spark, path, "part-*").select("source_file", "source_row", "source_offset", F.get_json_object("value", "$.event_id").cast("long").alias("event_id")), "places")
+    found = seek.lookup_rows(path, places.where("event_id % 97 = 5"), seek.sparse_index(places))
+    return found.select(F.from_json("value", "event_id long, user_id long, event_type string").alias("e")).select("e.*")
+
+
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def passage_containment(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents").select("doc_id", "text")

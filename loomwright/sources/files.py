@@ -54,16 +54,16 @@ def _places(batches: Iterator[pa.RecordBatch], state: dict) -> Iterator[tuple[pa
         yield b, blank, row, offset
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of *.jsonl files with their place: source_file, source_row (of lines that aren't blank), source_offset (bytes), value.
+def read_jsonl(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
+    """Lines of *.jsonl files (or those of other names) with their place: source_file, source_row (of lines that aren't blank), source_offset (bytes), value.
 
     From any store that Spark reads; large shards are split. Lines end at a newline only. A line that is no JSON aborts, naming
     shard and row, as the result is read. Places come from the counts of the splits before, which a first pass makes.
     """
     try:
-        lines = spark.read.text(f"{path.rstrip('/')}/*.jsonl", lineSep="\n")
+        lines = spark.read.text(f"{path.rstrip('/')}/{names}", lineSep="\n")
     except AnalysisException as e:
-        raise ValueError(f"no *.jsonl under {path}") from e
+        raise ValueError(f"no {names} under {path}") from e
     lines = lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
     def totals(batches):

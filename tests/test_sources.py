@@ -1,12 +1,12 @@
 """Readers, writers and the resumed stream."""
 
 import json
-import time
 import random
+import time
 
 import pytest
 
-from loomwright.sources import files, snapshot
+from loomwright.sources import files, seek, snapshot
 from loomwright.streaming import resume
 
 
@@ -146,6 +146,30 @@ def test_stream_forgets_old_units(spark, tmp_path):
     assert feed.query.lastProgress.stateOperators[0].numRowsTotal <= 2
 
 
+def test_lookup_reads_few_bytes(spark, tmp_path):
+    """100 rows of 12 shards, under 1 % of their bytes; the same rows as a whole pass gives."""
+    rng = random.Random(4)
+    for k in range(12):
+        with open(tmp_path / f"s{k:02d}.jsonl", "w", encoding="utf-8") as f:
+            for j in range(30_000):
+                f.write(("" if j % 50 else " \n\n") + json.dumps({"k": k, "j": j, "t": "é" * rng.randrange(20, 60)}, ensure_ascii=False) + "\n")
+    places = files.read_jsonl(spark, str(tmp_path))
+    index = seek.sparse_index(places, 8).persist()
+    want = [(f"s{rng.randrange(12):02d}.jsonl", rng.randrange(30_000)) for _ in range(98)] + [("s00.jsonl", 0), ("s11.jsonl", 29_999)]
+    selected = spark.createDataFrame(want + want[:3], "source_file string, source_row long")
+    got = seek.lookup_rows(str(tmp_path), selected, index, 8).collect()
+    assert sum(r["bytes_read"] for r in got) < 0.01 * sum(p.stat().st_size for p in tmp_path.glob("*.jsonl"))
+    assert {(r["source_file"], r["source_row"]) for r in got} == set(want) and len(got) == len(set(want))
+    assert all(json.loads(r["value"])["j"] == r["source_row"] and json.loads(r["value"])["k"] == int(r["source_file"][1:3]) for r in got)
+    plain = {tuple(r) for r in files.lookup(places, selected).select("source_file", "source_row", "source_offset", "value").collect()}
+    assert {tuple(r)[:4] for r in got} == plain
+    for bad in (("s00.jsonl", 30_000), ("s00.jsonl", 999_999), ("other.jsonl", 0)):
+        with pytest.raises(Exception, match="no such row"):
+            seek.lookup_rows(str(tmp_path), spark.createDataFrame([bad], "source_file string, source_row long"), index, 8).collect()
+    assert seek.lookup_rows(str(tmp_path), selected.limit(0), index, 8).collect() == []
+    index.unpersist()
+
+
 def test_keyed_json_lines(spark, tmp_path):
     path = tmp_path / "w.jsonl"
     path.write_text('{"unit_id": "a", "status": "completed", "pairs": [{"intent_id": "I1", "action_id": "A", "operation_match": "no"}]}\n')
