@@ -7,6 +7,7 @@ import os
 import random
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from loomwright.functions import text as T
 from loomwright.operators.alignment import candidate_pairs, intent_results, step_labels, unit_status
+from loomwright.operators.clients import TokenBucket
 from loomwright.operators.validation import extraction_status
 from loomwright.sources.shared import written
 
@@ -46,29 +48,43 @@ def call(client: Client, payload: dict, accept: Callable[[str], object], tries:
         except Exception as e:  # noqa: BLE001  whatever a client raises
             error = f"{type(e).__name__}: {e}"
             if k < tries:
-                sleep(min(2 ** (k - 1) + random.random(), 8))
+                sleep(max(min(2 ** (k - 1) + random.random(), 8), getattr(e, "wait", 0)))
         else:
             return answer, {u: n for u, n in usage.items() if type(n) is int}, k, None
     return None, {}, tries, error
 
 
-def complete(steps: DataFrame, client: Client, accept: Callable[[str], object], model: str, system: str, tries: int = 3, dry_run: bool = False) -> DataFrame:
-    """steps (with prompt and thought) and their answer, usage, attempts, status, error. Partitions are the workers."""
+def complete(
+    steps: DataFrame, client: Client, accept: Callable[[str], object], model: str, system: str, tries: int = 3, dry_run: bool = False, workers: int = 1, rate: float | None = None, burst: int = 1, sleep: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """steps (with prompt and thought) and their answer, usage, attempts, status, error.
+
+    Each partition calls `workers` at a time and keeps the order of its rows; rate: calls a second that a partition starts, tries
+    counted, with `burst` at once. An error whose `wait` a server set is tried again no sooner.
+    """
     extra = "answer string, usage map<string,bigint>, attempts int, status string, error string"
     schema = StructType([*steps.schema.fields, *StructType.fromDDL(extra).fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for prompt, thought in zip(b["prompt"], b["thought"], strict=True):
-                if not (thought or "").strip():
-                    rows.append((None, {}, 0, "skipped_empty", None))
-                elif dry_run:
-                    rows.append((None, {}, 0, "dry_run", None))
-                else:
-                    answer, usage, n, error = call(client, chat_payload(prompt, model, system), accept, tries)
-                    rows.append((answer, usage, n, "error" if error else "success", error))
-            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(rows, columns=["answer", "usage", "attempts", "status", "error"])], axis=1)
+        bucket = None if rate is None else TokenBucket(rate, burst)
+
+        def limited(payload: dict) -> tuple[str, dict[str, int]]:
+            if bucket is not None:
+                bucket.take()
+            return client(payload)
+
+        def one(prompt: str, thought: str | None) -> tuple:
+            if not (thought or "").strip():
+                return None, {}, 0, "skipped_empty", None
+            if dry_run:
+                return None, {}, 0, "dry_run", None
+            answer, usage, n, error = call(limited, chat_payload(prompt, model, system), accept, tries, sleep)
+            return answer, usage, n, "error" if error else "success", error
+
+        with ThreadPoolExecutor(workers) as pool:
+            for b in batches:
+                rows = list(pool.map(one, b["prompt"], b["thought"]))
+                yield pd.concat([b.reset_index(drop=True), pd.DataFrame(rows, columns=["answer", "usage", "attempts", "status", "error"])], axis=1)
 
     return steps.mapInPandas(run, schema)
 

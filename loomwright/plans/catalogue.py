@@ -477,6 +477,29 @@ def completed_steps(spark, sf_dir):
     return inference.complete(s, _client, json.loads, "model", "system", tries=1).select("o_orderkey", "status", "attempts", "answer")
 
 
+class _Flaky:
+    """A server for tests, which fails an order's first order % 4 calls; each task has its own."""
+
+    def __init__(self):
+        self.calls: dict[str, int] = {}
+
+    def __call__(self, payload: dict) -> tuple[str, dict[str, int]]:
+        prompt = payload["messages"][1]["content"]
+        self.calls[prompt] = self.calls.get(prompt, 0) + 1
+        if self.calls[prompt] <= int(prompt) % 4:
+            raise OSError("down")
+        return json.dumps({"k": int(prompt)}), {"prompt_tokens": self.calls[prompt]}
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'error' ELSE 'success' END AS status, least(o_orderkey % 4 + 1, 3)::INT AS attempts, CASE WHEN o_orderkey % 4 <> 3 THEN '{"k": ' || o_orderkey || '}' END AS answer,
+  CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey % 4 + 1 END AS prompt_tokens, CASE WHEN o_orderkey % 4 = 3 THEN 'OSError: down' END AS error FROM orders""")
+def pooled_steps(spark, sf_dir):
+    """Eight calls at a time in each task, tried again up to three times."""
+    s = I.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("prompt"), F.lit("think").alias("thought"))
+    done = inference.complete(s, _Flaky(), json.loads, "model", "system", tries=3, workers=8, sleep=lambda _: None)
+    return done.select("o_orderkey", "status", "attempts", "answer", F.col("usage")["prompt_tokens"].alias("prompt_tokens"), "error")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'uncertain' WHEN event_id % 21 = 4 THEN 'uncertain' WHEN event_id % 3 = 0 THEN 'yes' WHEN event_id % 3 = 1 THEN 'no' ELSE 'uncertain' END AS operation_match,
   CASE WHEN event_id % 10 = 0 THEN 'context_overflow' END AS reason, event_id % 10 = 0 OR event_id % 10 > 5 AS beyond_512, event_id % 10 <> 0 AND event_id % 21 = 4 AS failed FROM events""")
 def pair_scores(spark, sf_dir):
