@@ -183,3 +183,26 @@ def build_prompt(template: str, step: Column, request: Column, context: Column,
         rest = template[m.end() :]
     filled = F.concat(*pieces, F.lit(rest)) if pieces else filled
     return filled
+
+
+def round_exact(c: Column, digits: int) -> Column:
+    """A double to some decimals, by its exact binary value, half to even, as Python rounds; null, NaN and infinities stay.
+
+    x * 10**digits is a double p and the error that its rounding made, found exactly by halves of the factors; the fraction of p
+    and that error decide. The whole number over 10**digits is then the double next to the decimal. From 2**52 units on a double
+    has no decimals left to round.
+    """
+    unit = 10.0**digits
+    split = lambda a: 134217729.0 * a - (134217729.0 * a - a)  # noqa: E731  2**27 + 1: the upper half of a's bits
+    high = split(unit)
+    x = F.abs(c.cast("double"))
+    p, xh = x * unit, split(x)
+    low = unit - high
+    xl = x - xh
+    error = xl * low - (((p - xh * high) - xl * high) - xh * low)
+    whole = F.floor(p).cast("double")
+    over = (p - whole) - 0.5  # exact; the error counts only where it is 0
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    rounded = F.when(up, whole + 1).otherwise(whole) / unit
+    sign = F.when(c < 0, -1.0).otherwise(1.0)
+    return F.when(F.coalesce(p < 2.0**52, F.lit(False)), sign * rounded).otherwise(c.cast("double"))

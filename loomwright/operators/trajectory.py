@@ -81,10 +81,10 @@ def eligible(d: DataFrame) -> DataFrame:
 
 
 def scored(d: DataFrame, rounded: bool = True) -> DataFrame:
-    """quality_score; rounded: ratio, mean and score as decimals, half to even."""
-    r, m = (F.bround("ratio", 6), F.bround("mean_chars", 2)) if rounded else (F.col("ratio"), F.col("mean_chars"))
+    """quality_score; rounded: ratio, mean and score to decimals, by their exact binary values, half to even."""
+    r, m = (T.round_exact(F.col("ratio"), 6), T.round_exact(F.col("mean_chars"), 2)) if rounded else (F.col("ratio"), F.col("mean_chars"))
     s = T.quality_score(F.col("valid_cycles"), r, m, F.col("phases"), F.col("patch_evidence"), F.col("eval_evidence"), F.col("log_chars"))
-    return d.withColumn("quality_score", F.bround(s, 3) if rounded else s)
+    return d.withColumn("quality_score", T.round_exact(s, 3) if rounded else s)
 
 
 def cases(records: DataFrame) -> DataFrame:

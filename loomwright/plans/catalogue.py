@@ -342,6 +342,13 @@ def passage_containment(spark, sf_dir):
     return audit.passages_within(I.table(spark, sf_dir, "benchmark").select("item_id", "text"), d)
 
 
+@query("""SELECT l_orderkey, l_linenumber, format('{:.2f}', v)::DOUBLE AS two, format('{:.3f}', v)::DOUBLE AS three FROM (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE / 1000 + l_quantity::DOUBLE / 8 AS v FROM lineitem)""")
+def rounded_values(spark, sf_dir):
+    """Doubles near ties, rounded by their exact binary values."""
+    v = F.col("l_extendedprice").cast("double") / 1000 + F.col("l_quantity").cast("double") / 8
+    return I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.round_exact(v, 2).alias("two"), T.round_exact(v, 3).alias("three"))
+
+
 # --- steps ------------------------------------------------------------------------------------------------------------
 
 _WHITE_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)"

@@ -1,6 +1,7 @@
 """Text functions against plain Python, on made and on random texts."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -73,3 +74,15 @@ def test_parse_object(spark):
 def test_prompt_keeps_braces_of_its_values(spark):
     got = one(spark, T.build_prompt("{thought_step}|{thought}|{preceding_context}", F.lit(3), F.lit(""), F.lit(""), F.col("t")), t="{thought_step}")
     assert got == "3|{thought_step}|" + T.NO_CONTEXT
+
+
+def test_rounding_is_by_the_exact_binary_value(spark):
+    rng = random.Random(8)
+    values = [k / 1000 for k in range(-3300, 3300)] + [k / 8 for k in range(400)] + [a / b for a in range(60) for b in range(1, 60)] + [rng.uniform(0, 1000) for _ in range(4000)] + [round(rng.uniform(0, 1e6), 4) + 0.00005 for _ in range(3000)]
+    values += [2.675, 1.005, 0.5, 1.5, 2.5, 1e15 + 0.3, 4.5e15 + 0.5, 1e300, -1e300, 5e-324, 0.0, float("inf"), float("-inf"), 0.285, 1.0000005, 0.0000005, 87.3125, None]
+    d = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 2, 3, 6):
+        got = [r[0] for r in d.select(T.round_exact(F.col("x"), digits)).collect()]
+        want = [None if v is None else v if v in (float("inf"), float("-inf")) else round(v, digits) for v in values]
+        assert [(v, g) for v, g, w in zip(values, got, want, strict=True) if g != w] == []
+    assert math.isnan(spark.createDataFrame([(float("nan"),)], "x double").select(T.round_exact(F.col("x"), 2)).first()[0])
