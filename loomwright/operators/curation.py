@@ -152,6 +152,42 @@ def _circular(row: Column, w, n: int) -> Column:
     return F.filter(F.array(*rows), lambda o: o.isNotNull())
 
 
+#: Candidates of one positive, before judgement.
+PROPOSED = 12
+NUMBER = r"^-?[0-9]+(\.[0-9]+)?$"
+
+
+def parameter_corruptions(positives: DataFrame, seed: int = 7, most: int = PROPOSED) -> DataFrame:
+    """Actions that differ from a positive in one argument: item_id, field, value, arguments, observed_id (null: reconstructed) and rank.
+
+    positives: item_id, split, intent, tool and arguments (map of texts); a row with a null among these takes no part. A field's
+    new value is one that another action of the split gives to the same field of the same tool, of the same type (number or
+    text). Each positive has `most` candidates, or all where there are fewer: those that some action of the split is, first, each
+    with the least id of such an action; then by a seeded hash. Of each field the next `most` values of a circular order by hash
+    are tried. What is a positive of the same intent is no candidate; equal candidates are one.
+
+    A pool's values are put in order as values, not as rows; pools and values of very many rows are dealt out (see skew.py).
+    """
+    known = written(positives.dropna(subset=["item_id", "split", "intent", "tool", "arguments"]).select("item_id", "split", "intent", "tool", F.map_from_entries(F.array_sort(F.map_entries("arguments"))).alias("arguments")), "positives")
+    total = known.count()
+    order = lambda c: F.sha2(F.concat(F.lit(f"{seed}:"), c), 256)
+    pool = ["split", "tool", "field", "number"]
+    each = known.select("item_id", "split", "intent", "tool", "arguments", F.explode("arguments").alias("field", "value")).where("value is not null").withColumn("number", F.col("value").rlike(NUMBER))
+    values = skew.with_part(each.select(*pool, "value").distinct(), pool, "value", total)
+    w = Window.partitionBy(*pool, "_part").orderBy(order(F.col("value")), "value")
+    others = F.slice(F.array_distinct(F.filter(_circular(F.col("value"), w, most), lambda o: o != F.col("value"))), 1, most)
+    values = values.select(*pool, "value", others.alias("others"))
+    tried = skew.hot_join(each, values, [*pool, "value"], total).select("item_id", "split", "intent", "tool", "arguments", "field", F.explode("others").alias("value"))
+    changed = F.map_from_entries(F.transform(F.map_entries("arguments"), lambda e: F.when(e["key"] == F.col("field"), F.struct(e["key"].alias("key"), F.col("value").alias("value"))).otherwise(e)))
+    same = lambda a: F.sha2(F.to_json(F.struct("tool", a.alias("arguments"))), 256)
+    tried = tried.select("item_id", "split", "intent", "field", "value", changed.alias("arguments"), same(changed).alias("action"))
+    seen = known.select("item_id", "split", "intent", same(F.col("arguments")).alias("action"))
+    observed = seen.groupBy("split", "action").agg(F.min("item_id").alias("observed_id"))
+    tried = tried.join(seen.select("split", "intent", "action").distinct(), ["split", "intent", "action"], "left_anti").join(observed, ["split", "action"], "left")
+    w = Window.partitionBy("item_id").orderBy(F.col("observed_id").isNull(), order(F.concat_ws(":", "field", "value")), "field", "value")
+    return tried.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("item_id", "field", "value", "arguments", "observed_id", "rank")
+
+
 def accepted(judged: DataFrame, positives: DataFrame) -> DataFrame:
     """Judged negatives that are safe, sure, unflagged, unique and no known positive."""
     safe = judged.where((F.col("verdict") == "safe_negative") & (F.col("confidence") >= 0.90) & (F.size("flags") == 0)).dropDuplicates(["item_id", "negative_id"])

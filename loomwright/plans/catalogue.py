@@ -349,6 +349,22 @@ def rounded_values(spark, sf_dir):
     return I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.round_exact(v, 2).alias("two"), T.round_exact(v, 3).alias("three"))
 
 
+@query("""WITH k AS (SELECT event_id AS item_id, event_id % 3 AS split, event_id // 7 AS intent, event_type AS tool, (event_id * 7 % 23)::VARCHAR AS line, 'p' || (user_id % 11) AS path FROM events),
+f AS (SELECT *, unnest(['line', 'path']) AS field, unnest([line, path]) AS value FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY split, tool, field ORDER BY sha256('7:' || value), value) AS r, count(*) OVER (PARTITION BY split, tool, field) AS n FROM (SELECT DISTINCT split, tool, field, value FROM f)),
+t AS (SELECT f.item_id, f.split, f.intent, f.tool, f.field, q.value, CASE WHEN f.field = 'line' THEN q.value ELSE line END AS line, CASE WHEN f.field = 'path' THEN q.value ELSE path END AS path
+  FROM f JOIN p ON p.split = f.split AND p.tool = f.tool AND p.field = f.field AND p.value = f.value JOIN p q ON q.split = p.split AND q.tool = p.tool AND q.field = p.field AND q.value <> p.value AND (q.r - p.r + p.n) % p.n <= 12),
+o AS (SELECT split, tool, line, path, min(item_id) AS observed_id FROM k GROUP BY ALL),
+c AS (SELECT t.*, observed_id FROM t ANTI JOIN k ON k.split = t.split AND k.intent = t.intent AND k.tool = t.tool AND k.line = t.line AND k.path = t.path LEFT JOIN o ON o.split = t.split AND o.tool = t.tool AND o.line = t.line AND o.path = t.path)
+SELECT item_id, field, value, observed_id, row_number() OVER (PARTITION BY item_id ORDER BY observed_id IS NULL, sha256('7:' || field || ':' || value), field, value)::INT AS rank FROM c QUALIFY rank <= 12""")
+def parameter_corruptions(spark, sf_dir):
+    """Events as actions with two arguments, each changed to other values that the split's actions of the tool have."""
+    k = F.col("event_id")
+    arguments = F.create_map(F.lit("path"), F.concat(F.lit("p"), (F.col("user_id") % 11).cast("string")), F.lit("line"), (k * 7 % 23).cast("string"))
+    e = I.table(spark, sf_dir, "events").select(k.alias("item_id"), (k % 3).alias("split"), F.floor(k / 7).alias("intent"), F.col("event_type").alias("tool"), arguments.alias("arguments"))
+    return curation.parameter_corruptions(e).select("item_id", "field", "value", "observed_id", "rank")
+
+
 # --- steps ------------------------------------------------------------------------------------------------------------
 
 _WHITE_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)"

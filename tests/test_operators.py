@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -492,6 +493,33 @@ def test_passages_are_whole_in_texts(spark, sf_dir, monkeypatch, part):
     assert audit.passages_within(p.limit(0), t).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [100_000, 4])
+def test_corruptions_change_one_argument(spark, monkeypatch, bucket):
+    """Of random actions with one to three arguments: all that the rules allow where few are, else as many as asked; also with pools dealt out."""
+    monkeypatch.setattr(skew, "BUCKET", bucket)
+    rng = random.Random(5)
+    rows = [(k, rng.choice("ab"), rng.randrange(40), rng.choice(["open", "goto"]), {f: rng.choice(["1", "2", "3.5", "x", "y", "é"]) for f in rng.sample(["line", "path", "q"], rng.randrange(1, 4))}) for k in range(160)] + [(900, None, 1, "open", {"line": "1"}), (901, "a", 1, "open", None), (902, "a", 1, "open", {}), (903, "a", 2, "lone", {"line": "1"})]
+    d = spark.createDataFrame(rows, "item_id long, split string, intent long, tool string, arguments map<string,string>")
+    got = curation.parameter_corruptions(d).collect()
+    number = lambda v: re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", v) is not None
+    good = [r for r in rows if r[1] is not None and r[4] is not None]
+    by = {}
+    for r in got:
+        by.setdefault(r["item_id"], []).append(r)
+    for i, split, intent, tool, args in good:
+        own = {(f, v) for _, s, _, t, a in good if (s, t) == (split, tool) for f, v in a.items() if f in args and v != args[f] and number(v) == number(args[f])}
+        own = {(f, v) for f, v in own if not any((s, n, t) == (split, intent, tool) and a == args | {f: v} for _, s, n, t, a in good)}
+        mine = sorted(by.get(i, []), key=lambda r: r["rank"])
+        assert {(r["field"], r["value"]) for r in mine} <= own and [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+        assert bucket == 4 or len(mine) == min(len(own), curation.PROPOSED)
+        assert not own or bucket == 4 or mine
+        for r in mine:
+            assert r["arguments"] == args | {r["field"]: r["value"]}
+            assert r["observed_id"] == min((j for j, s, _, t, a in good if (s, t, a) == (split, tool, r["arguments"])), default=None)
+        assert [r["observed_id"] is None for r in mine] == sorted(r["observed_id"] is None for r in mine)
+    assert set(by) <= {r[0] for r in good}
+
+
 def test_review_is_closed(spark):
     queue = spark.createDataFrame([(1,), (2,)], "item_id long")
     good = spark.createDataFrame([(1, "direct_match"), (2, "no_match")], "item_id long, label string")
