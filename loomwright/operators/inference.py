@@ -151,44 +151,62 @@ def folder_fingerprint(path: str) -> dict[str, dict[str, int]]:
         return {f.name: {"bytes": f.stat().st_size, "mtime_ns": f.stat().st_mtime_ns} for f in found if f.is_file()}
 
 
-def score_pairs(pairs: DataFrame, scorer: Callable[[list[str]], list[float]], max_tokens: int = MOST_PAIR_TOKENS, batch_size: int = 4, threshold: float = 0.0, margin: float = 0.0) -> DataFrame:
-    """pairs (text, input_tokens) with logit, operation_match, reason, beyond_512 and error.
+def score_pairs(pairs: DataFrame, scorer: Callable[[list[str]], list[float]], max_tokens: int = MOST_PAIR_TOKENS, batch_size: int = 4, threshold: float = 0.0, margin: float = 0.0, long: int = 4096) -> DataFrame:
+    """pairs (text, input_tokens) with logit, operation_match, reason, beyond_512, padded_tokens and error.
 
+    Pairs are dealt by ranges of length and put in order, so that a batch holds neighbours in length whatever the Arrow batches
+    are; those over `long` go alone. padded_tokens: the longest pair of its batch, which a model pads to (null: not scored).
     Too long or out of memory is uncertain with a reason. Anything else that goes wrong with a batch, such as a logit that isn't
     finite, is its rows' error: their units fail, the job goes on.
     """
     check_bounds(threshold, margin, batch_size, max_tokens, 1)
-    schema = StructType([*pairs.schema.fields, *StructType.fromDDL("logit double, operation_match string, reason string, beyond_512 boolean, error string").fields])
-
-    def run(batches):
-        for b in batches:
-            b = b.reset_index(drop=True)
-            logit, match, reason, error = [None] * len(b), ["uncertain"] * len(b), [None] * len(b), [None] * len(b)
-            fit = []
-            for i, n in enumerate(b["input_tokens"]):
-                if n > max_tokens:
-                    reason[i] = "context_overflow"
-                else:
-                    fit.append((i, int(n)))
-            for some in length_batches(fit, batch_size):
-                try:
-                    values = scorer([b["text"][i] for i in some])
-                    if len(values) != len(some) or not all(math.isfinite(x) for x in values):
-                        raise ValueError("scores that are no numbers")
-                except MemoryError:
-                    for i in some:
-                        reason[i] = "out_of_memory"
-                    continue
-                except Exception as e:  # noqa: BLE001  whatever a scorer raises
-                    for i in some:
-                        error[i] = f"{type(e).__name__}: {e}"
-                    continue
-                for i, x in zip(some, values, strict=True):
-                    logit[i] = float(x)
-                    match[i] = "yes" if x >= threshold + margin else "no" if x < threshold - margin else "uncertain"
-            yield b.assign(logit=pd.array(logit, "Float64"), operation_match=match, reason=reason, beyond_512=[bool(n > 512) for n in b["input_tokens"]], error=error)
-
-    return pairs.mapInPandas(run, schema)
+    schema = StructType([*pairs.schema.fields, *StructType.fromDDL("logit double, operation_match string, reason string, beyond_512 boolean, padded_tokens int, error string").fields])
+
+    def scored(b: pd.DataFrame, batches: list[list[int]]) -> pd.DataFrame:
+        n = len(b)
+        logit, match, padded, error = [None] * n, ["uncertain"] * n, [None] * n, [None] * n
+        reason = ["context_overflow" if t > max_tokens else None for t in b["input_tokens"]]
+        for some in batches:
+            for i in some:
+                padded[i] = int(max(b["input_tokens"].iloc[j] for j in some))
+            try:
+                values = scorer([b["text"].iloc[i] for i in some])
+                if len(values) != len(some) or not all(math.isfinite(x) for x in values):
+                    raise ValueError("scores that are no numbers")
+            except MemoryError:
+                for i in some:
+                    reason[i] = "out_of_memory"
+                continue
+            except Exception as e:  # noqa: BLE001  whatever a scorer raises
+                for i in some:
+                    error[i] = f"{type(e).__name__}: {e}"
+                continue
+            for i, x in zip(some, values, strict=True):
+                logit[i] = float(x)
+                match[i] = "yes" if x >= threshold + margin else "no" if x < threshold - margin else "uncertain"
+        return b.assign(logit=pd.array(logit, "Float64"), operation_match=match, reason=reason, beyond_512=[bool(t > 512) for t in b["input_tokens"]], padded_tokens=pd.array(padded, "Int32"), error=error)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None  # rows whose batch isn't full yet: under batch_size
+        for b in frames:
+            b = b.reset_index(drop=True) if left is None else pd.concat([left, b], ignore_index=True)
+            batches = length_batches([(i, int(t)) for i, t in enumerate(b["input_tokens"]) if t <= max_tokens], batch_size, long)
+            last = batches.pop() if batches and len(batches[-1]) < batch_size and b["input_tokens"].iloc[batches[-1][0]] <= long else []
+            left = b.iloc[last].reset_index(drop=True) if last else None
+            now = b.drop(index=last)
+            places = {i: k for k, i in enumerate(now.index)}
+            if len(now):
+                yield scored(now.reset_index(drop=True), [[places[i] for i in some] for some in batches])
+        if left is not None:
+            yield scored(left, [list(range(len(left)))])
+
+    return pairs.repartitionByRange("input_tokens", F.xxhash64("text")).sortWithinPartitions("input_tokens").mapInPandas(run, schema)
+
+
+def padding_waste(scored: DataFrame) -> DataFrame:
+    """Pairs, tokens, tokens with padding, and the share of padding, of what was scored."""
+    n, padded = F.sum("input_tokens"), F.sum("padded_tokens")
+    return scored.where("padded_tokens is not null").agg(F.count("*").alias("pairs"), n.alias("tokens"), padded.alias("padded_tokens"), (1 - n / padded).alias("waste"))
 
 
 EXTRACTED = "raw string, finished boolean, input_tokens int, error string"

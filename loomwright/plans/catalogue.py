@@ -533,6 +533,18 @@ def pair_scores(spark, sf_dir):
     return scored.select("event_id", "operation_match", "reason", "beyond_512", F.col("error").isNotNull().alias("failed"))
 
 
+@query("""SELECT event_id, CASE WHEN t > 8192 THEN 'uncertain' WHEN t % 3 = 0 THEN 'yes' ELSE 'no' END AS operation_match, CASE WHEN t > 8192 THEN 'context_overflow' END AS reason, t > 8192 OR t >= 1 AS fits, CASE WHEN t <= 8192 THEN t > 4096 END AS alone
+  FROM (SELECT event_id, (event_id * 7919) % 8500 + 1 AS t FROM events)""")
+def length_batched_scores(spark, sf_dir):
+    """Pairs of all lengths, scored in batches of neighbours in length; the longest alone, so that they aren't padded."""
+    t = (F.col("event_id") * 7919 % 8500 + 1).cast("int")
+    pairs = I.table(spark, sf_dir, "events").select("event_id", t.cast("string").alias("text"), t.alias("input_tokens"))
+    scored = inference.score_pairs(pairs, lambda texts: [1.0 if int(x) % 3 == 0 else -1.0 for x in texts], batch_size=16)
+    padded = F.coalesce(F.col("padded_tokens"), F.col("input_tokens"))
+    alone = F.when(F.col("reason").isNull(), (F.col("input_tokens") > 4096) & (F.col("padded_tokens") == F.col("input_tokens")))
+    return scored.select("event_id", "operation_match", "reason", (padded >= F.col("input_tokens")).alias("fits"), alone.alias("alone"))
+
+
 def _generate(thought: str) -> tuple[str, bool]:
     """A model for tests, which extracts a thought's first word."""
     kind = thought.split()[1]

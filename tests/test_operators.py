@@ -285,6 +285,28 @@ def test_scores_that_are_no_numbers_fail_their_rows_only(spark):
     assert got == {"a": ("uncertain", None, "ValueError: scores that are no numbers"), "bb": ("yes", None, None), "ccc": ("uncertain", "out_of_memory", None)}
 
 
+def test_batches_are_neighbours_in_length(spark):
+    """Batches cross the borders of Arrow batches, are full but for a partition's last, and waste little padding."""
+    rng = random.Random(3)
+    rows = [(k, f"t{k}", rng.choice([rng.randrange(1, 600), rng.randrange(1, 5000), 9000])) for k in range(1500)]
+    d = spark.createDataFrame(rows, "k long, text string, input_tokens int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        scored = inference.score_pairs(d, lambda texts: [float(len(texts))] * len(texts), batch_size=8)
+        got = scored.withColumn("part", F.spark_partition_id()).collect()
+        parts = scored.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["k"] for r in got) == list(range(1500))
+    assert all((r["reason"] == "context_overflow") == (r["input_tokens"] > 8192) == (r["padded_tokens"] is None) for r in got)
+    sizes = Counter(r["logit"] for r in got if r["padded_tokens"] is not None and r["input_tokens"] <= 4096)
+    assert sum(n for size, n in sizes.items() if size < 8) < 8 * 2 * parts
+    assert all(r["logit"] == 1.0 and r["padded_tokens"] == r["input_tokens"] for r in got if 4096 < r["input_tokens"] <= 8192)
+    waste = inference.padding_waste(scored).first()
+    assert waste["pairs"] == sum(r[2] <= 8192 for r in rows) and waste["waste"] < 0.05
+
+
 def test_units_run_and_fail_one_by_one(spark):
     rows = [("ok", "open it", True), ("cut", "cut", True), ("bad", "bad", True), ("boom", "boom", True), ("long", "long", True), ("nan", "nan it", True), ("unsure", "maybe it", False), ("none", "nothing", True)]
     units = spark.createDataFrame([(u, t, w, [("A1", "open"), ("A2", "shut")]) for u, t, w in rows], "unit_id string, thought string, window_complete boolean, actions array<struct<action_id:string,model_text:string>>")
