@@ -62,13 +62,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTENT = frozenset(("article", "main"))
 IN_FORMS = frozenset(("label", "legend"))
+ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 p dt figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of class and id that tell of parts outside the text,
 SIGNS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
-    "subscription sidebar aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies reply related share sharing social login signup search".split()
+    "subscription sidebar aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments commentbox commentlist disqus pager pagination reviews respond replies reply related share sharing social login signup search".split()
 )
-#: and words that say nothing beside them. A name with any other word (market-share, related-work) is a doubtful sign.
+#: words that may tell of readers' talk or of the text's own part,
+DOUBTS = frozenset(("discussion", "talk"))
+#: and words that say nothing beside the signs. A name with any other word (market-share, related-work) is a doubtful sign.
 NEUTRAL = frozenset(
     "area article articles author avatar bar block blog body bottom box btn button center col column container content count date desktop entry field fixed form global google group header heading holder icon icons inline inner input item items js left "
     "link links list main meta mobile module more native outer page panel post posts primary reader right row secondary section site slot small sticky text the thread title top unit user wp wrap wrapper".split()
@@ -89,11 +92,13 @@ OUTSIDE, OPEN, PROVED, DOUBTFUL, FORM = range(5)
 WRAPS = 4
 
 
-def _sign(own: dict[str, str]) -> int:
-    """2 for a name of class or id that tells of a part outside the text, 1 for a doubtful one."""
+def _sign(own: dict[str, str], tag: str) -> int:
+    """2 for a name of class or id that tells of a part outside the text, 1 for a doubtful one. The id of a heading or paragraph tells what it is about."""
     most = 0
-    for name in (own.get("class", "") + " " + own.get("id", "")).split():
+    for name in (own.get("class", "") + " " + (own.get("id", "") if tag not in ANCHORED else "")).split():
         words = {w.lower() for w in WORDS.findall(html.unescape(name))}
+        if not DOUBTS.isdisjoint(words):
+            most = max(most, 1)
         if not SIGNS.isdisjoint(words):
             most = max(most, 2 if words <= SIGNS | NEUTRAL else 1)
     return most
@@ -107,7 +112,7 @@ def _kind(tag: str, attributes: str, state: int) -> int | None:
     role = own.get("role", "").lower()
     if tag in SKIPPED or role in ROLES or tag in IN_FORMS and state == FORM or tag == "header" and state not in (PROVED, DOUBTFUL):
         return OUTSIDE
-    sign = _sign(own) if own else 0
+    sign = _sign(own, tag) if own else 0
     if tag in CONTENT or role in CONTENT:
         return OUTSIDE if sign == 2 and tag != "main" else PROVED
     if tag in ("body", "html"):

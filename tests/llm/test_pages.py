@@ -42,6 +42,8 @@ def test_hosts_of_few_tokens(sizes):
         ("<article><p>a</p><script>if (a<b) x = '<!--'</script><p>rest</p></article>", "a\nrest"),
         ("<article><script>var t = '</p><article>'</script><style>p > a {}</style>b</article>", "b"),
         ("<article><div class=market-share>one two</div><p id=related-work>three</p><ul class='search-results'><li>x</ul></article>", "one two\nthree\nx"),
+        ("<article><h2 id=search>Search algorithms</h2><p id=login>How to log in</p><h3 id='reply'>Reply</h3><h2 class=ad id=x>Buy</h2></article>", "Search algorithms\nHow to log in\nReply"),
+        ("<article>text<div class=commentbox>no</div><section class=reader-reviews><p>no</p></section><ul class=pagination><li>2</ul><section id=discussion>What it means</section></article>", "text\nWhat it means"),
         ("<article>text<div class='ad-slot'>Buy</div><section id=comments><p>no</p></section><div class=adBanner>no</div></article>", "text"),
         ("<body><form id=f><nav>menu</nav><p>All the text of the page is in a form</p><label>Name</label><button>go</button></form></body>", "All the text of the page is in a form"),
         ("<article><p>Text body here</p><form><label>Name</label> say hi</form></article>", "Text body here"),
