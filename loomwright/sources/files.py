@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loomwright.operators.windows import checked_windows, require_valid, with_model_texts
 from loomwright.sources.shared import written
+from loomwright.sources.sinks import JsonFiles
 
 MANIFEST_SCHEMA = "dataset_manifest_v1"
 
@@ -249,17 +250,13 @@ def atomic_copy(source: str, target: str) -> None:
     os.replace(part, target)
 
 
-def write_case_files(cases: DataFrame, folder: str, most: int = 10_000) -> int:
-    """One JSON file for each case (a selection of bounded size); files of other cases there are an error."""
-    rows = [json.loads(r["j"]) for r in cases.select(F.to_json(F.struct(*cases.columns), {"ignoreNullFields": "false"}).alias("j")).limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"over {most} cases")
-    names = {f"{r['case_id']}.json" for r in rows}
-    if stale := {Path(p).name for p in glob.glob(os.path.join(folder, "CASE-*.json"))} - names:
-        raise ValueError(f"stale cases: {sorted(stale)[:3]}")
-    for r in rows:
-        atomic_json(os.path.join(folder, f"{r['case_id']}.json"), r)
-    return len(rows)
+def write_case_files(cases: DataFrame, folder: str) -> int:
+    """One JSON file for each case, written by tasks and put in place together; files of other cases there, and repeated cases, are errors. Returns their number."""
+    os.makedirs(folder, exist_ok=True)
+    cases.sparkSession.dataSource.register(JsonFiles)
+    rows = cases.select(F.col("case_id").alias("name"), F.to_json(F.struct(*cases.columns), {"ignoreNullFields": "false"}).alias("body"))
+    rows.write.format("json_files").option("prefix", "CASE-").mode("append").save(folder)
+    return len(glob.glob(os.path.join(folder, "CASE-*.json")))
 
 
 def write_report(value: object, path: str) -> None:

@@ -18,16 +18,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts its lineage, and fixes what a rerun might order otherwise."""
-    path = shared_folder(df.sparkSession, name)
+    """df as a table in the shared folder: cuts its lineage, and fixes what a rerun might order otherwise. It goes with discard(), at the latest as the driver's JVM ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
+    folder = _path(spark, path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return out
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a written table that nothing reads any more."""
     spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folder = _path(spark, table._folder)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(folder, True)
+    store.cancelDeleteOnExit(folder)

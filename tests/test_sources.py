@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwright.sources import files, seek, snapshot
 from loomwright.streaming import resume
@@ -81,7 +82,7 @@ def test_cases_and_prompts(spark, tmp_path):
     assert files.write_case_files(d, str(tmp_path)) == 1
     assert json.loads((tmp_path / "CASE-0001.json").read_text()) == {"case_id": "CASE-0001", "pair_id": None}
     (tmp_path / "CASE-0009.json").write_text("{}")
-    with pytest.raises(ValueError, match="stale"):
+    with pytest.raises(Exception, match="stale"):
         files.write_case_files(d, str(tmp_path))
     (tmp_path / "p.md").write_text("# System\nbe\n# User\n{thought}\n")
     assert files.read_prompts(str(tmp_path / "p.md")) == files.Prompts("be", "{thought}")
@@ -90,6 +91,22 @@ def test_cases_and_prompts(spark, tmp_path):
         files.read_prompts(str(tmp_path / "p.md"))
 
 
+def test_case_files_are_put_in_place_together(spark, tmp_path):
+    """By tasks; nothing of a write that fails stays, what is there is replaced as a whole, and no staging is left."""
+    rows = [(f"CASE-{k:04d}", k, [f"é{k}"]) for k in range(300)]
+    d = spark.createDataFrame(rows, "case_id string, n long, x array<string>").repartition(7)
+    folder = tmp_path / "cases"
+    assert files.write_case_files(d, str(folder)) == 300
+    assert all(json.loads((folder / f"{c}.json").read_text()) == {"case_id": c, "n": n, "x": x} for c, n, x in rows)
+    for bad, problem in ((d.unionByName(d.limit(1)), "repeated|File exists"), (d.unionByName(spark.createDataFrame([("CASE-9/9", 1, None)], d.schema)), "no name of a file"), (d.where("n < 100"), "stale")):
+        with pytest.raises(Exception, match=problem):
+            files.write_case_files(bad.withColumn("n", F.lit(-1).cast("long")), str(folder))
+        assert json.loads((folder / "CASE-0007.json").read_text())["n"] == 7
+        assert sorted(p.name for p in folder.iterdir()) == [f"{c}.json" for c, *_ in rows]
+    assert files.write_case_files(d.withColumn("n", F.lit(5).cast("long")), str(folder)) == 300
+    assert json.loads((folder / "CASE-0007.json").read_text())["n"] == 5
+
+
 class Feed:
     """Files of units, each followed by a run over what is new."""
 
