@@ -541,7 +541,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(sql.ORACLE))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     d = queries.QUERIES[name](spark, sf_dir)
     cur = con.execute(sql.ORACLE[name])
@@ -551,7 +551,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert json.dumps(sorted(queries.ORACLE))
 
 
