@@ -496,6 +496,20 @@ def test_hard_negatives_are_all_that_are_valid(spark, monkeypatch, bucket):
         assert there <= {k for _, k in mine}, (by_id[a[0]], mine)
 
 
+def test_hard_negatives_shuffle_items_not_candidates(spark, monkeypatch):
+    """No candidate is a row before the last exchange; values of large keys, found by joins, are those found within rows."""
+    d = spark.range(600).select(F.concat(F.lit("i"), "id").alias("item_id"), F.lit("train").alias("split"), (F.col("id") % 90).alias("trajectory_id"), F.when(F.col("id") % 5 > 0, 0).otherwise(F.col("id") % 3).alias("tool"), F.when(F.col("id") % 7 > 0, 0).otherwise(F.col("id") % 40).alias("target"))
+    got = curation.hard_negatives(d)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate")]
+    want = sorted(map(tuple, got.collect()))
+    for small in (0, 1000):
+        monkeypatch.setattr(curation, "SMALL", small)
+        assert sorted(map(tuple, curation.hard_negatives(d).collect())) == want
+    twice = curation.hard_negatives(d.union(d.limit(50))).collect()
+    assert sorted(map(tuple, twice)) and max(r["rank"] for r in twice) <= 5 and len({(r["item_id"], r["negative_id"]) for r in twice}) == len(twice)
+
+
 @pytest.mark.parametrize("part", [1 << 20, 200])
 def test_passages_are_whole_in_texts(spark, sf_dir, monkeypatch, part):
     """With one automaton, and with many small parts; empty and repeated passages, and pairs sent on in small batches."""
