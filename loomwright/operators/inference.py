@@ -248,17 +248,19 @@ def run_units(units: DataFrame, generate: Callable[[str], tuple[str, bool]], cou
     """Extraction, matching and aggregation of each unit: unit_id, status, step_label, extraction_status, error. A failure is a unit's status.
 
     units: unit_id, thought, window_complete, actions (array of action_id, model_text).
+
+    Answers that repeat make the written tables small for their rows, so Spark would broadcast whole ones: their joins are told to merge.
     """
-    extracted = written(extract_intents(units, generate, count_input, context_tokens, max_new_tokens), "extracted")
+    extracted = written(extract_intents(units, generate, count_input, context_tokens, max_new_tokens), "extracted").hint("merge")
     failed = F.coalesce("error", F.when(F.col("extraction_status") != "valid", F.concat(F.lit("invalid extraction: "), "extraction_status")))
     d = extracted.withColumn("failure", failed)
     intents = d.where("failure is null").select("unit_id", F.inline("intents"))
     jobs = candidate_pairs(intents, d.select("unit_id", F.inline("actions"))).withColumn("text", F.concat_ws("\n", "intent_quote", "model_text"))
     counted = F.pandas_udf(lambda texts: texts.map(lambda t: int(count_tokens(t))), "int")
-    pairs = written(score_pairs(jobs.select("unit_id", "intent_id", "action_id", "text").withColumn("input_tokens", counted(F.col("text"))), scorer, **scoring), "pairs")
+    pairs = written(score_pairs(jobs.select("unit_id", "intent_id", "action_id", "text").withColumn("input_tokens", counted(F.col("text"))), scorer, **scoring), "pairs").hint("merge")
     errors = pairs.groupBy("unit_id").agg(F.min("error").alias("pair_error"))
     facts = d.select("unit_id", "window_complete", F.size("actions").alias("n_actions"))
     labelled = step_labels(intent_results(intents, pairs, facts), facts)
     d = d.join(errors, "unit_id", "left").withColumn("error", F.coalesce("failure", "pair_error")).select("unit_id", "extraction_status", "error")
-    out = unit_status(labelled.join(d, "unit_id"), pairs, F.col("error").isNotNull())
+    out = unit_status(labelled.join(d.hint("merge"), "unit_id"), pairs, F.col("error").isNotNull())
     return out.select("unit_id", "status", F.when(F.col("error").isNotNull(), "uncertain").otherwise(F.col("step_label")).alias("step_label"), "extraction_status", "error")

@@ -331,6 +331,15 @@ def test_units_run_and_fail_one_by_one(spark):
     }
 
 
+def test_units_run_without_tables_in_the_driver(spark):
+    """Written tables of repeated answers are small files of many rows; none may be broadcast whole."""
+    units = spark.range(40).select(F.col("id").alias("unit_id"), F.lit("open it").alias("thought"), F.lit(True).alias("window_complete"), F.array(F.struct(F.lit("A1").alias("action_id"), F.lit("open").alias("model_text"))).alias("actions"))
+    answer = json.dumps({"intents": [{"intent_quote": "open", "temporal_scope": "current"}]})
+    got = inference.run_units(units, lambda t: (answer, True), lambda t: 5, lambda texts: [5.0] * len(texts), len, 4096)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["step_label"] for r in got.collect()} == {"fully_consistent"} and got.count() == 40
+
+
 def test_settings_have_bounds(spark, tmp_path):
     inference.check_bounds(0.0, 0.0, 1, 8192, 1)
     for bad in ((float("nan"), 0, 1, 1, 1), (0, -1, 1, 1, 1), (0, 0, 0, 1, 1), (0, 0, 1, 9000, 1), (0, float("inf"), 1, 1, 1)):
