@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import uuid
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +19,8 @@ FORBIDDEN_PARTS = (".codex", ".sii", "__pycache__", "checkpoints", "models", "lo
 ASSIGNMENT = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*[=:]\s*(.*?)\s*$"
 INLINE = r"(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)[ \t]*[=:][ \t]*([^ \t]+)"
 CREDENTIAL = r"(?i)api[_-]?key|secret|token|password"
+#: What CREDENTIAL matches, in lower case.
+CREDENTIAL_WORDS = ("apikey", "api_key", "api-key", "secret", "token", "password")
 PLACEHOLDERS = ("<secret>", "<api-key>")
 LOOKUPS = ("os.environ", "os.getenv", "environ.get")
 MAX_BYTES = 10 * 1024 * 1024
@@ -31,11 +34,21 @@ def is_forbidden_path(path: Column) -> Column:
     return env | F.arrays_overlap(parts, F.array(*map(F.lit, FORBIDDEN_PARTS)))
 
 
+def may_tell(text: Column) -> Column:
+    """Whether a credential's word is in a text: a search of bytes, before any pattern."""
+    return F.exists(F.array(F.lower(text)), lambda t: reduce(Column.__or__, (t.contains(w) for w in CREDENTIAL_WORDS)))
+
+
+def secret_lines(files: DataFrame, anchored: bool = True) -> DataFrame:
+    """Secret lines of files (path, content); only files that have a credential's word are split."""
+    return text_lines(files.where(may_tell(F.col("content")))).where(is_secret_line(F.col("line"), anchored))
+
+
 def is_secret_line(line: Column, anchored: bool = True) -> Column:
     """A credential-like name with a value that is no placeholder. anchored: the line is the assignment."""
     pattern = ASSIGNMENT if anchored else INLINE
     name, value = F.regexp_extract(line, pattern, 1), F.btrim(T.strip(F.regexp_extract(line, pattern, 2)), F.lit("\"'"))
-    return line.rlike(pattern) & name.rlike(CREDENTIAL) & (value != "") & ~value.contains("example.invalid") & ~value.isin(*PLACEHOLDERS)
+    return may_tell(line) & line.rlike(pattern) & name.rlike(CREDENTIAL) & (value != "") & ~value.contains("example.invalid") & ~value.isin(*PLACEHOLDERS)
 
 
 def python_literal(value: str) -> bool:

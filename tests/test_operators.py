@@ -519,6 +519,17 @@ def test_hard_negatives_shuffle_items_not_candidates(spark, monkeypatch):
     assert sorted(map(tuple, twice)) and max(r["rank"] for r in twice) <= 5 and len({(r["item_id"], r["negative_id"]) for r in twice}) == len(twice)
 
 
+def test_only_texts_with_a_credential_word_are_split(spark):
+    texts = ["a\nAPI_Key = x1\nb", "api-key: v\nToKen=y", "no = word", None, "", "password = <secret>", "My_Secret: 'é'\r\nİ token", "apiKEY=z token=w"]
+    d = spark.createDataFrame(list(enumerate(texts)), "path long, content string")
+    got = audit.secret_lines(d, anchored=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "exists(array(lower(content" in plan[plan.index("Generate") :]
+    want = [(k, t.index(x)) for k, t in ((k, re.split(audit.LINE_END, t or "")) for k, t in enumerate(texts)) for x in t if (m := re.search(audit.INLINE, x)) and re.search(audit.CREDENTIAL, m[1]) and m[2] not in audit.PLACEHOLDERS]
+    assert sorted((r["path"], r["line_no"]) for r in got.collect()) == want and want
+    assert [r[0] for r in d.select(audit.may_tell(F.col("content"))).collect()] == [None if t is None else re.search(audit.CREDENTIAL, t) is not None for t in texts]
+
+
 @pytest.mark.parametrize("part", [1 << 20, 200])
 def test_passages_are_whole_in_texts(spark, sf_dir, monkeypatch, part):
     """With one automaton, and with many small parts; empty and repeated passages, and pairs sent on in small batches."""
