@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import alignment, audit, curation, inference, selection, skew, steps, trajectory, validation
+from loomwright.operators.graph import components
 
 
 def record(n=10, title="Crash on start", patch="diff --git a/x b/x\n" + "+" * 40, log="l" * 200, target=True, thought="We should look at this because it fails", commands=None):
@@ -480,6 +481,29 @@ def test_groups_join_over_templates_and_splits_do_not_leak(spark):
     assert abs(split["train"] - 1400) <= 1 and abs(split["test"] - 300) <= 1
 
 
+@pytest.mark.parametrize("bucket", [100_000, 20])
+def test_leak_groups_are_a_graph_of_few(spark, monkeypatch, bucket):
+    """The graph has the least trajectories of templates only; groups are those of a plain search, a null trajectory joins nothing."""
+    monkeypatch.setattr(skew, "BUCKET", bucket)
+    rng = random.Random(3)
+    rows = [(k, f"t{rng.randrange(80)}") for k in range(150)] + [(k, "all") for k in range(200, 300)] + [(None, "t1"), (None, "t2"), (900, None)]
+    rows += [(250, f"s{i}") for i in range(40)] + [(240 - i, f"s{i}") for i in range(40)]
+    seen = []
+    monkeypatch.setattr(curation, "components", lambda e: (seen.append(e.where("a <> b").count()), components(e))[1])
+    got = {r["trajectory_id"]: r["group_id"] for r in curation.leak_groups(spark.createDataFrame(rows, "trajectory_id long, template string")).collect()}
+    group = {k: k for k, _ in rows}
+    for _ in range(len(rows)):
+        least = {}
+        for k, t in rows:
+            if k is not None and t is not None:
+                least[t] = min(least.get(t, group[k]), group[k])
+        after = {k: min([group[k], *(least[t] for j, t in rows if j == k and t is not None)]) if k is not None else None for k in group}
+        if after == group:
+            break
+        group = after
+    assert got == group and seen[0] < len(set(rows)) / 2
+
+
 @pytest.mark.parametrize("bucket", [10_000, 25])
 def test_hard_negatives_are_all_that_are_valid(spark, monkeypatch, bucket):
     monkeypatch.setattr(skew, "BUCKET", bucket)
