@@ -600,6 +600,24 @@ def test_corruptions_change_one_argument(spark, monkeypatch, bucket):
     assert set(by) <= {r[0] for r in good}
 
 
+def test_corruptions_shuffle_positives_not_candidates(spark, monkeypatch):
+    """No candidate is a row before the last exchange; intents of many actions, long lists and hot intents give the same."""
+    k = F.col("id")
+    d = spark.range(400).select(k.alias("item_id"), (k % 2).alias("split"), F.floor(k / 90).alias("intent"), (k % 3).cast("string").alias("tool"), F.create_map(F.lit("line"), (k * 7 % 31).cast("string"), F.lit("path"), F.concat(F.lit("p"), k % 5)).alias("arguments"))
+    rows = lambda got: sorted(repr(r) for r in got.collect())
+    monkeypatch.setattr(curation, "TAKEN", 1000)
+    got = curation.parameter_corruptions(d)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan[: plan.index("Generate")]
+    want = rows(got)
+    for taken, size in ((1, 1 << 20), (8, 0), (1000, 0)):
+        monkeypatch.setattr(curation, "TAKEN", taken)
+        monkeypatch.setattr(curation, "LIST_BYTES", size)
+        assert rows(curation.parameter_corruptions(d)) == want
+    twice = curation.parameter_corruptions(d.union(d.limit(20))).collect()
+    assert len({(r["item_id"], r["rank"]) for r in twice}) == len(twice) == len(want)
+
+
 def test_review_is_closed(spark):
     queue = spark.createDataFrame([(1,), (2,)], "item_id long")
     good = spark.createDataFrame([(1, "direct_match"), (2, "no_match")], "item_id long, label string")
